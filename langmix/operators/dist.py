@@ -124,12 +124,15 @@ def unit_ranking(dist: DataFrame) -> DataFrame:
     return dist.groupBy("lang").agg(F.count(F.lit(1)).alias("n_units"))
 
 
-def off_target(dist: DataFrame, expected_col: str, training_col: str, step_col: str) -> DataFrame:
-    """Mean p of languages neither expected nor in training, per step,
-    languages kept when every step mean is > 0.01."""
+def off_target(dist: DataFrame, expected_col: str, training_col: str, step_col: str,
+               n_steps: int) -> DataFrame:
+    """Mean p of languages neither expected nor in training, per step;
+    languages kept when they have a mean for all ``n_steps`` steps and every
+    mean is > 0.01 (the reference left-joins steps and drops gaps)."""
     off = dist.filter((F.col("lang") != F.col(expected_col)) & ~F.array_contains(training_col, F.col("lang")))
     m = off.groupBy("lang", step_col).agg(F.avg("p").alias("mean_p"))
-    keep = m.groupBy("lang").agg(F.min("mean_p").alias("mn")).filter(F.col("mn") > OFF_TARGET_MIN_P)
+    keep = (m.groupBy("lang").agg(F.min("mean_p").alias("mn"), F.count(F.lit(1)).alias("ns"))
+            .filter((F.col("mn") > OFF_TARGET_MIN_P) & (F.col("ns") == n_steps)))
     return m.join(keep.select("lang"), "lang", "left_semi")
 
 

@@ -190,3 +190,103 @@ SELECT model, source, language, task,
        round(avg(CASE WHEN level = 'line' THEN round(h, 6) END), 6) AS line_reweighted_entropy,
        round(avg(CASE WHEN level = 'word' THEN round(h, 6) END), 6) AS word_reweighted_entropy
 FROM ent GROUP BY ALL"""
+
+# ------------------------------------------------- distributions, entropy --
+
+_LD = with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST)
+_WD = with_(COMPLETIONS, MODEL, LABELLED_LINES, LABELLED_TOKENS, WORD_DIST)
+_BD = with_(COMPLETIONS, MODEL, LABELLED_LINES, LABELLED_TOKENS, LINE_DIST, WORD_DIST, BOTH_DISTS)
+TRAIN = "(" + ", ".join(_q(x) for x in I.TRAINING_LANGS) + ")"
+INSIDE = f"(lang = language OR lang IN {TRAIN})"
+
+ORACLES["pruned_distribution"] = _LD + f"""
+SELECT id, lang, p FROM line_dist WHERE lang NOT IN ('unknown', 'others') AND p > {D.PRUNE_MIN_P}"""
+
+ORACLES["unknown_mass"] = _LD + f""",
+pr AS (SELECT id, lang, p FROM line_dist WHERE lang NOT IN ('unknown', 'others') AND p > {D.PRUNE_MIN_P})
+SELECT id, lang, p FROM pr
+UNION ALL
+SELECT id, 'unk' AS lang, round(1.0 - sum(p), 2) AS p FROM pr GROUP BY id HAVING round(1.0 - sum(p), 2) > 0"""
+
+ORACLES["widened_distribution"] = _LD + """,
+w AS (SELECT id, coalesce(max(CASE WHEN lang = 'de' THEN p END), 0.0) AS de,
+             coalesce(max(CASE WHEN lang = 'en' THEN p END), 0.0) AS en,
+             coalesce(max(CASE WHEN lang = 'es' THEN p END), 0.0) AS es,
+             coalesce(max(CASE WHEN lang = 'fr' THEN p END), 0.0) AS fr
+      FROM line_dist GROUP BY id)
+SELECT id, de, en, es, fr, round(1.0 - (((de + en) + es) + fr), 6) AS other FROM w"""
+
+ORACLES["langset_frequency"] = _LD + """,
+s AS (SELECT id, array_to_string(list_sort(list(DISTINCT lang)), '_') || '_' || language AS lang_set
+      FROM line_dist GROUP BY id, model, task, source, language)
+SELECT lang_set, count(*) AS n_units FROM s GROUP BY lang_set"""
+
+ORACLES["multi_language_units"] = _LD + """
+SELECT id, count(*) AS n_langs FROM line_dist GROUP BY id HAVING count(*) > 1"""
+
+ORACLES["extra_languages"] = _WD + f""",
+s AS (SELECT id, list_sort(list_filter(list(DISTINCT lang),
+                                       lambda x: x <> any_value(language) AND x NOT IN {TRAIN})) AS extra
+      FROM word_dist GROUP BY id)
+SELECT id, array_to_string(extra, '_') AS extra FROM s WHERE len(extra) > 0 AND NOT list_contains(extra, 'en')"""
+
+ORACLES["lang_unit_ranking"] = _WD + """
+SELECT lang, count(*) AS n_units FROM word_dist GROUP BY lang"""
+
+ORACLES["off_target_by_task"] = _LD + f""",
+off AS (SELECT lang, task, avg(p) AS mean_p FROM line_dist
+        WHERE lang <> language AND lang NOT IN {TRAIN} GROUP BY lang, task),
+keep AS (SELECT lang FROM off GROUP BY lang HAVING min(mean_p) > {D.OFF_TARGET_MIN_P} AND count(*) = 2)
+SELECT lang, task, round(mean_p, 6) AS mean_p FROM off WHERE lang IN (SELECT lang FROM keep)"""
+
+ORACLES["probability_pool"] = _WD + f"""
+SELECT lang, count(*) AS n, round(avg(p), 6) AS mean_p, round(max(p), 6) AS max_p
+FROM word_dist WHERE p >= {D.OFF_TARGET_MIN_P} GROUP BY lang"""
+
+
+def _shannon_sql(mask: str | None) -> str:
+    p = "p" if mask is None else f"(CASE WHEN {mask} THEN p END)"
+    return f"(CASE WHEN sum({p}) > 0 THEN ln(sum({p})) - sum({p} * ln({p})) / sum({p}) ELSE 0.0 END)"
+
+
+ENTROPY_SQL = {
+    "entropy_all": _shannon_sql(None),
+    "entropy_out": _shannon_sql(f"NOT {INSIDE}"),
+    "entropy_out_expected": _shannon_sql("lang <> language"),
+    "reweighted_entropy": f"sum(-(CASE WHEN {INSIDE} THEN 1 - p ELSE p END) * ln(p))",
+    "reweighted_entropy_expected": "sum(-(CASE WHEN lang = language THEN 1 - p ELSE p END) * ln(p))",
+    "weighted_entropy": (f"(-(1.0 - coalesce(sum(CASE WHEN {INSIDE} THEN p END), 0.0))"
+                         f" * coalesce(sum(CASE WHEN NOT {INSIDE} THEN ln(p) END), 0.0) + 0.0)"),
+}
+
+
+def ent_cols(*names: str) -> str:
+    # "+ 0.0" turns DuckDB's -0.0 into 0.0 (Spark's decimal rounding never yields -0.0)
+    return ", ".join(f"round({ENTROPY_SQL[n]}, 6) + 0.0 AS {n}" for n in names)
+
+
+ORACLES["entropy_variants"] = _BD + f"""
+SELECT level, id, {ent_cols(*ENTROPY_SQL)} FROM both_dist GROUP BY level, id"""
+
+ORACLES["entropy_by_language_task"] = _LD + f""",
+ent AS (SELECT id, task, language AS expected, {ent_cols('reweighted_entropy')} FROM line_dist GROUP BY ALL)
+SELECT expected, task, round(avg(reweighted_entropy), 6) AS mean_reweighted_entropy FROM ent GROUP BY ALL"""
+
+ORACLES["entropy_by_training_language"] = _WD + f""",
+ent AS (SELECT id, {ent_cols('weighted_entropy')} FROM word_dist GROUP BY id)
+SELECT 'set' AS kind, {_q('_'.join(sorted(I.TRAINING_LANGS)))} AS key,
+       round(avg(weighted_entropy), 6) AS mean_weighted_entropy FROM ent
+UNION ALL
+SELECT 'single' AS kind, k.key, round(avg(weighted_entropy), 6) AS mean_weighted_entropy
+FROM ent, (SELECT unnest([{', '.join(_q(x) for x in I.TRAINING_LANGS)}]) AS key) k GROUP BY k.key"""
+
+ORACLES["token_norm_entropy"] = with_(COMPLETIONS, MODEL, LABELLED_LINES, LABELLED_TOKENS) + """,
+c AS (SELECT id, token_lang, count(*) AS v FROM ltoks GROUP BY ALL)
+SELECT id, round(CASE WHEN sum(v) > 0 THEN log2(sum(v)) - sum(v * log2(v)) / sum(v) END, 6) AS norm_entropy
+FROM c GROUP BY id"""
+
+ORACLES["complete_levels"] = _BD + f""",
+ent AS (SELECT level, id, any_value(language) AS language, {ent_cols('reweighted_entropy')}
+        FROM both_dist GROUP BY level, id)
+SELECT level, id, reweighted_entropy FROM ent
+WHERE language NOT IN {TRAIN} AND id IN (SELECT id FROM ent WHERE language NOT IN {TRAIN} GROUP BY id HAVING count(*) = 2)"""

@@ -124,3 +124,118 @@ def q_entropy_by_group(spark, sf):
     return (ent.groupBy("model", "source", "language", "task")
             .agg(F.round(F.avg(F.when(F.col("level") == "line", h)), 6).alias("line_reweighted_entropy"),
                  F.round(F.avg(F.when(F.col("level") == "word", h)), 6).alias("word_reweighted_entropy")))
+
+
+def _with_expected(d: DataFrame) -> DataFrame:
+    return d.withColumn("expected", F.col("language")).withColumn(
+        "training", F.array(*[F.lit(x) for x in I.TRAINING_LANGS]))
+
+
+@query("pruned_distribution")
+def q_pruned_distribution(spark, sf):
+    """D3 on line distributions: drop unknown/others and p <= 0.05."""
+    return D.prune(line_dist(spark, sf)).select("id", "lang", "p")
+
+
+@query("unknown_mass")
+def q_unknown_mass(spark, sf):
+    """D3 then D4: residual mass ``unk = round(1 - sum, 2)`` added when positive."""
+    return D.complete_unknown(D.prune(line_dist(spark, sf)), ["id"]).select("id", "lang", "p")
+
+
+@query("widened_distribution")
+def q_widened_distribution(spark, sf):
+    """One column per target language (missing 0) and ``other = 1 - sum``."""
+    return D.widen(line_dist(spark, sf), ["id"], ["de", "en", "es", "fr"])
+
+
+@query("langset_frequency")
+def q_langset_frequency(spark, sf):
+    """Frequency of (sorted predicted-language set + expected language)."""
+    return D.lang_set_frequency(line_dist(spark, sf), I.UNIT_KEYS, "language")
+
+
+@query("multi_language_units")
+def q_multi_language_units(spark, sf):
+    """Completions whose line distribution has more than one language."""
+    return D.multi_language_units(line_dist(spark, sf), ["id"]).select(
+        "id", F.col("n_langs").cast("bigint").alias("n_langs"))
+
+
+@query("extra_languages")
+def q_extra_languages(spark, sf):
+    """Predicted languages outside training and expected, sets without English."""
+    d = _with_expected(word_dist(spark, sf))
+    out = D.extra_languages(d, ["id", "expected", "training"], "expected", "training")
+    return out.select("id", F.array_join("extra", "_").alias("extra"))
+
+
+@query("lang_unit_ranking")
+def q_lang_unit_ranking(spark, sf):
+    """Number of completions per predicted language (word level)."""
+    return D.unit_ranking(word_dist(spark, sf))
+
+
+@query("off_target_by_task")
+def q_off_target_by_task(spark, sf):
+    """Mean probability of off-target languages per task ('step'); kept
+    when present in every task with mean > 0.01."""
+    d = _with_expected(line_dist(spark, sf))
+    out = D.off_target(d, "expected", "training", "task", n_steps=2)
+    return out.select("lang", "task", F.round("mean_p", 6).alias("mean_p"))
+
+
+@query("probability_pool")
+def q_probability_pool(spark, sf):
+    """Pooled probabilities per language (p >= 0.01) at word level."""
+    return D.probability_pool(word_dist(spark, sf)).select(
+        "lang", F.col("n").cast("bigint").alias("n"), "mean_p", "max_p")
+
+
+@query("entropy_variants")
+def q_entropy_variants(spark, sf):
+    """E1-E6 for every completion at line and word level (one aggregation)."""
+    d = _with_expected(both_dists(spark, sf))
+    ent = E.entropies(d, ["level", "id"], "expected", "training")
+    return ent.drop("expected", "training")
+
+
+@query("entropy_by_language_task")
+def q_entropy_by_language_task(spark, sf):
+    """E9 (+E14 flag): mean training-aware reweighted entropy by expected
+    language x task (task plays the step), line level, long form."""
+    d = _with_expected(line_dist(spark, sf))
+    ent = E.entropies(d, ["id", "task"], "expected", "training", variants=["reweighted_entropy"])
+    return E.mean_by(ent, ["expected", "task"], ["reweighted_entropy"])
+
+
+@query("entropy_by_training_language")
+def q_entropy_by_training_language(spark, sf):
+    """Mean weighted entropy by sorted training-set key and by single
+    training language (exploded), word level."""
+    d = _with_expected(word_dist(spark, sf))
+    ent = E.entropies(d, ["id"], "expected", "training", variants=["weighted_entropy"])
+    by_set = E.mean_by(ent.withColumn("key", E.training_key()).withColumn("kind", F.lit("set")),
+                       ["kind", "key"], ["weighted_entropy"])
+    by_one = E.mean_by(ent.select("*", F.explode("training").alias("key")).withColumn("kind", F.lit("single")),
+                       ["kind", "key"], ["weighted_entropy"])
+    return by_set.unionByName(by_one)
+
+
+@query("token_norm_entropy")
+def q_token_norm_entropy(spark, sf):
+    """Base-2 entropy of the normalised token counts per language of each completion."""
+    toks = I.labelled_tokens(I.labelled_lines(spark, sf), spark, sf)
+    counts = toks.groupBy("id", "token_lang").agg(F.count(F.lit(1)).alias("v"))
+    return E.norm_entropy_base2(counts, ["id"], "v")
+
+
+@query("complete_levels")
+def q_complete_levels(spark, sf):
+    """E13 + E14: completions having both a line and a word distribution,
+    restricted to the cross-lingual setting, with their two reweighted entropies."""
+    d = _with_expected(both_dists(spark, sf))
+    ent = E.entropies(d, ["level", "id"], "expected", "training", variants=["reweighted_entropy"])
+    ent = E.setting_filter(ent, "crosslingual")
+    ent = E.complete_steps(ent, ["id"], "level", 2)
+    return ent.select("level", "id", "reweighted_entropy")
