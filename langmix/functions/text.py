@@ -112,6 +112,13 @@ def char_trigram_text(col) -> Column:
     return F.concat(F.lit(" "), F.trim(t), F.lit(" "))
 
 
+def char_trigrams(col) -> Column:
+    """All overlapping character trigrams of :func:`char_trigram_text`, in one
+    regex pass (a zero-width lookahead captures the three characters at every
+    position)."""
+    return F.regexp_extract_all(char_trigram_text(col), F.lit("(?=(.{3}))"), 1)
+
+
 def trigram_chars(col) -> Column:
     """Characters of :func:`char_trigram_text` (split once, O(n))."""
     return F.split(char_trigram_text(col), "")

@@ -43,22 +43,32 @@ MAX_BROADCAST_PROFILE_ROWS = 2_000_000
 
 @dataclass
 class LidModel:
-    profile: DataFrame      # lang, gram, weight
+    profile: DataFrame      # lang, gram, cnt, weight (long form)
     stopwords: DataFrame    # lang, word
-    langs: list[str]        # languages of the profile (bounded, small)
+    langs: list[str]        # languages of the profile, sorted (bounded, small)
     profile_rows: int
+    profile_wide: DataFrame | None = None    # gram, w array<double> in ``langs`` order
+    stopwords_wide: DataFrame | None = None  # word, v array<int> in ``langs`` order
 
     @property
     def n_langs(self) -> int:
         return len(self.langs)
 
+    def _maybe_broadcast(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.profile_rows <= MAX_BROADCAST_PROFILE_ROWS else df
+
     def profile_for_join(self) -> DataFrame:
-        p = self.profile.select("gram", "lang", "weight")
-        return F.broadcast(p) if self.profile_rows <= MAX_BROADCAST_PROFILE_ROWS else p
+        return self._maybe_broadcast(self.profile_wide)
 
     def stopwords_for_join(self) -> DataFrame:
-        s = self.stopwords.select("word", "lang")
-        return F.broadcast(s) if self.n_langs * STOPWORDS_TOP_K <= MAX_BROADCAST_PROFILE_ROWS else s
+        return self._maybe_broadcast(self.stopwords_wide)
+
+
+def widen_by_lang(long_df: DataFrame, key: str, value: str, langs: list[str], out: str,
+                  zero=0.0) -> DataFrame:
+    """(key, lang, value) -> (key, array of values in ``langs`` order, zero-filled)."""
+    wide = long_df.groupBy(key).pivot("lang", langs).agg(F.first(value))
+    return wide.select(key, F.array(*[F.coalesce(F.col(l), F.lit(zero)) for l in langs]).alias(out))
 
 
 def trigram_profile(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
@@ -68,8 +78,7 @@ def trigram_profile(labelled: DataFrame, text_col: str = "text", label_col: str
     The per-language top-n is a ``row_number`` filter, which Spark plans as a
     partial window-group limit before the shuffle, so no task ever holds all
     trigrams of a language."""
-    chars = labelled.select(F.col(label_col).alias("lang"), tx.trigram_chars(text_col).alias("c"))
-    grams = chars.select("lang", F.explode(tx.trigrams_of_chars("c")).alias("gram"))
+    grams = labelled.select(F.col(label_col).alias("lang"), F.explode(tx.char_trigrams(text_col)).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt"))
     totals = counts.groupBy("lang").agg(F.sum("cnt").alias("total"))
     w = Window.partitionBy("lang").orderBy(F.desc("cnt"), F.asc("gram"))
@@ -95,75 +104,99 @@ def stopword_lists(labelled: DataFrame, text_col: str = "text", label_col: str =
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
           top_n: int = PROFILE_TOP_N, top_k: int = STOPWORDS_TOP_K,
           materialize: bool = True) -> LidModel:
-    """Fit both detectors.  The (small) model tables are checkpointed into the
-    shared checkpoint folder so later queries neither recompute nor depend on
-    the training lineage."""
+    """Fit both detectors.  The (small, bounded) model tables are checkpointed
+    into the shared checkpoint folder so later queries neither recompute nor
+    depend on the training lineage."""
     labelled = labelled.filter(F.col(label_col).isNotNull())
     profile = trigram_profile(labelled, text_col, label_col, top_n)
     stop = stopword_lists(labelled, text_col, label_col, top_k)
     if materialize:
         profile = cut_lineage(profile)
         stop = cut_lineage(stop)
-    # the language set is tiny (one row per language): read it to size the plan
+    # the language set is tiny (one row per language): read it to shape the plan
     langs = sorted(r["lang"] for r in profile.select("lang").distinct().collect())
     rows = profile.count() if materialize else top_n * max(1, len(langs))
-    return LidModel(profile, stop, langs, rows)
-
-
-def score(units: DataFrame, model: LidModel, unit_col: str = "unit") -> DataFrame:
-    """Primary detector on distinct units: (unit, p_lang, p_conf).
-
-    Units without any profile trigram get p_lang NULL and p_conf NULL."""
-    chars = units.select(F.col(unit_col).alias("unit"), tx.trigram_chars(unit_col).alias("c"))
-    grams = chars.select("unit", F.explode(tx.trigrams_of_chars("c")).alias("gram"))
-    per_lang = (grams.join(model.profile_for_join(), "gram")
-                .groupBy("unit", "lang").agg(F.round(F.sum("weight"), 6).alias("score")))
-    agg = per_lang.groupBy("unit").agg(F.collect_list(F.struct("score", "lang")).alias("s"))
-    best = F.element_at(F.array_sort("s", _desc_score_then_lang), 1)
-    smax = best["score"]
-    denom = (F.aggregate("s", F.lit(0.0), lambda acc, x: acc + F.exp(x["score"] - smax))
-             + (F.lit(model.n_langs) - F.size("s")) * F.exp(-smax))
-    scored = agg.select(F.col("unit").alias(unit_col), best["lang"].alias("p_lang"),
-                        (F.lit(1.0) / denom).alias("p_conf"))
-    return units.select(unit_col).join(scored, unit_col, "left")
-
-
-def _desc_score_then_lang(a: Column, b: Column) -> Column:
-    return (F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
-            .when(a["lang"] < b["lang"], -1).when(a["lang"] > b["lang"], 1).otherwise(0))
-
-
-def vote(units: DataFrame, model: LidModel, unit_col: str = "unit") -> DataFrame:
-    """Secondary detector on distinct units: (unit, s_lang, s_conf)."""
-    words = units.select(F.col(unit_col).alias("unit"),
-                         F.explode(tx.word_punct_tokens(F.lower(F.col(unit_col)))).alias("word"))
-    votes = (words.join(model.stopwords_for_join(), "word")
-             .groupBy("unit", "lang").agg(F.count(F.lit(1)).alias("v")))
-    agg = votes.groupBy("unit").agg(F.collect_list(F.struct(F.col("v").alias("score"), "lang")).alias("s"),
-                                    F.sum("v").alias("total"))
-    best = F.element_at(F.array_sort("s", _desc_score_then_lang), 1)
-    scored = agg.select(F.col("unit").alias(unit_col), best["lang"].alias("s_lang"),
-                        (best["score"] / F.col("total")).alias("s_conf"))
-    return units.select(unit_col).join(scored, unit_col, "left")
-
-
-def detect(units: DataFrame, model: LidModel, unit_col: str = "unit", mode: str = "cascade",
+    wide = widen_by_lang(profile, "gram", "weight", langs, "w", 0.0)
+    swide = widen_by_lang(stop.withColumn("one", F.lit(1)), "word", "one", langs, "v", 0)
+    if materialize:
+        wide, swide = cut_lineage(wide), cut_lineage(swide)
+    return LidModel(profile, stop, langs, rows, wide, swide)
+
+
+FP = ["fp1", "fp2"]
+
+
+def fingerprint(col) -> list[Column]:
+    """96-bit fingerprint of a unit (xxhash64 + murmur3).  Scoring runs on the
+    fingerprint so the exploded trigram rows and the per-unit aggregates carry
+    two longs instead of the unit text; at 1e12 distinct units the expected
+    number of colliding pairs is below 1e-5."""
+    c = F.col(col) if isinstance(col, str) else col
+    return [F.xxhash64(c).alias("fp1"), F.hash(c).cast("long").alias("fp2")]
+
+
+def distinct_units(facts: DataFrame, unit_col: str) -> DataFrame:
+    """L4: one row per distinct unit with its fingerprint (map-side partial
+    aggregation collapses hot repeated values before the shuffle)."""
+    # a key-only hash aggregate (a string-valued aggregate buffer would force a
+    # sort-based aggregate)
+    return facts.select(*fingerprint(unit_col), F.col(unit_col).alias("unit")).distinct()
+
+
+def _argmax_lang(scores: Column, langs: list[str]) -> Column:
+    """Language of the first maximum (languages are sorted, so ties go to the
+    smaller code)."""
+    idx = F.array_position(scores, F.array_max(scores))
+    return F.element_at(F.array(*[F.lit(l) for l in langs]), idx.cast("int"))
+
+
+def score(units: DataFrame, model: LidModel) -> DataFrame:
+    """Primary detector on distinct units (fp1, fp2, unit):
+    (fp1, fp2, p_lang, p_conf); units without any profile trigram are absent.
+
+    Trigram occurrences are broadcast-joined to the wide profile and summed
+    per unit into one double per language (a numeric-keyed, code-generated
+    aggregate); the softmax runs on the resulting short array."""
+    grams = units.select(*FP, F.explode(tx.char_trigrams("unit")).alias("gram"))
+    j = grams.join(model.profile_for_join(), "gram")
+    sums = j.groupBy(*FP).agg(*[F.round(F.sum(F.col("w")[i]), 6).alias(f"s{i}")
+                                for i in range(model.n_langs)])
+    s = F.array(*[F.col(f"s{i}") for i in range(model.n_langs)])
+    smax = F.array_max(s)
+    denom = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x - smax))
+    return sums.select(*FP, _argmax_lang(s, model.langs).alias("p_lang"),
+                       (F.lit(1.0) / denom).alias("p_conf"))
+
+
+def vote(units: DataFrame, model: LidModel) -> DataFrame:
+    """Secondary detector on distinct units: (fp1, fp2, s_lang, s_conf):
+    votes of the unit's lower-cased words that are stop words, per language;
+    confidence = the winner's share of all votes."""
+    words = units.select(*FP, F.explode(tx.word_punct_tokens(F.lower(F.col("unit")))).alias("word"))
+    j = words.join(model.stopwords_for_join(), "word")
+    sums = j.groupBy(*FP).agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(model.n_langs)])
+    v = F.array(*[F.col(f"v{i}") for i in range(model.n_langs)])
+    total = F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return sums.select(*FP, _argmax_lang(v, model.langs).alias("s_lang"),
+                       (F.array_max(v) / total).alias("s_conf"))
+
+
+def detect(units: DataFrame, model: LidModel, mode: str = "cascade",
            threshold: float = 0.3, code_map: DataFrame | None = None,
            unmapped: str | None = None) -> DataFrame:
-    """Label distinct units: (unit, pred_lang).
+    """Label distinct units (fp1, fp2, unit) -> (fp1, fp2, pred_lang).
 
     mode ``single`` (L3): primary label if confidence > threshold, else unknown.
     mode ``cascade`` (L1/L2): primary label if confidence >= threshold; else the
     secondary label if its confidence >= threshold, passed through ``code_map``
     (code, mapped) - unmapped labels become ``unmapped`` (L1: 'others') or stay
     as they are (L2: ``unmapped=None``); else unknown."""
-    units = units.select(unit_col).distinct()
-    prim = score(units, model, unit_col)
+    keys = units.select(*FP)
+    prim = keys.join(score(units, model), FP, "left")
     if mode == "single":
         lab = F.when(F.col("p_conf") > threshold, F.col("p_lang")).otherwise(F.lit(UNKNOWN))
-        return prim.select(unit_col, lab.alias("pred_lang"))
-    sec = vote(units, model, unit_col)
-    both = prim.join(sec, unit_col)
+        return prim.select(*FP, lab.alias("pred_lang"))
+    both = prim.join(vote(units, model), FP, "left")
     sec_lab = F.col("s_lang")
     if code_map is not None:
         both = both.join(F.broadcast(code_map.select(F.col("code").alias("s_lang"), "mapped")),
@@ -172,15 +205,24 @@ def detect(units: DataFrame, model: LidModel, unit_col: str = "unit", mode: str
     lab = (F.when(F.col("p_conf") >= threshold, F.col("p_lang"))
            .when(F.col("s_conf") >= threshold, sec_lab)
            .otherwise(F.lit(UNKNOWN)))
-    return both.select(unit_col, lab.alias("pred_lang"))
+    return both.select(*FP, lab.alias("pred_lang"))
+
+
+def unit_labels(facts: DataFrame, text_col: str, model: LidModel, **detect_args) -> DataFrame:
+    """(fp1, fp2, pred_lang) for every distinct value of ``text_col``."""
+    return detect(distinct_units(facts, text_col), model, **detect_args)
+
+
+def attach_labels(facts: DataFrame, text_col: str, labels: DataFrame, out_col: str = "pred_lang") -> DataFrame:
+    """Join labels back to the facts on the fingerprint (two longs)."""
+    labels = labels.select(*FP, F.col("pred_lang").alias("_lab"))
+    return (facts.select("*", *fingerprint(text_col)).join(labels, FP, "left")
+            .withColumn(out_col, F.coalesce(F.col("_lab"), F.lit(UNKNOWN))).drop("_lab", *FP))
 
 
 def label_column(facts: DataFrame, text_col: str, model: LidModel, out_col: str = "pred_lang",
                  **detect_args) -> DataFrame:
-    """Label every row's ``text_col`` by scoring distinct values once and
-    joining the labels back (hot repeated values are pre-aggregated by the
-    distinct; AQE splits skewed join partitions)."""
-    labels = detect(facts.select(F.col(text_col).alias("unit")), model, "unit", **detect_args)
-    labels = labels.select(F.col("unit").alias(text_col), F.col("pred_lang").alias("_lab"))
-    return (facts.join(labels, text_col, "left")
-            .withColumn(out_col, F.coalesce(F.col("_lab"), F.lit(UNKNOWN))).drop("_lab"))
+    """Label every row's ``text_col`` by scoring each distinct value
+    once and joining the labels back on the fingerprint.  Hot repeated values
+    are pre-aggregated by the distinct; AQE splits skewed join partitions."""
+    return attach_labels(facts, text_col, unit_labels(facts, text_col, model, **detect_args), out_col)

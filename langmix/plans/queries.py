@@ -72,7 +72,8 @@ def q_line_language_single(spark, sf):
 @query("tokens_by_language")
 def q_tokens_by_language(spark, sf):
     """Number of tokens per (unit, token language), unknown included."""
-    toks = I.labelled_tokens(I.labelled_lines(spark, sf), spark, sf)
+    raw = I.distribution_lines(I.completions(spark, sf))
+    toks = I.labelled_tokens(raw, spark, sf)
     return toks.groupBy("id", F.col("token_lang").alias("lang")).agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
@@ -83,16 +84,18 @@ def line_dist(spark, sf) -> DataFrame:
 
 
 def word_dist(spark, sf) -> DataFrame:
+    raw = I.distribution_lines(I.completions(spark, sf))
     lines = I.labelled_lines(spark, sf).filter(F.col("pred_lang") != lid.UNKNOWN)
-    toks = I.labelled_tokens(lines, spark, sf).filter(F.col("token_lang") != lid.UNKNOWN)
+    toks = I.labelled_tokens(lines, spark, sf, token_source=raw).filter(F.col("token_lang") != lid.UNKNOWN)
     return D.ratios(toks, I.UNIT_KEYS, "token_lang")
 
 
 def both_dists(spark, sf) -> DataFrame:
     """D1 and D2 in one long table with a ``level`` column (shared LID work)."""
+    raw = I.distribution_lines(I.completions(spark, sf))
     lines = I.labelled_lines(spark, sf)
     ld = D.ratios(lines, I.UNIT_KEYS).withColumn("level", F.lit("line"))
-    toks = I.labelled_tokens(lines.filter(F.col("pred_lang") != lid.UNKNOWN), spark, sf)
+    toks = I.labelled_tokens(lines.filter(F.col("pred_lang") != lid.UNKNOWN), spark, sf, token_source=raw)
     wd = D.ratios(toks.filter(F.col("token_lang") != lid.UNKNOWN), I.UNIT_KEYS, "token_lang") \
         .withColumn("level", F.lit("word"))
     return ld.unionByName(wd)
@@ -225,7 +228,7 @@ def q_entropy_by_training_language(spark, sf):
 @query("token_norm_entropy")
 def q_token_norm_entropy(spark, sf):
     """Base-2 entropy of the normalised token counts per language of each completion."""
-    toks = I.labelled_tokens(I.labelled_lines(spark, sf), spark, sf)
+    toks = I.labelled_tokens(I.distribution_lines(I.completions(spark, sf)), spark, sf)
     counts = toks.groupBy("id", "token_lang").agg(F.count(F.lit(1)).alias("v"))
     return E.norm_entropy_base2(counts, ["id"], "v")
 
