@@ -290,3 +290,121 @@ ent AS (SELECT level, id, any_value(language) AS language, {ent_cols('reweighted
         FROM both_dist GROUP BY level, id)
 SELECT level, id, reweighted_entropy FROM ent
 WHERE language NOT IN {TRAIN} AND id IN (SELECT id FROM ent WHERE language NOT IN {TRAIN} GROUP BY id HAVING count(*) = 2)"""
+
+# --------------------------------------------------- pass rates, overlap ---
+
+WS_RE = "'[ \\t\\n\\r\\f\\x0B]+'"
+
+
+def ws_tokens_sql(col: str) -> str:
+    return f"list_filter(regexp_split_to_array(trim({col}, {STRIP}), {WS_RE}), lambda x: x <> '')"
+
+
+DICT = f"""
+dict AS (SELECT DISTINCT word FROM (SELECT unnest({ws_tokens_sql(norm_sql('text'))}) AS word FROM benchmark)
+         WHERE word = lower(word) AND regexp_full_match(word, '[a-z]+') AND length(word) > 3)"""
+
+ORACLES["english_dictionary"] = with_(DICT) + "\nSELECT word FROM dict"
+
+CHECKS = PASS_LINES + "," + detect_sql("pl_units", "pl_lab", mode="single", threshold=0.3) + "," + DICT + """,
+llab AS (SELECT l.*, coalesce(b.pred_lang, 'unknown') AS pred_lang FROM pass_lines l LEFT JOIN pl_lab b ON l.line = b.unit),
+stats AS (SELECT id, model, task, source, language, count(*) AS n_lines, count_if(pred_lang <> language) AS n_err
+          FROM llab GROUP BY ALL),
+hits AS (SELECT DISTINCT id FROM (SELECT id, unnest(tokens) AS word FROM llab) WHERE word IN (SELECT word FROM dict)),
+checks AS (
+  SELECT c.id, c.model, c.task, c.source, c.language,
+         CAST(coalesce(s.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(s.n_err, 0) AS BIGINT) AS n_err,
+         coalesce(s.n_err, 0) > 0 AS line_error,
+         (coalesce(s.n_err, 0) = 0 AND coalesce(s.n_lines, 0) > 0 AND h.id IS NOT NULL) AS word_error
+  FROM comp c LEFT JOIN stats s USING (id, model, task, source, language) LEFT JOIN hits h USING (id))"""
+
+ORACLES["completion_checks"] = with_(COMPLETIONS, MODEL, CHECKS) + "\nSELECT * FROM checks"
+
+RATES = """
+rates AS (
+  SELECT task, model, source, language,
+         coalesce(avg(CASE WHEN n_lines > 0 THEN 1.0 - n_err / n_lines END), 1.0) AS acc,
+         1.0 - count_if(line_error) / greatest(1, count_if(n_lines > 0)) AS lpr,
+         CASE WHEN language IN ('de', 'es', 'fr')
+              THEN 1.0 - count_if(word_error) / greatest(1, count_if(n_lines > 0) - count_if(line_error)) END AS wpr
+  FROM checks GROUP BY task, model, source, language),
+per_lang AS (SELECT task, model, language, avg(acc) AS acc, avg(lpr) AS lpr, avg(wpr) AS wpr FROM rates GROUP BY ALL),
+rolled AS (
+  SELECT task, model, source, language, round(acc, 6) AS acc, round(lpr, 6) AS lpr, round(wpr, 6) AS wpr FROM rates
+  UNION ALL
+  SELECT task, model, source, 'all', round(avg(acc), 6), round(avg(lpr), 6), round(avg(wpr), 6) FROM rates GROUP BY ALL
+  UNION ALL
+  SELECT task, model, 'all', language, round(acc, 6), round(lpr, 6), round(wpr, 6) FROM per_lang
+  UNION ALL
+  SELECT task, model, 'all', 'all', round(avg(acc), 6), round(avg(lpr), 6), round(avg(wpr), 6) FROM per_lang GROUP BY ALL)"""
+
+ORACLES["line_pass_rate"] = with_(COMPLETIONS, MODEL, CHECKS, RATES) + "\nSELECT * FROM rolled"
+
+ORACLES["pass_rate_report"] = with_(COMPLETIONS, MODEL, CHECKS, RATES) + """
+SELECT model, language, round(avg(lpr) * 100, 6) AS lpr_pct FROM rolled
+WHERE source = 'all' AND language <> 'all' AND lpr IS NOT NULL GROUP BY ALL"""
+
+PAIRS = """
+lu AS (SELECT conv_id, turn, role, text,
+              last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
+                OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS input_text
+       FROM conversations),
+pairs AS (SELECT conv_id, turn, input_text, text AS output_text FROM lu
+          WHERE role = 'assistant' AND input_text IS NOT NULL)"""
+
+ORACLES["reply_pairs"] = with_(PAIRS) + "\nSELECT * FROM pairs"
+
+
+def prompt_sql(src: str) -> str:
+    return f"""
+SELECT conv_id,
+       trim(string_agg(CASE WHEN role = 'user' THEN 'Q: ' || text || chr(10)
+                            WHEN role = 'assistant' THEN 'A: ' || text || chr(10) || chr(10)
+                            ELSE '' END, '' ORDER BY turn)
+            || CASE WHEN arg_max(role, turn) = 'user' THEN 'A:' ELSE '' END, chr(10)) AS prompt
+FROM {src} GROUP BY conv_id"""
+
+
+ORACLES["turn_prompts"] = prompt_sql("conversations")
+
+ORACLES["few_shot_prompts"] = """WITH d AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos
+  FROM conversations WHERE role IN ('user', 'assistant')),
+q_ok AS (SELECT conv_id FROM d WHERE pos = 3 AND role = 'user'),
+sel AS (SELECT * FROM d WHERE pos <= 3 AND conv_id IN (SELECT conv_id FROM q_ok))""" + prompt_sql("sel")
+
+PAIR_SCORES = PAIRS + f""",
+pt AS (SELECT conv_id, turn, regexp_extract_all(input_text, {WORD_RE}) AS rt,
+              regexp_extract_all(output_text, {WORD_RE}) AS pt FROM pairs),
+sc AS (SELECT conv_id, turn, len(list_intersect(list_distinct(rt), list_distinct(pt))) AS tp,
+              len(list_distinct(rt)) AS nr, len(list_distinct(pt)) AS np, len(rt) AS num_true_words,
+              len(pt) AS num_pred_words FROM pt),
+sc2 AS (SELECT *, tp / (nr + 1e-20) AS precision, tp / (np + 1e-20) AS recall FROM sc),
+sc3 AS (SELECT *, 2 * precision * recall / (precision + recall + 1e-20) AS f1 FROM sc2),
+grams AS (
+  SELECT conv_id, turn, n, side, array_to_string(list_slice(toks, i, i + n - 1), ' ') AS gram
+  FROM (SELECT conv_id, turn, n, side, toks, unnest(generate_series(1, len(toks) - n + 1)) AS i
+        FROM (SELECT conv_id, turn, 'ref' AS side, rt AS toks FROM pt UNION ALL
+              SELECT conv_id, turn, 'pred' AS side, pt AS toks FROM pt),
+             (SELECT unnest([1, 2, 3]) AS n) ns)),
+gc AS (SELECT conv_id, turn, n, gram, count_if(side = 'ref') AS a, count_if(side = 'pred') AS b
+       FROM grams GROUP BY ALL),
+gm AS (SELECT conv_id, turn, n, sum(least(a, b)) AS m FROM gc GROUP BY ALL),
+scores AS (
+  SELECT s.*, CAST(coalesce(g1.m, 0) AS BIGINT) AS n_ngrams_match_1, CAST(coalesce(g2.m, 0) AS BIGINT) AS n_ngrams_match_2,
+         CAST(coalesce(g3.m, 0) AS BIGINT) AS n_ngrams_match_3
+  FROM sc3 s LEFT JOIN gm g1 ON s.conv_id = g1.conv_id AND s.turn = g1.turn AND g1.n = 1
+             LEFT JOIN gm g2 ON s.conv_id = g2.conv_id AND s.turn = g2.turn AND g2.n = 2
+             LEFT JOIN gm g3 ON s.conv_id = g3.conv_id AND s.turn = g3.turn AND g3.n = 3)"""
+
+ORACLES["token_overlap_pairs"] = with_(PAIR_SCORES) + """
+SELECT conv_id, turn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(num_true_words AS BIGINT) AS num_true_words, CAST(num_pred_words AS BIGINT) AS num_pred_words,
+       n_ngrams_match_1, n_ngrams_match_2, n_ngrams_match_3 FROM scores"""
+
+ORACLES["token_overlap"] = with_(PAIR_SCORES) + """
+SELECT round(avg(precision), 6) AS token_set_precision, round(avg(recall), 6) AS token_set_recall,
+       round(avg(f1), 6) AS token_set_f1, round(stddev_samp(f1) / sqrt(count(*)), 6) AS token_set_f1_sem,
+       round(avg(n_ngrams_match_1), 6) AS n_ngrams_match_1, round(avg(n_ngrams_match_2), 6) AS n_ngrams_match_2,
+       round(avg(n_ngrams_match_3), 6) AS n_ngrams_match_3, round(avg(num_true_words), 6) AS num_true_words,
+       round(avg(num_pred_words), 6) AS num_pred_words, count(*) AS n_pairs FROM scores"""

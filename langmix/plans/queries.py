@@ -242,3 +242,111 @@ def q_complete_levels(spark, sf):
     ent = E.setting_filter(ent, "crosslingual")
     ent = E.complete_steps(ent, ["id"], "level", 2)
     return ent.select("level", "id", "reweighted_entropy")
+
+
+# ---------------------------------------------------------- pass rates -----
+
+from langmix.operators import overlap as O  # noqa: E402
+from langmix.operators import passrate as P  # noqa: E402
+from langmix.operators import prompts as C  # noqa: E402
+from langmix.sources.tables import load as _load  # noqa: E402
+
+# The driver's text is Latin-script only; the reference reports WPR for six
+# non-Latin languages.  The queries report it for the non-English languages
+# present so the word check is exercised (parameter of ``group_rates``).
+WPR_LANGS_HERE = ("de", "es", "fr")
+GROUP_KEYS = ["task", "model", "source", "language"]
+
+
+def _checks(spark, sf):
+    comp = I.completions(spark, sf)
+    lines = I.pass_rate_lines(comp)
+    lab = lid.label_column(lines, "line", I.lid_model(spark, sf), mode="single", threshold=0.3)
+    words = P.dictionary(_load(spark, sf, "benchmark"))
+    return P.completion_checks(comp, lab, words, I.UNIT_KEYS)
+
+
+@query("english_dictionary")
+def q_english_dictionary(spark, sf):
+    """Dictionary words (lower-case, alphabetic, > 3 characters) of the benchmark passages."""
+    return P.dictionary(_load(spark, sf, "benchmark"))
+
+
+@query("completion_checks")
+def q_completion_checks(spark, sf):
+    """Per completion qualifying lines, line errors, line/word error flags."""
+    return _checks(spark, sf)
+
+
+def _rates(spark, sf):
+    return P.group_rates(_checks(spark, sf), GROUP_KEYS, "language", WPR_LANGS_HERE)
+
+
+@query("line_pass_rate")
+def q_line_pass_rate(spark, sf):
+    """acc/lpr/wpr per (task, model, source, language) and the staged roll-ups."""
+    return P.rollup(_rates(spark, sf), ["task", "model"])
+
+
+@query("pass_rate_report")
+def q_pass_rate_report(spark, sf):
+    """P10: mean line pass rate x 100 by model x language over tasks."""
+    return P.report(P.rollup(_rates(spark, sf), ["task", "model"]), "lpr")
+
+
+# ------------------------------------------------------ overlap, prompts ---
+
+def _pairs(spark, sf):
+    conv = _load(spark, sf, "conversations")
+    pairs = C.reply_pairs(conv)
+    return pairs.select("conv_id", "turn", tx_tokens("input_text").alias("ref_tokens"),
+                        tx_tokens("output_text").alias("pred_tokens"))
+
+
+def tx_tokens(col):
+    from langmix.functions import text as tx
+    return tx.tokenize(col)
+
+
+PAIR_KEYS = ["conv_id", "turn"]
+
+
+def _pair_scores(spark, sf):
+    pairs = _pairs(spark, sf)
+    s = O.token_set_scores(pairs, PAIR_KEYS)
+    m = O.ngram_matches(pairs, PAIR_KEYS)
+    return s.join(m, PAIR_KEYS)
+
+
+@query("reply_pairs")
+def q_reply_pairs(spark, sf):
+    """Assistant replies paired with the last user message before them."""
+    return C.reply_pairs(_load(spark, sf, "conversations"))
+
+
+@query("turn_prompts")
+def q_turn_prompts(spark, sf):
+    """Every conversation rendered as a Q/A prompt."""
+    return C.turns_to_prompt(_load(spark, sf, "conversations"))
+
+
+@query("few_shot_prompts")
+def q_few_shot_prompts(spark, sf):
+    """One-shot prefix (first user/assistant exchange) plus the next user question."""
+    return C.few_shot(_load(spark, sf, "conversations"), k=1)
+
+
+@query("token_overlap_pairs")
+def q_token_overlap_pairs(spark, sf):
+    """O1 + O2 per (user message, reply) pair."""
+    s = _pair_scores(spark, sf)
+    return s.select(*PAIR_KEYS, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
+                    F.col("num_true_words").cast("bigint").alias("num_true_words"),
+                    F.col("num_pred_words").cast("bigint").alias("num_pred_words"),
+                    "n_ngrams_match_1", "n_ngrams_match_2", "n_ngrams_match_3")
+
+
+@query("token_overlap")
+def q_token_overlap(spark, sf):
+    """O3 + O4: mean token-set scores, n-gram matches, word counts and the SEM of F1."""
+    return O.summarize(_pair_scores(spark, sf))
