@@ -408,3 +408,135 @@ SELECT round(avg(precision), 6) AS token_set_precision, round(avg(recall), 6) AS
        round(avg(n_ngrams_match_1), 6) AS n_ngrams_match_1, round(avg(n_ngrams_match_2), 6) AS n_ngrams_match_2,
        round(avg(n_ngrams_match_3), 6) AS n_ngrams_match_3, round(avg(num_true_words), 6) AS num_true_words,
        round(avg(num_pred_words), 6) AS num_pred_words, count(*) AS n_pairs FROM scores"""
+
+# -------------------------------------------- confusion, divergence, graphs --
+
+CONF = """
+conf0 AS (SELECT lang AS "row", language AS col,
+                 avg(-(CASE WHEN lang = language OR lang = 'en' THEN 1 - p ELSE p END) * ln(p)) AS value
+          FROM line_dist GROUP BY lang, language),
+conf1 AS (SELECT * FROM conf0 WHERE "row" NOT IN ('unknown', 'unk') AND col NOT IN ('unknown', 'unk')),
+conf AS (SELECT "row", col, value FROM (
+           SELECT *, max(CASE WHEN value <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY "row") AS r_nz,
+                     max(CASE WHEN value <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY col) AS c_nz FROM conf1)
+         WHERE r_nz = 1 AND c_nz = 1)"""
+
+_CONF = with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST, CONF)
+
+ORACLES["confusion_matrix"] = _CONF + '\nSELECT "row", col, round(value, 6) + 0.0 AS value FROM conf'
+
+
+def jaccard_sql(inc: str, name: str) -> str:
+    return f"""
+{name}_sz AS (SELECT node, count(*) AS n FROM {inc} GROUP BY node),
+{name}_int AS (SELECT x.node AS a, y.node AS b, count(*) AS w FROM {inc} x JOIN {inc} y
+               ON x.concept = y.concept AND x.node < y.node GROUP BY ALL),
+{name}_d AS (SELECT a, b, 1.0 - w / (sa.n + sb.n - w) AS value
+             FROM {name}_int JOIN {name}_sz sa ON sa.node = a JOIN {name}_sz sb ON sb.node = b),
+{name} AS (SELECT a AS "row", b AS col, value FROM {name}_d UNION ALL
+           SELECT b, a, value FROM {name}_d UNION ALL SELECT node, node, 0.0 FROM {name}_sz)"""
+
+
+TOKEN_INC = f"""
+tinc0 AS (SELECT DISTINCT lang AS node, tok AS concept
+          FROM (SELECT lang, unnest(regexp_extract_all(lower(text), {WORD_RE})) AS tok FROM documents)
+          WHERE regexp_full_match(tok, '\\p{{L}}+')),
+tinc AS (SELECT * FROM tinc0 WHERE node IN (SELECT node FROM tinc0 GROUP BY node HAVING count(*) >= 3))"""
+
+ORACLES["language_similarity"] = with_(TOKEN_INC, jaccard_sql("tinc", "jac")) + \
+    '\nSELECT "row", col, round(value, 6) AS value FROM jac'
+
+SIMS = """
+pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (gram)
+       GROUP BY ALL),
+pnrm AS (SELECT lang, sqrt(sum(weight * weight)) AS nrm FROM profile GROUP BY lang),
+cosm AS (SELECT "row", col, (dot / (na.nrm * nb.nrm) + 1) / 2 AS value
+         FROM pc JOIN pnrm na ON na.lang = "row" JOIN pnrm nb ON nb.lang = col),
+sims AS (SELECT 'token_jaccard' AS sim_name, "row", col, 1.0 - value AS value FROM jac
+         UNION ALL SELECT 'trigram_cosine', "row", col, value FROM cosm),
+pall AS (SELECT s.sim_name, c."row", c.col, c.value FROM conf c,
+         (SELECT unnest(['token_jaccard', 'trigram_cosine']) AS sim_name) s),
+rws AS (SELECT DISTINCT sim_name, "row" FROM pall INTERSECT SELECT DISTINCT sim_name, "row" FROM sims),
+cls AS (SELECT DISTINCT sim_name, col FROM pall INTERSECT SELECT DISTINCT sim_name, col FROM sims),
+pa AS (SELECT * FROM pall SEMI JOIN rws USING (sim_name, "row") SEMI JOIN cls USING (sim_name, col)),
+qa AS (SELECT * FROM sims SEMI JOIN rws USING (sim_name, "row") SEMI JOIN cls USING (sim_name, col)),
+kj AS (SELECT p.sim_name, p."row", p.col, p.value AS pv, coalesce(q.value, 0.0) AS qv
+       FROM pa p LEFT JOIN qa q USING (sim_name, "row", col) WHERE p.value <> 0),
+kn AS (SELECT sim_name, col, pv / sum(pv) OVER w + 1e-10 AS pn,
+              CASE WHEN sum(qv) OVER w = 0 THEN NULL ELSE qv / sum(qv) OVER w END + 1e-10 AS qn
+       FROM kj WINDOW w AS (PARTITION BY sim_name, col)),
+klc AS (SELECT sim_name, col, sum(pn * ln(pn / qn)) AS kl FROM kn GROUP BY ALL)"""
+
+_KL = with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST, CONF, TOKEN_INC, jaccard_sql("tinc", "jac"), SIMS)
+
+ORACLES["confusion_kl"] = _KL + "\nSELECT sim_name, col, round(kl, 6) AS kl FROM klc"
+
+ORACLES["confusion_kl_summary"] = _KL + """,
+km AS (SELECT sim_name, avg(CASE WHEN isfinite(kl) THEN kl END) AS kl_mean FROM klc GROUP BY ALL),
+fj AS (SELECT coalesce(p.sim_name, q.sim_name) AS sim_name, coalesce(p."row", q."row") AS "row",
+              coalesce(p.col, q.col) AS col, p.value AS av, q.value AS bv
+       FROM pa p FULL JOIN qa q ON p.sim_name = q.sim_name AND p."row" = q."row" AND p.col = q.col),
+kw AS (SELECT sim_name, sum(pn * ln(pn / qn)) AS kl_whole FROM (
+         SELECT sim_name,
+                CASE WHEN sum(coalesce(av, 0.0)) OVER w = 0 THEN NULL ELSE coalesce(av, 0.0) / sum(coalesce(av, 0.0)) OVER w END + 1e-10 AS pn,
+                CASE WHEN sum(coalesce(bv, 0.0)) OVER w = 0 THEN NULL ELSE coalesce(bv, 0.0) / sum(coalesce(bv, 0.0)) OVER w END + 1e-10 AS qn
+         FROM fj WINDOW w AS (PARTITION BY sim_name)) GROUP BY ALL),
+ke AS (SELECT sim_name, sqrt(count(DISTINCT "row") * count(DISTINCT col) / count_if(av IS NOT NULL AND bv IS NOT NULL)
+                             * sum(CASE WHEN av IS NOT NULL AND bv IS NOT NULL THEN pow(av - bv, 2) END)) AS nan_euclidean
+       FROM fj GROUP BY ALL)
+SELECT sim_name, round(kl_mean, 6) AS kl_mean, round(kl_whole, 6) AS kl_whole, round(nan_euclidean, 6) AS nan_euclidean
+FROM km JOIN kw USING (sim_name) JOIN ke USING (sim_name)"""
+
+ORACLES["confusion_row_mean"] = _CONF + """
+SELECT "row", round(avg(value), 6) AS robust_mean FROM (
+  SELECT *, max(value) OVER (PARTITION BY "row") AS mx FROM conf WHERE value IS NOT NULL AND NOT isnan(value))
+WHERE value < mx GROUP BY "row\""""
+
+ORACLES["top_confusions"] = _CONF + """
+SELECT col, "row", round(value, 6) AS value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY col ORDER BY value DESC, "row") AS rank FROM conf WHERE value > 0)
+WHERE rank <= 20"""
+
+NATION_PARTS = """
+np_rows AS (SELECT n.n_name AS node, l.l_partkey AS concept FROM lineitem l
+            JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey),
+ninc AS (SELECT DISTINCT node, concept FROM np_rows),
+nedges AS (SELECT x.node AS a, y.node AS b, count(*) AS weight FROM ninc x JOIN ninc y
+           ON x.concept = y.concept AND x.node < y.node GROUP BY ALL),
+ndeg AS (SELECT node, count(*) AS degree FROM np_rows GROUP BY node)"""
+
+ORACLES["cooccurrence_pmi"] = with_(NATION_PARTS) + """,
+kept AS (SELECT * FROM ndeg WHERE degree >= 3),
+e AS (SELECT e.a, e.b, e.weight, log2(e.weight * (SELECT sum(degree) FROM kept)) - log2(ka.degree * kb.degree) AS pmi
+      FROM nedges e JOIN kept ka ON ka.node = e.a JOIN kept kb ON kb.node = e.b)
+SELECT a, b, CAST(weight AS BIGINT) AS weight, round(pmi, 6) AS pmi,
+       round((pmi - min(pmi) OVER ()) / nullif(max(pmi) OVER () - min(pmi) OVER (), 0), 6) AS pmi_norm FROM e"""
+
+ORACLES["degree_quantiles"] = with_(NATION_PARTS) + """
+SELECT round(quantile_cont(degree, 0.25), 6) AS q, CAST(max(degree) AS BIGINT) AS max_degree FROM ndeg"""
+
+ORACLES["jaccard_distance"] = with_(NATION_PARTS) + """,
+ninc3 AS (SELECT * FROM ninc WHERE node IN (SELECT node FROM ninc GROUP BY node HAVING count(*) >= 3)),""" + \
+    jaccard_sql("ninc3", "njac") + '\nSELECT "row", col, round(value, 6) AS value FROM njac'
+
+ORACLES["embedding_cosine"] = """WITH ex AS (
+  SELECT label, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS dim FROM embeddings),
+cent AS (SELECT label AS node, dim, avg(CAST(x AS DOUBLE)) AS x FROM ex GROUP BY ALL),
+dots AS (SELECT a.node AS "row", b.node AS col, sum(a.x * b.x) AS dot FROM cent a JOIN cent b USING (dim) GROUP BY ALL),
+nrm AS (SELECT node, sqrt(sum(x * x)) AS n FROM cent GROUP BY node)
+SELECT "row", col, round((dot / (na.n * nb.n) + 1) / 2, 6) AS value
+FROM dots JOIN nrm na ON na.node = "row" JOIN nrm nb ON nb.node = col"""
+
+ORACLES["nation_feature_distance"] = """WITH f AS (
+  SELECT n.n_name AS node, c.c_mktsegment AS feature,
+         CASE WHEN count(*) >= 10 THEN avg(c.c_acctbal) END AS value
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, c.c_mktsegment),
+g AS (SELECT a.node AS "row", b.node AS col, count(*) AS np, sum(pow(a.value - b.value, 2)) AS ss
+      FROM f a JOIN f b ON a.feature = b.feature WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL)
+SELECT "row", col, round(coalesce(sqrt((SELECT count(DISTINCT c_mktsegment) FROM customer) / np * ss), 0.0), 6) AS value
+FROM g"""
+
+ORACLES["regional_subgraph"] = with_(NATION_PARTS) + """
+SELECT a, b, CAST(weight AS BIGINT) AS weight FROM nedges
+WHERE a IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')
+  AND b IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')"""

@@ -350,3 +350,169 @@ def q_token_overlap_pairs(spark, sf):
 def q_token_overlap(spark, sf):
     """O3 + O4: mean token-set scores, n-gram matches, word counts and the SEM of F1."""
     return O.summarize(_pair_scores(spark, sf))
+
+
+# ------------------------------------------- confusion, divergence, graphs --
+
+from langmix.operators import divergence as K  # noqa: E402
+from langmix.operators import graph as G  # noqa: E402
+from langmix.operators import matrix as Mx  # noqa: E402
+from langmix.functions import text as _tx  # noqa: E402
+from langmix.session import cut_lineage  # noqa: E402
+
+
+def _confusion(spark, sf, materialize: bool = False):
+    d = line_dist(spark, sf).withColumn("expected", F.col("language"))
+    m = Mx.drop_zero_lines(Mx.drop_labels(K.confusion_matrix(d, "expected", pivot_lang="en")))
+    # the matrix is languages x languages; when several operators read it,
+    # checkpoint it once instead of re-running the labelling job per reference
+    return cut_lineage(m) if materialize else m
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    """K1 + K5 + K6: mean reweighted term per (predicted row, expected column), line level."""
+    return _confusion(spark, sf).select("row", "col", F.round("value", 6).alias("value"))
+
+
+def _token_incidence(spark, sf):
+    d = _load(spark, sf, "documents")
+    toks = d.select("lang", F.explode(_tx.word_punct_tokens(F.lower("text"))).alias("tok"))
+    return G.coverage_crop(G.incidence(toks.filter(F.col("tok").rlike(r"^\p{L}+$")), "lang", "tok"), 3)
+
+
+@query("language_similarity")
+def q_language_similarity(spark, sf):
+    """Jaccard distance between languages' word sets (documents)."""
+    return G.jaccard(_token_incidence(spark, sf)).select("row", "col", F.round("value", 6).alias("value"))
+
+
+def _similarities(spark, sf):
+    """K10/K15 catalogue: token-set Jaccard similarity and trigram-profile cosine."""
+    jac = Mx.distance_to_similarity(G.jaccard(_token_incidence(spark, sf))) \
+        .withColumn("sim_name", F.lit("token_jaccard"))
+    prof = I.lid_model(spark, sf).profile.select(F.col("lang").alias("node"), F.col("gram").alias("dim"),
+                                                 F.col("weight").alias("x"))
+    cos = G.cosine_scaled_long(prof).withColumn("sim_name", F.lit("trigram_cosine"))
+    return cut_lineage(jac.unionByName(cos))
+
+
+def _aligned(spark, sf):
+    conf = _confusion(spark, sf, materialize=True)
+    # one copy of the (small) confusion matrix per similarity source
+    p = conf.select("*", F.explode(F.array(*[F.lit(n) for n in SIM_NAMES])).alias("sim_name"))
+    return Mx.align(p, _similarities(spark, sf), ["sim_name"])
+
+
+SIM_NAMES = ("token_jaccard", "trigram_cosine")
+
+
+@query("confusion_kl")
+def q_confusion_kl(spark, sf):
+    """KL divergence per expected-language column between the
+    confusion matrix and each similarity matrix (one keyed job)."""
+    p, q = _aligned(spark, sf)
+    kl = K.kl_by_column(p, q, ["sim_name"])
+    return kl.select("sim_name", "col", F.round("kl", 6).alias("kl"))
+
+
+@query("confusion_kl_summary")
+def q_confusion_kl_summary(spark, sf):
+    """K12 (mean of finite column KLs), K13 (whole-matrix KL), K14 (NaN-Euclidean)."""
+    p, q = _aligned(spark, sf)
+    m = K.kl_mean(K.kl_by_column(p, q, ["sim_name"]), ["sim_name"])
+    w = K.kl_whole(p, q, ["sim_name"])
+    e = K.nan_euclidean(p, q, ["sim_name"])
+    return (m.join(w, "sim_name").join(e, "sim_name")
+            .select("sim_name", *[F.round(c, 6).alias(c) for c in ("kl_mean", "kl_whole", "nan_euclidean")]))
+
+
+@query("confusion_row_mean")
+def q_confusion_row_mean(spark, sf):
+    """Per predicted language, mean of the cells below the row maximum."""
+    return K.robust_row_mean(_confusion(spark, sf)).select("row", F.round("robust_mean", 6).alias("robust_mean"))
+
+
+@query("top_confusions")
+def q_top_confusions(spark, sf):
+    """The 20 largest positive cells of each expected-language column."""
+    t = K.top_k_per_col(_confusion(spark, sf), 20)
+    return t.select("col", "row", F.round("value", 6).alias("value"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _nation_parts(spark, sf):
+    li = _load(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    su = _load(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    na = _load(spark, sf, "nation").select("n_nationkey", "n_name")
+    # supplier and nation are dimension tables: AQE broadcasts them at runtime
+    # when they are small; no hint, so a large supplier table still works.
+    return (li.join(su, li.l_suppkey == su.s_suppkey).join(na, su.s_nationkey == na.n_nationkey)
+            .select(F.col("n_name").alias("node"), F.col("l_partkey").alias("concept")))
+
+
+@query("cooccurrence_pmi")
+def q_cooccurrence_pmi(spark, sf):
+    """Nation co-occurrence over shared parts (lineitem x supplier),
+    degree filter >= 3, PMI and min-max normalised PMI."""
+    rows = _nation_parts(spark, sf)
+    edges = G.cooccurrence(G.incidence(rows, "node", "concept"))
+    e = G.pmi_edges(edges, G.degrees(rows, "node"), 3)
+    return e.select("a", "b", F.col("weight").cast("bigint").alias("weight"),
+                    F.round("pmi", 6).alias("pmi"), F.round("pmi_norm", 6).alias("pmi_norm"))
+
+
+@query("degree_quantiles")
+def q_degree_quantiles(spark, sf):
+    """0.25 quantile and maximum of node degrees."""
+    d = G.degree_quantiles(G.degrees(_nation_parts(spark, sf), "node"), 0.25)
+    return d.select(F.round("q", 6).alias("q"), F.col("max_degree").cast("bigint").alias("max_degree"))
+
+
+@query("jaccard_distance")
+def q_jaccard_distance(spark, sf):
+    """G6-G9 at scale: Jaccard distance between nations over the parts they supply."""
+    inc = G.coverage_crop(G.incidence(_nation_parts(spark, sf), "node", "concept"), 3)
+    return G.jaccard(inc).select("row", "col", F.round("value", 6).alias("value"))
+
+
+@query("embedding_cosine")
+def q_embedding_cosine(spark, sf):
+    """Scaled cosine between the label centroids of the embeddings."""
+    e = _load(spark, sf, "embeddings")
+    long = e.select("label", F.posexplode("embedding").alias("dim", "x"))
+    cent = long.groupBy(F.col("label").alias("node"), "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return G.cosine_scaled_long(cent).select("row", "col", F.round("value", 6).alias("value"))
+
+
+MIN_SUPPORT = 10  # fixed value: a (nation, segment) mean needs >= 10 customers
+
+
+def _nation_features(spark, sf):
+    c = _load(spark, sf, "customer")
+    n = _load(spark, sf, "nation")
+    g = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"),
+                                                    F.avg("c_acctbal").alias("bal"))
+    return (g.join(n, g.c_nationkey == n.n_nationkey)
+            .select(F.col("n_name").alias("node"), F.col("c_mktsegment").alias("feature"),
+                    F.when(F.col("n") >= MIN_SUPPORT, F.col("bal")).alias("value")))
+
+
+@query("nation_feature_distance")
+def q_nation_feature_distance(spark, sf):
+    """NaN-Euclidean distance between nations over per-segment mean balances
+    (a mean with too little support is missing)."""
+    f = _nation_features(spark, sf)
+    nf = _load(spark, sf, "customer").select("c_mktsegment").distinct().count()
+    return G.nan_euclidean_pairs(f, "node", "feature", "value", nf).select(
+        "row", "col", F.round("value", 6).alias("value"))
+
+
+@query("regional_subgraph")
+def q_regional_subgraph(spark, sf):
+    """Co-occurrence edges induced by the nations of one region (EUROPE)."""
+    rows = _nation_parts(spark, sf)
+    edges = G.cooccurrence(G.incidence(rows, "node", "concept"))
+    n = _load(spark, sf, "nation")
+    r = _load(spark, sf, "region").filter(F.col("r_name") == "EUROPE")
+    nodes = n.join(r, n.n_regionkey == r.r_regionkey, "left_semi").select(F.col("n_name").alias("node"))
+    return G.induced_subgraph(edges, nodes).select("a", "b", F.col("weight").cast("bigint").alias("weight"))
