@@ -154,10 +154,10 @@ SELECT l.id, CAST(l.indice AS BIGINT) AS indice, coalesce(b.pred_lang, 'unknown'
 FROM lines l LEFT JOIN line_lab b ON l.line = b.unit"""
 
 PASS_LINES = f"""
-ncomp AS (SELECT *, {norm_sql('completion')} AS norm FROM comp),
+pcomp AS (SELECT *, {norm_sql('completion')} AS norm FROM comp),
 all_lines AS (SELECT id, model, task, source, language, unnest(ls) AS line,
                      unnest(generate_series(0, len(ls) - 1)) AS line_no
-              FROM (SELECT *, string_split(norm, {NL}) AS ls FROM ncomp)),
+              FROM (SELECT *, string_split(norm, {NL}) AS ls FROM pcomp)),
 plines AS (SELECT *, list_filter(regexp_split_to_array(trim(line, {STRIP}), '[ \\t\\n\\r\\f\\x0B]+'),
                                  lambda x: x <> '') AS tokens
            FROM all_lines),
@@ -540,3 +540,76 @@ ORACLES["regional_subgraph"] = with_(NATION_PARTS) + """
 SELECT a, b, CAST(weight AS BIGINT) AS weight FROM nedges
 WHERE a IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')
   AND b IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')"""
+
+# ------------------------------------------------- statistics, typology ----
+
+_M = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PAIRS = [(a, b) for i, a in enumerate(_M) for b in _M[i + 1:]]
+
+ORACLES["pearson_lineitem"] = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0), 6) AS r "
+    f"FROM lineitem" for a, b in _PAIRS)
+
+ORACLES["spearman_lineitem"] = "WITH rk AS (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in _M) + \
+    " FROM lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _M) + ") " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(r_{a}, r_{b}), 6) AS r FROM rk" for a, b in _PAIRS)
+
+ORACLES["describe_lineitem"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+    f"round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM lineitem" for c in _M)
+
+ORACLES["quantity_box_summary"] = """
+SELECT l_returnflag, l_linestatus,
+       round(quantile_cont(l_quantity, 0.05), 6) AS p05, round(quantile_cont(l_quantity, 0.25), 6) AS p25,
+       round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_quantity, 0.75), 6) AS p75,
+       round(quantile_cont(l_quantity, 0.95), 6) AS p95
+FROM lineitem GROUP BY ALL"""
+
+ORACLES["price_histogram"] = """WITH st AS (SELECT min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM lineitem),
+b AS (SELECT CAST(least(floor((l_extendedprice - mn) / ((mx - mn) / 5)), 4) AS INTEGER) AS bin, mn, mx
+      FROM lineitem, st WHERE l_extendedprice IS NOT NULL)
+SELECT bin, round(any_value(mn) + bin * ((any_value(mx) - any_value(mn)) / 5), 6) AS lo,
+       round(any_value(mn) + (bin + 1) * ((any_value(mx) - any_value(mn)) / 5), 6) AS hi, count(*) AS n
+FROM b GROUP BY bin"""
+
+ORACLES["entropy_pass_rates"] = with_(COMPLETIONS, MODEL, LABELLED_LINES, LABELLED_TOKENS, LINE_DIST, WORD_DIST,
+                                      BOTH_DISTS, CHECKS, RATES) + """,
+ent AS (SELECT level, id, model, task, source, language,
+               sum(-(CASE WHEN lang = language THEN 1 - p ELSE p END) * ln(p)) AS h
+        FROM both_dist GROUP BY ALL),
+eg AS (SELECT model, source, language, task,
+              round(avg(CASE WHEN level = 'line' THEN round(h, 6) END), 6) AS line_reweighted_entropy,
+              round(avg(CASE WHEN level = 'word' THEN round(h, 6) END), 6) AS word_reweighted_entropy
+       FROM ent GROUP BY ALL)
+SELECT eg.*, round(r.acc, 6) AS acc, round(r.lpr, 6) AS lpr, round(r.wpr, 6) AS wpr
+FROM eg LEFT JOIN rates r USING (model, source, language, task)"""
+
+TYPOLOGY = """
+tx0 AS (SELECT n.n_nationkey, n.n_name, c.c_mktsegment, o.o_orderpriority, count(*) AS k
+        FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+        GROUP BY ALL),
+tx1 AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey, c_mktsegment ORDER BY k DESC, o_orderpriority) AS rk,
+               sum(k) OVER (PARTITION BY n_nationkey, c_mktsegment) AS tot FROM tx0),
+typ AS (SELECT n_name AS node, n_nationkey, c_mktsegment AS feature,
+               CASE WHEN tot >= 100 THEN o_orderpriority END AS value FROM tx1 WHERE rk = 1),
+codes AS (SELECT feature, value, dense_rank() OVER (PARTITION BY feature ORDER BY min(n_nationkey), value) - 1 AS code
+          FROM typ WHERE value IS NOT NULL GROUP BY feature, value),
+typc AS (SELECT t.*, c.code FROM typ t LEFT JOIN codes c USING (feature, value))"""
+
+ORACLES["typology_codes"] = with_(TYPOLOGY) + """,
+t2 AS (SELECT * FROM typc WHERE node IN (SELECT node FROM typc GROUP BY node HAVING count(value) >= 0.25 * 5)),
+t3 AS (SELECT * FROM t2 WHERE feature IN (SELECT feature FROM t2 GROUP BY feature
+                                          HAVING count(value) >= 0.75 * (SELECT count(DISTINCT node) FROM t2)))
+SELECT node, feature, value, CAST(code AS INTEGER) AS code FROM t3"""
+
+ORACLES["typology_pair_match"] = with_(TYPOLOGY) + """,
+pm AS (SELECT x.node AS a, y.node AS b, x.feature,
+              CASE WHEN x.code IS NULL OR y.code IS NULL THEN -1 WHEN x.code = y.code THEN 1 ELSE 0 END AS match
+       FROM typc x JOIN typc y ON x.feature = y.feature AND x.node < y.node)
+SELECT a, b, feature, CAST(match AS INTEGER) AS match FROM pm
+WHERE (a, b) IN (SELECT (a, b) FROM pm GROUP BY a, b HAVING max(match) > -1)"""
+
+ORACLES["priority_label_codes"] = """
+SELECT o_orderpriority, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL)"""

@@ -516,3 +516,151 @@ def q_regional_subgraph(spark, sf):
     r = _load(spark, sf, "region").filter(F.col("r_name") == "EUROPE")
     nodes = n.join(r, n.n_regionkey == r.r_regionkey, "left_semi").select(F.col("n_name").alias("node"))
     return G.induced_subgraph(edges, nodes).select("a", "b", F.col("weight").cast("bigint").alias("weight"))
+
+
+# ------------------------------------------------ statistics, typology, ML --
+
+from langmix.operators import ml as ML  # noqa: E402
+from langmix.operators import stats as S  # noqa: E402
+from langmix.operators import typology as Y  # noqa: E402
+
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("pearson_lineitem")
+def q_pearson_lineitem(spark, sf):
+    """M4 + M3: Pearson r of the lineitem measures, lower triangle."""
+    return S.pearson_long(_load(spark, sf, "lineitem").select(*MEASURES), MEASURES)
+
+
+@query("spearman_lineitem")
+def q_spearman_lineitem(spark, sf):
+    """M1 + M3: Spearman rho (average ranks for ties) of the lineitem measures."""
+    return S.spearman_long(_load(spark, sf, "lineitem").select(*MEASURES), MEASURES)
+
+
+@query("spearman_significance")
+def q_spearman_significance(spark, sf):
+    """M2: p-values and stars of the Spearman correlations (t test, n - 2 df)."""
+    li = _load(spark, sf, "lineitem").select(*MEASURES)
+    n = li.na.drop().count()
+    return S.with_significance(S.spearman_long(li, MEASURES), n)
+
+
+@query("describe_lineitem")
+def q_describe_lineitem(spark, sf):
+    """Count / mean / std / min / max per measure."""
+    return S.describe_long(_load(spark, sf, "lineitem"), MEASURES)
+
+
+@query("quantity_box_summary")
+def q_quantity_box_summary(spark, sf):
+    """5/25/50/75/95 percentiles of quantity per (return flag, line status)."""
+    return S.box_summary(_load(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
+
+
+@query("price_histogram")
+def q_price_histogram(spark, sf):
+    """5 equal-width bins of the extended price."""
+    return S.histogram(_load(spark, sf, "lineitem"), "l_extendedprice", 5)
+
+
+@query("entropy_pass_rates")
+def q_entropy_pass_rates(spark, sf):
+    """Per (model, source, language, task) mean reweighted entropy joined
+    (left) with the group's pass rates."""
+    ent = q_entropy_by_group(spark, sf)
+    rates = _rates(spark, sf).select("model", "source", "language", "task",
+                                     *[F.round(c, 6).alias(c) for c in ("acc", "lpr", "wpr")])
+    return ent.join(rates, ["model", "source", "language", "task"], "left")
+
+
+MIN_ORDERS = 100  # fixed value: a dominant category needs >= 100 orders
+
+
+def _typology(spark, sf):
+    o = _load(spark, sf, "orders").select("o_custkey", "o_orderpriority")
+    c = _load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = _load(spark, sf, "nation").select("n_nationkey", "n_name")
+    x = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    cnt = x.groupBy("n_nationkey", "n_name", "c_mktsegment", "o_orderpriority").agg(F.count(F.lit(1)).alias("k"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("n_nationkey", "c_mktsegment")
+    top = (cnt.withColumn("rk", F.row_number().over(w.orderBy(F.desc("k"), "o_orderpriority")))
+           .withColumn("tot", F.sum("k").over(w)).filter("rk = 1"))
+    return top.select(F.col("n_name").alias("node"), "n_nationkey", F.col("c_mktsegment").alias("feature"),
+                      F.when(F.col("tot") >= MIN_ORDERS, F.col("o_orderpriority")).alias("value"))
+
+
+@query("typology_codes")
+def q_typology_codes(spark, sf):
+    """Dominant order priority per (nation, segment) as a categorical
+    feature, coded by first appearance, nations cropped at 25 % coverage,
+    features kept at 75 % coverage."""
+    t = Y.encode_first_appearance(_typology(spark, sf), "n_nationkey")
+    t = Y.features_with_coverage(Y.crop_nodes(t, 0.25, 5), 0.75)
+    return t.select("node", "feature", "value", F.col("code").cast("int").alias("code"))
+
+
+@query("typology_pair_match")
+def q_typology_pair_match(spark, sf):
+    """Y5 + Y8: three-valued feature match for every nation pair; pairs with
+    no information dropped."""
+    t = Y.encode_first_appearance(_typology(spark, sf), "n_nationkey")
+    return Y.drop_uninformative(Y.pair_match(t), ["a", "b"]).select(
+        "a", "b", "feature", F.col("match").cast("int").alias("match"))
+
+
+@query("priority_label_codes")
+def q_priority_label_codes(spark, sf):
+    """Label encoding of the order priority (sorted distinct -> 0..n-1)."""
+    o = _load(spark, sf, "orders").select("o_orderpriority").distinct()
+    return Y.label_encode(o, "o_orderpriority", "code").select(
+        "o_orderpriority", F.col("code").cast("int").alias("code"))
+
+
+def _embedding_vectors(spark, sf):
+    return ML.as_vector(_load(spark, sf, "embeddings"), "embedding")
+
+
+@query("kmeans_embeddings")
+def q_kmeans_embeddings(spark, sf):
+    """K-means (k = 3 and 6, seed 42) cluster of every embedding."""
+    v = _embedding_vectors(spark, sf)
+    return ML.kmeans(v, "vec_id", 3).unionByName(ML.kmeans(v, "vec_id", 6))
+
+
+@query("pca_embeddings")
+def q_pca_embeddings(spark, sf):
+    """First two principal components of the centred embeddings."""
+    return ML.pca2(_embedding_vectors(spark, sf), "vec_id")
+
+
+FOREST_FEATURES = ["quality", "toxic", "n_chars", "n_lines"]
+FOREST_TARGETS = ["de", "en", "es", "fr"]
+
+
+def _forest(spark, sf):
+    wide = D.widen(line_dist(spark, sf), ["id"], FOREST_TARGETS)
+    n_lines = I.distribution_lines(I.completions(spark, sf)).groupBy("id").agg(
+        F.count(F.lit(1)).cast("double").alias("n_lines"))
+    lab = _load(spark, sf, "labels").withColumnRenamed("doc_id", "id")
+    docs = _load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double"))
+    data = (wide.join(lab, "id").join(docs, "id").join(n_lines, "id")
+            .select("id", *[F.col(c).cast("double").alias(c) for c in FOREST_FEATURES + FOREST_TARGETS]))
+    data = cut_lineage(data)
+    train, test = Y.hash_split(data, "id", 80)
+    return ML.forest_per_target(train, test, FOREST_FEATURES, FOREST_TARGETS, num_trees=100)
+
+
+@query("forest_errors")
+def q_forest_errors(spark, sf):
+    """M5/M6 (+Y15 hash split): per-target MSE and MAE of 100-tree forests that
+    predict a completion's language shares from its labels and size."""
+    return _forest(spark, sf)[0]
+
+
+@query("forest_importance")
+def q_forest_importance(spark, sf):
+    """M9 + M10: feature importances per target and the top features by sum."""
+    return ML.top_features(_forest(spark, sf)[1], 10)
