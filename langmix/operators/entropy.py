@@ -57,12 +57,14 @@ def entropy_columns(expected_col: str = "expected", training_col: str | None = "
 
 def entropies(dist: DataFrame, keys: Sequence[str], expected_col: str = "expected",
               training_col: str | None = "training", variants: Sequence[str] = VARIANTS,
-              decimals: int = 6) -> DataFrame:
-    """E1-E6 (E8 = pick ``variants``): one row per unit."""
+              decimals: int | None = 6) -> DataFrame:
+    """E1-E6 (E8 = pick ``variants``): one row per unit.  ``decimals=None``
+    keeps full precision (use it when the values are averaged further, so that
+    rounding ties are not created before the mean)."""
     keys = list(keys)
     cols = entropy_columns(expected_col, training_col)
     group = keys + [c for c in (expected_col, training_col) if c and c not in keys]
-    aggs = [F.round(cols[v], decimals).alias(v) for v in variants]
+    aggs = [(cols[v] if decimals is None else F.round(cols[v], decimals)).alias(v) for v in variants]
     return dist.groupBy(*group).agg(*aggs)
 
 

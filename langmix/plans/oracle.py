@@ -187,8 +187,8 @@ ent AS (SELECT level, id, model, task, source, language,
                sum(-(CASE WHEN lang = language THEN 1 - p ELSE p END) * ln(p)) AS h
         FROM both_dist GROUP BY ALL)
 SELECT model, source, language, task,
-       round(avg(CASE WHEN level = 'line' THEN round(h, 6) END), 6) AS line_reweighted_entropy,
-       round(avg(CASE WHEN level = 'word' THEN round(h, 6) END), 6) AS word_reweighted_entropy
+       round(avg(CASE WHEN level = 'line' THEN h END), 6) AS line_reweighted_entropy,
+       round(avg(CASE WHEN level = 'word' THEN h END), 6) AS word_reweighted_entropy
 FROM ent GROUP BY ALL"""
 
 # ------------------------------------------------- distributions, entropy --
@@ -260,6 +260,10 @@ ENTROPY_SQL = {
 }
 
 
+def ent_raw(*names: str) -> str:
+    return ", ".join(f"{ENTROPY_SQL[n]} AS {n}" for n in names)
+
+
 def ent_cols(*names: str) -> str:
     # "+ 0.0" turns DuckDB's -0.0 into 0.0 (Spark's decimal rounding never yields -0.0)
     return ", ".join(f"round({ENTROPY_SQL[n]}, 6) + 0.0 AS {n}" for n in names)
@@ -269,11 +273,11 @@ ORACLES["entropy_variants"] = _BD + f"""
 SELECT level, id, {ent_cols(*ENTROPY_SQL)} FROM both_dist GROUP BY level, id"""
 
 ORACLES["entropy_by_language_task"] = _LD + f""",
-ent AS (SELECT id, task, language AS expected, {ent_cols('reweighted_entropy')} FROM line_dist GROUP BY ALL)
+ent AS (SELECT id, task, language AS expected, {ent_raw('reweighted_entropy')} FROM line_dist GROUP BY ALL)
 SELECT expected, task, round(avg(reweighted_entropy), 6) AS mean_reweighted_entropy FROM ent GROUP BY ALL"""
 
 ORACLES["entropy_by_training_language"] = _WD + f""",
-ent AS (SELECT id, {ent_cols('weighted_entropy')} FROM word_dist GROUP BY id)
+ent AS (SELECT id, {ent_raw('weighted_entropy')} FROM word_dist GROUP BY id)
 SELECT 'set' AS kind, {_q('_'.join(sorted(I.TRAINING_LANGS)))} AS key,
        round(avg(weighted_entropy), 6) AS mean_weighted_entropy FROM ent
 UNION ALL
@@ -579,8 +583,8 @@ ent AS (SELECT level, id, model, task, source, language,
                sum(-(CASE WHEN lang = language THEN 1 - p ELSE p END) * ln(p)) AS h
         FROM both_dist GROUP BY ALL),
 eg AS (SELECT model, source, language, task,
-              round(avg(CASE WHEN level = 'line' THEN round(h, 6) END), 6) AS line_reweighted_entropy,
-              round(avg(CASE WHEN level = 'word' THEN round(h, 6) END), 6) AS word_reweighted_entropy
+              round(avg(CASE WHEN level = 'line' THEN h END), 6) AS line_reweighted_entropy,
+              round(avg(CASE WHEN level = 'word' THEN h END), 6) AS word_reweighted_entropy
        FROM ent GROUP BY ALL)
 SELECT eg.*, round(r.acc, 6) AS acc, round(r.lpr, 6) AS lpr, round(r.wpr, 6) AS wpr
 FROM eg LEFT JOIN rates r USING (model, source, language, task)"""

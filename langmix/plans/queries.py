@@ -122,7 +122,7 @@ def q_entropy_by_group(spark, sf):
     d = both_dists(spark, sf)
     ent = E.entropies(d.withColumn("expected", F.col("language")),
                       ["level"] + I.UNIT_KEYS, "expected", None,
-                      variants=["reweighted_entropy_expected"])
+                      variants=["reweighted_entropy_expected"], decimals=None)
     h = F.col("reweighted_entropy_expected")
     return (ent.groupBy("model", "source", "language", "task")
             .agg(F.round(F.avg(F.when(F.col("level") == "line", h)), 6).alias("line_reweighted_entropy"),
@@ -208,7 +208,7 @@ def q_entropy_by_language_task(spark, sf):
     """E9 (+E14 flag): mean training-aware reweighted entropy by expected
     language x task (task plays the step), line level, long form."""
     d = _with_expected(line_dist(spark, sf))
-    ent = E.entropies(d, ["id", "task"], "expected", "training", variants=["reweighted_entropy"])
+    ent = E.entropies(d, ["id", "task"], "expected", "training", variants=["reweighted_entropy"], decimals=None)
     return E.mean_by(ent, ["expected", "task"], ["reweighted_entropy"])
 
 
@@ -217,7 +217,7 @@ def q_entropy_by_training_language(spark, sf):
     """Mean weighted entropy by sorted training-set key and by single
     training language (exploded), word level."""
     d = _with_expected(word_dist(spark, sf))
-    ent = E.entropies(d, ["id"], "expected", "training", variants=["weighted_entropy"])
+    ent = E.entropies(d, ["id"], "expected", "training", variants=["weighted_entropy"], decimals=None)
     by_set = E.mean_by(ent.withColumn("key", E.training_key()).withColumn("kind", F.lit("set")),
                        ["kind", "key"], ["weighted_entropy"])
     by_one = E.mean_by(ent.select("*", F.explode("training").alias("key")).withColumn("kind", F.lit("single")),
