@@ -28,7 +28,11 @@ _MODELS: dict[tuple, lid.LidModel] = {}
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(load(spark, sf_dir, "documents"))
+    return completions_from(spread(load(spark, sf_dir, "documents")))
+
+
+def completions_from(d: DataFrame) -> DataFrame:
+    """Completion rows from any ``documents``-shaped DataFrame (batch or micro-batch)."""
     return d.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("m"), F.pmod(F.col("doc_id"), F.lit(N_MODELS)).cast("string")).alias("model"),

@@ -617,3 +617,6 @@ WHERE (a, b) IN (SELECT (a, b) FROM pm GROUP BY a, b HAVING max(match) > -1)"""
 ORACLES["priority_label_codes"] = """
 SELECT o_orderpriority, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code
 FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL)"""
+
+ORACLES["incremental_line_distribution"] = ORACLES["line_distribution"]
+ORACLES["matrix_csv_roundtrip"] = ORACLES["confusion_matrix"]

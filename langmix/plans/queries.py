@@ -664,3 +664,40 @@ def q_forest_errors(spark, sf):
 def q_forest_importance(spark, sf):
     """M9 + M10: feature importances per target and the top features by sum."""
     return ML.top_features(_forest(spark, sf)[1], 10)
+
+
+# ------------------------------------------------- sources, sinks, stream --
+
+from langmix.sources import files as SRC  # noqa: E402
+from langmix.sources.tables import SCHEMAS as _SCHEMAS  # noqa: E402
+from langmix.streaming import incremental as R  # noqa: E402
+
+
+@query("incremental_line_distribution")
+def q_incremental_line_distribution(spark, sf):
+    """Documents arrive as files; a file stream (availableNow trigger,
+    checkpointed) labels the lines of each micro-batch and writes its line
+    distributions; the union of all batches equals the batch result (D1)."""
+    model = I.lid_model(spark, sf)
+    folder = R.stream_folder(spark, "documents")
+    R.stage_arrivals(_load(spark, sf, "documents"), f"{folder}/input", 8, "source")
+
+    def transform(batch):
+        lines = I.distribution_lines(I.completions_from(batch))
+        lab = lid.label_column(lines, "line", model, mode="cascade", threshold=0.3)
+        return D.ratios(lab, I.UNIT_KEYS).select("id", "lang", "p")
+
+    R.run_incremental(spark, f"{folder}/input", _SCHEMAS["documents"], f"{folder}/sink", f"{folder}/ckpt",
+                      transform, files_per_trigger=2)
+    return R.read_sink(spark, f"{folder}/sink").select("id", "lang", "p")
+
+
+@query("matrix_csv_roundtrip")
+def q_matrix_csv_roundtrip(spark, sf):
+    """S6 + S12: the confusion matrix written as a wide CSV (one column per
+    language) and read back into coordinate form."""
+    m = _confusion(spark, sf, materialize=True).select("row", "col", F.round("value", 6).alias("value"))
+    cols = sorted(r["col"] for r in m.select("col").distinct().collect())  # one row per language
+    path = R.stream_folder(spark, "matrix") + "/confusion_csv"
+    SRC.write_matrix_csv(m, path, cols)
+    return SRC.read_matrix_csv(spark, path)
