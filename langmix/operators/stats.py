@@ -29,15 +29,45 @@ def pearson_long(df: DataFrame, cols: Sequence[str], decimals: int = 6) -> DataF
     return stack.select("x.a", "x.b", F.round("x.r", decimals).alias("r"))
 
 
+RANK_BUCKETS = 64  # prefix-sum buckets for distributed ranking
+
+
+def average_ranks(df: DataFrame, col: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """(value, rank): average rank of every distinct value (ties share the mean
+    of their positions), computed without a global sort:
+
+    * distinct values with their multiplicity (map-side pre-aggregated, so a
+      value holding a third of all rows is one row);
+    * values are cut into ``buckets`` ranges at approximate quantiles of the
+      distinct values; a bucket's offset is the prefix sum of the bucket totals
+      (one row per bucket) and the position inside a bucket is a running sum in
+      a window partitioned by bucket - each bucket is its own task."""
+    vc = df.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("v").isNotNull())
+    cuts = vc.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10000)).scalar()
+    vb = vc.withColumn("_cuts", cuts).withColumn("b", F.size(F.filter("_cuts", lambda t: t < F.col("v")))) \
+        .drop("_cuts")
+    from pyspark.sql import Window
+    tot = vb.groupBy("b").agg(F.sum("n").alias("bn"))
+    off = tot.withColumn("off", F.coalesce(F.sum("bn").over(
+        Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "off")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("v")
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = vb.withColumn("before", before).join(F.broadcast(off), "b")   # <= buckets rows
+    return r.select("v", (F.col("off") + F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
+
+
 def spearman_long(df: DataFrame, cols: Sequence[str], decimals: int = 6) -> DataFrame:
-    """M1 (+M3): Spearman rho for complete rows via MLlib ``Correlation``."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    """M1 (+M3): Spearman rho = Pearson r of the average ranks, on rows complete
+    in all measures.  Ranks come from :func:`average_ranks` and are joined back
+    on the value (AQE broadcasts the rank table when it is small)."""
     complete = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    vec = VectorAssembler(inputCols=list(cols), outputCol="features").transform(complete).select("features")
-    mat = Correlation.corr(vec, "features", "spearman").head()[0].toArray()
-    rows = [(a, b, round(float(mat[i][j]), decimals)) for (i, a), (j, b) in combinations(list(enumerate(cols)), 2)]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    ranked = complete
+    for c in cols:
+        rk = average_ranks(complete, c).withColumnRenamed("v", c).withColumnRenamed("rank", f"_r_{c}")
+        ranked = ranked.join(rk, c)
+    rnames = {c: f"_r_{c}" for c in cols}
+    out = pearson_long(ranked.select(*[F.col(rnames[c]).alias(c) for c in cols]), cols, decimals)
+    return out
 
 
 def describe_long(df: DataFrame, cols: Sequence[str], decimals: int = 6) -> DataFrame:
