@@ -196,7 +196,10 @@ def detect(units: DataFrame, model: LidModel, mode: str = "cascade",
     if mode == "single":
         lab = F.when(F.col("p_conf") > threshold, F.col("p_lang")).otherwise(F.lit(UNKNOWN))
         return prim.select(*FP, lab.alias("pred_lang"))
-    both = prim.join(vote(units, model), FP, "left")
+    # the secondary detector only runs for units the primary did not settle
+    settled = prim.filter(F.col("p_conf") >= threshold).select(*FP)
+    open_units = units.join(settled, FP, "left_anti")
+    both = prim.join(vote(open_units, model), FP, "left")
     sec_lab = F.col("s_lang")
     if code_map is not None:
         both = both.join(F.broadcast(code_map.select(F.col("code").alias("s_lang"), "mapped")),
@@ -215,7 +218,8 @@ def unit_labels(facts: DataFrame, text_col: str, model: LidModel, **detect_args)
 
 def attach_labels(facts: DataFrame, text_col: str, labels: DataFrame, out_col: str = "pred_lang") -> DataFrame:
     """Join labels back to the facts on the fingerprint (two longs)."""
-    labels = labels.select(*FP, F.col("pred_lang").alias("_lab"))
+    # hash join on the (distinct-unit) label side: the large fact side is not sorted
+    labels = labels.select(*FP, F.col("pred_lang").alias("_lab")).hint("shuffle_hash")
     return (facts.select("*", *fingerprint(text_col)).join(labels, FP, "left")
             .withColumn(out_col, F.coalesce(F.col("_lab"), F.lit(UNKNOWN))).drop("_lab", *FP))
 
