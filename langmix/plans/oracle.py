@@ -620,3 +620,69 @@ FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT N
 
 ORACLES["incremental_line_distribution"] = ORACLES["line_distribution"]
 ORACLES["matrix_csv_roundtrip"] = ORACLES["confusion_matrix"]
+
+# ---------------------------------------------------- more matrix variants --
+
+ORACLES["confusion_matrix_training"] = ORACLES["confusion_matrix"].replace(
+    "WHEN lang = language OR lang = 'en' THEN", f"WHEN lang = language OR lang IN {TRAIN} THEN")
+
+ORACLES["confusion_by_training"] = with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST) + f""",
+tr AS (SELECT unnest([{', '.join(_q(x) for x in I.TRAINING_LANGS)}]) AS train)
+SELECT lang AS "row", train AS col,
+       round(avg(-(CASE WHEN lang = language OR lang IN {TRAIN} THEN 1 - p ELSE p END) * ln(p)), 6) + 0.0 AS value
+FROM line_dist, tr WHERE lang NOT IN ('unknown', 'unk') AND train NOT IN ('unknown', 'unk')
+GROUP BY lang, train"""
+
+ORACLES["confusion_norm_entropy"] = with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST) + """,
+cells AS (SELECT lang AS "row", language AS col,
+                 round(CASE WHEN sum(p) > 0 THEN log2(sum(p)) - sum(CASE WHEN p > 0 THEN p * log2(p) END) / sum(p) END, 6)
+                   AS norm_entropy
+          FROM line_dist GROUP BY lang, language),
+fr AS (SELECT "row" FROM cells GROUP BY "row" HAVING count(*) = (SELECT count(DISTINCT col) FROM cells)),
+fc AS (SELECT col FROM cells GROUP BY col HAVING count(*) = (SELECT count(DISTINCT "row") FROM cells))
+SELECT * FROM cells WHERE "row" IN (SELECT "row" FROM fr) AND col IN (SELECT col FROM fc)"""
+
+
+def _iso_case(c: str) -> str:
+    from langmix.plans.queries import HARMONISE, ISO3
+    whens = " ".join(f"WHEN {c} = {_q(a)} THEN {_q(b)}" for a, b, _ in ISO3) + " " + \
+        " ".join(f"WHEN {c} = {_q(a)} THEN {_q(b)}" for a, b in HARMONISE)
+    return f"(CASE {whens} ELSE {c} END)"
+
+
+def _name_case(c: str) -> str:
+    from langmix.plans.queries import ISO3
+    return "(CASE " + " ".join(f"WHEN {c} = {_q(b)} THEN {_q(n)}" for _, b, n in ISO3) + " END)"
+
+
+ORACLES["confusion_matrix_iso3"] = _CONF + f""",
+r AS (SELECT {_iso_case('"row"')} AS "row", {_iso_case('col')} AS col, value FROM conf)
+SELECT "row", col, {_name_case('"row"')} AS row_name, {_name_case('col')} AS col_name, round(value, 6) + 0.0 AS value FROM r"""
+
+ORACLES["pmi_matrix"] = with_(NATION_PARTS) + """,
+kept AS (SELECT * FROM ndeg WHERE degree >= 3),
+e AS (SELECT e.a, e.b, round(log2(e.weight * (SELECT sum(degree) FROM kept)) - log2(ka.degree * kb.degree), 6) AS value
+      FROM nedges e JOIN kept ka ON ka.node = e.a JOIN kept kb ON kb.node = e.b)
+SELECT a AS "row", b AS col, value FROM e UNION SELECT b AS "row", a AS col, value FROM e"""
+
+
+def _seg_sql() -> str:
+    return with_(TYPOLOGY) + """,
+w AS (SELECT node, """ + ", ".join(
+        f"max(CASE WHEN feature = '{s}' AND value IS NOT NULL THEN 1 ELSE 0 END) AS {s.lower()}"
+        for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + """ FROM typ GROUP BY node)
+SELECT * FROM w"""
+
+
+ORACLES["typology_pair_match_known"] = with_(TYPOLOGY) + """
+SELECT x.node AS a, y.node AS b, x.feature, CAST(CASE WHEN x.code = y.code THEN 1 ELSE 0 END AS INTEGER) AS match
+FROM typc x JOIN typc y ON x.feature = y.feature AND x.node < y.node
+WHERE x.code IS NOT NULL AND y.code IS NOT NULL"""
+
+ORACLES["merged_distribution"] = _BD + """,
+fv AS (SELECT id, lang, arg_min(p, level) AS p FROM both_dist GROUP BY id, lang)
+SELECT id, lang, round(p, 6) AS p FROM fv
+UNION ALL
+SELECT id, 'unk' AS lang, round(round(1.0 - sum(p), 2), 6) AS p FROM fv GROUP BY id HAVING round(1.0 - sum(p), 2) > 0"""
+
+ORACLES["segment_multi_hot"] = _seg_sql()

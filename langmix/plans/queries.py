@@ -701,3 +701,97 @@ def q_matrix_csv_roundtrip(spark, sf):
     path = R.stream_folder(spark, "matrix") + "/confusion_csv"
     SRC.write_matrix_csv(m, path, cols)
     return SRC.read_matrix_csv(spark, path)
+
+
+# ---------------------------------------------------- more matrix variants --
+
+# fixed values: ISO 639-1 -> ISO 639-3 codes and English names of the
+# languages that occur in the data, plus the reference's harmonisation of
+# macro-language codes (zho -> cmn, msa/ara -> arb)
+ISO3 = [("de", "deu", "German"), ("en", "eng", "English"), ("es", "spa", "Spanish"), ("fr", "fra", "French")]
+HARMONISE = [("zho", "cmn"), ("msa", "arb"), ("ara", "arb")]
+
+
+@query("confusion_matrix_training")
+def q_confusion_matrix_training(spark, sf):
+    """K2: confusion matrix weighting predicted languages in the training set or
+    equal to the expected one with ``1 - p``."""
+    d = line_dist(spark, sf).withColumn("expected", F.col("language")) \
+        .withColumn("training", F.array(*[F.lit(x) for x in I.TRAINING_LANGS]))
+    m = Mx.drop_zero_lines(Mx.drop_labels(K.confusion_matrix(d, "expected", "training", pivot_lang=None)))
+    return m.select("row", "col", F.round("value", 6).alias("value"))
+
+
+@query("confusion_by_training")
+def q_confusion_by_training(spark, sf):
+    """K3: columns are the (exploded) training languages."""
+    d = line_dist(spark, sf).withColumn("expected", F.col("language")) \
+        .withColumn("training", F.array(*[F.lit(x) for x in I.TRAINING_LANGS]))
+    m = Mx.drop_labels(K.confusion_by_training(d, "training", "expected"))
+    return m.select("row", "col", F.round("value", 6).alias("value"))
+
+
+@query("confusion_norm_entropy")
+def q_confusion_norm_entropy(spark, sf):
+    """K4: per (predicted, expected) cell, the base-2 entropy of the normalised
+    list of probabilities; cells of rows/columns with a missing cell dropped."""
+    d = line_dist(spark, sf).select(F.col("lang").alias("row"), F.col("language").alias("col"), F.col("p").alias("v"))
+    cells = E.norm_entropy_base2(d, ["row", "col"], "v")
+    n_rows = cells.select("row").distinct()
+    n_cols = cells.select("col").distinct()
+    full_rows = cells.groupBy("row").agg(F.count(F.lit(1)).alias("k")).filter(
+        F.col("k") == n_cols.agg(F.count(F.lit(1))).scalar()).select("row")
+    full_cols = cells.groupBy("col").agg(F.count(F.lit(1)).alias("k")).filter(
+        F.col("k") == n_rows.agg(F.count(F.lit(1))).scalar()).select("col")
+    return cells.join(full_rows, "row", "left_semi").join(full_cols, "col", "left_semi").select(
+        "row", "col", "norm_entropy")
+
+
+@query("confusion_matrix_iso3")
+def q_confusion_matrix_iso3(spark, sf):
+    """Confusion matrix with ISO 639-3 codes (harmonised) and language names attached."""
+    codes = spark.createDataFrame([(a, b) for a, b, _ in ISO3] + HARMONISE, "code string, mapped string")
+    names = spark.createDataFrame([(b, n) for _, b, n in ISO3], "iso3 string, name string")
+    m = Mx.rename_labels(_confusion(spark, sf), codes)
+    m = (m.join(F.broadcast(names.withColumnRenamed("iso3", "row").withColumnRenamed("name", "row_name")), "row", "left")
+         .join(F.broadcast(names.withColumnRenamed("iso3", "col").withColumnRenamed("name", "col_name")), "col", "left"))
+    return m.select("row", "col", "row_name", "col_name", F.round("value", 6).alias("value"))
+
+
+@query("pmi_matrix")
+def q_pmi_matrix(spark, sf):
+    """The PMI edge list as a symmetric matrix (both triangles)."""
+    rows = _nation_parts(spark, sf)
+    e = G.pmi_edges(G.cooccurrence(G.incidence(rows, "node", "concept")), G.degrees(rows, "node"), 3)
+    return Mx.symmetric(e.select("a", "b", F.round("pmi", 6).alias("value")))
+
+
+@query("segment_multi_hot")
+def q_segment_multi_hot(spark, sf):
+    """Y12 + Y14: per nation one 0/1 column per market segment with a dominant
+    priority (typology present), all-zero columns dropped."""
+    t = _typology(spark, sf)
+    segs = sorted(r["feature"] for r in t.select("feature").distinct().collect())  # bounded: categories
+    wide = t.groupBy("node").agg(*[F.max(F.when((F.col("feature") == s) & F.col("value").isNotNull(), 1)
+                                         .otherwise(0)).alias(s) for s in segs])
+    nz = wide.agg(*[F.max(s).alias(s) for s in segs]).first()
+    keep = [s for s in segs if nz[s] != 0]
+    return wide.select("node", *[F.col(s).cast("int").alias(s.lower()) for s in keep])
+
+
+@query("typology_pair_match_known")
+def q_typology_pair_match_known(spark, sf):
+    """-1 (missing) -> NULL, rows with NULL dropped."""
+    t = Y.encode_first_appearance(_typology(spark, sf), "n_nationkey")
+    return Y.missing_to_null(Y.pair_match(t), ["match"]).select(
+        "a", "b", "feature", F.col("match").cast("int").alias("match"))
+
+
+@query("merged_distribution")
+def q_merged_distribution(spark, sf):
+    """D6 + D5 (+D4): line and word distributions appended per (unit, lang) in
+    level order, the first value kept, residual mass added as ``unk``."""
+    d = both_dists(spark, sf)
+    merged = D.append_merge(d, ["id"], "level")
+    first = merged.select("id", "lang", F.element_at("ps", 1).alias("p"))
+    return D.complete_unknown(first, ["id"]).select("id", "lang", F.round("p", 6).alias("p"))
