@@ -766,17 +766,29 @@ def q_pmi_matrix(spark, sf):
     return Mx.symmetric(e.select("a", "b", F.round("pmi", 6).alias("value")))
 
 
-@query("segment_multi_hot")
-def q_segment_multi_hot(spark, sf):
-    """Y12 + Y14: per nation one 0/1 column per market segment with a dominant
-    priority (typology present), all-zero columns dropped."""
+def _segment_wide(spark, sf):
     t = _typology(spark, sf)
     segs = sorted(r["feature"] for r in t.select("feature").distinct().collect())  # bounded: categories
     wide = t.groupBy("node").agg(*[F.max(F.when((F.col("feature") == s) & F.col("value").isNotNull(), 1)
-                                         .otherwise(0)).alias(s) for s in segs])
-    nz = wide.agg(*[F.max(s).alias(s) for s in segs]).first()
-    keep = [s for s in segs if nz[s] != 0]
-    return wide.select("node", *[F.col(s).cast("int").alias(s.lower()) for s in keep])
+                                         .otherwise(0)).cast("int").alias(s.lower()) for s in segs])
+    return wide, [s.lower() for s in segs]
+
+
+@query("segment_multi_hot")
+def q_segment_multi_hot(spark, sf):
+    """Per nation one 0/1 column per market segment that has a dominant
+    priority (a present typology value)."""
+    return _segment_wide(spark, sf)[0]
+
+
+@query("segment_multi_hot_nonzero")
+def q_segment_multi_hot_nonzero(spark, sf):
+    """The multi-hot table without its all-zero columns (one aggregate of
+    the column maxima, then a projection; the schema depends on the data, so
+    this check is rows-only)."""
+    wide, cols = _segment_wide(spark, sf)
+    nz = wide.agg(*[F.max(c).alias(c) for c in cols]).first()
+    return wide.select("node", *[c for c in cols if nz[c] != 0])
 
 
 @query("typology_pair_match_known")
