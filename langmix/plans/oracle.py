@@ -686,3 +686,42 @@ UNION ALL
 SELECT id, 'unk' AS lang, round(round(1.0 - sum(p), 2), 6) AS p FROM fv GROUP BY id HAVING round(1.0 - sum(p), 2) > 0"""
 
 ORACLES["segment_multi_hot"] = _seg_sql()
+
+ORACLES["kl_side_by_side"] = with_(COMPLETIONS, MODEL, LABELLED_LINES, LABELLED_TOKENS, LINE_DIST, WORD_DIST,
+                                   BOTH_DISTS, TOKEN_INC, jaccard_sql("tinc", "jac")) + f""",
+bs AS (SELECT b.*, s.setting FROM both_dist b,
+       (SELECT unnest(['all', 'mono', 'cross']) AS setting) s
+       WHERE s.setting = 'all' OR s.setting = CASE WHEN b.language IN {TRAIN} THEN 'mono' ELSE 'cross' END),
+cf AS (SELECT level, setting, lang AS "row", language AS col,
+              avg(-(CASE WHEN lang = language OR lang = 'en' THEN 1 - p ELSE p END) * ln(p)) AS value
+       FROM bs WHERE lang NOT IN ('unknown', 'unk') AND language NOT IN ('unknown', 'unk')
+       GROUP BY level, setting, lang, language),
+pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (gram)
+       GROUP BY ALL),
+pnrm AS (SELECT lang, sqrt(sum(weight * weight)) AS nrm FROM profile GROUP BY lang),
+cosm AS (SELECT "row", col, (dot / (na.nrm * nb.nrm) + 1) / 2 AS value
+         FROM pc JOIN pnrm na ON na.lang = "row" JOIN pnrm nb ON nb.lang = col),
+sims0 AS (SELECT 'token_jaccard' AS sim_name, "row", col, 1.0 - value AS value FROM jac
+          UNION ALL SELECT 'trigram_cosine', "row", col, value FROM cosm),
+keys AS (SELECT l.level, s.setting FROM (SELECT unnest(['line', 'word']) AS level) l,
+                                       (SELECT unnest(['all', 'mono', 'cross']) AS setting) s),
+sims AS (SELECT k.level, k.setting, s.* FROM sims0 s, keys k),
+pall AS (SELECT c.*, n.sim_name FROM cf c, (SELECT unnest(['token_jaccard', 'trigram_cosine']) AS sim_name) n),
+rws AS (SELECT DISTINCT level, setting, sim_name, "row" FROM pall INTERSECT
+        SELECT DISTINCT level, setting, sim_name, "row" FROM sims),
+cls AS (SELECT DISTINCT level, setting, sim_name, col FROM pall INTERSECT
+        SELECT DISTINCT level, setting, sim_name, col FROM sims),
+pa AS (SELECT * FROM pall SEMI JOIN rws USING (level, setting, sim_name, "row") SEMI JOIN cls USING (level, setting, sim_name, col)),
+qa AS (SELECT * FROM sims SEMI JOIN rws USING (level, setting, sim_name, "row") SEMI JOIN cls USING (level, setting, sim_name, col)),
+kj AS (SELECT p.level, p.setting, p.sim_name, p.col, p.value AS pv, coalesce(q.value, 0.0) AS qv
+       FROM pa p LEFT JOIN qa q USING (level, setting, sim_name, "row", col) WHERE p.value <> 0),
+kn AS (SELECT level, setting, sim_name, col, pv / sum(pv) OVER w + 1e-10 AS pn,
+              CASE WHEN sum(qv) OVER w = 0 THEN NULL ELSE qv / sum(qv) OVER w END + 1e-10 AS qn
+       FROM kj WINDOW w AS (PARTITION BY level, setting, sim_name, col)),
+klc AS (SELECT level, setting, sim_name, col, sum(pn * ln(pn / qn)) AS kl FROM kn GROUP BY ALL),
+km AS (SELECT level || '_' || setting AS name, sim_name, avg(CASE WHEN isfinite(kl) THEN kl END) AS kl_mean
+       FROM klc GROUP BY ALL)
+SELECT split_part(sim_name, '_', 1) AS kind, split_part(sim_name, '_', 2) AS measure, """ + ", ".join(
+    f"round(max(CASE WHEN name = '{n}' THEN kl_mean END), 6) AS {n}"
+    for n in [f"{l}_{s}" for l in ("line", "word") for s in ("all", "mono", "cross")]) + """
+FROM km GROUP BY sim_name"""

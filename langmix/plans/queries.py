@@ -807,3 +807,35 @@ def q_merged_distribution(spark, sf):
     merged = D.append_merge(d, ["id"], "level")
     first = merged.select("id", "lang", F.element_at("ps", 1).alias("p"))
     return D.complete_unknown(first, ["id"]).select("id", "lang", F.round("p", 6).alias("p"))
+
+
+@query("kl_side_by_side")
+def q_kl_side_by_side(spark, sf):
+    """K17 (+T11): mean column KL per similarity source for {line, word} x
+    {all, mono, cross} in one keyed job (each unit feeds 'all' and its own
+    setting), pivoted side by side; the source name is split into kind/measure."""
+    d = both_dists(spark, sf).withColumn("expected", F.col("language"))
+    mono = F.array_contains(F.array(*[F.lit(x) for x in I.TRAINING_LANGS]), F.col("expected"))
+    d = d.withColumn("setting", F.explode(F.array(F.lit("all"),
+                                                  F.when(mono, F.lit("mono")).otherwise(F.lit("cross")))))
+    keys = ["level", "setting"]
+    inside = (F.col("lang") == F.col("expected")) | (F.col("lang") == "en")
+    term = -F.when(inside, 1 - F.col("p")).otherwise(F.col("p")) * F.ln("p")
+    conf = d.groupBy(*keys, F.col("lang").alias("row"), F.col("expected").alias("col")).agg(
+        F.avg(term).alias("value"))
+    conf = cut_lineage(Mx.drop_labels(conf))
+    sims = _similarities(spark, sf)
+    p = conf.select("*", F.explode(F.array(*[F.lit(n) for n in SIM_NAMES])).alias("sim_name"))
+    # one copy of every similarity matrix per (level, setting) key
+    q = sims.select("*", F.explode(F.array(*[F.struct(F.lit(l).alias("level"), F.lit(s).alias("setting"))
+                                              for l in ("line", "word") for s in ("all", "mono", "cross")]))
+                    .alias("_k")).select("sim_name", "row", "col", "value", "_k.level", "_k.setting")
+    kk = keys + ["sim_name"]
+    pa, qa = Mx.align(p, q, kk)
+    m = K.kl_mean(K.kl_by_column(pa, qa, kk), kk)
+    names = [f"{l}_{s}" for l in ("line", "word") for s in ("all", "mono", "cross")]
+    wide = (m.withColumn("name", F.concat_ws("_", "level", "setting")).groupBy("sim_name")
+            .pivot("name", names).agg(F.first("kl_mean")))
+    return wide.select(F.split_part("sim_name", F.lit("_"), F.lit(1)).alias("kind"),
+                       F.split_part("sim_name", F.lit("_"), F.lit(2)).alias("measure"),
+                       *[F.round(n, 6).alias(n) for n in names])
