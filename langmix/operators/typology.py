@@ -75,3 +75,31 @@ def hash_split(df: DataFrame, key_col: str, train_pct: int = 80) -> tuple[DataFr
     """Reproducible split by a hash of the key (not by row order)."""
     b = F.pmod(F.xxhash64(F.col(key_col)), F.lit(100))
     return df.filter(b < train_pct), df.filter(b >= train_pct)
+
+
+def attribute_matches(units: DataFrame, keys, training_col: str, eval_col: str, attrs: DataFrame) -> DataFrame:
+    """Y9 + Y10: per unit, 1 if any training language shares the eval language's
+    script (code suffix), family, word order (``ND`` matches all) or script
+    direction; plus whether the first two training languages share direction
+    (1 for a single training language).  The attribute table is a fixed
+    dimension (one row per language), broadcast."""
+    keys = list(keys)
+    a = F.broadcast(attrs)
+    t = units.select(*keys, eval_col, F.posexplode(training_col).alias("_pos", "_t"))
+    ta = a.select(F.col("code").alias("_t"), F.col("family").alias("tf"), F.col("word_order").alias("tw"),
+                  F.col("direction").alias("td"))
+    ea = a.select(F.col("code").alias(eval_col), F.col("family").alias("ef"), F.col("word_order").alias("ew"),
+                  F.col("direction").alias("ed"))
+    j = t.join(ta, "_t", "left").join(ea, eval_col, "left")
+    script = (F.split_part(F.col("_t"), F.lit("_"), F.lit(2)) == F.split_part(F.col(eval_col), F.lit("_"), F.lit(2)))
+    wo = (F.col("tw") == "ND") | (F.col("ew") == "ND") | (F.col("tw") == F.col("ew"))
+    b = lambda c: F.max(F.when(c, 1).otherwise(0)).alias
+    g = j.groupBy(*keys, eval_col).agg(
+        b(script)("script"), b(F.col("tf") == F.col("ef"))("family"), b(wo)("word_order"),
+        b(F.col("td") == F.col("ed"))("script_lr"),
+        F.count(F.lit(1)).alias("_n"),
+        F.max(F.when(F.col("_pos") == 0, F.col("td"))).alias("_d0"),
+        F.max(F.when(F.col("_pos") == 1, F.col("td"))).alias("_d1"))
+    y10 = F.when(F.col("_n") == 1, 1).when(F.col("_d0") == F.col("_d1"), 1).otherwise(0)
+    return g.select(*keys, eval_col, "script", "family", "word_order", "script_lr",
+                    y10.alias("training_script_lr"))

@@ -725,3 +725,31 @@ SELECT split_part(sim_name, '_', 1) AS kind, split_part(sim_name, '_', 2) AS mea
     f"round(max(CASE WHEN name = '{n}' THEN kl_mean END), 6) AS {n}"
     for n in [f"{l}_{s}" for l in ("line", "word") for s in ("all", "mono", "cross")]) + """
 FROM km GROUP BY sim_name"""
+
+
+def _attr_sql() -> str:
+    from langmix.sources.dims import DATA_CODES, LANG_ATTRIBUTES
+    attrs = ", ".join(f"({_q(c)}, {_q(f)}, {_q(w)}, {_q(d)})" for c, f, w, d in LANG_ATTRIBUTES)
+    codes = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in DATA_CODES)
+    return f"""WITH attrs(code, family, word_order, direction) AS (VALUES {attrs}),
+codes(code, mapped) AS (VALUES {codes}),
+u AS (SELECT d.doc_id AS id, coalesce(c.mapped, d.lang) AS eval_code FROM documents d LEFT JOIN codes c ON c.code = d.lang),
+tr AS (SELECT u.*, t.pos, coalesce(c.mapped, t.lang) AS tcode
+       FROM u, (SELECT unnest([{', '.join(_q(x) for x in I.TRAINING_LANGS)}]) AS lang,
+                       unnest(generate_series(0, {len(I.TRAINING_LANGS) - 1})) AS pos) t
+       LEFT JOIN codes c ON c.code = t.lang),
+j AS (SELECT tr.*, ta.family AS tf, ta.word_order AS tw, ta.direction AS td,
+             ea.family AS ef, ea.word_order AS ew, ea.direction AS ed
+      FROM tr LEFT JOIN attrs ta ON ta.code = tr.tcode LEFT JOIN attrs ea ON ea.code = tr.eval_code)
+SELECT id, eval_code AS eval_lang,
+       CAST(max(CASE WHEN split_part(tcode, '_', 2) = split_part(eval_code, '_', 2) THEN 1 ELSE 0 END) AS INTEGER) AS script,
+       CAST(max(CASE WHEN tf = ef THEN 1 ELSE 0 END) AS INTEGER) AS family,
+       CAST(max(CASE WHEN tw = 'ND' OR ew = 'ND' OR tw = ew THEN 1 ELSE 0 END) AS INTEGER) AS word_order,
+       CAST(max(CASE WHEN td = ed THEN 1 ELSE 0 END) AS INTEGER) AS script_lr,
+       CAST(CASE WHEN count(*) = 1 THEN 1
+                 WHEN max(CASE WHEN pos = 0 THEN td END) = max(CASE WHEN pos = 1 THEN td END) THEN 1 ELSE 0 END AS INTEGER)
+         AS training_script_lr
+FROM j GROUP BY id, eval_code"""
+
+
+ORACLES["attribute_match_features"] = _attr_sql()

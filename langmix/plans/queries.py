@@ -839,3 +839,20 @@ def q_kl_side_by_side(spark, sf):
     return wide.select(F.split_part("sim_name", F.lit("_"), F.lit(1)).alias("kind"),
                        F.split_part("sim_name", F.lit("_"), F.lit(2)).alias("measure"),
                        *[F.round(n, 6).alias(n) for n in names])
+
+
+@query("attribute_match_features")
+def q_attribute_match_features(spark, sf):
+    """Y9 + Y10: script / family / word-order / direction match between each
+    completion's training languages and its expected language."""
+    from langmix.sources import dims
+    codes = F.broadcast(dims.data_codes(spark))
+    comp = I.completions(spark, sf).select("id", "language", "training")
+    comp = comp.join(codes.withColumnRenamed("code", "language"), "language", "left") \
+        .withColumn("eval_code", F.coalesce("mapped", "language")).drop("mapped")
+    mapping = F.create_map(*[x for a, b in dims.DATA_CODES for x in (F.lit(a), F.lit(b))])
+    comp = comp.withColumn("train_codes", F.transform("training", lambda t: F.coalesce(mapping[t], t)))
+    out = Y.attribute_matches(comp, ["id"], "train_codes", "eval_code", dims.lang_attributes(spark))
+    return out.select("id", F.col("eval_code").alias("eval_lang"),
+                      *[F.col(c).cast("int").alias(c) for c in
+                        ("script", "family", "word_order", "script_lr", "training_script_lr")])

@@ -174,3 +174,16 @@ def test_shuffle_partitions_do_not_change_results(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert res[0] == res[1] == res[2]
     assert all(math.isfinite(x) for row in res[0] for x in row[3:])
+
+
+def test_attribute_matches(spark):
+    from langmix.sources import dims
+    u = spark.createDataFrame([(1, ["kaz_Cyrl", "tur_Latn"], "deu_Latn"), (2, ["arb_Arab"], "heb_Hebr")],
+                              "id int, training array<string>, eval string")
+    r = {x["id"]: x for x in Y.attribute_matches(u, ["id"], "training", "eval", dims.lang_attributes(spark)).collect()}
+    # unit 1: tur_Latn shares the script; no family match; deu is ND (matches every order); both LTR
+    assert (r[1]["script"], r[1]["family"], r[1]["word_order"], r[1]["script_lr"]) == (1, 0, 1, 1)
+    assert r[1]["training_script_lr"] == 1
+    # unit 2: different script, same family (semitic), VSO vs SVO, both RTL, single training language
+    assert (r[2]["script"], r[2]["family"], r[2]["word_order"], r[2]["script_lr"], r[2]["training_script_lr"]) \
+        == (0, 1, 0, 1, 1)
