@@ -753,3 +753,31 @@ FROM j GROUP BY id, eval_code"""
 
 
 ORACLES["attribute_match_features"] = _attr_sql()
+
+ORACLES["share_means_by_task"] = _LD + """,
+w AS (SELECT id, task, coalesce(max(CASE WHEN lang = 'de' THEN p END), 0.0) AS de,
+             coalesce(max(CASE WHEN lang = 'en' THEN p END), 0.0) AS en,
+             coalesce(max(CASE WHEN lang = 'es' THEN p END), 0.0) AS es,
+             coalesce(max(CASE WHEN lang = 'fr' THEN p END), 0.0) AS fr
+      FROM line_dist GROUP BY id, task),
+l AS (SELECT task, 'de' AS lang, de AS share FROM w UNION ALL SELECT task, 'en', en FROM w
+      UNION ALL SELECT task, 'es', es FROM w UNION ALL SELECT task, 'fr', fr FROM w)
+SELECT lang, task, round(avg(share), 6) AS mean_share FROM l GROUP BY lang, task"""
+
+
+def _o7_sql() -> str:
+    from langmix.plans.queries import ISO3
+    from langmix.sources.dims import MT5_SHARE
+    iso = ", ".join(f"({_q(a)}, {_q(b)})" for a, b, _ in ISO3)
+    mt5 = ", ".join(f"({_q(a)}, {b})" for a, b in MT5_SHARE)
+    return with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST, CHECKS, RATES) + f""",
+ent AS (SELECT id, task, language AS expected, {ent_raw('reweighted_entropy')} FROM line_dist GROUP BY ALL),
+eg AS (SELECT expected AS lang, task, round(avg(reweighted_entropy), 6) AS entropy FROM ent GROUP BY ALL),
+lp AS (SELECT language AS lang, task, round(avg(lpr), 6) AS lpr_mean FROM rates GROUP BY ALL),
+iso(lang, iso3) AS (VALUES {iso}),
+mt(iso3, mt5) AS (VALUES {mt5})
+SELECT coalesce(iso.iso3, eg.lang) AS lang, eg.task, eg.entropy, lp.lpr_mean, mt.mt5
+FROM eg LEFT JOIN lp USING (lang, task) LEFT JOIN iso USING (lang) LEFT JOIN mt USING (iso3)"""
+
+
+ORACLES["entropy_metric_share"] = _o7_sql()

@@ -856,3 +856,29 @@ def q_attribute_match_features(spark, sf):
     return out.select("id", F.col("eval_code").alias("eval_lang"),
                       *[F.col(c).cast("int").alias(c) for c in
                         ("script", "family", "word_order", "script_lr", "training_script_lr")])
+
+
+@query("share_means_by_task")
+def q_share_means_by_task(spark, sf):
+    """The widened language shares (one column per language) unpivoted and
+    averaged by (language, task)."""
+    langs = ["de", "en", "es", "fr"]
+    wide = D.widen(line_dist(spark, sf), ["id", "task"], langs)
+    long = wide.unpivot(["id", "task"], langs, "lang", "share")
+    return long.groupBy("lang", "task").agg(F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+@query("entropy_metric_share")
+def q_entropy_metric_share(spark, sf):
+    """Mean reweighted entropy per (expected language, task) left-joined with
+    the mean line pass rate of the same (language, task) and the language's
+    pre-training share; languages shown as ISO 639-3 codes."""
+    from langmix.sources import dims
+    ent = q_entropy_by_language_task(spark, sf).withColumnRenamed("expected", "lang")
+    lpr = _rates(spark, sf).groupBy(F.col("language").alias("lang"), "task").agg(
+        F.round(F.avg("lpr"), 6).alias("lpr_mean"))
+    iso = spark.createDataFrame([(a, b) for a, b, _ in ISO3], "lang string, iso3 string")
+    out = (ent.join(lpr, ["lang", "task"], "left").join(F.broadcast(iso), "lang", "left")
+           .join(F.broadcast(dims.mt5_share(spark)), "iso3", "left"))
+    return out.select(F.coalesce("iso3", "lang").alias("lang"), "task",
+                      F.col("mean_reweighted_entropy").alias("entropy"), "lpr_mean", "mt5")
