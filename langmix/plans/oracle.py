@@ -781,3 +781,17 @@ FROM eg LEFT JOIN lp USING (lang, task) LEFT JOIN iso USING (lang) LEFT JOIN mt
 
 
 ORACLES["entropy_metric_share"] = _o7_sql()
+
+ORACLES["stacked_shares_by_task"] = _LD + """,
+nu AS (SELECT language, task, count(DISTINCT id) AS n FROM line_dist GROUP BY ALL),
+full_ AS (SELECT language FROM nu GROUP BY ALL HAVING count(DISTINCT task) = 2),
+w AS (SELECT l.language, l.task,
+             round(coalesce(sum(CASE WHEN lang = 'de' THEN p END), 0.0) / any_value(nu.n), 6) AS de,
+             round(coalesce(sum(CASE WHEN lang = 'en' THEN p END), 0.0) / any_value(nu.n), 6) AS en,
+             round(coalesce(sum(CASE WHEN lang = 'es' THEN p END), 0.0) / any_value(nu.n), 6) AS es,
+             round(coalesce(sum(CASE WHEN lang = 'fr' THEN p END), 0.0) / any_value(nu.n), 6) AS fr
+      FROM line_dist l JOIN nu USING (language, task)
+      WHERE l.language IN (SELECT language FROM full_)
+      GROUP BY l.language, l.task)
+SELECT *, round(1.0 - (((de + en) + es) + fr), 6) AS etc,
+       CAST(CASE WHEN task = 'monolingual' THEN 0 ELSE 1 END AS INTEGER) AS step_order FROM w"""

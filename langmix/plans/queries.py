@@ -882,3 +882,25 @@ def q_entropy_metric_share(spark, sf):
            .join(F.broadcast(dims.mt5_share(spark)), "iso3", "left"))
     return out.select(F.coalesce("iso3", "lang").alias("lang"), "task",
                       F.col("mean_reweighted_entropy").alias("entropy"), "lpr_mean", "mt5")
+
+
+@query("stacked_shares_by_task")
+def q_stacked_shares_by_task(spark, sf):
+    """Mean language shares per (expected language, task) for the units
+    present in every task ('step'), one column per predicted language plus
+    ``etc = 1 - sum``, with the fixed task order.  (The synthetic model and
+    source keys are functions of the id parity, as is the task, so they never
+    span both tasks; the expected language does.)"""
+    langs = ["de", "en", "es", "fr"]
+    keys = ["language"]
+    d = line_dist(spark, sf)
+    m = d.groupBy(*keys, "task", "lang").agg(F.sum("p").alias("s"))
+    n_units = d.select("id", *keys, "task").distinct().groupBy(*keys, "task").agg(F.count(F.lit(1)).alias("n"))
+    full = n_units.groupBy(*keys).agg(F.countDistinct("task").alias("k")).filter("k = 2").drop("k")
+    wide = (m.join(full, keys, "left_semi").groupBy(*keys, "task")
+            .pivot("lang", langs).agg(F.first("s")))
+    wide = wide.join(n_units, keys + ["task"]).fillna(0.0, subset=langs)
+    out = wide.select(*keys, "task", *[F.round(F.col(l) / F.col("n"), 6).alias(l) for l in langs])
+    total = sum((F.col(l) for l in langs[1:]), F.col(langs[0]))
+    order = F.when(F.col("task") == "monolingual", 0).otherwise(1)
+    return out.withColumn("etc", F.round(F.lit(1.0) - total, 6)).withColumn("step_order", order.cast("int"))
