@@ -795,3 +795,12 @@ w AS (SELECT l.language, l.task,
       GROUP BY l.language, l.task)
 SELECT *, round(1.0 - (((de + en) + es) + fr), 6) AS etc,
        CAST(CASE WHEN task = 'monolingual' THEN 0 ELSE 1 END AS INTEGER) AS step_order FROM w"""
+
+ORACLES["distribution_with_similarity"] = _LD + """,
+pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (gram)
+       GROUP BY ALL),
+pnrm AS (SELECT lang, sqrt(sum(weight * weight)) AS nrm FROM profile GROUP BY lang),
+cosm AS (SELECT "row", col, round((dot / (na.nrm * nb.nrm) + 1) / 2, 6) AS cos_sim
+         FROM pc JOIN pnrm na ON na.lang = "row" JOIN pnrm nb ON nb.lang = col)
+SELECT d.id, d.language, d.lang, d.p, c.cos_sim
+FROM line_dist d LEFT JOIN cosm c ON c."row" = d.lang AND c.col = d.language"""

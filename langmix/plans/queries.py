@@ -904,3 +904,16 @@ def q_stacked_shares_by_task(spark, sf):
     total = sum((F.col(l) for l in langs[1:]), F.col(langs[0]))
     order = F.when(F.col("task") == "monolingual", 0).otherwise(1)
     return out.withColumn("etc", F.round(F.lit(1.0) - total, 6)).withColumn("step_order", order.cast("int"))
+
+
+@query("distribution_with_similarity")
+def q_distribution_with_similarity(spark, sf):
+    """Every line-distribution row left-joined with the trigram-profile
+    cosine similarity between its predicted and its expected language."""
+    prof = I.lid_model(spark, sf).profile.select(F.col("lang").alias("node"), F.col("gram").alias("dim"),
+                                                 F.col("weight").alias("x"))
+    cos = G.cosine_scaled_long(prof).select(F.col("row").alias("lang"), F.col("col").alias("language"),
+                                            F.round("value", 6).alias("cos_sim"))
+    d = line_dist(spark, sf).select("id", "language", "lang", "p")
+    # the similarity matrix is languages x languages (bounded): AQE broadcasts it
+    return d.join(cos, ["lang", "language"], "left").select("id", "language", "lang", "p", "cos_sim")
