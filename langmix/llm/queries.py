@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from langmix.llm import decontaminate
+from langmix.llm import decontaminate, jaccard
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_jaccard_join": jaccard.ORACLE,
+}
