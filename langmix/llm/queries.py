@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from langmix.llm import decontaminate, jaccard
+from langmix.llm import decontaminate, jaccard, toxicity
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
