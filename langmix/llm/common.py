@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,27 +77,29 @@ def min_label(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def hash_rank(df: DataFrame, group: list[str], order: list[str], key: str, out: str,
-              rows_per_task: int = 100_000) -> DataFrame:
-    """0-based rank of each row within its group, ordered by (key, order).
-
-    ``key`` is an evenly spread hash as 32 lower-case hex digits (md5).  Its
-    leading digits cut each group, however large, into small buckets: counts per
-    bucket are pre-aggregated and summed up, and only the rows of one bucket meet
-    in a window.  ``df`` should be checkpointed, it is read three times."""
-    rows = df.count()
-    digits = max(1, math.ceil(math.log(max(1, rows / rows_per_task), 16)) + 1)
-    b = F.substring(F.col(key), 1, digits).alias("_bucket")
-    sizes = df.groupBy(*group, b).agg(F.count(F.lit(1)).alias("_n"))
-    w = _window(group, ["_bucket"])
-    first = sizes.select(*group, "_bucket", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+              weight: str | None = None, rows_per_task: int = 100_000) -> DataFrame:
+    """0-based rank of each row within its group, ordered by (key, order); with
+    ``weight`` the sum of the weights of the rows before it.
+
+    ``key`` is an evenly spread hash in lower-case hex digits (md5).  Its leading
+    digits cut each group, however large, into small buckets: bucket totals are
+    pre-aggregated and summed up, and only the rows of one bucket meet in a
+    window.  ``df`` should be checkpointed, it is read three times."""
+    digits = max(1, math.ceil(math.log(max(1, df.count() / rows_per_task), 16)) + 1)
+    w = F.col(weight) if weight else F.lit(1)
+    sizes = (df.groupBy(*group, F.substring(F.col(key), 1, digits).alias("_bucket")).agg(F.sum(w).alias("_n")))
+    first = sizes.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_bucket").alias("_b"),
+                         (F.sum("_n").over(_window(group, ["_bucket"])) - F.col("_n")).alias("_before"))
     rows = df.withColumn("_bucket", F.substring(F.col(key), 1, digits))
-    inside = rows.withColumn("_in", F.row_number().over(_window([*group, "_bucket"], [key, *order])) - 1)
-    same = functools.reduce(lambda a, c: a & inside[c].eqNullSafe(first[c]), group, inside["_bucket"] == first["_bucket"])
-    return inside.join(first, same).select(*[inside[c] for c in df.columns], (F.col("_before") + F.col("_in")).cast("long").alias(out))
+    inside = rows.withColumn("_in", F.sum(w).over(_window([*group, "_bucket"], [key, *order])
+                                                  .rowsBetween(Window.unboundedPreceding, 0)) - w)
+    same = F.col("_bucket") == F.col("_b")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return inside.join(first, same).select(*df.columns, (F.col("_before") + F.col("_in")).cast("long").alias(out))
 
 
 def _window(part: list[str], order: list[str]):
-    from pyspark.sql import Window
     w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
     return w.orderBy(*order)
 

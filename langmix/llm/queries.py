@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from langmix.llm import decontaminate, jaccard, toxicity
+from langmix.llm import decontaminate, jaccard, mixing, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
 }
