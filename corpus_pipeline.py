@@ -1,3 +1,79 @@
-STAGES = []
+"""The corpus pipeline: toxicity, near duplicates, decontamination, mix, shards.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept and returns the columns of ``documents`` (the last one its shards).  ``run``
+writes each stage's rows as Parquet into the shared checkpoint folder and reads
+them back, so a lost executor never costs more than the stage at hand.
+
+Rows with a null text pass the filters (nothing in them can be toxic, contaminated
+or a near duplicate).  Of rows that repeat a document's id in one group of near
+duplicates one stays.  Empty tables pass through.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from langmix.llm import common as C
+from langmix.llm import decontaminate, jaccard, mixing, sharding, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose last category of the classifier chain is 0.5 or more go.
+    The chain learns from the labelled rows of the given documents."""
+    chain = toxicity.learn(docs, toxicity.categories(C.table(spark, sf_dir, "labels")))
+    scored = toxicity.with_scores(docs, chain, prefix="_pipeline_")
+    return scored.where(F.col(f"_pipeline_{chain.names[-1]}") < toxicity.REJECT).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    classes = C.ckpt(jaccard.similarity_classes(docs))
+    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    again = classes.where("kept and n_links > 0").groupBy("doc_id").count().where("count > 1")
+    if again.limit(1).count():  # rows that repeat an id: their copies share its class
+        kept_twice = again.select(F.col("doc_id").alias("_again"))
+        match = F.col("doc_id").eqNullSafe(F.col("_again"))
+        left = left.join(kept_twice, match, "left_anti").unionByName(
+            left.join(kept_twice, match, "left_semi").dropDuplicates(["doc_id"]))
+    return left
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of ten words of a benchmark item go."""
+    found = decontaminate.decontaminate(docs, C.table(spark, sf_dir, "benchmark"))
+    hit = C.ckpt(found.where("contaminated").select(F.col("doc_id").alias("_hit")).distinct())
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target proportions: each document as often as it is taken."""
+    return mixing.mixed(docs)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A shard and a slot for every row of the mix."""
+    return sharding.shard_rows(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", one_of_each_group), ("decontamination", drop_contaminated),
+          ("mixing", mix_sources), ("sharding", assign_shards)]
+
+#: The first stage is a fitted classifier, which SQL cannot express.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again; returns the last one's rows."""
+    C.prepare(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    docs = C.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
