@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from langmix.llm import decontaminate, jaccard, mixing, sharding, toxicity
+from langmix.llm import decontaminate, jaccard, mixing, phrases, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_phrase_dedup": phrases.op7_phrase_dedup,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
