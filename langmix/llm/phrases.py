@@ -32,21 +32,21 @@ SHARD_WINDOWS = 20_000
 
 def confirm(anchors: list[list[tuple]], kind: R.Kind) -> list[tuple[int, int, int, int]]:
     """(key, rk, first, last) window starts that also occur under a smaller key.
-    anchors: for each representative its pieces (key, rk, lo, hi, words)."""
+    anchors: for each representative its pieces (key, rk, lo, hi, words, alone)."""
     out, several = [], []
     for rows in anchors:
         least = min(r[0] for r in rows)
         if all(r[0] == least for r in rows):
             continue
         if len({r[4] for r in rows}) == 1:
-            out += [(k, rk, lo, hi) for k, rk, lo, hi, _ in rows if k > least]
+            out += [(k, rk, lo, hi) for k, rk, lo, hi, *_ in rows if k > least]
         else:
             several.append(rows)
     for shard in R.chunks(several, lambda g: sum(r[3] - r[2] + 1 for r in g), SHARD_WINDOWS):
         rows = [r for g in shard for r in g]
         code: dict[bytes, str] = {}
         texts = []
-        for *_, piece in rows:
+        for *_, piece, _ in rows:
             texts.append("".join([code.setdefault(w, chr(len(code) + 1 + (0x800 if len(code) >= 0xD7FF else 0))) for w in piece.split(b" ")]))
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         windows: dict[str, int] = {}
@@ -61,7 +61,7 @@ def confirm(anchors: list[list[tuple]], kind: R.Kind) -> list[tuple[int, int, in
             machine.add_word(w, number[key])
         machine.make_automaton()
         streamed: dict[str, list[tuple[int, int]]] = {}
-        for (key, rk, lo, hi, _), s in zip(rows, texts):
+        for (key, rk, lo, hi, *_), s in zip(rows, texts):
             if s not in streamed:
                 streamed[s] = [(end - kind.length + 1, lowest[n]) for end, n in machine.iter(s)]
             flags = np.zeros(hi - lo + 1, bool)

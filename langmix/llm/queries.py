@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from langmix.llm import decontaminate, jaccard, mixing, phrases, sharding, toxicity
+from langmix.llm import decontaminate, jaccard, mixing, phrases, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,

@@ -76,9 +76,11 @@ def slide_min(g: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(g[:len(g) - rest], g[rest:]) if rest else g
 
 
-def runs(h: np.ndarray, first: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one representative: (text, from, to inclusive, hash);
-    window starts are counted from the text's first unit."""
+def runs(h: np.ndarray, first: np.ndarray, kind: Kind):
+    """Runs of windows with one representative: (text, from, to inclusive, hash,
+    alone); window starts are counted from the text's first unit.  alone: the run
+    holds its representative once, so no two of its windows can be equal (only
+    worked out for kinds that ask for it)."""
     none = np.zeros(0, np.int64)
     out = []
     texts, at = len(first) - 1, 0
@@ -89,7 +91,8 @@ def runs(h: np.ndarray, first: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.n
         at, base = to, at
         if len(x) < kind.length:
             continue
-        m = slide_min(grams(x, kind.gram), kind.span)  # one for each window start
+        g = grams(x, kind.gram)
+        m = slide_min(g, kind.span)  # one for each window start
         count = np.maximum(np.diff(begin) - kind.length + 1, 0)  # windows of each text
         starts = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
         if not len(starts):
@@ -100,9 +103,15 @@ def runs(h: np.ndarray, first: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.n
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(v)) - 1
         t = text[lo]
-        out.append((t + base, starts[lo] - begin[t], starts[hi] - begin[t], v[lo]))
+        alone = np.ones(len(lo), bool)
+        if kind.within:
+            grams_of = hi - lo + kind.span
+            upto = np.cumsum(grams_of)
+            place = np.repeat(starts[lo] - upto + grams_of, grams_of) + np.arange(upto[-1])
+            alone = np.add.reduceat(g[place] == np.repeat(v[lo], grams_of), upto - grams_of, dtype=np.int64) == 1
+        out.append((t + base, starts[lo] - begin[t], starts[hi] - begin[t], v[lo], alone))
     if not out:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -127,11 +136,9 @@ def recurring(docs: DataFrame, kind: Kind, groups: int) -> DataFrame:
             for b in C.pieces(batch, "text", SLICE_BYTES):
                 ids = b.column(0).to_numpy()
                 h, first, _ = kind.units(b.column(1))
-                t, lo, hi, v = runs(h, first, kind)
+                t, lo, hi, v, alone = runs(h, first, kind)
                 _, at, count = np.unique(v, return_inverse=True, return_counts=True)
-                known = count[at] > 1  # met twice here already
-                if kind.within:
-                    known |= hi - lo + 1 > kind.span
+                known = (count[at] > 1) | ~alone  # met twice here already
                 rows = [(int(key) % groups, int(key), None, None, s.astype(np.int32).tobytes(), None)
                         for key, (s,) in by_key(ids[t[known]], lo[known])]
                 once = np.zeros(len(v), bool)
@@ -158,7 +165,7 @@ def recurring(docs: DataFrame, kind: Kind, groups: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(spread, ENTRY).groupBy("p").applyInArrow(meet, FOUND)
 
 
-PIECE = "p int, a long, key long, rk long, lo int, hi int, piece binary, ranges binary"
+PIECE = "p int, a long, key long, rk long, lo int, hi int, piece binary, alone boolean, ranges binary"
 
 
 def candidate_pieces(docs: DataFrame, found: DataFrame, kind: Kind, groups: int) -> DataFrame:
@@ -172,23 +179,23 @@ def candidate_pieces(docs: DataFrame, found: DataFrame, kind: Kind, groups: int)
                 told = [np.concatenate([np.frombuffer(x, np.int32) for x in s]) if s else np.zeros(0, np.int32)
                         for s in b.column(3).to_pylist()]
                 h, first, content = kind.units(b.column(2))
-                t, lo, hi, v = runs(h, first, kind)
+                t, lo, hi, v, alone = runs(h, first, kind)
                 same: dict[bytes, list] = {}
                 begin = np.searchsorted(t, np.arange(b.num_rows + 1))
                 for d in range(b.num_rows):
                     x = slice(begin[d], begin[d + 1])
                     for j in np.flatnonzero(np.isin(lo[x], told[d])) + begin[d]:
                         same.setdefault(content(d, lo[j], hi[j] + kind.length), []).append(
-                            (int(key[d]), int(rk[d]), int(lo[j]), int(hi[j]), int(v[j])))
+                            (int(key[d]), int(rk[d]), int(lo[j]), int(hi[j]), int(v[j]), bool(alone[j])))
                 rows, settled = [], {}
                 for piece, at in same.items():
                     at = sorted(set(at))
-                    for n, (k, r, a, z, value) in enumerate(at):
+                    for n, (k, r, a, z, value, solo) in enumerate(at):
                         if n == 0 or (not kind.within and k == at[0][0]):
-                            rows.append(((value >> 20) % groups, value - (1 << 64) if value >> 63 else value, k, r, a, z, piece, None))
+                            rows.append(((value >> 20) % groups, value - (1 << 64) if value >> 63 else value, k, r, a, z, piece, solo, None))
                         else:
                             settled.setdefault((k, r), []).append((a, z))
-                rows += [(k % groups, 0, k, r, 0, 0, None, np.array(x, np.int32).tobytes()) for (k, r), x in settled.items()]
+                rows += [(k % groups, 0, k, r, 0, 0, None, None, np.array(x, np.int32).tobytes()) for (k, r), x in settled.items()]
                 yield batch_of(rows, PIECE)
 
     return docs.join(starts, "key").select("key", "rk", "text", "starts").mapInArrow(cut, PIECE)
@@ -211,7 +218,7 @@ def removed(docs: DataFrame, kind: Kind, decide: Decide) -> DataFrame:
             if piece is None:
                 rows.append((t["key"][i], t["rk"][i], t["ranges"][i]))
             else:
-                by.setdefault(t["a"][i], []).append((t["key"][i], t["rk"][i], t["lo"][i], t["hi"][i], piece))
+                by.setdefault(t["a"][i], []).append((t["key"][i], t["rk"][i], t["lo"][i], t["hi"][i], piece, t["alone"][i]))
         for k, r, a, z in decide(list(by.values()), kind):
             out.setdefault((k, r), []).append((a, z))
         rows += [(k, r, np.array(x, np.int32).tobytes()) for (k, r), x in out.items()]
@@ -249,7 +256,7 @@ def digest(docs: DataFrame, ranges: DataFrame, one: Callable[[bytes, list[tuple[
     return docs.join(told, "key", "left").select("doc_id", "rk", "text", "told").mapInArrow(run, ddl)
 
 
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
