@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from langmix.llm import decontaminate, jaccard, mixing, neighbours, phrases, sharding, suffixes, toxicity
+from langmix.llm import decontaminate, jaccard, mixing, neighbours, phrases, quality, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,12 +11,14 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_phrase_dedup": phrases.op7_phrase_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_sorted_passes": neighbours.op9_sorted_passes,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op8_quality": quality.op8_quality,
     "op9_sorted_passes": neighbours.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
 }

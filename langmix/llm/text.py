@@ -66,15 +66,18 @@ def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0]:o[-1]], o - o[0]
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray, seps: bytes = SPACE,
-           fold_case: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (maximal runs of bytes outside ``seps``) of every text.
+def tokens(buf: np.ndarray, offsets: np.ndarray, seps: bytes = SPACE, fold_case: bool = False,
+           symbols: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (maximal runs of bytes outside ``seps``) of every text; runs of
+    ``symbols`` are words of their own.
 
     Returns (starts, ends, hashes, first): byte ranges in ``buf``, a 64-bit hash
     of each word's bytes, and the index of each text's first word (one more
     entry than texts)."""
     sep = np.zeros(256, bool)
     sep[list(seps)] = True
+    kinds = np.where(sep, 0, 1).astype(np.uint8)
+    kinds[list(symbols)] = 2
     codes = byte_codes(fold_case)
     codes[sep] = 0
     n = len(buf)
@@ -89,11 +92,12 @@ def tokens(buf: np.ndarray, offsets: np.ndarray, seps: bytes = SPACE,
             free = sep[buf[to:stop]] | cut[to:stop]
             to = to + int(free.argmax()) if free.any() else stop
         x = buf[at:to]
-        word = ~sep[x]
-        begins = word.copy()
-        begins[1:] &= ~word[:-1] | cut[at + 1:to]
-        finishes = word.copy()
-        finishes[:-1] &= ~word[1:] | cut[at + 1:to]
+        kind = kinds[x]
+        turn = (kind[1:] != kind[:-1]) | cut[at + 1:to]
+        begins = kind > 0
+        finishes = begins.copy()
+        begins[1:] &= turn
+        finishes[:-1] &= turn
         s, e = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
         if len(s):
             p, q = powers(len(x) + 1)
