@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from langmix.llm import decontaminate, jaccard, mixing, neighbours, phrases, quality, sharding, suffixes, toxicity
+from langmix.llm import classlm, decontaminate, jaccard, mixing, neighbours, phrases, quality, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_class_lm": classlm.op6_class_lm,
     "op7_phrase_dedup": phrases.op7_phrase_dedup,
     "op8_quality": quality.op8_quality,
     "op9_sorted_passes": neighbours.op9_sorted_passes,
