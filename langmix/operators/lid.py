@@ -1,29 +1,29 @@
 """Language identification as a Spark job.
 
-The reference calls per-row native detectors.  Here detection is relational:
-
-* **primary detector** - a character-trigram naive-Bayes profile learned by
-  aggregation over labelled rows.  Each language keeps its ``top_n`` most
-  frequent trigrams (so the profile has at most ``top_n x languages`` rows,
-  a bound that does not grow with the data) with weight
-  ``ln(1 + SCALE * count / total)``: the log-likelihood ratio of the trigram's
-  relative frequency against a uniform floor of ``1/SCALE``.  A unit's score
-  for a language is the sum of the weights of its trigram occurrences; the
-  confidence is the softmax of the scores over all profile languages.
-* **secondary detector** - a stop-word vote: the ``top_words`` most frequent
-  words of each language; confidence is the winner's share of the votes.
-
-Units are de-duplicated before scoring (L4: the reference's memo cache becomes
-a ``distinct``), the profile is broadcast (its size is bounded by
-construction and checked), and labels are joined back to the facts.
-Scores are rounded to 6 decimals before ranking so the result does not depend
-on summation order; ties go to the smaller language code.
+The reference calls per-row native detectors.  Here detection is model inference
+in one narrow step: the model is a pair of tables of fixed size, learned by one
+aggregation over labelled rows, and a vectorised Arrow function scores each text
+where it is read.  Nothing is shuffled to label a line or a token.
+
+* **primary detector** - character trigrams.  Every trigram of the training text
+  counts, in one of ``SLOTS`` hashed slots; a slot's weight for a language is
+  ``ln(1 + SCALE * count / total)``, the log-likelihood ratio of its relative
+  frequency against a uniform floor of ``1/SCALE``.  A unit's score is the sum of
+  its trigrams' weights; the confidence is the softmax over all languages.
+* **secondary detector** - word votes.  Every training word counts, again in a
+  hashed slot; a word votes for the language in which its slot is relatively most
+  frequent; confidence is the winner's share of the votes.
+
+Scores are rounded to 6 decimals before ranking so the result does not depend on
+summation order; ties go to the smaller language code.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,202 +31,218 @@ from langmix.functions import text as tx
 from langmix.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
-PROFILE_TOP_N = 300          # trigrams kept per language
-STOPWORDS_TOP_K = 30         # stop words kept per language (secondary detector)
+SLOTS = 1 << 15              # slots of trigrams and of words
+STOPWORDS_TOP_K = 30         # length of the stop-word report
 WEIGHT_SCALE = 1_000_000.0   # uniform floor 1e-6 for unseen trigrams
 UNKNOWN = "unknown"
 OTHERS = "others"
-# Largest profile we broadcast; above it the join is left to AQE's runtime check.
-MAX_BROADCAST_PROFILE_ROWS = 2_000_000
 # ---------------------------------------------------------------------------
+_STEP = 1 << 19
 
 
 @dataclass
 class LidModel:
-    profile: DataFrame      # lang, gram, cnt, weight (long form)
-    stopwords: DataFrame    # lang, word
-    langs: list[str]        # languages of the profile, sorted (bounded, small)
-    profile_rows: int
-    profile_wide: DataFrame | None = None    # gram, w array<double> in ``langs`` order
-    stopwords_wide: DataFrame | None = None  # word, v array<int> in ``langs`` order
+    profile: DataFrame      # lang, slot, cnt, weight
+    langs: list[str]        # languages of the profile, sorted
+    weights: np.ndarray     # SLOTS x languages
+    votes: np.ndarray       # SLOTS: language number, -1 if no training word
 
     @property
     def n_langs(self) -> int:
         return len(self.langs)
 
-    def _maybe_broadcast(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.profile_rows <= MAX_BROADCAST_PROFILE_ROWS else df
 
-    def profile_for_join(self) -> DataFrame:
-        return self._maybe_broadcast(self.profile_wide)
-
-    def stopwords_for_join(self) -> DataFrame:
-        return self._maybe_broadcast(self.stopwords_wide)
-
-
-def widen_by_lang(long_df: DataFrame, key: str, value: str, langs: list[str], out: str,
-                  zero=0.0) -> DataFrame:
-    """(key, lang, value) -> (key, array of values in ``langs`` order, zero-filled)."""
-    wide = long_df.groupBy(key).pivot("lang", langs).agg(F.first(value))
-    return wide.select(key, F.array(*[F.coalesce(F.col(l), F.lit(zero)) for l in langs]).alias(out))
-
-
-def trigram_profile(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
-                    top_n: int = PROFILE_TOP_N) -> DataFrame:
-    """(lang, gram, cnt, weight): top-n trigrams per language.
-
-    The per-language top-n is a ``row_number`` filter, which Spark plans as a
-    partial window-group limit before the shuffle, so no task ever holds all
-    trigrams of a language."""
-    grams = labelled.select(F.col(label_col).alias("lang"), F.explode(tx.char_trigrams(text_col)).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt"))
-    totals = counts.groupBy("lang").agg(F.sum("cnt").alias("total"))
-    w = Window.partitionBy("lang").orderBy(F.desc("cnt"), F.asc("gram"))
-    top = counts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top_n).drop("rk")
-    return (top.join(F.broadcast(totals), "lang")
-            .select("lang", "gram", "cnt",
-                    F.round(F.ln(F.lit(1.0) + F.lit(WEIGHT_SCALE) * F.col("cnt") / F.col("total")), 6)
-                    .alias("weight")))
+# ---- hashed trigrams and words of normalised text ---------------------------
+
+def code_points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, begin of each text's); nulls are empty."""
+    col = col.fill_null("") if col.null_count else col
+    if not len(col):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    _, off, data = col.buffers()
+    wide = pa.types.is_large_string(col.type)
+    o = np.frombuffer(off, np.int64 if wide else np.int32, len(col) + 1 + col.offset)[col.offset:].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[o[0]:o[-1]] if data is not None else np.zeros(0, np.uint8)
+    first = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    return points, first[o - o[0]]
+
+
+def trigram_slots(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, begin of each text's): code points a, b, c fall in slot
+    (961 a + 31 b + c) mod SLOTS."""
+    n = np.maximum(np.diff(first) - 2, 0)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(first[:-1] - begin[:-1], n) + np.arange(begin[-1])
+    return (points[at] * 961 + points[at + 1] * 31 + points[at + 2]) % SLOTS, begin
+
+
+def word_slots(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, begin of each text's) of the words between single spaces: the sum
+    of the code points times 31^(place mod 16) mod SLOTS."""
+    cut = np.zeros(len(points) + 1, bool)
+    cut[first] = True
+    letter = points != 32
+    starts = np.flatnonzero(letter & (np.concatenate([[True], ~letter[:-1]]) | cut[:-1]))
+    if not len(starts):
+        return starts, np.zeros(len(first), np.int64)
+    size = np.diff(np.append(starts, len(points)))
+    place = np.arange(starts[0], len(points)) - np.repeat(starts, size)
+    power = np.array([pow(31, k, SLOTS) for k in range(16)])
+    part = np.where(letter, points, 0)[starts[0]:] * power[place % 16]
+    return np.add.reduceat(part, starts - starts[0]) % SLOTS, np.searchsorted(starts, first)
+
+
+# ---- training ----------------------------------------------------------------
+
+def slot_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """(kind, lang, slot, cnt): trigram and word counts, pre-aggregated per batch."""
+    def run(batches):
+        for b in batches:
+            langs = np.array(b.column(0).to_pylist(), object)
+            points, first = code_points(b.column(1))
+            for kind, f in (("gram", trigram_slots), ("word", word_slots)):
+                slots, begin = f(points, first)
+                owner = np.repeat(np.arange(len(langs)), np.diff(begin))
+                names, at = np.unique(langs.astype(str), return_inverse=True)
+                for k, name in enumerate(names):
+                    n = np.bincount(slots[at[owner] == k], minlength=SLOTS)
+                    used = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_pydict({
+                        "kind": pa.array([kind] * len(used), pa.string()), "lang": pa.array([str(name)] * len(used), pa.string()),
+                        "slot": pa.array(used, pa.int32()), "cnt": pa.array(n[used], pa.int64())})
+
+    rows = labelled.select(F.col(label_col).cast("string").alias("lang"), tx.char_trigram_text(text_col).alias("t")).where("lang is not null")
+    return (rows.mapInArrow(run, "kind string, lang string, slot int, cnt long")
+            .groupBy("kind", "lang", "slot").agg(F.sum("cnt").alias("cnt")))
+
+
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> LidModel:
+    """Fit both detectors.  The counts (at most SLOTS rows per language and kind)
+    are checkpointed, so later queries do not depend on the training lineage."""
+    counts = cut_lineage(slot_counts(labelled, text_col, label_col))
+    totals = Window.partitionBy("lang")
+    profile = (counts.where("kind = 'gram'").withColumn("total", F.sum("cnt").over(totals))
+               .select("lang", "slot", "cnt", F.round(F.ln(F.lit(1.0) + F.lit(WEIGHT_SCALE) * F.col("cnt") / F.col("total")), 6).alias("weight")))
+    # tables of fixed size: SLOTS x languages
+    grams, words = profile.toArrow().to_pydict(), counts.where("kind = 'word'").toArrow().to_pydict()
+    langs = sorted(set(grams["lang"]) | set(words["lang"]))
+    number = {x: i for i, x in enumerate(langs)}
+    weights = np.zeros((SLOTS, max(1, len(langs))))
+    weights[grams["slot"], [number[x] for x in grams["lang"]]] = grams["weight"]
+    n = np.zeros((SLOTS, max(1, len(langs))))
+    n[words["slot"], [number[x] for x in words["lang"]]] = words["cnt"]
+    total = n.sum(axis=0)
+    share = n / np.where(total > 0, total, 1.0)
+    votes = np.where(n.any(axis=1), share.argmax(axis=1), -1).astype(np.int16)
+    return LidModel(profile, langs, weights, votes)
 
 
 def stopword_lists(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
                    top_k: int = STOPWORDS_TOP_K) -> DataFrame:
-    """(lang, word): the top-k lower-cased words of each language."""
+    """(lang, word): the top-k lower-cased words of each language, a report."""
     words = labelled.select(F.col(label_col).alias("lang"),
                             F.explode(tx.word_punct_tokens(F.lower(F.col(text_col)))).alias("word"))
-    words = words.filter(F.col("word").rlike(r"^\p{L}+$"))
+    words = words.filter(F.col("lang").isNotNull() & F.col("word").rlike(r"^\p{L}+$"))
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("lang").orderBy(F.desc("cnt"), F.asc("word"))
     return (counts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top_k)
             .select("lang", "word"))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
-          top_n: int = PROFILE_TOP_N, top_k: int = STOPWORDS_TOP_K,
-          materialize: bool = True) -> LidModel:
-    """Fit both detectors.  The (small, bounded) model tables are checkpointed
-    into the shared checkpoint folder so later queries neither recompute nor
-    depend on the training lineage."""
-    labelled = labelled.filter(F.col(label_col).isNotNull())
-    profile = trigram_profile(labelled, text_col, label_col, top_n)
-    stop = stopword_lists(labelled, text_col, label_col, top_k)
-    if materialize:
-        profile = cut_lineage(profile)
-        stop = cut_lineage(stop)
-    # the language set is tiny (one row per language): read it to shape the plan
-    langs = sorted(r["lang"] for r in profile.select("lang").distinct().collect())
-    rows = profile.count() if materialize else top_n * max(1, len(langs))
-    wide = widen_by_lang(profile, "gram", "weight", langs, "w", 0.0)
-    swide = widen_by_lang(stop.withColumn("one", F.lit(1)), "word", "one", langs, "v", 0)
-    if materialize:
-        wide, swide = cut_lineage(wide), cut_lineage(swide)
-    return LidModel(profile, stop, langs, rows, wide, swide)
-
-
-FP = ["fp1", "fp2"]
-
-
-def fingerprint(col) -> list[Column]:
-    """96-bit fingerprint of a unit (xxhash64 + murmur3).  Scoring runs on the
-    fingerprint so the exploded trigram rows and the per-unit aggregates carry
-    two longs instead of the unit text; at 1e12 distinct units the expected
-    number of colliding pairs is below 1e-5."""
-    c = F.col(col) if isinstance(col, str) else col
-    return [F.xxhash64(c).alias("fp1"), F.hash(c).cast("long").alias("fp2")]
-
-
-def distinct_units(facts: DataFrame, unit_col: str) -> DataFrame:
-    """L4: one row per distinct unit with its fingerprint (map-side partial
-    aggregation collapses hot repeated values before the shuffle)."""
-    # a key-only hash aggregate (a string-valued aggregate buffer would force a
-    # sort-based aggregate)
-    return facts.select(*fingerprint(unit_col), F.col(unit_col).alias("unit")).distinct()
-
-
-def _argmax_lang(scores: Column, langs: list[str]) -> Column:
-    """Language of the first maximum (languages are sorted, so ties go to the
-    smaller code)."""
-    idx = F.array_position(scores, F.array_max(scores))
-    return F.element_at(F.array(*[F.lit(l) for l in langs]), idx.cast("int"))
-
-
-def score(units: DataFrame, model: LidModel) -> DataFrame:
-    """Primary detector on distinct units (fp1, fp2, unit):
-    (fp1, fp2, p_lang, p_conf); units without any profile trigram are absent.
-
-    Trigram occurrences are broadcast-joined to the wide profile and summed
-    per unit into one double per language (a numeric-keyed, code-generated
-    aggregate); the softmax runs on the resulting short array."""
-    grams = units.select(*FP, F.explode(tx.char_trigrams("unit")).alias("gram"))
-    j = grams.join(model.profile_for_join(), "gram")
-    sums = j.groupBy(*FP).agg(*[F.round(F.sum(F.col("w")[i]), 6).alias(f"s{i}")
-                                for i in range(model.n_langs)])
-    s = F.array(*[F.col(f"s{i}") for i in range(model.n_langs)])
-    smax = F.array_max(s)
-    denom = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x - smax))
-    return sums.select(*FP, _argmax_lang(s, model.langs).alias("p_lang"),
-                       (F.lit(1.0) / denom).alias("p_conf"))
-
-
-def vote(units: DataFrame, model: LidModel) -> DataFrame:
-    """Secondary detector on distinct units: (fp1, fp2, s_lang, s_conf):
-    votes of the unit's lower-cased words that are stop words, per language;
-    confidence = the winner's share of all votes."""
-    words = units.select(*FP, F.explode(tx.word_punct_tokens(F.lower(F.col("unit")))).alias("word"))
-    j = words.join(model.stopwords_for_join(), "word")
-    sums = j.groupBy(*FP).agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(model.n_langs)])
-    v = F.array(*[F.col(f"v{i}") for i in range(model.n_langs)])
-    total = F.aggregate(v, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return sums.select(*FP, _argmax_lang(v, model.langs).alias("s_lang"),
-                       (F.array_max(v) / total).alias("s_conf"))
-
-
-def detect(units: DataFrame, model: LidModel, mode: str = "cascade",
-           threshold: float = 0.3, code_map: DataFrame | None = None,
-           unmapped: str | None = None) -> DataFrame:
-    """Label distinct units (fp1, fp2, unit) -> (fp1, fp2, pred_lang).
-
-    mode ``single`` (L3): primary label if confidence > threshold, else unknown.
+# ---- detection ---------------------------------------------------------------
+
+def _sums(values: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Sum of each text's rows of ``values`` (a function of a slice)."""
+    out = np.zeros((len(begin) - 1, width))
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(begin, begin[at] + _STEP, "right")) - 1)
+        full = at + np.flatnonzero(np.diff(begin[at:to + 1]))
+        if len(full):
+            out[full] = np.add.reduceat(values(slice(begin[at], begin[to])), begin[full] - begin[at], axis=0)
+        at = to
+    return out
+
+
+def primary(points: np.ndarray, first: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language number, confidence) of each text; confidence -1 without any known trigram."""
+    slots, begin = trigram_slots(points, first)
+    s = np.round(_sums(lambda x: weights[slots[x]], begin, weights.shape[1]), 6)
+    top = s.max(axis=1, initial=0)
+    conf = 1.0 / np.exp(s - top[:, None]).sum(axis=1)
+    return s.argmax(axis=1), np.where(top > 0, conf, -1.0)
+
+
+def secondary(points: np.ndarray, first: np.ndarray, votes: np.ndarray, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    slots, begin = word_slots(points, first)
+    v = votes[slots]
+    hit = v >= 0
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(begin))[hit]
+    n = np.bincount(owner * langs + v[hit], minlength=(len(first) - 1) * langs).reshape(-1, langs)
+    total = n.sum(axis=1)
+    return n.argmax(axis=1), np.where(total > 0, n.max(axis=1, initial=0) / np.maximum(total, 1), -1.0)
+
+
+def detect(col: pa.Array, weights: np.ndarray, votes: np.ndarray, mode: str, threshold: float, second: np.ndarray) -> np.ndarray:
+    """Label number of each normalised text: a language, -1 unknown, or what
+    ``second`` makes of the secondary detector's language.
+
+    mode ``single`` (L3): primary label if confidence > threshold.
     mode ``cascade`` (L1/L2): primary label if confidence >= threshold; else the
-    secondary label if its confidence >= threshold, passed through ``code_map``
-    (code, mapped) - unmapped labels become ``unmapped`` (L1: 'others') or stay
-    as they are (L2: ``unmapped=None``); else unknown."""
-    keys = units.select(*FP)
-    prim = keys.join(score(units, model), FP, "left")
+    secondary label if its confidence >= threshold; else unknown."""
+    points, first = code_points(col)
+    label, conf = primary(points, first, weights)
     if mode == "single":
-        lab = F.when(F.col("p_conf") > threshold, F.col("p_lang")).otherwise(F.lit(UNKNOWN))
-        return prim.select(*FP, lab.alias("pred_lang"))
-    # the secondary detector only runs for units the primary did not settle
-    settled = prim.filter(F.col("p_conf") >= threshold).select(*FP)
-    open_units = units.join(settled, FP, "left_anti")
-    both = prim.join(vote(open_units, model), FP, "left")
-    sec_lab = F.col("s_lang")
-    if code_map is not None:
-        both = both.join(F.broadcast(code_map.select(F.col("code").alias("s_lang"), "mapped")),
-                         "s_lang", "left")
-        sec_lab = F.coalesce(F.col("mapped"), F.lit(unmapped) if unmapped else F.col("s_lang"))
-    lab = (F.when(F.col("p_conf") >= threshold, F.col("p_lang"))
-           .when(F.col("s_conf") >= threshold, sec_lab)
-           .otherwise(F.lit(UNKNOWN)))
-    return both.select(*FP, lab.alias("pred_lang"))
-
-
-def unit_labels(facts: DataFrame, text_col: str, model: LidModel, **detect_args) -> DataFrame:
-    """(fp1, fp2, pred_lang) for every distinct value of ``text_col``."""
-    return detect(distinct_units(facts, text_col), model, **detect_args)
-
-
-def attach_labels(facts: DataFrame, text_col: str, labels: DataFrame, out_col: str = "pred_lang") -> DataFrame:
-    """Join labels back to the facts on the fingerprint (two longs)."""
-    # hash join on the (distinct-unit) label side: the large fact side is not sorted
-    labels = labels.select(*FP, F.col("pred_lang").alias("_lab")).hint("shuffle_hash")
-    return (facts.select("*", *fingerprint(text_col)).join(labels, FP, "left")
-            .withColumn(out_col, F.coalesce(F.col("_lab"), F.lit(UNKNOWN))).drop("_lab", *FP))
-
-
-def label_column(facts: DataFrame, text_col: str, model: LidModel, out_col: str = "pred_lang",
-                 **detect_args) -> DataFrame:
-    """Label every row's ``text_col`` by scoring each distinct value
-    once and joining the labels back on the fingerprint.  Hot repeated values
-    are pre-aggregated by the distinct; AQE splits skewed join partitions."""
-    return attach_labels(facts, text_col, unit_labels(facts, text_col, model, **detect_args), out_col)
+        return np.where(conf > threshold, label, -1)
+    other, share = secondary(points, first, votes, weights.shape[1])
+    return np.where(conf >= threshold, label, np.where(share >= threshold, second[other], -1))
+
+
+def _labeller(model: LidModel, spark, mode: str, threshold: float, code_map: dict[str, str] | None, unmapped: str | None):
+    """(Arrow function of a column of normalised texts or of arrays of them, label names)."""
+    names = [*model.langs]
+    if code_map is not None:  # mapped codes, and 'others' for the rest
+        second = []
+        for x in model.langs:
+            y = code_map.get(x, unmapped or x)
+            if y not in names:
+                names.append(y)
+            second.append(names.index(y))
+    else:
+        second = range(len(model.langs))
+    sent = spark.sparkContext.broadcast((model.weights, model.votes, np.array([*second] or [-1])))
+    names.append(UNKNOWN)
+    return sent, names
+
+
+def _name(number: Column, names: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in names]), F.when(number < 0, F.lit(-1)).otherwise(number + 1))
+
+
+def label_column(facts: DataFrame, text_col: str, model: LidModel, out_col: str = "pred_lang", mode: str = "cascade",
+                 threshold: float = 0.3, code_map: dict[str, str] | None = None, unmapped: str | None = None) -> DataFrame:
+    """Label every row's ``text_col``, without a shuffle."""
+    sent, names = _labeller(model, facts.sparkSession, mode, threshold, code_map, unmapped)
+
+    @F.arrow_udf("int")
+    def label(t: pa.Array) -> pa.Array:
+        return pa.array(detect(t, *sent.value[:2], mode, threshold, sent.value[2]), pa.int32())
+
+    return facts.withColumn(out_col, _name(label(tx.char_trigram_text(text_col)), names))
+
+
+def label_array(facts: DataFrame, array_col: str, model: LidModel, out_col: str = "langs", mode: str = "cascade",
+                threshold: float = 0.3) -> DataFrame:
+    """Label every element of an array of texts, without a shuffle."""
+    sent, names = _labeller(model, facts.sparkSession, mode, threshold, None, None)
+
+    @F.arrow_udf("array<int>")
+    def label(t: pa.Array) -> pa.Array:
+        flat = t.flatten()  # without what null rows hold
+        size = np.array([0 if n is None else n for n in t.value_lengths().to_pylist()], np.int64)
+        n = detect(flat, *sent.value[:2], mode, threshold, sent.value[2])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(n, pa.int32()))
+
+    normal = F.transform(array_col, tx.char_trigram_text)
+    return facts.withColumn(out_col, F.transform(label(normal), lambda n: _name(n, names)))

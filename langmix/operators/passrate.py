@@ -28,16 +28,17 @@ def dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def completion_checks(comps: DataFrame, lines: DataFrame, words: DataFrame, keys: Sequence[str],
-                      lang_col: str = "language") -> DataFrame:
+                      lang_col: str = "language", raw_lines: DataFrame | None = None) -> DataFrame:
     """P1/P2 per completion: n_lines, n_err, line_error, word_error.
 
     ``lines`` are the qualifying lines (>= 5 tokens) with ``pred_lang`` and
-    ``tokens``; a completion without qualifying lines is skipped (n_lines 0)."""
+    ``tokens``; a completion without qualifying lines is skipped (n_lines 0).
+    ``raw_lines``: the same lines before labelling, for the dictionary join."""
     keys = list(keys)
     stats = lines.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.col("pred_lang") != F.col(lang_col)).alias("n_err"))
-    hits = (lines.select("id", F.explode("tokens").alias("word"))
+    hits = ((lines if raw_lines is None else raw_lines).select("id", F.explode("tokens").alias("word"))
             .join(words, "word", "left_semi").select("id").distinct()
             .withColumn("dict_hit", F.lit(True)))
     c = (comps.select(*keys).join(stats, keys, "left").join(hits, "id", "left")

@@ -68,19 +68,12 @@ def labelled_lines(spark: SparkSession, sf_dir: str, threshold: float = 0.3) ->
     return lid.label_column(lines, "line", lid_model(spark, sf_dir), mode="cascade", threshold=threshold)
 
 
-def line_tokens(lines: DataFrame) -> DataFrame:
-    return lines.select("*", F.explode(tx.tokenize("line")).alias("token")).drop("line")
-
-
-def labelled_tokens(lines: DataFrame, spark: SparkSession, sf_dir: str, threshold: float = 0.3,
-                    token_source: DataFrame | None = None) -> DataFrame:
-    """Tokens of every line, each token labelled.  Distinct tokens are
-    scored once; ``token_source`` (default: ``lines``) supplies the token
-    vocabulary so it can come from the unlabelled line facts, keeping the
-    line-labelling subtree out of the token-scoring branch."""
-    src = line_tokens(token_source if token_source is not None else lines)
-    labels = lid.unit_labels(src, "token", lid_model(spark, sf_dir), mode="cascade", threshold=threshold)
-    return lid.attach_labels(line_tokens(lines), "token", labels, out_col="token_lang")
+def labelled_tokens(lines: DataFrame, spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    """Tokens of every line, each token labelled (no shuffle)."""
+    toks = lines.select("*", tx.tokenize("line").alias("tokens")).drop("line")
+    out = lid.label_array(toks, "tokens", lid_model(spark, sf_dir), mode="cascade", threshold=threshold)
+    return out.select("*", F.explode(F.arrays_zip("tokens", "langs")).alias("_t")) \
+        .select(*toks.drop("tokens").columns, F.col("_t.tokens").alias("token"), F.col("_t.langs").alias("token_lang"))
 
 
 def pass_rate_lines(comp: DataFrame) -> DataFrame:

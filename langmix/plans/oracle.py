@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from langmix.functions import text as tx
 from langmix.operators import dist as D
-from langmix.operators import lid
 from langmix.plans import inputs as I
 
 
@@ -44,26 +43,42 @@ comp AS (
          source, lang AS language, text AS completion
   FROM documents)"""
 
+# fixed values: slots of the detectors' tables, and 31^k mod slots for k = 0..15
+SLOTS = 32768
+POWERS = "[" + ", ".join(str(31 ** k % SLOTS) for k in range(16)) + "]"
+
+
+def gram_slot_sql(g: str) -> str:
+    return f"(961 * unicode({g}[1]) + 31 * unicode({g}[2]) + unicode({g}[3])) % {SLOTS}"
+
+
+def word_slot_sql(w: str) -> str:
+    return (f"list_sum(list_transform(generate_series(1, length({w})), "
+            f"lambda i: unicode({w}[i]) * {POWERS}[(i - 1) % 16 + 1])) % {SLOTS}")
+
+
 MODEL = f"""
 tr_txt AS (SELECT lang, {trigram_text_sql('text')} AS t FROM documents WHERE lang IS NOT NULL),
 tr_grams AS (SELECT lang, substring(t, i, 3) AS gram
              FROM (SELECT lang, t, unnest(generate_series(1, length(t) - 2)) AS i FROM tr_txt)),
-tr_counts AS (SELECT lang, gram, count(*) AS cnt FROM tr_grams GROUP BY lang, gram),
-tr_totals AS (SELECT lang, sum(cnt) AS total FROM tr_counts GROUP BY lang),
-profile AS (
-  SELECT c.lang, c.gram, c.cnt,
-         round(ln(1.0 + {lid.WEIGHT_SCALE} * c.cnt / t.total), 6) AS weight
-  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, gram) AS rk FROM tr_counts) c
-  JOIN tr_totals t USING (lang)
-  WHERE rk <= {lid.PROFILE_TOP_N}),
+tr_counts AS (SELECT lang, {gram_slot_sql('gram')} AS slot, sum(n) AS cnt
+              FROM (SELECT lang, gram, count(*) AS n FROM tr_grams GROUP BY lang, gram) GROUP BY ALL),
+profile AS (SELECT lang, slot, cnt, round(ln(1.0 + 1000000.0 * cnt / sum(cnt) OVER (PARTITION BY lang)), 6) AS weight
+            FROM tr_counts),
 n_langs AS (SELECT count(DISTINCT lang) AS nl FROM profile),
-tr_words AS (SELECT lang, unnest(regexp_extract_all(lower(text), {WORD_RE})) AS word
-             FROM documents WHERE lang IS NOT NULL),
+tr_words AS (SELECT lang, word, count(*) AS n
+             FROM (SELECT lang, unnest(string_split(t, ' ')) AS word FROM tr_txt) WHERE word <> '' GROUP BY ALL),
+tr_wslots AS (SELECT lang, {word_slot_sql('word')} AS slot, sum(n) AS cnt FROM tr_words GROUP BY ALL),
+votes AS (SELECT slot, lang FROM (
+            SELECT slot, lang, row_number() OVER (PARTITION BY slot ORDER BY share DESC, lang) AS rk
+            FROM (SELECT slot, lang, cnt / sum(cnt) OVER (PARTITION BY lang) AS share FROM tr_wslots)) WHERE rk = 1),
+n_words AS (SELECT lang, unnest(regexp_extract_all(lower(text), {WORD_RE})) AS word
+            FROM documents WHERE lang IS NOT NULL),
 stopwords AS (
   SELECT lang, word FROM (
     SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS rk
-    FROM tr_words WHERE regexp_full_match(word, '\\p{{L}}+') GROUP BY lang, word)
-  WHERE rk <= {lid.STOPWORDS_TOP_K})"""
+    FROM n_words WHERE regexp_full_match(word, '\\p{{L}}+') GROUP BY lang, word)
+  WHERE rk <= 30)"""
 
 
 def detect_sql(units: str, name: str, mode: str = "cascade", threshold: float = 0.3,
@@ -72,11 +87,13 @@ def detect_sql(units: str, name: str, mode: str = "cascade", threshold: float =
     p = f"{name}_"
     s = f"""
 {p}u AS (SELECT DISTINCT unit FROM {units}),
-{p}ug AS (SELECT unit, substring(t, i, 3) AS gram
-          FROM (SELECT unit, t, unnest(generate_series(1, length(t) - 2)) AS i
-                FROM (SELECT unit, {trigram_text_sql('unit')} AS t FROM {p}u))),
-{p}ps AS (SELECT unit, lang, round(sum(weight), 6) AS score
-          FROM {p}ug JOIN profile USING (gram) GROUP BY unit, lang),
+{p}ut AS (SELECT unit, {trigram_text_sql('unit')} AS t FROM {p}u),
+{p}ug AS (SELECT unit, gram, count(*) AS n
+          FROM (SELECT unit, substring(t, i, 3) AS gram
+                FROM (SELECT unit, t, unnest(generate_series(1, length(t) - 2)) AS i FROM {p}ut)) GROUP BY ALL),
+{p}gs AS (SELECT gram, {gram_slot_sql('gram')} AS slot FROM (SELECT DISTINCT gram FROM {p}ug)),
+{p}ps AS (SELECT unit, lang, round(sum(n * weight), 6) AS score
+          FROM {p}ug JOIN {p}gs USING (gram) JOIN profile USING (slot) GROUP BY unit, lang),
 {p}ps2 AS (SELECT *, max(score) OVER (PARTITION BY unit) AS smax, count(*) OVER (PARTITION BY unit) AS k,
                   row_number() OVER (PARTITION BY unit ORDER BY score DESC, lang) AS rn FROM {p}ps),
 {p}pb AS (SELECT unit, max(CASE WHEN rn = 1 THEN lang END) AS p_lang,
@@ -86,11 +103,12 @@ def detect_sql(units: str, name: str, mode: str = "cascade", threshold: float =
         return s + f""",
 {name} AS (SELECT u.unit, CASE WHEN pb.p_conf > {threshold} THEN pb.p_lang ELSE 'unknown' END AS pred_lang
            FROM {p}u u LEFT JOIN {p}pb pb USING (unit))"""
-    sec = f"(CASE WHEN sb.s_lang IN (SELECT DISTINCT lang FROM profile) THEN sb.s_lang ELSE 'others' END)" \
-        if others else "sb.s_lang"
+    sec = "(CASE WHEN sb.s_lang IN ('de', 'en') THEN sb.s_lang ELSE 'others' END)" if others else "sb.s_lang"
     return s + f""",
-{p}uw AS (SELECT unit, unnest(regexp_extract_all(lower(unit), {WORD_RE})) AS word FROM {p}u),
-{p}sv AS (SELECT unit, lang, count(*) AS v FROM {p}uw JOIN stopwords USING (word) GROUP BY unit, lang),
+{p}uw AS (SELECT unit, word, count(*) AS n FROM (SELECT unit, unnest(string_split(t, ' ')) AS word FROM {p}ut)
+          WHERE word <> '' GROUP BY ALL),
+{p}ws AS (SELECT word, {word_slot_sql('word')} AS slot FROM (SELECT DISTINCT word FROM {p}uw)),
+{p}sv AS (SELECT unit, lang, sum(n) AS v FROM {p}uw JOIN {p}ws USING (word) JOIN votes USING (slot) GROUP BY unit, lang),
 {p}sb AS (SELECT unit, max(CASE WHEN rn = 1 THEN lang END) AS s_lang,
                  max(CASE WHEN rn = 1 THEN v END) * 1.0 / sum(v) AS s_conf
           FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY v DESC, lang) AS rn FROM {p}sv)
@@ -141,7 +159,7 @@ def with_(*parts: str) -> str:
 
 ORACLES: dict[str, str] = {}
 
-ORACLES["lid_profile"] = with_(MODEL) + "\nSELECT lang, gram, CAST(cnt AS BIGINT) AS cnt, weight FROM profile"
+ORACLES["lid_profile"] = with_(MODEL) + "\nSELECT lang, CAST(slot AS BIGINT) AS slot, CAST(cnt AS BIGINT) AS cnt, weight FROM profile"
 
 ORACLES["lid_stopwords"] = with_(MODEL) + "\nSELECT lang, word FROM stopwords"
 

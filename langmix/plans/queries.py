@@ -32,15 +32,15 @@ def query(name: str):
 
 @query("lid_profile")
 def q_lid_profile(spark, sf):
-    """Trigram profile (lang, gram, cnt, weight) learned from labelled documents."""
+    """Trigram profile (lang, slot, cnt, weight) learned from labelled documents."""
     return I.lid_model(spark, sf).profile.select(
-        "lang", "gram", F.col("cnt").cast("bigint").alias("cnt"), "weight")
+        "lang", F.col("slot").cast("bigint").alias("slot"), F.col("cnt").cast("bigint").alias("cnt"), "weight")
 
 
 @query("lid_stopwords")
 def q_lid_stopwords(spark, sf):
-    """Secondary detector's stop-word lists."""
-    return I.lid_model(spark, sf).stopwords.select("lang", "word")
+    """The 30 most frequent words of each language (a report)."""
+    return lid.stopword_lists(_load(spark, sf, "documents"))
 
 
 @query("line_language")
@@ -52,12 +52,11 @@ def q_line_language(spark, sf):
 
 @query("line_language_strict")
 def q_line_language_strict(spark, sf):
-    """L1: cascade at 0.6; secondary labels outside the primary's languages -> 'others'."""
+    """L1: cascade at 0.6; secondary labels outside the mapped codes -> 'others'."""
     m = I.lid_model(spark, sf)
     lines = I.distribution_lines(I.completions(spark, sf))
-    code_map = spark.createDataFrame([(x, x) for x in m.langs], "code string, mapped string")
     out = lid.label_column(lines, "line", m, mode="cascade", threshold=0.6,
-                           code_map=code_map, unmapped=lid.OTHERS)
+                           code_map={"de": "de", "en": "en"}, unmapped=lid.OTHERS)
     return out.select("id", F.col("indice").cast("bigint").alias("indice"), "pred_lang")
 
 
@@ -84,18 +83,16 @@ def line_dist(spark, sf) -> DataFrame:
 
 
 def word_dist(spark, sf) -> DataFrame:
-    raw = I.distribution_lines(I.completions(spark, sf))
     lines = I.labelled_lines(spark, sf).filter(F.col("pred_lang") != lid.UNKNOWN)
-    toks = I.labelled_tokens(lines, spark, sf, token_source=raw).filter(F.col("token_lang") != lid.UNKNOWN)
+    toks = I.labelled_tokens(lines, spark, sf).filter(F.col("token_lang") != lid.UNKNOWN)
     return D.ratios(toks, I.UNIT_KEYS, "token_lang")
 
 
 def both_dists(spark, sf) -> DataFrame:
     """D1 and D2 in one long table with a ``level`` column (shared LID work)."""
-    raw = I.distribution_lines(I.completions(spark, sf))
     lines = I.labelled_lines(spark, sf)
     ld = D.ratios(lines, I.UNIT_KEYS).withColumn("level", F.lit("line"))
-    toks = I.labelled_tokens(lines.filter(F.col("pred_lang") != lid.UNKNOWN), spark, sf, token_source=raw)
+    toks = I.labelled_tokens(lines.filter(F.col("pred_lang") != lid.UNKNOWN), spark, sf)
     wd = D.ratios(toks.filter(F.col("token_lang") != lid.UNKNOWN), I.UNIT_KEYS, "token_lang") \
         .withColumn("level", F.lit("word"))
     return ld.unionByName(wd)
@@ -263,7 +260,7 @@ def _checks(spark, sf):
     lines = I.pass_rate_lines(comp)
     lab = lid.label_column(lines, "line", I.lid_model(spark, sf), mode="single", threshold=0.3)
     words = P.dictionary(_load(spark, sf, "benchmark"))
-    return P.completion_checks(comp, lab, words, I.UNIT_KEYS)
+    return P.completion_checks(comp, lab, words, I.UNIT_KEYS, raw_lines=lines)
 
 
 @query("english_dictionary")
