@@ -17,8 +17,9 @@ COMPLETION_CUT = "\nQ:"
 # Em dash becomes a space; Arabic comma is deleted.
 EM_DASH = "—"
 ARABIC_COMMA = "،"
-# Whitespace removed by Python's str.strip() for the characters we meet.
-STRIP_CHARS = " \t\n\r\f\u000b"
+# White space of Python's str.strip() and str.split().
+STRIP_CHARS = ("\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # Minimum characters of a kept line (distributions) and minimum tokens (pass rates).
 MIN_LINE_CHARS = 5
 MIN_LINE_TOKENS = 5
@@ -52,7 +53,7 @@ def kept_lines(col, min_chars: int = MIN_LINE_CHARS) -> Column:
 
 def whitespace_tokens(col) -> Column:
     """T5: ``str.split()`` - split on whitespace runs, drop empty strings."""
-    return F.filter(F.split(F.trim(_c(col), F.lit(STRIP_CHARS)), r"[ \t\n\r\f\x0B]+"),
+    return F.filter(F.split(F.trim(_c(col), F.lit(STRIP_CHARS)), f"[{STRIP_CHARS}]+"),
                     lambda x: x != "")
 
 
@@ -117,22 +118,3 @@ def char_trigrams(col) -> Column:
     regex pass (a zero-width lookahead captures the three characters at every
     position)."""
     return F.regexp_extract_all(char_trigram_text(col), F.lit("(?=(.{3}))"), 1)
-
-
-def trigram_chars(col) -> Column:
-    """Characters of :func:`char_trigram_text` (split once, O(n))."""
-    return F.split(char_trigram_text(col), "")
-
-
-def trigrams_of_chars(chars_col) -> Column:
-    """All overlapping character trigrams of a character array column.
-
-    Takes the *column* produced by :func:`trigram_chars` (select it first) so
-    the split is not re-evaluated per element; array access is O(1), unlike
-    ``substring`` with a moving offset, which rescans the string."""
-    c = _c(chars_col)
-    return F.when(F.size(c) >= 3,
-                  F.transform(F.sequence(F.lit(1), F.size(c) - 2),
-                              lambda i: F.concat(F.element_at(c, i), F.element_at(c, i + 1),
-                                                 F.element_at(c, i + 2)))
-                  ).otherwise(F.array().cast("array<string>"))

@@ -40,10 +40,14 @@ def prune(dist: DataFrame, min_p: float = PRUNE_MIN_P, drop_labels=PRUNE_LABELS)
     return dist.filter(~F.col("lang").isin(*drop_labels) & (F.col("p") > min_p))
 
 
-def complete_unknown(dist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``unk = round(1 - sum(p), 2)`` when positive."""
+def complete_unknown(dist: DataFrame, keys: Sequence[str], units: DataFrame | None = None) -> DataFrame:
+    """Add ``unk = round(1 - sum(p), 2)`` when positive.  ``units``: all units,
+    so that one with an empty distribution gets ``unk`` = 1."""
     keys = list(keys)
-    resid = (dist.groupBy(*keys).agg(F.round(F.lit(1.0) - F.sum("p"), RATIO_DECIMALS).alias("p"))
+    sums = dist.groupBy(*keys).agg(F.sum("p").alias("s"))
+    if units is not None:
+        sums = units.select(*keys).distinct().join(sums, keys, "left")
+    resid = (sums.select(*keys, F.round(F.lit(1.0) - F.coalesce("s", F.lit(0.0)), RATIO_DECIMALS).alias("p"))
              .filter(F.col("p") > 0).select(*keys, F.lit(UNK).alias("lang"), "p"))
     return dist.select(*keys, "lang", "p").unionByName(resid)
 
@@ -80,14 +84,15 @@ def keep_one(df: DataFrame, keys: Sequence[str], order_col: str, last: bool = Fa
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def widen(dist: DataFrame, keys: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """One column per target language (missing 0) plus ``other = 1 - sum``.
+def widen(dist: DataFrame, keys: Sequence[str], targets: Sequence[str], units: DataFrame | None = None) -> DataFrame:
+    """One column per target language (missing 0) plus ``other = 1 - sum``,
+    for all ``units`` (default: those with a distribution).
 
     The explicit value list keeps ``pivot`` from running a discovery job."""
     keys = list(keys)
     wide = (dist.filter(F.col("lang").isin(*targets)).groupBy(*keys)
             .pivot("lang", list(targets)).agg(F.first("p")))
-    base = dist.select(*keys).distinct()
+    base = (dist if units is None else units).select(*keys).distinct()
     wide = base.join(wide, keys, "left").fillna(0.0, subset=list(targets))
     total = sum((F.col(t) for t in targets[1:]), F.col(targets[0]))
     return wide.withColumn("other", F.round(F.lit(1.0) - total, 6))

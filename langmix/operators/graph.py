@@ -71,9 +71,9 @@ def coverage_crop(inc: DataFrame, min_concepts: int = 3) -> DataFrame:
 
 
 def jaccard(inc: DataFrame) -> DataFrame:
-    """Jaccard distance ``1 - |A n B| / |A u B|`` for node pairs that share a
-    concept, both orientations, plus the 0 diagonal (coordinate form; pairs
-    without overlap are absent and have distance 1)."""
+    """Jaccard distance ``1 - |A n B| / |A u B|`` for all node pairs, both
+    orientations, with the 0 diagonal; 1 for pairs that share no concept.  The
+    result is nodes x nodes: nodes are languages or nations, not documents."""
     inter = cooccurrence(inc)
     size = inc.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     e = (inter.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
@@ -81,8 +81,15 @@ def jaccard(inc: DataFrame) -> DataFrame:
     d = e.select("a", "b", (F.lit(1.0) - F.col("weight") / (F.col("na") + F.col("nb") - F.col("weight")))
                  .alias("value"))
     both = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "value"))
-    diag = size.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("value"))
-    return both.unionByName(diag).select(F.col("a").alias("row"), F.col("b").alias("col"), "value")
+    return (node_grid(size).join(both.select(F.col("a").alias("row"), F.col("b").alias("col"), "value"), ["row", "col"], "left")
+            .select("row", "col", F.coalesce("value", F.when(F.col("row") == F.col("col"), 0.0).otherwise(1.0)).alias("value")))
+
+
+def node_grid(nodes: DataFrame, node_col: str = "node") -> DataFrame:
+    """(row, col): all pairs of a bounded node set."""
+    n = nodes.select(F.col(node_col).alias("row")).distinct()
+    every = n.agg(F.collect_set("row")).scalar()  # one entry per node
+    return n.select("row", F.explode(every).alias("col"))
 
 
 def cosine_scaled(vectors: DataFrame, key_col: str, vec_col: str) -> DataFrame:
@@ -106,18 +113,22 @@ def cosine_scaled_long(long: DataFrame) -> DataFrame:
     return d.select("row", "col", ((cos + 1) / 2).alias("value"))
 
 
-def nan_euclidean_pairs(features: DataFrame, node_col: str, feature_col: str, value_col: str,
-                        n_features: int) -> DataFrame:
+def nan_euclidean_pairs(features: DataFrame, node_col: str, feature_col: str, value_col: str) -> DataFrame:
     """Per node pair, ``sqrt(F / n_present * sum(d^2))`` over features
-    present for both; pairs with no common feature get 0."""
+    present for both, of F features in all; pairs with no common feature get 0.
+    All pairs of the (bounded) node set are returned; the join is computed for
+    one orientation only."""
+    n_features = features.agg(F.countDistinct(feature_col)).scalar()
     f = features.filter(F.col(value_col).isNotNull()).select(
         F.col(node_col).alias("node"), F.col(feature_col).alias("f"), F.col(value_col).cast("double").alias("x"))
     a = f.select(F.col("node").alias("row"), "f", F.col("x").alias("xa"))
     b = f.select(F.col("node").alias("col"), "f", F.col("x").alias("xb"))
-    g = a.join(b, "f").groupBy("row", "col").agg(F.count(F.lit(1)).alias("np"),
+    g = a.join(b.withColumnRenamed("f", "f2"), (F.col("f") == F.col("f2")) & (F.col("row") < F.col("col"))).groupBy("row", "col").agg(F.count(F.lit(1)).alias("np"),
                                                   F.sum(F.pow(F.col("xa") - F.col("xb"), 2)).alias("ss"))
-    return g.select("row", "col", F.coalesce(F.sqrt(F.lit(float(n_features)) / F.col("np") * F.col("ss")),
-                                             F.lit(0.0)).alias("value"))
+    d = g.select("row", "col", F.sqrt(n_features / F.col("np") * F.col("ss")).alias("value"))
+    both = d.unionByName(d.select(F.col("col").alias("row"), F.col("row").alias("col"), "value"))
+    return (node_grid(features, node_col).join(both, ["row", "col"], "left")
+            .select("row", "col", F.coalesce("value", F.lit(0.0)).alias("value")))
 
 
 def induced_subgraph(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b",
@@ -128,6 +139,13 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str =
             .join(n.withColumnRenamed("_n", b), b, "left_semi"))
 
 
-def neighbour_lists(edges: DataFrame, a: str = "a", b: str = "b", w: str = "value") -> DataFrame:
-    """G11 (inverse form): explode (node, [(neighbour, score)]) lists to a matrix."""
-    return edges.select(F.col(a).alias("row"), F.col(b).alias("col"), F.col(w).alias("value"))
+def neighbour_lists(lists: DataFrame, node_col: str = "node", list_col: str = "neighbours") -> DataFrame:
+    """(node, [(neighbour, score)]) lists to a full matrix: missing pairs 0,
+    the diagonal 1, the first score of a repeated neighbour."""
+    to, score = lists.schema[list_col].dataType.elementType.names[:2]
+    e = lists.select(F.col(node_col).alias("row"), F.posexplode(list_col).alias("pos", "x")) \
+        .select("row", "pos", F.col("x")[to].alias("col"), F.col("x")[score].cast("double").alias("value"))
+    e = e.groupBy("row", "col").agg(F.min_by("value", "pos").alias("value"))
+    nodes = e.select(F.col("row").alias("node")).union(e.select("col"))
+    return (node_grid(nodes).join(e, ["row", "col"], "left")
+            .select("row", "col", F.when(F.col("row") == F.col("col"), 1.0).otherwise(F.coalesce("value", F.lit(0.0))).alias("value")))

@@ -42,9 +42,10 @@ def reply_pairs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 def few_shot(turns: DataFrame, k: int = 1, conv_col: str = "conv_id", turn_col: str = "turn",
              role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The first ``2k`` dialogue turns as examples plus the next turn as the
-    question (kept only when it is a user turn), rendered with C1."""
+    question, rendered with C1, for every conversation; ``has_question`` tells
+    whether turn ``2k + 1`` is there and is a user turn."""
     w = Window.partitionBy(conv_col).orderBy(turn_col)
     d = turns.filter(F.col(role_col).isin(USER, ASSISTANT)).withColumn("_pos", F.row_number().over(w))
-    q_ok = d.filter((F.col("_pos") == 2 * k + 1) & (F.col(role_col) == USER)).select(conv_col)
-    sel = d.filter(F.col("_pos") <= 2 * k + 1).join(q_ok, conv_col, "left_semi")
-    return turns_to_prompt(sel, conv_col, turn_col, role_col, text_col)
+    sel = d.filter(F.col("_pos") <= 2 * k + 1)
+    asked = sel.groupBy(conv_col).agg(F.max((F.col("_pos") == 2 * k + 1) & (F.col(role_col) == USER)).alias("has_question"))
+    return turns_to_prompt(sel, conv_col, turn_col, role_col, text_col).join(asked, conv_col)

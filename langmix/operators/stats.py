@@ -15,18 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pearson_long(df: DataFrame, cols: Sequence[str], decimals: int = 6) -> DataFrame:
+def pearson_long(df: DataFrame, cols: Sequence[str], decimals: int = 6, with_n: bool = False) -> DataFrame:
     """M4 (+M3 lower triangle): Pearson r for every pair a < b (by position),
-    ``cov / (sd_a sd_b)`` with NULL for a constant column (guards N11)."""
+    on the rows where both are known; NULL if one is constant there (guards N11)."""
     pairs = list(combinations(cols, 2))
     aggs = []
     for a, b in pairs:
-        aggs.append(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias(f"{a}__{b}"))
+        x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c).cast("double")) for c in (a, b))
+        aggs += [F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias(f"{a}__{b}"), F.count(x).alias(f"{a}__{b}__n")]
     wide = df.agg(*aggs)
     stack = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("r"), F.col(f"{a}__{b}__n").alias("n")) for a, b in pairs
     ])).alias("x"))
-    return stack.select("x.a", "x.b", F.round("x.r", decimals).alias("r"))
+    return stack.select("x.a", "x.b", F.round("x.r", decimals).alias("r"), *["x.n"] * with_n)
 
 
 RANK_BUCKETS = 64  # prefix-sum buckets for distributed ranking
@@ -56,17 +57,26 @@ def average_ranks(df: DataFrame, col: str, buckets: int = RANK_BUCKETS) -> DataF
     return r.select("v", (F.col("off") + F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
-def spearman_long(df: DataFrame, cols: Sequence[str], decimals: int = 6) -> DataFrame:
-    """M1 (+M3): Spearman rho = Pearson r of the average ranks, on rows complete
-    in all measures.  Ranks come from :func:`average_ranks` and are joined back
-    on the value (AQE broadcasts the rank table when it is small)."""
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    ranked = complete
-    for c in cols:
-        rk = average_ranks(complete, c).withColumnRenamed("v", c).withColumnRenamed("rank", f"_r_{c}")
-        ranked = ranked.join(rk, c)
-    rnames = {c: f"_r_{c}" for c in cols}
-    out = pearson_long(ranked.select(*[F.col(rnames[c]).alias(c) for c in cols]), cols, decimals)
+def spearman_long(df: DataFrame, cols: Sequence[str], decimals: int = 6, with_n: bool = False) -> DataFrame:
+    """M1 (+M3): Spearman rho = Pearson r of the average ranks, each pair on the
+    rows where both are known.  Measures without missing values share one ranking;
+    pairs with missing values are ranked on their own rows.  Ranks come from
+    :func:`average_ranks` and are joined back on the value (AQE broadcasts the
+    rank table when it is small)."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    missing = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    whole = [c for c in cols if not missing[c]]
+    groups = [whole] if len(whole) > 1 else []
+    groups += [[a, b] for a, b in combinations(cols, 2) if missing[a] or missing[b]]
+    out = None
+    for group in groups:
+        known = rows.select(*group).na.drop()
+        ranked = known
+        for c in group:
+            rk = average_ranks(known, c).withColumnRenamed("v", c).withColumnRenamed("rank", f"_r_{c}")
+            ranked = ranked.join(rk, c)
+        r = pearson_long(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in group]), group, decimals, with_n)
+        out = r if out is None else out.unionByName(r)
     return out
 
 
@@ -162,14 +172,15 @@ def stars(p: float | None) -> str:
     return "***" if p <= 0.001 else "**" if p <= 0.01 else "*" if p <= 0.05 else ""
 
 
-def with_significance(corr: DataFrame, n: int) -> DataFrame:
-    """M2 on a (small) correlation table: p-value and stars per pair, computed in
-    an Arrow-batched pandas function (the t distribution is not a built-in)."""
+def with_significance(corr: DataFrame) -> DataFrame:
+    """M2 on a (small) correlation table with each pair's number of rows ``n``:
+    p-value and stars per pair, computed in an Arrow-batched pandas function (the
+    t distribution is not a built-in)."""
     import pandas as pd
 
     def fn(it):
         for pdf in it:
-            p = [corr_p_value(None if pd.isna(r) else float(r), n) for r in pdf["r"]]
-            yield pdf.assign(p_value=p, stars=[stars(x) for x in p])
+            p = [corr_p_value(None if pd.isna(r) else float(r), int(n)) for r, n in zip(pdf["r"], pdf["n"])]
+            yield pdf.drop(columns="n").assign(p_value=p, stars=[stars(x) for x in p])
 
     return corr.mapInPandas(fn, "a string, b string, r double, p_value double, stars string")

@@ -36,8 +36,8 @@ def pair_match(t: DataFrame, value_col: str = "code") -> DataFrame:
     """For every node pair a < b and feature: 1 equal, 0 different,
     -1 when either is missing.  Pairs per feature are bounded by the node set."""
     a = t.select(F.col("node").alias("a"), "feature", F.col(value_col).alias("va"))
-    b = t.select(F.col("node").alias("b"), "feature", F.col(value_col).alias("vb"))
-    j = a.join(b, "feature").filter(F.col("a") < F.col("b"))
+    b = t.select(F.col("node").alias("b"), F.col("feature").alias("_f"), F.col(value_col).alias("vb"))
+    j = a.join(b, (F.col("feature") == F.col("_f")) & (F.col("a") < F.col("b")))
     m = (F.when(F.col("va").isNull() | F.col("vb").isNull(), F.lit(-1))
          .when(F.col("va") == F.col("vb"), F.lit(1)).otherwise(F.lit(0)))
     return j.select("a", "b", "feature", m.alias("match"))

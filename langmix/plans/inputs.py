@@ -3,16 +3,16 @@
 * completions ``(id, model, task, source, language, training, completion)``
   come from ``documents``: ``language`` is the labelled language (the expected
   language), ``model`` and ``task`` are synthetic keys derived from ``doc_id``
-  (``m0..m3``; even ids ``monolingual``, odd ids ``crosslingual``) and the
-  training-language set is ``['en']`` (English-centric models).  No row is
-  dropped by these keys.
-* the LID model is trained on ``documents`` itself (text, lang) once per
-  session and input folder, and checkpointed.
+  (``m0..m3``; even ids ``monolingual``, odd ids ``crosslingual``) and each
+  model has a set of one to three training languages.  No row is dropped by
+  these keys.
+* the LID model is trained on the labelled rows of ``documents`` (text, lang)
+  once per session and input folder, and checkpointed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langmix.functions import text as tx
@@ -21,25 +21,35 @@ from langmix.sources.tables import load, spread
 
 # --- fixed values -----------------------------------------------------------
 N_MODELS = 4
-TRAINING_LANGS = ("en",)
+# training languages of each model, in order
+TRAINING_LANGS = {"m0": ("en",), "m1": ("de", "en"), "m2": ("fr",), "m3": ("de", "es", "fr")}
 # ---------------------------------------------------------------------------
 
 _MODELS: dict[tuple, lid.LidModel] = {}
 
 
+def training_of(model: Column) -> Column:
+    """Array of the training languages of a model column."""
+    out = F.array().cast("array<string>")
+    for m, langs in TRAINING_LANGS.items():
+        out = F.when(model == m, F.array(*[F.lit(x) for x in langs])).otherwise(out)
+    return out
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completions_from(spread(load(spark, sf_dir, "documents")))
 
 
 def completions_from(d: DataFrame) -> DataFrame:
     """Completion rows from any ``documents``-shaped DataFrame (batch or micro-batch)."""
+    model = F.concat(F.lit("m"), F.pmod(F.col("doc_id"), F.lit(N_MODELS)).cast("string"))
     return d.select(
         F.col("doc_id").alias("id"),
-        F.concat(F.lit("m"), F.pmod(F.col("doc_id"), F.lit(N_MODELS)).cast("string")).alias("model"),
+        model.alias("model"),
         F.when(F.pmod(F.col("doc_id"), F.lit(2)) == 0, "monolingual").otherwise("crosslingual").alias("task"),
         "source",
         F.col("lang").alias("language"),
-        F.array(*[F.lit(x) for x in TRAINING_LANGS]).alias("training"),
+        training_of(model).alias("training"),
         F.col("text").alias("completion"),
     )
 

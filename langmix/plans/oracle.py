@@ -18,7 +18,10 @@ def _q(s: str) -> str:
 
 
 PUNCT = _q(tx.ASCII_PUNCTUATION)
-STRIP = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+# fixed values: the characters that Python's str.split() and str.strip() take as white space
+SPACES = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+STRIP = " || ".join(f"chr({c})" for c in SPACES)
+SPACE_RE = "'[" + "".join(f"\\x{{{c:04X}}}" for c in SPACES) + "]+'"
 WORD_RE = _q(tx.WORD_PUNCT_RE)
 NL = "chr(10)"
 
@@ -176,7 +179,7 @@ pcomp AS (SELECT *, {norm_sql('completion')} AS norm FROM comp),
 all_lines AS (SELECT id, model, task, source, language, unnest(ls) AS line,
                      unnest(generate_series(0, len(ls) - 1)) AS line_no
               FROM (SELECT *, string_split(norm, {NL}) AS ls FROM pcomp)),
-plines AS (SELECT *, list_filter(regexp_split_to_array(trim(line, {STRIP}), '[ \\t\\n\\r\\f\\x0B]+'),
+plines AS (SELECT *, list_filter(regexp_split_to_array(trim(line, {STRIP}), {SPACE_RE}),
                                  lambda x: x <> '') AS tokens
            FROM all_lines),
 pass_lines AS (SELECT * FROM plines WHERE len(tokens) >= {tx.MIN_LINE_TOKENS}),
@@ -214,8 +217,12 @@ FROM ent GROUP BY ALL"""
 _LD = with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST)
 _WD = with_(COMPLETIONS, MODEL, LABELLED_LINES, LABELLED_TOKENS, WORD_DIST)
 _BD = with_(COMPLETIONS, MODEL, LABELLED_LINES, LABELLED_TOKENS, LINE_DIST, WORD_DIST, BOTH_DISTS)
-TRAIN = "(" + ", ".join(_q(x) for x in I.TRAINING_LANGS) + ")"
-INSIDE = f"(lang = language OR lang IN {TRAIN})"
+def train_list(id_: str = "id") -> str:
+    """Training languages of a completion's model."""
+    return f"(CASE {id_} % 4 WHEN 0 THEN ['en'] WHEN 1 THEN ['de', 'en'] WHEN 2 THEN ['fr'] ELSE ['de', 'es', 'fr'] END)"
+
+
+INSIDE = f"(lang = language OR list_contains({train_list()}, lang))"
 
 ORACLES["pruned_distribution"] = _LD + f"""
 SELECT id, lang, p FROM line_dist WHERE lang NOT IN ('unknown', 'others') AND p > {D.PRUNE_MIN_P}"""
@@ -224,14 +231,15 @@ ORACLES["unknown_mass"] = _LD + f""",
 pr AS (SELECT id, lang, p FROM line_dist WHERE lang NOT IN ('unknown', 'others') AND p > {D.PRUNE_MIN_P})
 SELECT id, lang, p FROM pr
 UNION ALL
-SELECT id, 'unk' AS lang, round(1.0 - sum(p), 2) AS p FROM pr GROUP BY id HAVING round(1.0 - sum(p), 2) > 0"""
+SELECT doc_id AS id, 'unk' AS lang, round(1.0 - coalesce(sum(p), 0.0), 2) AS p FROM documents LEFT JOIN pr ON pr.id = doc_id
+GROUP BY doc_id HAVING round(1.0 - coalesce(sum(p), 0.0), 2) > 0"""
 
 ORACLES["widened_distribution"] = _LD + """,
 w AS (SELECT id, coalesce(max(CASE WHEN lang = 'de' THEN p END), 0.0) AS de,
              coalesce(max(CASE WHEN lang = 'en' THEN p END), 0.0) AS en,
              coalesce(max(CASE WHEN lang = 'es' THEN p END), 0.0) AS es,
              coalesce(max(CASE WHEN lang = 'fr' THEN p END), 0.0) AS fr
-      FROM line_dist GROUP BY id)
+      FROM (SELECT doc_id AS id, lang, p FROM documents d(doc_id, a, b, c, e) LEFT JOIN line_dist ON id = doc_id) GROUP BY id)
 SELECT id, de, en, es, fr, round(1.0 - (((de + en) + es) + fr), 6) AS other FROM w"""
 
 ORACLES["langset_frequency"] = _LD + """,
@@ -244,7 +252,7 @@ SELECT id, count(*) AS n_langs FROM line_dist GROUP BY id HAVING count(*) > 1"""
 
 ORACLES["extra_languages"] = _WD + f""",
 s AS (SELECT id, list_sort(list_filter(list(DISTINCT lang),
-                                       lambda x: x <> any_value(language) AND x NOT IN {TRAIN})) AS extra
+                                       lambda x: x <> any_value(language) AND NOT list_contains({train_list()}, x))) AS extra
       FROM word_dist GROUP BY id)
 SELECT id, array_to_string(extra, '_') AS extra FROM s WHERE len(extra) > 0 AND NOT list_contains(extra, 'en')"""
 
@@ -253,7 +261,7 @@ SELECT lang, count(*) AS n_units FROM word_dist GROUP BY lang"""
 
 ORACLES["off_target_by_task"] = _LD + f""",
 off AS (SELECT lang, task, avg(p) AS mean_p FROM line_dist
-        WHERE lang <> language AND lang NOT IN {TRAIN} GROUP BY lang, task),
+        WHERE lang <> language AND NOT list_contains({train_list()}, lang) GROUP BY lang, task),
 keep AS (SELECT lang FROM off GROUP BY lang HAVING min(mean_p) > {D.OFF_TARGET_MIN_P} AND count(*) = 2)
 SELECT lang, task, round(mean_p, 6) AS mean_p FROM off WHERE lang IN (SELECT lang FROM keep)"""
 
@@ -296,11 +304,11 @@ SELECT expected, task, round(avg(reweighted_entropy), 6) AS mean_reweighted_entr
 
 ORACLES["entropy_by_training_language"] = _WD + f""",
 ent AS (SELECT id, {ent_raw('weighted_entropy')} FROM word_dist GROUP BY id)
-SELECT 'set' AS kind, {_q('_'.join(sorted(I.TRAINING_LANGS)))} AS key,
-       round(avg(weighted_entropy), 6) AS mean_weighted_entropy FROM ent
+SELECT 'set' AS kind, array_to_string(list_sort({train_list()}), '_') AS key,
+       round(avg(weighted_entropy), 6) AS mean_weighted_entropy FROM ent GROUP BY 2
 UNION ALL
-SELECT 'single' AS kind, k.key, round(avg(weighted_entropy), 6) AS mean_weighted_entropy
-FROM ent, (SELECT unnest([{', '.join(_q(x) for x in I.TRAINING_LANGS)}]) AS key) k GROUP BY k.key"""
+SELECT 'single' AS kind, key, round(avg(weighted_entropy), 6) AS mean_weighted_entropy
+FROM (SELECT weighted_entropy, unnest({train_list()}) AS key FROM ent) GROUP BY key"""
 
 ORACLES["token_norm_entropy"] = with_(COMPLETIONS, MODEL, LABELLED_LINES, LABELLED_TOKENS) + """,
 c AS (SELECT id, token_lang, count(*) AS v FROM ltoks GROUP BY ALL)
@@ -311,7 +319,7 @@ ORACLES["complete_levels"] = _BD + f""",
 ent AS (SELECT level, id, any_value(language) AS language, {ent_cols('reweighted_entropy')}
         FROM both_dist GROUP BY level, id)
 SELECT level, id, reweighted_entropy FROM ent
-WHERE language NOT IN {TRAIN} AND id IN (SELECT id FROM ent WHERE language NOT IN {TRAIN} GROUP BY id HAVING count(*) = 2)"""
+WHERE NOT list_contains({train_list()}, language) AND id IN (SELECT id FROM ent GROUP BY id HAVING count(*) = 2)"""
 
 # --------------------------------------------------- pass rates, overlap ---
 
@@ -392,8 +400,9 @@ ORACLES["turn_prompts"] = prompt_sql("conversations")
 ORACLES["few_shot_prompts"] = """WITH d AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos
   FROM conversations WHERE role IN ('user', 'assistant')),
-q_ok AS (SELECT conv_id FROM d WHERE pos = 3 AND role = 'user'),
-sel AS (SELECT * FROM d WHERE pos <= 3 AND conv_id IN (SELECT conv_id FROM q_ok))""" + prompt_sql("sel")
+sel AS (SELECT * FROM d WHERE pos <= 3),
+shots AS (""" + prompt_sql("sel") + """)
+SELECT s.*, EXISTS (SELECT 1 FROM d WHERE d.conv_id = s.conv_id AND pos = 3 AND role = 'user') AS has_question FROM shots s"""
 
 PAIR_SCORES = PAIRS + f""",
 pt AS (SELECT conv_id, turn, regexp_extract_all(input_text, {WORD_RE}) AS rt,
@@ -455,8 +464,10 @@ def jaccard_sql(inc: str, name: str) -> str:
                ON x.concept = y.concept AND x.node < y.node GROUP BY ALL),
 {name}_d AS (SELECT a, b, 1.0 - w / (sa.n + sb.n - w) AS value
              FROM {name}_int JOIN {name}_sz sa ON sa.node = a JOIN {name}_sz sb ON sb.node = b),
-{name} AS (SELECT a AS "row", b AS col, value FROM {name}_d UNION ALL
-           SELECT b, a, value FROM {name}_d UNION ALL SELECT node, node, 0.0 FROM {name}_sz)"""
+{name} AS (SELECT x.node AS "row", y.node AS col,
+                  CASE WHEN x.node = y.node THEN 0.0 ELSE coalesce(d.value, 1.0) END AS value
+           FROM {name}_sz x CROSS JOIN {name}_sz y
+           LEFT JOIN {name}_d d ON d.a = least(x.node, y.node) AND d.b = greatest(x.node, y.node) AND x.node <> y.node)"""
 
 
 TOKEN_INC = f"""
@@ -469,7 +480,7 @@ ORACLES["language_similarity"] = with_(TOKEN_INC, jaccard_sql("tinc", "jac")) +
     '\nSELECT "row", col, round(value, 6) AS value FROM jac'
 
 SIMS = """
-pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (gram)
+pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (slot)
        GROUP BY ALL),
 pnrm AS (SELECT lang, sqrt(sum(weight * weight)) AS nrm FROM profile GROUP BY lang),
 cosm AS (SELECT "row", col, (dot / (na.nrm * nb.nrm) + 1) / 2 AS value
@@ -551,12 +562,13 @@ FROM dots JOIN nrm na ON na.node = "row" JOIN nrm nb ON nb.node = col"""
 
 ORACLES["nation_feature_distance"] = """WITH f AS (
   SELECT n.n_name AS node, c.c_mktsegment AS feature,
-         CASE WHEN count(*) >= 10 THEN avg(c.c_acctbal) END AS value
+         avg(c.c_acctbal) AS value
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, c.c_mktsegment),
 g AS (SELECT a.node AS "row", b.node AS col, count(*) AS np, sum(pow(a.value - b.value, 2)) AS ss
       FROM f a JOIN f b ON a.feature = b.feature WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL)
-SELECT "row", col, round(coalesce(sqrt((SELECT count(DISTINCT c_mktsegment) FROM customer) / np * ss), 0.0), 6) AS value
-FROM g"""
+SELECT x.n_name AS "row", y.n_name AS col,
+       round(coalesce(sqrt((SELECT count(DISTINCT c_mktsegment) FROM customer) / np * ss), 0.0), 6) AS value
+FROM nation x CROSS JOIN nation y LEFT JOIN g ON g."row" = x.n_name AND g.col = y.n_name"""
 
 ORACLES["regional_subgraph"] = with_(NATION_PARTS) + """
 SELECT a, b, CAST(weight AS BIGINT) AS weight FROM nedges
@@ -577,6 +589,17 @@ ORACLES["spearman_lineitem"] = "WITH rk AS (SELECT " + ", ".join(
     " FROM lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _M) + ") " + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr(r_{a}, r_{b}), 6) AS r FROM rk" for a, b in _PAIRS)
 
+_COND = """m AS (SELECT CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS quantity,
+       CASE WHEN l_linestatus = 'O' THEN l_discount END AS discount,
+       CASE WHEN l_returnflag <> 'A' THEN l_tax END AS tax, l_extendedprice AS price FROM lineitem)"""
+_CPAIRS = [("quantity", "discount"), ("quantity", "tax"), ("quantity", "price"), ("discount", "tax"), ("discount", "price"), ("tax", "price")]
+ORACLES["pearson_conditional"] = "WITH " + _COND + " UNION ALL ".join(
+    f" SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM m" for a, b in _CPAIRS)
+ORACLES["spearman_conditional"] = "WITH " + _COND + "".join(
+    f", k{i} AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in (a, b)) +
+    f" FROM m WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for i, (a, b) in enumerate(_CPAIRS)) + " UNION ALL ".join(
+    f" SELECT '{a}' AS a, '{b}' AS b, round(corr(r_{a}, r_{b}), 6) AS r FROM k{i}" for i, (a, b) in enumerate(_CPAIRS))
+
 ORACLES["describe_lineitem"] = " UNION ALL ".join(
     f"SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
     f"round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM lineitem" for c in _M)
@@ -611,10 +634,10 @@ TYPOLOGY = """
 tx0 AS (SELECT n.n_nationkey, n.n_name, c.c_mktsegment, o.o_orderpriority, count(*) AS k
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
         GROUP BY ALL),
-tx1 AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey, c_mktsegment ORDER BY k DESC, o_orderpriority) AS rk,
-               sum(k) OVER (PARTITION BY n_nationkey, c_mktsegment) AS tot FROM tx0),
-typ AS (SELECT n_name AS node, n_nationkey, c_mktsegment AS feature,
-               CASE WHEN tot >= 100 THEN o_orderpriority END AS value FROM tx1 WHERE rk = 1),
+tx1 AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey, c_mktsegment ORDER BY k DESC, o_orderpriority) AS rk FROM tx0),
+typ AS (SELECT n.n_name AS node, n.n_nationkey, g.s AS feature, t.o_orderpriority AS value
+        FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment IS NOT NULL) g
+        LEFT JOIN (SELECT * FROM tx1 WHERE rk = 1) t ON t.n_nationkey = n.n_nationkey AND t.c_mktsegment = g.s),
 codes AS (SELECT feature, value, dense_rank() OVER (PARTITION BY feature ORDER BY min(n_nationkey), value) - 1 AS code
           FROM typ WHERE value IS NOT NULL GROUP BY feature, value),
 typc AS (SELECT t.*, c.code FROM typ t LEFT JOIN codes c USING (feature, value))"""
@@ -642,13 +665,13 @@ ORACLES["matrix_csv_roundtrip"] = ORACLES["confusion_matrix"]
 # ---------------------------------------------------- more matrix variants --
 
 ORACLES["confusion_matrix_training"] = ORACLES["confusion_matrix"].replace(
-    "WHEN lang = language OR lang = 'en' THEN", f"WHEN lang = language OR lang IN {TRAIN} THEN")
+    "WHEN lang = language OR lang = 'en' THEN", f"WHEN lang = language OR list_contains({train_list()}, lang) THEN")
 
 ORACLES["confusion_by_training"] = with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST) + f""",
-tr AS (SELECT unnest([{', '.join(_q(x) for x in I.TRAINING_LANGS)}]) AS train)
+tr AS (SELECT *, unnest({train_list()}) AS train FROM line_dist)
 SELECT lang AS "row", train AS col,
-       round(avg(-(CASE WHEN lang = language OR lang IN {TRAIN} THEN 1 - p ELSE p END) * ln(p)), 6) + 0.0 AS value
-FROM line_dist, tr WHERE lang NOT IN ('unknown', 'unk') AND train NOT IN ('unknown', 'unk')
+       round(avg(-(CASE WHEN lang = language OR list_contains({train_list()}, lang) THEN 1 - p ELSE p END) * ln(p)), 6) + 0.0 AS value
+FROM tr WHERE lang NOT IN ('unknown', 'unk') AND train NOT IN ('unknown', 'unk')
 GROUP BY lang, train"""
 
 ORACLES["confusion_norm_entropy"] = with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST) + """,
@@ -709,12 +732,12 @@ ORACLES["kl_side_by_side"] = with_(COMPLETIONS, MODEL, LABELLED_LINES, LABELLED_
                                    BOTH_DISTS, TOKEN_INC, jaccard_sql("tinc", "jac")) + f""",
 bs AS (SELECT b.*, s.setting FROM both_dist b,
        (SELECT unnest(['all', 'mono', 'cross']) AS setting) s
-       WHERE s.setting = 'all' OR s.setting = CASE WHEN b.language IN {TRAIN} THEN 'mono' ELSE 'cross' END),
+       WHERE s.setting = 'all' OR s.setting = CASE WHEN list_contains({train_list("b.id")}, b.language) THEN 'mono' ELSE 'cross' END),
 cf AS (SELECT level, setting, lang AS "row", language AS col,
               avg(-(CASE WHEN lang = language OR lang = 'en' THEN 1 - p ELSE p END) * ln(p)) AS value
        FROM bs WHERE lang NOT IN ('unknown', 'unk') AND language NOT IN ('unknown', 'unk')
        GROUP BY level, setting, lang, language),
-pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (gram)
+pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (slot)
        GROUP BY ALL),
 pnrm AS (SELECT lang, sqrt(sum(weight * weight)) AS nrm FROM profile GROUP BY lang),
 cosm AS (SELECT "row", col, (dot / (na.nrm * nb.nrm) + 1) / 2 AS value
@@ -753,9 +776,8 @@ def _attr_sql() -> str:
 codes(code, mapped) AS (VALUES {codes}),
 u AS (SELECT d.doc_id AS id, coalesce(c.mapped, d.lang) AS eval_code FROM documents d LEFT JOIN codes c ON c.code = d.lang),
 tr AS (SELECT u.*, t.pos, coalesce(c.mapped, t.lang) AS tcode
-       FROM u, (SELECT unnest([{', '.join(_q(x) for x in I.TRAINING_LANGS)}]) AS lang,
-                       unnest(generate_series(0, {len(I.TRAINING_LANGS) - 1})) AS pos) t
-       LEFT JOIN codes c ON c.code = t.lang),
+       FROM (SELECT id, unnest({train_list()}) AS lang, unnest(generate_series(0, len({train_list()}) - 1)) AS pos FROM u) t
+       JOIN u ON u.id = t.id LEFT JOIN codes c ON c.code = t.lang),
 j AS (SELECT tr.*, ta.family AS tf, ta.word_order AS tw, ta.direction AS td,
              ea.family AS ef, ea.word_order AS ew, ea.direction AS ed
       FROM tr LEFT JOIN attrs ta ON ta.code = tr.tcode LEFT JOIN attrs ea ON ea.code = tr.eval_code)
@@ -815,7 +837,7 @@ SELECT *, round(1.0 - (((de + en) + es) + fr), 6) AS etc,
        CAST(CASE WHEN task = 'monolingual' THEN 0 ELSE 1 END AS INTEGER) AS step_order FROM w"""
 
 ORACLES["distribution_with_similarity"] = _LD + """,
-pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (gram)
+pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (slot)
        GROUP BY ALL),
 pnrm AS (SELECT lang, sqrt(sum(weight * weight)) AS nrm FROM profile GROUP BY lang),
 cosm AS (SELECT "row", col, round((dot / (na.nrm * nb.nrm) + 1) / 2, 6) AS cos_sim

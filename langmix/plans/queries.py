@@ -128,7 +128,7 @@ def q_entropy_by_group(spark, sf):
 
 def _with_expected(d: DataFrame) -> DataFrame:
     return d.withColumn("expected", F.col("language")).withColumn(
-        "training", F.array(*[F.lit(x) for x in I.TRAINING_LANGS]))
+        "training", I.training_of(F.col("model")))
 
 
 @query("pruned_distribution")
@@ -139,14 +139,17 @@ def q_pruned_distribution(spark, sf):
 
 @query("unknown_mass")
 def q_unknown_mass(spark, sf):
-    """D3 then D4: residual mass ``unk = round(1 - sum, 2)`` added when positive."""
-    return D.complete_unknown(D.prune(line_dist(spark, sf)), ["id"]).select("id", "lang", "p")
+    """D3 then D4: residual mass ``unk = round(1 - sum, 2)`` added when positive,
+    1 for completions without any kept language."""
+    units = I.completions(spark, sf).select("id")
+    return D.complete_unknown(D.prune(line_dist(spark, sf)), ["id"], units).select("id", "lang", "p")
 
 
 @query("widened_distribution")
 def q_widened_distribution(spark, sf):
     """One column per target language (missing 0) and ``other = 1 - sum``."""
-    return D.widen(line_dist(spark, sf), ["id"], ["de", "en", "es", "fr"])
+    units = I.completions(spark, sf).select("id")
+    return D.widen(line_dist(spark, sf), ["id"], ["de", "en", "es", "fr"], units)
 
 
 @query("langset_frequency")
@@ -329,7 +332,8 @@ def q_turn_prompts(spark, sf):
 
 @query("few_shot_prompts")
 def q_few_shot_prompts(spark, sf):
-    """One-shot prefix (first user/assistant exchange) plus the next user question."""
+    """One-shot prefix (first user/assistant exchange) plus the next turn, and
+    whether that turn is there and is the user's."""
     return C.few_shot(_load(spark, sf, "conversations"), k=1)
 
 
@@ -388,7 +392,7 @@ def _similarities(spark, sf):
     """K10/K15 catalogue: token-set Jaccard similarity and trigram-profile cosine."""
     jac = Mx.distance_to_similarity(G.jaccard(_token_incidence(spark, sf))) \
         .withColumn("sim_name", F.lit("token_jaccard"))
-    prof = I.lid_model(spark, sf).profile.select(F.col("lang").alias("node"), F.col("gram").alias("dim"),
+    prof = I.lid_model(spark, sf).profile.select(F.col("lang").alias("node"), F.col("slot").alias("dim"),
                                                  F.col("weight").alias("x"))
     cos = G.cosine_scaled_long(prof).withColumn("sim_name", F.lit("trigram_cosine"))
     return cut_lineage(jac.unionByName(cos))
@@ -481,26 +485,20 @@ def q_embedding_cosine(spark, sf):
     return G.cosine_scaled_long(cent).select("row", "col", F.round("value", 6).alias("value"))
 
 
-MIN_SUPPORT = 10  # fixed value: a (nation, segment) mean needs >= 10 customers
-
-
 def _nation_features(spark, sf):
     c = _load(spark, sf, "customer")
     n = _load(spark, sf, "nation")
-    g = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"),
-                                                    F.avg("c_acctbal").alias("bal"))
-    return (g.join(n, g.c_nationkey == n.n_nationkey)
-            .select(F.col("n_name").alias("node"), F.col("c_mktsegment").alias("feature"),
-                    F.when(F.col("n") >= MIN_SUPPORT, F.col("bal")).alias("value")))
+    g = c.groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("bal"))
+    return (n.join(g, g.c_nationkey == n.n_nationkey, "left")
+            .select(F.col("n_name").alias("node"), F.col("c_mktsegment").alias("feature"), F.col("bal").alias("value")))
 
 
 @query("nation_feature_distance")
 def q_nation_feature_distance(spark, sf):
-    """NaN-Euclidean distance between nations over per-segment mean balances
-    (a mean with too little support is missing)."""
+    """NaN-Euclidean distance between nations over per-segment mean balances;
+    a segment without customers is missing, and every pair of nations has a row."""
     f = _nation_features(spark, sf)
-    nf = _load(spark, sf, "customer").select("c_mktsegment").distinct().count()
-    return G.nan_euclidean_pairs(f, "node", "feature", "value", nf).select(
+    return G.nan_euclidean_pairs(f, "node", "feature", "value").select(
         "row", "col", F.round("value", 6).alias("value"))
 
 
@@ -540,8 +538,30 @@ def q_spearman_lineitem(spark, sf):
 def q_spearman_significance(spark, sf):
     """M2: p-values and stars of the Spearman correlations (t test, n - 2 df)."""
     li = _load(spark, sf, "lineitem").select(*MEASURES)
-    n = li.na.drop().count()
-    return S.with_significance(S.spearman_long(li, MEASURES), n)
+    return S.with_significance(S.spearman_long(li, MEASURES, with_n=True))
+
+
+def _conditional_measures(spark, sf):
+    """Measures with missing values: each known for a part of the rows only."""
+    li = _load(spark, sf, "lineitem")
+    return li.select(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("quantity"),
+                     F.when(F.col("l_linestatus") == "O", F.col("l_discount")).alias("discount"),
+                     F.when(F.col("l_returnflag") != "A", F.col("l_tax")).alias("tax"), F.col("l_extendedprice").alias("price"))
+
+
+CONDITIONAL = ["quantity", "discount", "tax", "price"]
+
+
+@query("pearson_conditional")
+def q_pearson_conditional(spark, sf):
+    """M4 with missing values: each pair on the rows where both are known."""
+    return S.pearson_long(_conditional_measures(spark, sf), CONDITIONAL)
+
+
+@query("spearman_conditional")
+def q_spearman_conditional(spark, sf):
+    """M1 with missing values: ranks and correlation on each pair's own rows."""
+    return S.spearman_long(_conditional_measures(spark, sf), CONDITIONAL)
 
 
 @query("describe_lineitem")
@@ -572,9 +592,6 @@ def q_entropy_pass_rates(spark, sf):
     return ent.join(rates, ["model", "source", "language", "task"], "left")
 
 
-MIN_ORDERS = 100  # fixed value: a dominant category needs >= 100 orders
-
-
 def _typology(spark, sf):
     o = _load(spark, sf, "orders").select("o_custkey", "o_orderpriority")
     c = _load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -583,17 +600,19 @@ def _typology(spark, sf):
     cnt = x.groupBy("n_nationkey", "n_name", "c_mktsegment", "o_orderpriority").agg(F.count(F.lit(1)).alias("k"))
     from pyspark.sql import Window
     w = Window.partitionBy("n_nationkey", "c_mktsegment")
-    top = (cnt.withColumn("rk", F.row_number().over(w.orderBy(F.desc("k"), "o_orderpriority")))
-           .withColumn("tot", F.sum("k").over(w)).filter("rk = 1"))
-    return top.select(F.col("n_name").alias("node"), "n_nationkey", F.col("c_mktsegment").alias("feature"),
-                      F.when(F.col("tot") >= MIN_ORDERS, F.col("o_orderpriority")).alias("value"))
+    top = cnt.withColumn("rk", F.row_number().over(w.orderBy(F.desc("k"), "o_orderpriority"))).filter("rk = 1")
+    # every nation has every segment as a feature; without orders its value is missing
+    segments = c.agg(F.array_sort(F.collect_set("c_mktsegment"))).scalar()  # one name per segment
+    grid = n.select("*", F.explode(segments).alias("feature"))
+    top = top.select("n_nationkey", F.col("c_mktsegment").alias("feature"), F.col("o_orderpriority").alias("value"))
+    return grid.join(top, ["n_nationkey", "feature"], "left").select(F.col("n_name").alias("node"), "n_nationkey", "feature", "value")
 
 
 @query("typology_codes")
 def q_typology_codes(spark, sf):
     """Dominant order priority per (nation, segment) as a categorical
-    feature, coded by first appearance, nations cropped at 25 % coverage,
-    features kept at 75 % coverage."""
+    feature (missing where a nation has no such orders), coded by first
+    appearance, nations cropped at 25 % coverage, features kept at 75 %."""
     t = Y.encode_first_appearance(_typology(spark, sf), "n_nationkey")
     t = Y.features_with_coverage(Y.crop_nodes(t, 0.25, 5), 0.75)
     return t.select("node", "feature", "value", F.col("code").cast("int").alias("code"))
@@ -714,7 +733,7 @@ def q_confusion_matrix_training(spark, sf):
     """K2: confusion matrix weighting predicted languages in the training set or
     equal to the expected one with ``1 - p``."""
     d = line_dist(spark, sf).withColumn("expected", F.col("language")) \
-        .withColumn("training", F.array(*[F.lit(x) for x in I.TRAINING_LANGS]))
+        .withColumn("training", I.training_of(F.col("model")))
     m = Mx.drop_zero_lines(Mx.drop_labels(K.confusion_matrix(d, "expected", "training", pivot_lang=None)))
     return m.select("row", "col", F.round("value", 6).alias("value"))
 
@@ -723,7 +742,7 @@ def q_confusion_matrix_training(spark, sf):
 def q_confusion_by_training(spark, sf):
     """K3: columns are the (exploded) training languages."""
     d = line_dist(spark, sf).withColumn("expected", F.col("language")) \
-        .withColumn("training", F.array(*[F.lit(x) for x in I.TRAINING_LANGS]))
+        .withColumn("training", I.training_of(F.col("model")))
     m = Mx.drop_labels(K.confusion_by_training(d, "training", "expected"))
     return m.select("row", "col", F.round("value", 6).alias("value"))
 
@@ -812,7 +831,7 @@ def q_kl_side_by_side(spark, sf):
     {all, mono, cross} in one keyed job (each unit feeds 'all' and its own
     setting), pivoted side by side; the source name is split into kind/measure."""
     d = both_dists(spark, sf).withColumn("expected", F.col("language"))
-    mono = F.array_contains(F.array(*[F.lit(x) for x in I.TRAINING_LANGS]), F.col("expected"))
+    mono = F.array_contains(I.training_of(F.col("model")), F.col("expected"))
     d = d.withColumn("setting", F.explode(F.array(F.lit("all"),
                                                   F.when(mono, F.lit("mono")).otherwise(F.lit("cross")))))
     keys = ["level", "setting"]
@@ -907,7 +926,7 @@ def q_stacked_shares_by_task(spark, sf):
 def q_distribution_with_similarity(spark, sf):
     """Every line-distribution row left-joined with the trigram-profile
     cosine similarity between its predicted and its expected language."""
-    prof = I.lid_model(spark, sf).profile.select(F.col("lang").alias("node"), F.col("gram").alias("dim"),
+    prof = I.lid_model(spark, sf).profile.select(F.col("lang").alias("node"), F.col("slot").alias("dim"),
                                                  F.col("weight").alias("x"))
     cos = G.cosine_scaled_long(prof).select(F.col("row").alias("lang"), F.col("col").alias("language"),
                                             F.round("value", 6).alias("cos_sim"))

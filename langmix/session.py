@@ -2,8 +2,9 @@
 
 The library never creates its own scratch folders on a cluster: lineage is cut
 with ``DataFrame.checkpoint()`` into the shared folder named by
-``spark.checkpoint.dir``.  Only when that setting is absent (local tests,
-benchmarks) do we point it at a fresh folder under ``/tmp``.
+``spark.checkpoint.dir``.  Only when that setting is absent and the master is
+local (tests, benchmarks) do we point it at a fresh folder under ``/tmp``; on a
+cluster without the setting we raise.
 """
 
 from __future__ import annotations
@@ -53,9 +54,13 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset."""
+    """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset
+    and the master is local."""
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         d = tempfile.mkdtemp(prefix="langmix-ckpt-", dir=os.environ.get("LANGMIX_TMP", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

@@ -31,7 +31,7 @@ CORRECTOR_LOG_SCHEMA = T.StructType([
 # --- fixed values -----------------------------------------------------------
 # Step names in result file names and their display labels.
 STEP_LABELS = {"base": "Base", "step1": "Step1", "step50_sbeam8": "Step50+sbeam8"}
-RESULT_FILE_RE = r"(?:multi|mono)lingual_eval_[a-z_]+?_(base|step1|step50_sbeam8)_(?:inverter|corrector)\.csv$"
+RESULT_FILE_RE = r"(?:multi|mono)lingual_eval_[a-z0-9_]+?_(base|step1|step50_sbeam8)_(?:inverter|corrector)\.csv$"
 # ---------------------------------------------------------------------------
 
 
@@ -65,11 +65,23 @@ def step_from_file(col: Column | None = None) -> Column:
 
 def read_matrix_files(spark: SparkSession, path: str, row_col: str = "model") -> DataFrame:
     """Folder of metric matrices -> (row, col, value, step)."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("pathGlobFilter", "*.csv").csv(path)
-    df = df.withColumn("step", step_from_file())
-    cols = [c for c in df.columns if c not in (row_col, "step")]
-    long = df.unpivot([row_col, "step"], cols, "col", "value")
-    return long.select(F.col(row_col).alias("row"), "col", F.col("value").cast("double").alias("value"), "step")
+    # every file has its own header: cells are named by it, not by their position
+    t = spark.read.option("pathGlobFilter", "*.csv").text(path, wholetext=True)
+    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: F.trim(x) != "")
+    t = t.select(step_from_file().alias("step"), lines.alias("_lines")).where(F.size("_lines") > 1)
+    t = t.select("step", csv_cells(F.col("_lines")[0]).alias("_names"), F.explode(F.slice("_lines", 2, F.size("_lines") - 1)).alias("_line"))
+    t = t.withColumn("_cells", csv_cells(F.col("_line")))
+    row = F.element_at(F.col("_cells"), F.array_position("_names", row_col).cast("int"))
+    long = t.where(F.array_contains("_names", row_col)).select(
+        "step", row.alias("row"), F.explode(F.arrays_zip(F.col("_names").alias("n"), F.col("_cells").alias("v"))).alias("x"))
+    return (long.where(F.col("x.n") != row_col)
+            .select("row", F.col("x.n").alias("col"), F.nullif(F.col("x.v"), F.lit("")).cast("double").alias("value"), "step"))
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of a CSV line: commas inside double quotes do not part them."""
+    cells = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(cells, lambda x: F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
 
 
 def read_inverter_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +113,7 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     # the header is the first line of each file: "<count> <dim>" (two integers)
     t = t.filter(~((F.size("_parts") == 2) & F.col("value").rlike(r"^\s*\d+\s+\d+\s*$")))
     return t.select(F.col("_parts")[0].alias("lang"),
-                    F.transform(F.slice("_parts", 2, 1 << 20), lambda x: x.cast("double")).alias("vec"))
+                    F.transform(F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0))), lambda x: x.cast("double")).alias("vec"))
 
 
 def parse_literal(col, type_str: str = "map<string,double>", strict: bool = False) -> Column:
@@ -109,12 +121,19 @@ def parse_literal(col, type_str: str = "map<string,double>", strict: bool = Fals
     yields NULL on bad input; strict mode fails the query."""
     opts = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE"}
     c = F.col(col) if isinstance(col, str) else col
+    # outside quotes, Python's words and tuples become JSON's
+    outside = r"""(?=(?:[^'"]*(?:'[^']*'|"[^"]*"))*[^'"]*$)"""
+    for a, b in ((r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\(", "["), (r",?\s*\)", "]"), (r",(?=\s*[\]}])", "")):
+        c = F.regexp_replace(c, a + outside, b)
     return F.from_json(c, type_str, opts)
 
 
-def static_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small in-code dimension table (broadcast when joined)."""
-    return spark.createDataFrame(rows, schema)
+def read_dimension(spark: SparkSession, path: str) -> DataFrame:
+    """A flat YAML mapping ``key: value`` (one a line, ``#`` comments) -> (key, value)."""
+    t = spark.read.text(path).select(F.regexp_replace("value", r"\s*#.*$", "").alias("v"))
+    pattern = r"""^\s*['"]?([^:'"]+?)['"]?\s*:\s*['"]?(.*?)['"]?\s*$"""
+    return (t.where(F.col("v").rlike(pattern))
+            .select(F.regexp_extract("v", pattern, 1).alias("key"), F.nullif(F.regexp_extract("v", pattern, 2), F.lit("")).alias("value")))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(), mode: str = "overwrite") -> None:

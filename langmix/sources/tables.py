@@ -57,12 +57,8 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin redistribute a scan that yields fewer partitions than the
-    cluster has cores (e.g. one large row group).  CPU-heavy text operators
-    (tokenising, trigram explosion) then use every core.  On a large input the
-    scan already has many splits and this is a no-op."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """Deal out a table of fewer files than the cluster has cores, so that text
+    operators use every core even if a file is one row group.  Tables of many
+    files are read as they are; the result is the same either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
