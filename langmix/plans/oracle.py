@@ -1,28 +1,23 @@
 """DuckDB oracle SQL for the registered queries.
 
 Each oracle re-derives its result from the raw driver views with plain SQL
-(CTE fragments below are shared text, not a planner).  The fragments mirror
-the definitions in the operator modules: same thresholds, same tie-breaks,
-same rounding.
+(CTE fragments below are shared text, not a planner).  Rules and thresholds are
+written out here, not imported from the operators that they check.
 """
 
 from __future__ import annotations
 
-from langmix.functions import text as tx
-from langmix.operators import dist as D
-from langmix.plans import inputs as I
-
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-PUNCT = _q(tx.ASCII_PUNCTUATION)
+PUNCT = _q("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 # fixed values: the characters that Python's str.split() and str.strip() take as white space
 SPACES = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 STRIP = " || ".join(f"chr({c})" for c in SPACES)
 SPACE_RE = "'[" + "".join(f"\\x{{{c:04X}}}" for c in SPACES) + "]+'"
-WORD_RE = _q(tx.WORD_PUNCT_RE)
+WORD_RE = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]+'"
 NL = "chr(10)"
 
 
@@ -31,8 +26,8 @@ def norm_sql(col: str) -> str:
     t = f"split_part({col}, {NL} || 'Q:', 1)"
     t = f"trim({t}, {STRIP})"
     t = f"translate({t}, {PUNCT}, '')"
-    t = f"replace({t}, '{tx.EM_DASH}', ' ')"
-    return f"replace({t}, '{tx.ARABIC_COMMA}', '')"
+    t = f"replace({t}, chr(8212), ' ')"
+    return f"replace({t}, chr(1548), '')"
 
 
 def trigram_text_sql(col: str) -> str:
@@ -41,7 +36,7 @@ def trigram_text_sql(col: str) -> str:
 
 COMPLETIONS = f"""
 comp AS (
-  SELECT doc_id AS id, 'm' || CAST(doc_id % {I.N_MODELS} AS VARCHAR) AS model,
+  SELECT doc_id AS id, 'm' || CAST(doc_id % 4 AS VARCHAR) AS model,
          CASE WHEN doc_id % 2 = 0 THEN 'monolingual' ELSE 'crosslingual' END AS task,
          source, lang AS language, text AS completion
   FROM documents)"""
@@ -125,7 +120,7 @@ def detect_sql(units: str, name: str, mode: str = "cascade", threshold: float =
 
 DIST_LINES = f"""
 ncomp AS (SELECT *, {norm_sql('completion')} AS norm FROM comp),
-kl AS (SELECT *, list_filter(string_split(norm, {NL}), lambda x: length(x) > {tx.MIN_LINE_CHARS}) AS kept FROM ncomp),
+kl AS (SELECT *, list_filter(string_split(norm, {NL}), lambda x: length(x) > 5) AS kept FROM ncomp),
 lines AS (SELECT id, model, task, source, language,
                  unnest(kept) AS line, unnest(generate_series(0, len(kept) - 1)) AS indice FROM kl),
 line_units AS (SELECT line AS unit FROM lines)"""
@@ -145,14 +140,14 @@ LINE_DIST = f"""
 line_cnt AS (SELECT id, model, task, source, language, pred_lang AS lang, count(*) AS n
              FROM llines GROUP BY ALL),
 line_dist AS (SELECT id, model, task, source, language, lang,
-                     round(n / sum(n) OVER (PARTITION BY id, model, task, source, language), {D.RATIO_DECIMALS}) AS p
+                     round(n / sum(n) OVER (PARTITION BY id, model, task, source, language), 2) AS p
               FROM line_cnt QUALIFY p > 0)"""
 
 WORD_DIST = f"""
 word_cnt AS (SELECT id, model, task, source, language, token_lang AS lang, count(*) AS n
              FROM ltoks WHERE pred_lang <> 'unknown' AND token_lang <> 'unknown' GROUP BY ALL),
 word_dist AS (SELECT id, model, task, source, language, lang,
-                     round(n / sum(n) OVER (PARTITION BY id, model, task, source, language), {D.RATIO_DECIMALS}) AS p
+                     round(n / sum(n) OVER (PARTITION BY id, model, task, source, language), 2) AS p
               FROM word_cnt QUALIFY p > 0)"""
 
 
@@ -182,7 +177,7 @@ all_lines AS (SELECT id, model, task, source, language, unnest(ls) AS line,
 plines AS (SELECT *, list_filter(regexp_split_to_array(trim(line, {STRIP}), {SPACE_RE}),
                                  lambda x: x <> '') AS tokens
            FROM all_lines),
-pass_lines AS (SELECT * FROM plines WHERE len(tokens) >= {tx.MIN_LINE_TOKENS}),
+pass_lines AS (SELECT * FROM plines WHERE len(tokens) >= 5),
 pl_units AS (SELECT line AS unit FROM pass_lines)"""
 
 ORACLES["line_language_single"] = with_(
@@ -225,10 +220,10 @@ def train_list(id_: str = "id") -> str:
 INSIDE = f"(lang = language OR list_contains({train_list()}, lang))"
 
 ORACLES["pruned_distribution"] = _LD + f"""
-SELECT id, lang, p FROM line_dist WHERE lang NOT IN ('unknown', 'others') AND p > {D.PRUNE_MIN_P}"""
+SELECT id, lang, p FROM line_dist WHERE lang NOT IN ('unknown', 'others') AND p > 0.05"""
 
 ORACLES["unknown_mass"] = _LD + f""",
-pr AS (SELECT id, lang, p FROM line_dist WHERE lang NOT IN ('unknown', 'others') AND p > {D.PRUNE_MIN_P})
+pr AS (SELECT id, lang, p FROM line_dist WHERE lang NOT IN ('unknown', 'others') AND p > 0.05)
 SELECT id, lang, p FROM pr
 UNION ALL
 SELECT doc_id AS id, 'unk' AS lang, round(1.0 - coalesce(sum(p), 0.0), 2) AS p FROM documents LEFT JOIN pr ON pr.id = doc_id
@@ -262,12 +257,12 @@ SELECT lang, count(*) AS n_units FROM word_dist GROUP BY lang"""
 ORACLES["off_target_by_task"] = _LD + f""",
 off AS (SELECT lang, task, avg(p) AS mean_p FROM line_dist
         WHERE lang <> language AND NOT list_contains({train_list()}, lang) GROUP BY lang, task),
-keep AS (SELECT lang FROM off GROUP BY lang HAVING min(mean_p) > {D.OFF_TARGET_MIN_P} AND count(*) = 2)
+keep AS (SELECT lang FROM off GROUP BY lang HAVING min(mean_p) > 0.01 AND count(*) = 2)
 SELECT lang, task, round(mean_p, 6) AS mean_p FROM off WHERE lang IN (SELECT lang FROM keep)"""
 
 ORACLES["probability_pool"] = _WD + f"""
 SELECT lang, count(*) AS n, round(avg(p), 6) AS mean_p, round(max(p), 6) AS max_p
-FROM word_dist WHERE p >= {D.OFF_TARGET_MIN_P} GROUP BY lang"""
+FROM word_dist WHERE p >= 0.01 GROUP BY lang"""
 
 
 def _shannon_sql(mask: str | None) -> str:

@@ -691,19 +691,19 @@ from langmix.streaming import incremental as R  # noqa: E402
 
 @query("incremental_line_distribution")
 def q_incremental_line_distribution(spark, sf):
-    """Documents arrive as files; a file stream (availableNow trigger,
-    checkpointed) labels the lines of each micro-batch and writes its line
+    """The documents' files are a stream (availableNow trigger, checkpointed)
+    that labels the lines of each micro-batch and writes its line
     distributions; the union of all batches equals the batch result (D1)."""
     model = I.lid_model(spark, sf)
     folder = R.stream_folder(spark, "documents")
-    R.stage_arrivals(_load(spark, sf, "documents"), f"{folder}/input", 8, "source")
 
     def transform(batch):
         lines = I.distribution_lines(I.completions_from(batch))
         lab = lid.label_column(lines, "line", model, mode="cascade", threshold=0.3)
         return D.ratios(lab, I.UNIT_KEYS).select("id", "lang", "p")
 
-    R.run_incremental(spark, f"{folder}/input", _SCHEMAS["documents"], f"{folder}/sink", f"{folder}/ckpt",
+    # a glob: the table may be a folder of files or one file
+    R.run_incremental(spark, f"{sf.rstrip('/')}/documents.parquet*", _SCHEMAS["documents"], f"{folder}/sink", f"{folder}/ckpt",
                       transform, files_per_trigger=2)
     return R.read_sink(spark, f"{folder}/sink").select("id", "lang", "p")
 

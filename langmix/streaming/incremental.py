@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from langmix.session import ensure_checkpoint_dir
 
@@ -23,11 +22,6 @@ def stream_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/langmix-stream/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_arrivals(df: DataFrame, folder: str, n_files: int, key: str) -> None:
-    """Write a table as ``n_files`` arrival files (hash-distributed on ``key``)."""
-    df.repartition(n_files, key).write.mode("overwrite").parquet(folder)
-
-
 def run_incremental(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
                     transform, files_per_trigger: int = 2) -> None:
     """Consume every file under ``source`` once and write ``transform(batch)``
@@ -49,7 +43,3 @@ def read_sink(spark: SparkSession, sink: str) -> DataFrame:
 def manifest_anti_join(inputs: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """S13 (batch form): inputs whose key is not yet in the manifest of outputs."""
     return inputs.join(manifest.select(key).distinct(), key, "left_anti")
-
-
-def with_input_file(df: DataFrame, col: str = "input_file") -> DataFrame:
-    return df.withColumn(col, F.col("_metadata.file_path"))
