@@ -802,9 +802,8 @@ SELECT lang, task, round(avg(share), 6) AS mean_share FROM l GROUP BY lang, task
 
 def _o7_sql() -> str:
     from langmix.plans.queries import ISO3
-    from langmix.sources.dims import MT5_SHARE
     iso = ", ".join(f"({_q(a)}, {_q(b)})" for a, b, _ in ISO3)
-    mt5 = ", ".join(f"({_q(a)}, {b})" for a, b in MT5_SHARE)
+    mt5 = "('deu', 3.05), ('eng', 5.67)"
     return with_(COMPLETIONS, MODEL, LABELLED_LINES, LINE_DIST, CHECKS, RATES) + f""",
 ent AS (SELECT id, task, language AS expected, {ent_raw('reweighted_entropy')} FROM line_dist GROUP BY ALL),
 eg AS (SELECT expected AS lang, task, round(avg(reweighted_entropy), 6) AS entropy FROM ent GROUP BY ALL),

@@ -186,3 +186,20 @@ def _digits_sql(c: str) -> str:
 
 ORACLES["pass_rate_strings"] = "SELECT task, model, source, language, " + ", ".join(_digits_sql(c) for c in ("acc", "lpr", "wpr")) + \
     " FROM (" + ORACLES["line_pass_rate"] + ")"
+
+
+@query("share_means_by_training")
+def q_share_means_by_training(spark, sf):
+    """O6, second half: mean language shares by (training set, task), unpivoted."""
+    langs = ["de", "en", "es", "fr"]
+    wide = D.widen(Q.line_dist(spark, sf), ["id", "task", "model"], langs)
+    key = F.array_join(F.array_sort(I.training_of(F.col("model"))), "_")
+    long = wide.select(key.alias("training"), "task", *langs).unpivot(["training", "task"], langs, "lang", "share")
+    return long.groupBy("training", "task", "lang").agg(F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+ORACLES["share_means_by_training"] = SQL._LD + f""",
+u AS (SELECT DISTINCT id, task, array_to_string(list_sort({SQL.train_list()}), '_') AS training FROM line_dist),
+g AS (SELECT u.*, l.lang FROM u, (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang) l)
+SELECT g.training, g.task, g.lang, round(avg(coalesce(d.p, 0.0)), 6) AS mean_share
+FROM g LEFT JOIN line_dist d ON d.id = g.id AND d.lang = g.lang GROUP BY ALL"""
