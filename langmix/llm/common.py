@@ -77,7 +77,7 @@ def min_label(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def hash_rank(df: DataFrame, group: list[str], order: list[str], key: str, out: str,
-              weight: str | None = None, rows_per_task: int = 100_000) -> DataFrame:
+              weight: str | None = None, rows_per_task: int = 20_000) -> DataFrame:
     """0-based rank of each row within its group, ordered by (key, order); with
     ``weight`` the sum of the weights of the rows before it.
 
@@ -85,7 +85,7 @@ def hash_rank(df: DataFrame, group: list[str], order: list[str], key: str, out:
     digits cut each group, however large, into small buckets: bucket totals are
     pre-aggregated and summed up, and only the rows of one bucket meet in a
     window.  ``df`` should be checkpointed, it is read three times."""
-    digits = max(1, math.ceil(math.log(max(1, df.count() / rows_per_task), 16)) + 1)
+    digits = max(2, math.ceil(math.log(max(1, df.count() / rows_per_task), 16)))
     w = F.col(weight) if weight else F.lit(1)
     sizes = (df.groupBy(*group, F.substring(F.col(key), 1, digits).alias("_bucket")).agg(F.sum(w).alias("_n")))
     first = sizes.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_bucket").alias("_b"),
