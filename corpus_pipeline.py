@@ -22,7 +22,7 @@ from langmix.llm import decontaminate, jaccard, mixing, sharding, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose last category of the classifier chain is 0.5 or more go.
+    """Documents whose last category of the classifier chain reaches REJECT go.
     The chain learns from the labelled rows of the given documents."""
     chain = toxicity.learn(docs, toxicity.categories(C.table(spark, sf_dir, "labels")))
     scored = toxicity.with_scores(docs, chain, prefix="_pipeline_")

@@ -14,7 +14,7 @@ with the same representative form a run.  The work then has three steps:
    the window starts to remove.  Runs cover each window once, so nothing is missed
    and nothing is judged twice.
 
-The texts themselves are shuffled by id once; both joins on the id use that shuffle.
+The texts themselves are shuffled by id once; all three steps read that shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ from langmix.llm.text import SPACE, buffers, byte_codes, grams, mix, tokens
 
 #: the id of rows without one: after all others
 LAST = (1 << 63) - 1
+#: what keyed() returns; all steps read the same columns, so that they share one shuffle
+COLUMNS = ("doc_id", "key", "rk", "text")
+KEY, RK, TEXT, TOLD = 1, 2, 3, 4
 SLICE_UNITS = 1 << 20
 SLICE_BYTES = 4 << 20
 
@@ -134,8 +137,8 @@ def recurring(docs: DataFrame, kind: Kind, groups: int) -> DataFrame:
     def spread(batches):
         for batch in batches:
             for b in C.pieces(batch, "text", SLICE_BYTES):
-                ids = b.column(0).to_numpy()
-                h, first, _ = kind.units(b.column(1))
+                ids = b.column(KEY).to_numpy()
+                h, first, _ = kind.units(b.column(TEXT))
                 t, lo, hi, v, alone = runs(h, first, kind)
                 _, at, count = np.unique(v, return_inverse=True, return_counts=True)
                 known = (count[at] > 1) | ~alone  # met twice here already
@@ -162,7 +165,7 @@ def recurring(docs: DataFrame, kind: Kind, groups: int) -> DataFrame:
             rows += [(int(key), s.tobytes()) for key, (s,) in by_key(ids[use], lo[use])]
         return pa.Table.from_batches([batch_of(rows, FOUND)])
 
-    return docs.select("key", "text").mapInArrow(spread, ENTRY).groupBy("p").applyInArrow(meet, FOUND)
+    return docs.mapInArrow(spread, ENTRY).groupBy("p").applyInArrow(meet, FOUND)
 
 
 PIECE = "p int, a long, key long, rk long, lo int, hi int, piece binary, alone boolean, ranges binary"
@@ -175,10 +178,10 @@ def candidate_pieces(docs: DataFrame, found: DataFrame, kind: Kind, groups: int)
     def cut(batches):
         for batch in batches:
             for b in C.pieces(batch, "text", SLICE_BYTES):
-                key, rk = b.column(0).to_numpy(), b.column(1).to_numpy()
+                key, rk = b.column(KEY).to_numpy(), b.column(RK).to_numpy()
                 told = [np.concatenate([np.frombuffer(x, np.int32) for x in s]) if s else np.zeros(0, np.int32)
-                        for s in b.column(3).to_pylist()]
-                h, first, content = kind.units(b.column(2))
+                        for s in b.column(TOLD).to_pylist()]
+                h, first, content = kind.units(b.column(TEXT))
                 t, lo, hi, v, alone = runs(h, first, kind)
                 same: dict[bytes, list] = {}
                 begin = np.searchsorted(t, np.arange(b.num_rows + 1))
@@ -198,7 +201,7 @@ def candidate_pieces(docs: DataFrame, found: DataFrame, kind: Kind, groups: int)
                 rows += [(k % groups, 0, k, r, 0, 0, None, None, np.array(x, np.int32).tobytes()) for (k, r), x in settled.items()]
                 yield batch_of(rows, PIECE)
 
-    return docs.join(starts, "key").select("key", "rk", "text", "starts").mapInArrow(cut, PIECE)
+    return docs.join(starts, "key").select(*COLUMNS, "starts").mapInArrow(cut, PIECE)
 
 
 Decide = Callable[[list[list[tuple]], Kind], list[tuple[int, int, int, int]]]
@@ -245,15 +248,15 @@ def digest(docs: DataFrame, ranges: DataFrame, one: Callable[[bytes, list[tuple[
     def run(batches):
         for b in batches:
             rows = []
-            buf, off = buffers(b.column(2))
-            rks = b.column(1).to_pylist()
-            for k, (doc, found) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+            buf, off = buffers(b.column(TEXT))
+            rks = b.column(RK).to_pylist()
+            for k, (doc, found) in enumerate(zip(b.column(0).to_pylist(), b.column(TOLD).to_pylist())):
                 own = b"".join(f["ranges"] for f in found or [] if f["rk"] == rks[k])
                 pairs = np.frombuffer(own, np.int32).reshape(-1, 2)
                 rows.append((doc, *one(buf[off[k]:off[k + 1]].tobytes(), sorted(set(map(tuple, pairs.tolist()))))))
             yield batch_of(rows, ddl)
 
-    return docs.join(told, "key", "left").select("doc_id", "rk", "text", "told").mapInArrow(run, ddl)
+    return docs.join(told, "key", "left").select(*COLUMNS, "told").mapInArrow(run, ddl)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}

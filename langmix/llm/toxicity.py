@@ -30,12 +30,13 @@ from pyspark.sql import types as T
 from langmix.llm import common as C
 from langmix.llm.text import PUNCT, buffers, byte_codes, mix, powers, tokens
 
-MAX_ROWS = 6000
+MAX_ROWS = 8000
 MIN_DOCS = 4
 FOLDS = 3
-L2 = 0.2
+L2 = 0.05
 STEPS = 150
-REJECT = 0.5
+#: a document is rejected from this probability on
+REJECT = 0.3
 #: slots of the hashed feature space, and the bytes of a word's beginning
 SLOTS = 1 << 20
 BEGINNINGS = (4, 6)
@@ -50,7 +51,8 @@ NOT_SYMBOL = bytes(b for b in range(256) if b >= 128 or b < 0x21 or b == 0x7F or
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """([(slots, begin of each text's)] for each kind of feature, words of each text)."""
+    """([(slots, begin of each text's)] for each kind of feature, words of each text).
+    A word that is repeated on the spot counts once."""
     s, e, h, first = tokens(buf, off, PUNCT, fold_case=True)
     kinds = [(h, first)]
     codes, p = byte_codes(True), powers(max(BEGINNINGS) + 1)[0]
@@ -62,8 +64,19 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[list[tuple[np.ndarray, n
         acc = acc + x * p[j]
     kinds.append(_beginning(acc, size > max(BEGINNINGS), first, max(BEGINNINGS)))
     _, _, g, begin = tokens(buf, off, NOT_SYMBOL)
-    kinds.append((mix(g), begin))
-    return [((k >> np.uint64(44)).astype(np.int64), f) for k, f in kinds], np.diff(first)
+    kinds = [_once(_slot(k), f) for k, f in kinds]
+    return [*kinds, (_slot(mix(g)), begin)], np.diff(kinds[0][1])
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64)
+
+
+def _once(slots: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.ones(len(slots), bool)
+    keep[1:] = slots[1:] != slots[:-1]
+    keep[first[:-1][np.diff(first) > 0]] = True
+    return slots[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
 def _beginning(acc: np.ndarray, longer: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +218,7 @@ def categories(labels: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark, sf_dir):
-    """doc_id, a probability for each category, toxic (the last one's is 0.5 or more)."""
+    """doc_id, a probability for each category, toxic (the last one's is REJECT or more)."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = learn(docs, categories(C.table(spark, sf_dir, "labels")))
     scored = with_scores(docs, chain)

@@ -17,7 +17,7 @@ def test_stages_compose(spark):
         assert after.columns == docs.columns
         if name == "toxicity":
             chain = toxicity.learn(docs, toxicity.categories(spark.read.parquet(f"{SF}/labels.parquet")))
-            keep = {r.doc_id for r in toxicity.with_scores(docs, chain).where("p_toxic < 0.5").select("doc_id").collect()}
+            keep = {r.doc_id for r in toxicity.with_scores(docs, chain).where(f"p_toxic < {toxicity.REJECT}").select("doc_id").collect()}
         elif name == "near_duplicates":
             keep = {k for (k, _, _, kept) in X.jaccard_classes([(r.doc_id, r.text) for r in before.collect()]) if kept}
         elif name == "decontamination":
