@@ -4,6 +4,8 @@ checked (numbers differ from other libraries' implementations)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,15 @@ def kmeans(df: DataFrame, key_col: str, k: int, features: str = "features") -> D
     return model.transform(df).select(key_col, F.lit(k).alias("k"), "cluster")
 
 
+def kmeans_centres(df: DataFrame, k: int, features: str = "features") -> DataFrame:
+    """(k, cluster, feature, value): the centres of a k-means model, a row per
+    cluster and dimension."""
+    from pyspark.ml.clustering import KMeans
+    model = KMeans(k=k, seed=SEED, featuresCol=features, predictionCol="cluster").fit(df)
+    rows = [(k, c, i, float(v)) for c, centre in enumerate(model.clusterCenters()) for i, v in enumerate(centre)]
+    return df.sparkSession.createDataFrame(rows, "k int, cluster int, feature int, value double")
+
+
 def pca2(df: DataFrame, key_col: str, features: str = "features") -> DataFrame:
     """First two principal components of the *centred* vectors."""
     from pyspark.ml import Pipeline
@@ -61,3 +72,36 @@ def top_features(imp: DataFrame, k: int = 10, how: str = "sum") -> DataFrame:
     """Top-k features by the sum (or median) of importances over targets."""
     agg = F.sum("importance") if how == "sum" else F.percentile("importance", 0.5)
     return imp.groupBy("feature").agg(agg.alias("score")).orderBy(F.desc("score"), "feature").limit(k)
+
+
+def subset_ablation(train: DataFrame, test: DataFrame, base: Sequence[str], optional: Sequence[str], targets: Sequence[str],
+                    num_trees: int = 20, parallel: int = 4) -> DataFrame:
+    """M7: mean squared error over the targets for every subset of the ``optional``
+    features (always with the ``base`` ones): (variables, mse).  The frames should
+    be checkpointed; at most ``parallel`` forests are fitted at a time."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    def fit(features: tuple[str, ...], target: str) -> float:
+        va = VectorAssembler(inputCols=[*base, *features], outputCol="features")
+        model = RandomForestRegressor(numTrees=num_trees, seed=SEED, featuresCol="features", labelCol=target, predictionCol="pred")
+        pred = model.fit(va.transform(train)).transform(va.transform(test))
+        return pred.agg(F.avg(F.pow(F.col(target) - F.col("pred"), 2))).first()[0]
+
+    subsets = [c for n in range(len(optional) + 1) for c in combinations(sorted(optional), n)]
+    jobs = [(c, t) for c in subsets for t in targets]
+    with ThreadPoolExecutor(parallel) as pool:
+        mse = list(pool.map(lambda j: fit(*j), jobs))
+    rows = [("baseline+" + ",".join(c), t, m) for (c, t), m in zip(jobs, mse)]
+    out = train.sparkSession.createDataFrame(rows, "variables string, target string, mse double")
+    return out.groupBy("variables").agg(F.avg("mse").alias("mse"))
+
+
+def collect_ablations(settings: dict[str, DataFrame], order_by: str) -> DataFrame:
+    """M8: the (variables, mse) tables of several settings side by side: only
+    variables known in all of them, sorted by one."""
+    out = None
+    for name, df in settings.items():
+        one = df.select("variables", F.col("mse").alias(name))
+        out = one if out is None else out.join(one, "variables")
+    return out.orderBy(order_by, "variables")

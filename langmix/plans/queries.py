@@ -656,7 +656,7 @@ FOREST_FEATURES = ["quality", "toxic", "n_chars", "n_lines"]
 FOREST_TARGETS = ["de", "en", "es", "fr"]
 
 
-def _forest(spark, sf):
+def _forest_data(spark, sf):
     wide = D.widen(line_dist(spark, sf), ["id"], FOREST_TARGETS)
     n_lines = I.distribution_lines(I.completions(spark, sf)).groupBy("id").agg(
         F.count(F.lit(1)).cast("double").alias("n_lines"))
@@ -664,8 +664,11 @@ def _forest(spark, sf):
     docs = _load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double"))
     data = (wide.join(lab, "id").join(docs, "id").join(n_lines, "id")
             .select("id", *[F.col(c).cast("double").alias(c) for c in FOREST_FEATURES + FOREST_TARGETS]))
-    data = cut_lineage(data)
-    train, test = Y.hash_split(data, "id", 80)
+    return cut_lineage(data)
+
+
+def _forest(spark, sf):
+    train, test = Y.hash_split(_forest_data(spark, sf), "id", 80)
     return ML.forest_per_target(train, test, FOREST_FEATURES, FOREST_TARGETS, num_trees=100)
 
 

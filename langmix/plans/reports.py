@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from langmix.functions import text as tx
 from langmix.operators import dist as D
 from langmix.operators import lid
+from langmix.operators import ml as ML
 from langmix.operators import naming as N
 from langmix.operators import overlap as O
 from langmix.operators import prompts as C
+from langmix.operators import typology as Y
 from langmix.plans import inputs as I
 from langmix.plans import oracle as SQL
 from langmix.plans import queries as Q
@@ -203,3 +205,23 @@ u AS (SELECT DISTINCT id, task, array_to_string(list_sort({SQL.train_list()}), '
 g AS (SELECT u.*, l.lang FROM u, (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang) l)
 SELECT g.training, g.task, g.lang, round(avg(coalesce(d.p, 0.0)), 6) AS mean_share
 FROM g LEFT JOIN line_dist d ON d.id = g.id AND d.lang = g.lang GROUP BY ALL"""
+
+
+@query("kmeans_centres")
+def q_kmeans_centres(spark, sf):
+    """Centres of the k-means models (k = 3 and 6) of the embeddings."""
+    v = Q._embedding_vectors(spark, sf)
+    return ML.kmeans_centres(v, 3).unionByName(ML.kmeans_centres(v, 6))
+
+
+@query("subset_ablation")
+def q_subset_ablation(spark, sf):
+    """M7 + M8: mean error of forests that predict language shares, for every subset
+    of three features beside the base one, for even and odd completions ('mono' and
+    'cross'), aligned and sorted."""
+    data = Q._forest_data(spark, sf)
+    found = {}
+    for name, part in (("mono", data.where("id % 2 = 0")), ("cross", data.where("id % 2 = 1"))):
+        train, test = Y.hash_split(part, "id", 80)
+        found[name] = ML.subset_ablation(train, test, ["n_chars"], ["n_lines", "quality", "toxic"], ["de", "en"])
+    return ML.collect_ablations(found, "cross")

@@ -187,3 +187,38 @@ def test_attribute_matches(spark):
     # unit 2: different script, same family (semitic), VSO vs SVO, both RTL, single training language
     assert (r[2]["script"], r[2]["family"], r[2]["word_order"], r[2]["script_lr"], r[2]["training_script_lr"]) \
         == (0, 1, 0, 1, 1)
+
+
+def test_names_and_keys(spark):
+    from langmix.operators import naming as N
+    names = ["o/mt5_me5_pan_Guru_32_2layers_inverter", "mt5_me5_ara-script_32_2layers_corrector", "mt5_gtr_deu_Latn_32_corrector", "me5_deu_xyz"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").withColumn("m", N.normalise_model(F.col("n")))
+    got = [(r.m, r.t) for r in df.select("i", "m", N.training_languages(F.col("m")).alias("t")).orderBy("i").collect()]
+    assert got == [("me5_pan_Guru", ["pan_Guru"]), ("me5_arab-script", ["arb_Arab", "heb_Hebr"]), ("gtr_deu_Latn", ["deu_Latn"]),
+                   ("me5_deu_xyz", ["deu_Latn", None])]
+    k = spark.createDataFrame([("3_llm_mono_fr_native_prompts",)], "k string").select(*N.split_key(F.col("k"))).first()
+    assert tuple(k) == ("3", "llm", "mono", "fr", "native-prompts")
+    x = spark.createDataFrame([(0.856,), (1.0,), (0.0,), (0.0123,), (None,), (98.76,)], "x double")
+    assert [r[0] for r in x.select(N.two_digits(F.col("x"))).collect()] == ["0.86", "1.0", "0.0", "0.012", None, "99.0"]
+
+
+def test_first_and_last_evaluation(spark):
+    from langmix.operators import naming as N
+    d = spark.createDataFrame([("m", "Labels", 1, "de", 1.0), ("m", "Labels", 2, "fr", 0.5), ("m", "Labels", 2, "en", 0.5),
+                               ("m", "Base", 1, "de", 0.7), ("m", "Base", 2, "en", 1.0)], "model string, step string, o int, lang string, p double")
+    got = sorted((r.step, r.lang) for r in N.flatten_steps(d, ["model"], "step", "o").collect())
+    assert got == [("Base", "de"), ("Labels", "en"), ("Labels", "fr")]
+
+
+def test_ablation_and_centres(spark):
+    from langmix.operators import ml as ML
+    rows = [(i, float(i % 2), float(i % 3), float(i % 5), float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y double")
+    out = {r.variables: r.mse for r in ML.subset_ablation(df, df, ["c"], ["a", "b"], ["y"], num_trees=5).collect()}
+    assert set(out) == {"baseline+", "baseline+a", "baseline+b", "baseline+a,b"} and out["baseline+a"] < out["baseline+"]
+    two = {"x": spark.createDataFrame([("p", 1.0), ("q", 2.0)], "variables string, mse double"),
+           "y": spark.createDataFrame([("q", 5.0), ("p", 9.0), ("r", 0.0)], "variables string, mse double")}
+    assert [tuple(r) for r in ML.collect_ablations(two, "y").collect()] == [("q", 2.0, 5.0), ("p", 1.0, 9.0)]
+    v = ML.as_vector(spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 2.0]), (3, [9.0, 9.0])], "k int, e array<double>"), "e")
+    c = ML.kmeans_centres(v, 2).collect()
+    assert sorted(round(r.value, 6) for r in c) == [0.0, 1.0, 9.0, 9.0]
