@@ -225,3 +225,15 @@ def q_subset_ablation(spark, sf):
         train, test = Y.hash_split(part, "id", 80)
         found[name] = ML.subset_ablation(train, test, ["n_chars"], ["n_lines", "quality", "toxic"], ["de", "en"])
     return ML.collect_ablations(found, "cross")
+
+
+@query("training_multi_hot")
+def q_training_multi_hot(spark, sf):
+    """A 0/1 column for each training language of a completion's model."""
+    c = I.completions(spark, sf)
+    return c.select("id", *[F.array_contains("training", x).cast("int").alias(f"train_{x}") for x in ("de", "en", "es", "fr")])
+
+
+ORACLES["training_multi_hot"] = "SELECT id, " + ", ".join(
+    f"CAST(list_contains({SQL.train_list()}, '{x}') AS INTEGER) AS train_{x}" for x in ("de", "en", "es", "fr")) + \
+    " FROM (SELECT doc_id AS id FROM documents)"
