@@ -7,7 +7,6 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from langmix.session import cut_lineage, ensure_checkpoint_dir
 
@@ -103,6 +102,3 @@ def _window(part: list[str], order: list[str]):
     w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
     return w.orderBy(*order)
 
-
-def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.llm import common as C
-from langmix.llm.text import PUNCT, buffers, owners, tokens
+from langmix.llm.text import PUNCT, buffers, tokens
 
 SEGMENT_BYTES = 4 << 20
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 WINDOW = 10
 
 INDEX = "seg long, ids array<bigint>, first binary, terms binary, ends binary, postings binary"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.llm import common as C
-from langmix.llm.text import SPACE, buffers, byte_codes, grams, mix, tokens
+from langmix.llm.text import SPACE, buffers, byte_codes, grams, tokens
 
 #: the id of rows without one: after all others
 LAST = (1 << 63) - 1
