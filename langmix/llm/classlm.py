@@ -176,9 +176,12 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes of the OWN - 1 most frequent words, their endings)."""
     def flat(batches):
+        best = np.zeros((3, 0), np.int64)  # of all partitions that this task reads
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(c.to_pylist()), np.int64)) for c in b.columns], ["word", "n", "ending"])
+            rows = np.stack([np.frombuffer(b"".join(c.to_pylist()), np.int64) for c in b.columns])
+            best = np.concatenate([best, rows], axis=1)
+            best = best[:, np.lexsort((best[0], -best[1]))[:OWN - 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["word", "n", "ending"])
 
     top = (counts.where("block is null").select("top_words", "top_counts", "top_endings")
            .mapInArrow(flat, "word long, n long, ending long").orderBy(F.desc("n"), "word").limit(OWN - 1).collect())
@@ -187,6 +190,25 @@ def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return words[order], np.array([r["ending"] for r in top], np.int64)[order]
 
 
+def corpus_sums(counts: DataFrame) -> tuple[int, int, int, int, np.ndarray]:
+    """(tokens, types, types seen once, types seen twice, types by ending) of the
+    training documents.  Every task sums what it reads, before and after a shuffle;
+    at most ROW_BLOCKS rows of a fixed size reach the driver."""
+    def add(batches):
+        total = np.zeros(4 + ENDINGS, np.int64)
+        for b in batches:
+            for sums, kinds in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total += np.array([*sums, *kinds], np.int64)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total[:4].tolist()], pa.list_(pa.int64())),
+                                          "types": pa.array([total[4:].tolist()], pa.list_(pa.int64()))})
+
+    ddl = "sums array<bigint>, types array<bigint>"
+    rows = (counts.where("block is null").select("sums", "types").mapInArrow(add, ddl)
+            .repartition(ROW_BLOCKS).mapInArrow(add, ddl).collect())
+    total = sum((np.array([*r["sums"], *r["types"]], np.int64) for r in rows), np.zeros(4 + ENDINGS, np.int64))
+    return (*map(int, total[:4]), total[4:].astype(float))
+
+
 def bigrams(blocks: DataFrame, own: np.ndarray) -> np.ndarray:
     """(UNITS x UNITS) counts of adjacent units in training documents; the end
     unit stands before the first word."""
@@ -284,13 +306,7 @@ class Model:
 
 def fit(blocks: DataFrame, counts: DataFrame) -> Model:
     own, endings = frequent(counts)
-    told = counts.where("block is null")
-    sums = dict.fromkeys(range(4), 0) | {r["k"]: r["s"] for r in told.select(F.posexplode("sums").alias("k", "x"))
-                                         .groupBy("k").agg(F.sum("x").alias("s")).collect()}
-    total, types, once, twice = (int(sums[k]) for k in range(4))
-    by_ending = np.zeros(ENDINGS)
-    for r in told.select(F.posexplode("types").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("s")).collect():
-        by_ending[r["k"]] = r["s"]  # one number for each ending
+    total, types, once, twice, by_ending = corpus_sums(counts)
     b = bigrams(blocks, own)
     cls = exchange(b)
     seen = b.sum(axis=0)
