@@ -6,15 +6,15 @@ writes each stage's rows as Parquet into the shared checkpoint folder and reads
 them back, so a lost executor never costs more than the stage at hand.
 
 Rows with a null text pass the filters (nothing in them can be toxic, contaminated
-or a near duplicate).  Of rows that repeat a document's id in one group of near
-duplicates one stays.  Empty tables pass through.
+or a near duplicate).  Rows are told apart by id and text: ids may be null or repeat, and
+of each group of near duplicates one row stays.  Empty tables pass through.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langmix.llm import common as C
@@ -29,25 +29,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(f"_pipeline_{chain.names[-1]}") < toxicity.REJECT).select(*docs.columns)
 
 
+def _is(rows: DataFrame) -> Column:
+    """A document is one of the given rows (doc_id, print): ids may be null or repeat."""
+    return F.col("doc_id").eqNullSafe(rows["_row_id"]) & (jaccard.text_print() == rows["_row_print"])
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    classes = C.ckpt(jaccard.similarity_classes(docs))
-    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    again = classes.where("kept and n_links > 0").groupBy("doc_id").count().where("count > 1")
-    if again.limit(1).count():  # rows that repeat an id: their copies share its class
-        kept_twice = again.select(F.col("doc_id").alias("_again"))
-        match = F.col("doc_id").eqNullSafe(F.col("_again"))
-        left = left.join(kept_twice, match, "left_anti").unionByName(
-            left.join(kept_twice, match, "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates one row with the smallest id stays."""
+    gone, again = [C.ckpt(x.select(F.col("doc_id").alias("_row_id"), F.col("print").alias("_row_print"))) for x in jaccard.surplus(docs)]
+    left = docs.join(gone, _is(gone), "left_anti")
+    if again.limit(1).count():  # copies under one id
+        one = (left.join(again, _is(again), "left_semi").withColumn("_row_print", jaccard.text_print())
+               .dropDuplicates(["doc_id", "_row_print"]).drop("_row_print"))
+        left = left.join(again, _is(again), "left_anti").unionByName(one)
     return left
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten words of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, C.table(spark, sf_dir, "benchmark"))
+    row = F.xxhash64("doc_id", jaccard.text_print())  # ids may be null or repeat
+    found = decontaminate.decontaminate(docs.withColumn("_row", row), C.table(spark, sf_dir, "benchmark"), id_col="_row")
     hit = C.ckpt(found.where("contaminated").select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(hit, row == F.col("_hit"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

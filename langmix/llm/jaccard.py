@@ -24,7 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from langmix.llm import common as C
@@ -93,6 +93,11 @@ def minima(values: np.ndarray, begin: np.ndarray, hashes: int) -> np.ndarray:
     return out
 
 
+def text_print(text_col: str = "text") -> Column:
+    """With the id it tells rows apart: rows that agree in both are copies."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     cols = [f"b{k}" for k in range(bands)]
 
@@ -107,12 +112,13 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
                     band = mix(band * MULT + m[:, :, r])
                 fp = np.array([fingerprint(h[a:z]) for a, z in zip(first[:-1], first[1:])], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.diff(first)), pa.array(fp.view(np.int64))]
+                    [b.column(0), b.column(2), pa.array(np.diff(first)), pa.array(fp.view(np.int64))]
                     + [pa.array(np.ascontiguousarray(band[:, k]).view(np.int64)) for k in range(bands)],
-                    ["doc_id", "n_words", "node", *cols])
+                    ["doc_id", "print", "n_words", "node", *cols])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ddl = "doc_id long, n_words long, node long, " + ", ".join(f"{c} long" for c in cols)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      text_print(text_col).alias("print"))
+    ddl = "doc_id long, print long, n_words long, node long, " + ", ".join(f"{c} long" for c in cols)
     return src.mapInArrow(run, ddl)
 
 
@@ -187,10 +193,10 @@ def verify(table: pa.Table, threshold: float, i: int, j: int) -> pa.Table:
                     schema=pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
 
 
-def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL,
-                       id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest id reachable by links),
-    n_links (other rows linked directly, copies included), kept (doc_id = class_id)."""
+def components(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL,
+               id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, print, n_words, node), (classes of equal word sequences: node,
+    rep, n_links, component, class_id); rows without words are in no class."""
     spark = docs.sparkSession
     C.prepare(spark)
     bands, rows = banding(threshold, recall)
@@ -223,12 +229,38 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: float = T
              .select("node", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                      F.coalesce("component", "node").alias("component")))
     lowest = state.groupBy("component").agg(F.min("rep").alias("class_id"))
-    state = state.join(lowest, "component").select("node", "class_id", "n_links")
+    return sig.select("doc_id", "print", "n_words", "node"), state.join(lowest, "component")
+
+
+def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL,
+                       id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per input row: doc_id, class_id (smallest id reachable by links),
+    n_links (other rows linked directly, copies included), kept (doc_id = class_id)."""
+    sig, state = components(docs, words, threshold, recall, id_col, text_col, block)
+    state = state.select("node", "class_id", "n_links")
     some = sig.where("n_words > 0").select("doc_id", "node").join(state, "node").select("doc_id", "class_id", "n_links")
     none = sig.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def surplus(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """What to drop so that one row of each component stays, one that bears its
+    smallest id: (gone: doc_id, print), all rows with these go, and (again: doc_id,
+    print), of the rows with these one stays.  Ids may be null or repeat: a component
+    is told by its classes, a row by its id and text."""
+    sig, state = components(docs, **options)
+    head = (state.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("component", "class_id")
+            .agg(F.min("node").alias("node")).select("node", "class_id", F.lit(True).alias("head")))
+    rows = C.ckpt(sig.where("n_words > 0").join(head, "node", "left")
+                  .select("doc_id", "print", "node", (F.col("head").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first")))
+    # texts of one class may differ in their spaces
+    forms = rows.where("first").groupBy("node", "doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
+    forms = C.ckpt(forms.join(forms.groupBy("node").agg(F.min("print").alias("best")), "node"))
+    gone = (rows.where("not first").select("doc_id", "print")
+            .unionByName(forms.where("print <> best").select("doc_id", "print")).distinct())
+    return gone, forms.where("print = best and copies > 1").select("doc_id", "print")
+
+
 def op10_jaccard_join(spark, sf_dir):
     return similarity_classes(C.table(spark, sf_dir, "documents"))
 

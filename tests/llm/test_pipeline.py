@@ -46,3 +46,28 @@ def test_repeated_rows_and_nulls(spark):
         sorted([(1, len(text)), (3, 0), (4, 0), (5, 0), (6, len(rows[7][1])), (6, len(rows[8][1]))])
     for _, stage in P.STAGES:
         assert stage(spark, X.empty(spark), SF).count() == 0
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Every row is decided by itself, however many share its id (or have none)."""
+    rng = random.Random(8)
+    a, b, c, d = (X.sentence(rng, 60) for _ in range(4))
+    near = b.replace(b.split()[30], "changed", 1)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 12").first().text
+    alone = [X.sentence(rng, 30) for _ in range(4)]
+    rows = [(1, a), (None, a), (None, b), (None, near), (None, c), (None, c), (None, alone[0]), (None, alone[1]), (None, ""), (None, None),
+            (7, d), (8, d), (8, alone[2]), (9, a), (9, c), (9, b), (2, c + "  "), (2, c), (6, alone[3]), (6, alone[3])]
+    docs = X.frame(spark, [(k, t, "en", "a") for k, t in rows])
+    left = sorted((r.doc_id or 0, r.text or "") for r in P.one_of_each_group(spark, docs, SF).select("doc_id", "text").collect())
+    spaces = [x for x in left if x[0] == 2]
+    assert [" ".join(t.split()) for _, t in spaces] == [c]  # one of two texts that differ in spaces
+    assert sorted(x for x in left if x[0] != 2) == sorted(
+        [(1, a), (9, b), (0, alone[0]), (0, alone[1]), (0, ""), (0, ""), (7, d), (8, alone[2]), (6, alone[3])])
+    # groups without any id: one row of each
+    bare = X.frame(spark, [(None, t, "en", "a") for t in (a, a, b, near, alone[0])])
+    left = [r.text for r in P.one_of_each_group(spark, bare, SF).select("text").collect()]
+    assert len(left) == 3 and a in left and alone[0] in left and (b in left) != (near in left)
+    # contaminated rows go alone
+    rows = [(None, a), (None, a + " " + item), (None, None), (3, b), (3, item), (3, b)]
+    left = P.drop_contaminated(spark, X.frame(spark, [(k, t, "en", "a") for k, t in rows]), SF)
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.select("doc_id", "text").collect()) == sorted([(0, a), (0, ""), (3, b), (3, b)])
