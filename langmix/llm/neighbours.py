@@ -5,6 +5,13 @@ concatenated random hashes (signs of random projections); classes are ordered by
 key and each is compared with at least the ``BLOCK`` classes before and after it.
 Links of all passes are united; tasks return spanning forests, not pairs.
 
+The number of passes follows from the number of classes, so that a pair at the
+threshold meets with probability ``RECALL`` in an even background (``passes_for``).
+Where many classes share long key prefixes a window reaches less far.  Each class
+therefore notes the shortest prefix whose run fits a window; classes whose prefixes
+were too long for the wanted recall go on among themselves, in further passes or,
+where that moves fewer rows, in all pairs of blocks.
+
 A window bounds a pass, not the result: every component of linked classes is then
 verified completely, in pairs of blocks, so a group larger than any window loses no
 link between its members.
@@ -19,6 +26,8 @@ if its component has no other id.  Other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +37,28 @@ from pyspark.sql import types as T
 from langmix.llm import common as C
 
 THRESHOLD = 0.9
+#: at least so many passes
 PASSES = 16
+#: a link at the threshold is found at least so often
+RECALL = 0.999
 BITS = 48
 BLOCK = 512
 SEED = 7
 
 
+def agreement(threshold: float) -> float:
+    """How often a random hash is the same for two vectors at the threshold."""
+    return 1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi
+
+
+def passes_for(classes: int, threshold: float = THRESHOLD, block: int = BLOCK, recall: float = RECALL, least: int = PASSES) -> int:
+    """Passes after which two vectors at the threshold have shared, with probability
+    ``recall``, a prefix whose run fits a window.  A bit more than an even split
+    needs is reckoned, since runs of one prefix differ in size."""
+    one = agreement(threshold) ** (math.log2(classes / block) + 1) if classes > block else 1.0
+    return least if one >= 1 - 1e-9 else max(least, math.ceil(math.log1p(-recall) / math.log1p(-one)))
+
+
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norms
@@ -73,14 +98,14 @@ def keyed(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((dim, passes * bits))
                 x = _unit([raw[i] for i in mine], flat.dtype.str)
-                sign = (x @ planes[dim] > 0).reshape(len(mine), passes, bits)
-                code = sign @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
                 ids = node.take(pa.array(mine))
                 blobs = pa.array([raw[i] for i in mine], pa.binary())
                 for p in range(passes):
+                    sign = x @ planes[dim][:, p * bits:(p + 1) * bits] > 0
+                    code = sign @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(mine), p, np.int32)), pa.array(np.full(len(mine), dim, np.int32)),
-                         pa.array(code[:, p]), ids, blobs], ["pass", "dim", "code", "node", "raw"])
+                         pa.array(code), ids, blobs], ["pass", "dim", "code", "node", "raw"])
 
     return classes.select("node", "v").mapInArrow(run, KEYED)
 
@@ -107,10 +132,35 @@ def _cosines(raw: list[bytes], dim: np.ndarray, kind: str) -> np.ndarray:
     return out
 
 
-def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, block: int, seed: int) -> DataFrame:
-    """(u, v): spanning links found by the passes."""
+def _kind(classes: DataFrame) -> str:
+    return "<f4" if isinstance(classes.schema["v"].dataType.elementType, T.FloatType) else "<f8"
+
+
+def depths(code: np.ndarray, sort: np.ndarray, own: np.ndarray, block: int, bits: int) -> np.ndarray:
+    """For each row of a block and the one after it (in key order) the length of the
+    prefix from which on its run fits a window, as far as windows that begin in the
+    block can tell."""
+    at = np.flatnonzero(own)
+    at = at[at + block < len(code)]
+    at = at[sort[at] == sort[at + block]]
+    out = np.zeros(len(code), np.int64)
+    differ = code[at] ^ code[at + block]
+    need = bits + 1 - np.where(differ > 0, np.frexp(differ.astype(np.float64))[1], 0)
+    full = np.zeros(len(code), np.int64)
+    full[at] = need
+    n = int(own.sum())
+    out[:n] = np.maximum.accumulate(full[:n])
+    later = np.maximum.accumulate(full[:n][::-1])[::-1]  # windows that begin at j or after
+    m = min(n, len(code) - n)
+    out[n:n + m] = later[:m]
+    return out
+
+
+def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, block: int, seed: int, known: int) -> DataFrame:
+    """(u, v, pass, depth): spanning links found by the passes, and for a class u
+    (v null) a prefix longer than ``known`` that it needed in a pass."""
     spark = classes.sparkSession
-    kind = "<f4" if isinstance(classes.schema["v"].dataType.elementType, T.FloatType) else "<f8"
+    kind = _kind(classes)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["pass", "dim", "code", "node"]
     ranked = C.ckpt(keyed(classes, passes, bits, seed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -134,14 +184,73 @@ def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, b
         link = (cos >= threshold) & (p[:, None] == p[None, :]) & (own[:, None] | own[None, :])
         root, node = forest(link), np.array(d["node"], np.int64)
         has = root != np.arange(len(root))
+        deep = depths(np.array(d["code"], np.int64), p.astype(np.int64) << 32 | np.array(d["dim"]), own, block, bits)
+        tell = deep > known
+        return pa.table({"u": np.concatenate([node[has], node[tell]]),
+                         "v": pa.array([*node[root[has]].tolist(), *[None] * int(tell.sum())], pa.int64()),
+                         "pass": np.concatenate([np.zeros(has.sum(), np.int32), p[tell].astype(np.int32)]),
+                         "depth": np.concatenate([np.zeros(has.sum(), np.int64), deep[tell]])}, schema=FOUND)
+
+    return (placed.select("b", "own", "at", "pass", "dim", "code", "node", "raw").groupBy("b")
+            .applyInArrow(compare, "u long, v long, pass int, depth long"))
+
+
+FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("pass", pa.int32()), ("depth", pa.int64())])
+
+
+def block_links(classes: DataFrame, threshold: float, blocks: int) -> DataFrame:
+    """(u, v): spanning links of all pairs."""
+    kind = _kind(classes)
+    placed = (classes.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+              .select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "v"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        lists, node = t.column("v").to_pylist(), t.column("node").to_numpy()
+        root = forest(_cosines([np.array(x, kind).tobytes() for x in lists], np.array([len(x) for x in lists]), kind) >= threshold)
+        has = root != np.arange(len(root))
         return pa.table({"u": node[has], "v": node[root[has]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
-    return placed.select("b", "own", "at", "pass", "dim", "node", "raw").groupBy("b").applyInArrow(compare, "u long, v long")
+    return placed.groupBy("i", "j").applyInArrow(compare, "u long, v long")
+
+
+def spanning_links(classes: DataFrame, threshold: float, passes: int, bits: int, block: int, seed: int, recall: float) -> DataFrame:
+    """(u, v): links of passes that give every class the wanted recall."""
+    p, wanted = agreement(threshold), math.log1p(-recall)
+    left = C.ckpt(classes.select("node", "v", F.lit(0.0).alias("miss")))  # miss: log of the chance to miss a link so far
+    n, links = left.count(), None
+    take, at = passes_for(n, threshold, block, recall, passes), 0
+    while True:
+        known = max(0, math.floor(math.log2(max(n, 1) / block))) if n > block else 0
+        found = C.ckpt(window_links(left, threshold, take, bits, block, seed + 1000 * at, known))
+        at += 1
+        new = found.where("v is not null").select("u", "v")
+        links = new if links is None else links.unionByName(new)
+        if p > 1 - 1e-9 or known == 0 and n <= block:
+            return links
+        usual = math.log1p(-p ** max(known, 1))  # of a pass in which the known prefix did
+        deep = (found.where("v is null").groupBy(F.col("u").alias("node"), "pass").agg(F.max("depth").alias("depth"))
+                .groupBy("node").agg(F.count(F.lit(1)).alias("k"),
+                                     F.sum(F.when(F.col("depth") > bits, 0.0).otherwise(F.log1p(-F.pow(F.lit(p), F.col("depth"))))).alias("got")))
+        gained = F.coalesce("got", F.lit(0.0)) + (F.lit(take) - F.coalesce("k", F.lit(0))) * usual
+        left = C.ckpt(left.join(deep, "node", "left").select("node", "v", (F.col("miss") + gained).alias("miss"), gained.alias("gained"))
+                      .where(F.col("miss") > wanted))
+        n, slowest, most = left.agg(F.count(F.lit(1)), F.max("gained"), F.max("miss")).first()
+        if not n:
+            return links
+        # the hardest class gains at this rate (a pass among fewer classes gains more)
+        rate = -slowest / take
+        more = (most - wanted) / rate if rate > 0 else math.inf
+        blocks = -(-n // block)
+        if blocks <= 2 * more:  # a pass moves every row twice, all pairs once a block
+            return links.unionByName(block_links(left, threshold, blocks))
+        take = min(max(1, math.ceil(more)), 64)
+        left = left.select("node", "v", "miss")
 
 
 def complete(classes: DataFrame, groups: DataFrame, threshold: float, block: int) -> DataFrame:
     """(node, links): rows linked to each class within its component, exactly."""
-    kind = "<f4" if isinstance(classes.schema["v"].dataType.elementType, T.FloatType) else "<f8"
+    kind = _kind(classes)
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rows = groups.join(sizes, "component").join(classes, "node")
     placed = (rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -165,11 +274,12 @@ def complete(classes: DataFrame, groups: DataFrame, threshold: float, block: int
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS,
-                    block: int = BLOCK, seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+                    block: int = BLOCK, seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding",
+                    recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``vectors``."""
     C.prepare(vectors.sparkSession)
     rows, classes = classes_of(vectors, id_col, vec_col)
-    groups = C.min_label(window_links(classes, threshold, passes, bits, block, seed))
+    groups = C.min_label(spanning_links(classes, threshold, passes, bits, block, seed, recall))
     links = complete(classes, groups, threshold, block)
     state = (classes.select("node", "rep", "copies").join(links, "node", "left").join(groups, "node", "left")
              .select("node", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),

@@ -47,3 +47,44 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_passes_grow_with_the_table():
+    assert N.passes_for(100) == N.PASSES
+    assert N.PASSES < N.passes_for(10 ** 5) < N.passes_for(10 ** 6) < N.passes_for(5 * 10 ** 7)
+    p = N.agreement(0.9)
+    for n in (10 ** 5, 10 ** 6, 5 * 10 ** 7):
+        assert 1 - (1 - p ** np.log2(n / N.BLOCK)) ** N.passes_for(n) >= N.RECALL
+
+
+def test_depths():
+    rng = np.random.default_rng(3)
+    code = np.sort(rng.integers(0, 1 << 10, 200))
+    for block in (4, 16):
+        best = np.zeros(len(code), int)
+        for lo in range(0, len(code), block):
+            own = np.arange(lo, min(lo + 2 * block, len(code))) < lo + block
+            part = N.depths(code[lo:lo + 2 * block], np.zeros(len(own), int), own, block, 10)
+            best[lo:lo + 2 * block] = np.maximum(best[lo:lo + 2 * block], part)
+        for i, x in enumerate(code):
+            runs = [((code >> (10 - k)) == (x >> (10 - k))).sum() for k in range(11)]
+            assert best[i] == min([k for k in range(11) if runs[k] <= block], default=11)
+
+
+def test_isolated_pairs_in_a_large_table(spark):
+    """Windows of 8 places in 2,400 vectors, a third of them close together."""
+    rng = np.random.default_rng(9)
+    cone = rng.standard_normal(32)
+    x = rng.standard_normal((2200, 32))
+    x[:800] = cone / np.linalg.norm(cone) * 4.5 + x[:800] * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((200, 32))
+    mate = x[700:900]  # half of the pairs in the cone
+    side -= (side * mate).sum(axis=1, keepdims=True) * mate
+    x = np.concatenate([x, 0.905 * mate + np.sqrt(1 - 0.905 ** 2) * side / np.linalg.norm(side, axis=1, keepdims=True)])
+    rows = [(k, [float(np.float32(a)) for a in v]) for k, v in enumerate(x)]
+    got = N.near_duplicates(spark.createDataFrame([(k, v, 1, "x", "x", "x") for k, v in rows], DDL), block=8).collect()
+    want = brute(rows)
+    assert sum(n for (_, _, links, _), n in want.items() if links) >= 200
+    wrong = sum(want[(r.vec_id, r.component_id, r.n_links, r.kept)] != 1 for r in got)
+    assert len(got) == len(rows) and wrong <= 2
