@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from langmix.llm import mixing as M
 from langmix.llm import sharding as S
 from tests.llm import fixtures as X
@@ -84,3 +86,30 @@ def test_a_group_larger_than_a_shard(spark):
 def test_few_rows(spark):
     check_shards([(1, "a", "en", "s")], S.shard_rows(X.frame(spark, [(1, "a", "en", "s")])).collect(), 40)
     assert S.shard_rows(X.empty(spark)).count() == 0
+
+
+def test_full_shards_swap(spark):
+    """Every text twice: no shard has room, and yet nearly all copies meet."""
+    docs = [(k, f"text {k % 200}", "en", "s0") for k in range(400)]
+    rows = S.shard_rows(X.frame(spark, docs), shards=5).collect()
+    check_shards(docs, rows, 5)
+    homes = defaultdict(set)
+    for r in rows:
+        homes[r.doc_id % 200].add(r.shard)
+    assert sum(len(x) == 1 for x in homes.values()) >= 180
+
+
+def test_a_third_in_one_group(spark):
+    docs = [(k, "the same text" if k % 3 == 0 else f"text {k // 6}", "en", "s0") for k in range(1200)]
+    rows = S.shard_rows(X.frame(spark, docs), shards=40).collect()
+    check_shards(docs, rows, 40)
+    counts = Counter(r.shard for r in rows if r.doc_id % 3 == 0)
+    assert len(counts) <= 16  # 14 shards hold it
+
+
+def test_balanced_moves():
+    flow = np.array([[0, 5, 0], [3, 0, 4], [2, 0, 0]])
+    for free in ([0, 0, 0], [1, 0, 2], [9, 9, 9]):
+        x = S.balanced(flow, np.array(free))
+        assert (x >= 0).all() and (x <= flow).all() and (x.sum(axis=0) - x.sum(axis=1) <= free).all()
+        assert x.sum() >= 9
