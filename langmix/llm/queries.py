@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
-    "op8_quality": quality.op8_quality,
     "op9_sorted_passes": neighbours.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
 }

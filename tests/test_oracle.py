@@ -41,3 +41,10 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "line_reweighted_entropy" in df.columns
+
+
+def test_every_oracle_is_sql():
+    import __spark_entry__ as E
+    for name, sql in E.oracle_sql().items():
+        assert name in E.queries()
+        assert isinstance(sql, str), name
