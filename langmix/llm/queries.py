@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from langmix.llm import classlm, decontaminate, jaccard, mixing, neighbours, phrases, quality, sharding, suffixes, toxicity
+from langmix.llm import (classlm, decontaminate, exact, jaccard, mixing, neighbours, phrases, quality, repair, runs, sharding, suffixes,
+                         toxicity)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +16,14 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_sorted_passes": neighbours.op9_sorted_passes,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_structure_repair": repair.op11_structure_repair,
+    "op12_exact_dedup": exact.op12_exact_dedup,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op9_sorted_passes": neighbours.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
+    "op12_exact_dedup": exact.ORACLE,
 }
