@@ -102,3 +102,15 @@ def _window(part: list[str], order: list[str]):
     w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
     return w.orderBy(*order)
 
+
+#: DuckDB SQL: the table of crc32, to be joined where ``crc32_sql`` stands
+CRC_SQL = r"""
+poly as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"""
+
+
+def crc32_sql(key: str) -> str:
+    """Unsigned crc32 of an ASCII string, with the table ``poly`` at hand."""
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(string_split({key}, ''), lambda c: ascii(c)::bigint)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""

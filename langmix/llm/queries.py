@@ -25,5 +25,7 @@ ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op9_sorted_passes": neighbours.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
+    "op11_structure_repair": repair.ORACLE,
     "op12_exact_dedup": exact.ORACLE,
+    "op13_periodic_runs": runs.ORACLE,
 }

@@ -82,6 +82,13 @@ def _terminal(code: int) -> dict[tuple[int, int], tuple[int, str]]:
     return row
 
 
+def compress(symbols: str, rounds: list[list[tuple[str, str]]]) -> str:
+    for rules in rounds:
+        for pair, new in rules:
+            symbols = symbols.replace(pair, new)
+    return symbols
+
+
 class Grammar:
     """Rules by round, and the matrix of each symbol: cost by (state, state), with
     the state between the halves, from which the audit is spelled out on demand."""
@@ -97,8 +104,12 @@ class Grammar:
         for pairs in rounds:
             self.add(pairs)
 
-    def __reduce__(self):
-        return Grammar, ([[pair for pair, _ in r] for r in self.rounds],)
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "audit"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.audit = lru_cache(1 << 16)(self._audit)
 
     def add(self, pairs: list[str]) -> None:
         """A round of rules for pairs of symbols that have no symbol in common."""
@@ -129,10 +140,7 @@ class Grammar:
         return self.audit(a, i, x) + self.audit(b, x, o)
 
     def compress(self, symbols: str) -> str:
-        for rules in self.rounds:
-            for pair, new in rules:
-                symbols = symbols.replace(pair, new)
-        return symbols
+        return compress(symbols, self.rounds)
 
     def advance(self, vector: dict, symbols: str) -> dict:
         """The state vector {state: (cost, rope)} behind the symbols; a rope is
@@ -273,7 +281,7 @@ def learn(strings: DataFrame, max_rules: int = MAX_RULES) -> Grammar:
     distinct = C.ckpt(strings.groupBy("symbols").agg(F.count("*").alias("n")))
     grammar = Grammar()
     for _ in range(MAX_ROUNDS):
-        found = distinct.mapInArrow(_pairs(grammar), "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        found = distinct.mapInArrow(_pairs(grammar.rounds), "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         top = found.where("n > 1").orderBy(F.desc("n"), "pair").limit(max_rules).collect()
         used, chosen = set(), []
         for pair, _n in top:
@@ -287,12 +295,12 @@ def learn(strings: DataFrame, max_rules: int = MAX_RULES) -> Grammar:
     return grammar
 
 
-def _pairs(grammar: Grammar) -> Callable:
+def _pairs(rounds: list[list[tuple[str, str]]]) -> Callable:
     def work(batches):
         for batch in batches:
             total: dict[str, int] = {}
             for symbols, n in zip(*[c.to_pylist() for c in batch.columns]):
-                s = grammar.compress(symbols)
+                s = compress(symbols, rounds)
                 for k in range(len(s) - 1):
                     total[s[k:k + 2]] = total.get(s[k:k + 2], 0) + n
             yield pa.RecordBatch.from_pydict({"pair": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
@@ -483,3 +491,58 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     plan = Plan(damaged(C.table(spark, sf_dir, "conversations")), copies="copies")
     return plan.digests().withColumnRenamed("conv", "conv_id")
+
+
+ORACLE = r"""
+with recursive""" + C.CRC_SQL + r""",
+given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         """ + C.crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')") + r""" % 20 as k
+  from conversations, poly),
+convs as (select conv_id, row_number() over () as c from (select distinct conv_id from conversations)),
+damaged as (
+  select c, turn, case when k = 4 then 'user' else role end as role,
+         case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case k when 0 then 0 when 3 then 2 else 1 end)) as copy
+  from given join convs on given.conv_id is not distinct from convs.conv_id),
+lined as (
+  select *, row_number() over (partition by c order by turn nulls first, role, sha256(text)) as i,
+         regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') as bare from damaged),
+faults as (
+  select *, case when bare = '' then 'blank' when row_number() over (partition by c, role, text order by i) > 1 then 'duplicate'
+                 when bare[-1] not in ('.', '!', '?') then 'truncated' else 'sound' end as fault,
+         lag(role) over (partition by c order by i) as before
+  from lined),
+step(x, r, y) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(x, y, cost, audit, line) as (values (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+  (0, 2, 3, 'I', 'user:' || chr(10)), (1, 2, 3, 'I', 'user:' || chr(10)), (3, 2, 3, 'I', 'user:' || chr(10)),
+  (2, 3, 3, 'I', 'assistant:' || chr(10)), (0, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+  (1, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))),
+edit as (
+  select c, i, x, x as y, 4 as cost, 'D' as audit, '' as line from faults, (values (0), (1), (2), (3)) v(x)
+  union all
+  select c, i, x, y, if(fault = 'truncated', 3, 0), 'K', role || ':' || text || chr(10) from faults join step on r = role[1]
+  where fault in ('sound', 'truncated')
+  union all
+  select c, i, x, y, if(fault = 'truncated', 6, 3), 'R', if(r = 'u', 'user:', 'assistant:') || text || chr(10) from faults join step on r <> 's'
+  where fault in ('sound', 'truncated')),
+best as (
+  select c, 0::bigint as i, 0 as x, {'cost': 0, 'audit': '', 'line': ''} as b from convs
+  union all
+  select b.c, b.i + 1, e.y, min({'cost': (b.b.cost + n.cost + e.cost)::integer, 'audit': b.b.audit || n.audit || e.audit, 'line': b.b.line || n.line || e.line})
+  from best b join ins n on n.x = b.x join edit e on e.c = b.c and e.i = b.i + 1 and e.x = n.y
+  group by b.c, b.i, e.y),
+ended as (
+  select b.c, min({'cost': b.b.cost + n.cost, 'audit': b.b.audit || n.audit, 'line': b.b.line || n.line}) as b
+  from best b join ins n on n.x = b.x and n.y in (0, 3)
+  where b.i = (select coalesce(max(i), 0) from faults f where f.c = b.c) group by b.c),
+counted as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+         count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (before is not null and before[1] || role[1] not in ('su', 'ua', 'au')) as illegal
+  from faults group by c)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, b.cost::bigint as cost, b.audit as audit,
+       sha256(b.line[:-2]) as repaired_sha256
+from convs join ended using (c) left join counted using (c)
+"""

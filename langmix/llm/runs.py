@@ -183,3 +183,35 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every whole document, a tenth of which gets a periodic tail first."""
     C.prepare(spark)
     return digests(periodic_runs(C.table(spark, sf_dir, "documents"), change=planted))
+
+
+ORACLE = r"""
+with recursive""" + C.CRC_SQL + r""",
+given as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, """ + C.crc32_sql("doc_id::varchar") + r""" as h
+  from documents, poly),
+cut as (
+  select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from given),
+tail as (
+  select doc_id, n, case when a is null then w else list_concat(w[1:a], list_transform(range(n - a),
+    lambda i: w[a + 1 + i % (1 + (n - a) // (3 + (h // 10) % 8))])) end as w
+  from cut),
+words as (select doc_id, unnest(range(n)) as i, unnest(w) as word from tail),
+same as (
+  select x.doc_id, x.i, y.i - x.i as q
+  from words x join words y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i join tail t on t.doc_id = x.doc_id and 3 * (y.i - x.i) <= t.n),
+islands as (select *, i - row_number() over (partition by doc_id, q order by i) as island from same),
+long as (
+  select doc_id, min(i) as s, count(*) + q as l, q from islands group by doc_id, q, island having count(*) + q >= greatest(24, 3 * q)),
+runs as (select doc_id, s, l, min(q) as q from long group by doc_id, s, l),
+listed as (
+  select doc_id, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as line from runs group by doc_id),
+ranked as (
+  select *, row_number() over (partition by doc_id order by l::decimal(38, 20) / q desc, s, q) as k from runs),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) as i from runs),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) as line from words anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, r.s as start, r.l as length, r.q as period, 1000 * r.l // r.q as exponent_milli,
+       sha256(coalesce(listed.line, '')) as runs_sha256, sha256(coalesce(kept.line, '')) as collapsed_sha256
+from documents d left join listed using (doc_id) left join kept using (doc_id) left join ranked r on r.doc_id = d.doc_id and r.k = 1
+"""
