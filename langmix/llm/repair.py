@@ -48,6 +48,8 @@ MAX_RULES = 1024
 #: rows that one rule may stand for
 MAX_SPAN = 1024
 MAX_ROUNDS = 16
+#: a round that saves a smaller share of the symbols is the last one
+LEAST_GAIN = 0.01
 RAN, SYSTEM, USER, ASSISTANT = range(4)
 #: state after an output of role initial s, u or a, by state before it
 _STEP = [{"s": SYSTEM, "u": USER}, {"u": USER}, {"a": ASSISTANT}, {"u": USER}]
@@ -282,25 +284,29 @@ def learn(strings: DataFrame, max_rules: int = MAX_RULES) -> Grammar:
     grammar = Grammar()
     for _ in range(MAX_ROUNDS):
         found = distinct.mapInArrow(_pairs(grammar.rounds), "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        top = found.where("n > 1").orderBy(F.desc("n"), "pair").limit(max_rules).collect()
-        used, chosen = set(), []
-        for pair, _n in top:
-            if used.isdisjoint(pair) and grammar.span[pair[0]] + grammar.span[pair[1]] <= MAX_SPAN:
+        top = found.where("n > 1").orderBy(F.desc("n"), "pair").limit(max_rules + 1).collect()
+        used, chosen, saved = set(), [], 0
+        total = next((n for pair, n in top if not pair), 0)
+        for pair, n in top:
+            if (pair and used.isdisjoint(pair) and grammar.span[pair[0]] + grammar.span[pair[1]] <= MAX_SPAN
+                    and len(chosen) < max_rules - len(grammar.halves)):
                 chosen.append(pair)
                 used |= set(pair)
-        chosen = chosen[:max_rules - len(grammar.halves)]
-        if not chosen:
+                saved += n
+        if chosen:
+            grammar.add(chosen)
+        if saved < LEAST_GAIN * total or not chosen:
             break
-        grammar.add(chosen)
     return grammar
 
 
 def _pairs(rounds: list[list[tuple[str, str]]]) -> Callable:
     def work(batches):
         for batch in batches:
-            total: dict[str, int] = {}
+            total: dict[str, int] = {"": 0}  # pairs, and all symbols under no pair
             for symbols, n in zip(*[c.to_pylist() for c in batch.columns]):
                 s = compress(symbols, rounds)
+                total[""] += len(s) * n
                 for k in range(len(s) - 1):
                     total[s[k:k + 2]] = total.get(s[k:k + 2], 0) + n
             yield pa.RecordBatch.from_pydict({"pair": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
