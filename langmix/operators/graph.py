@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from langmix.operators.ranking import exact_quantiles
+
 
 def incidence(df: DataFrame, node_col: str, concept_col: str) -> DataFrame:
     """Distinct (node, concept) presence in long form."""
@@ -61,7 +63,8 @@ def min_max(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def degree_quantiles(deg: DataFrame, q: float = 0.25) -> DataFrame:
     """Exact degree quantile (linear interpolation) and maximum."""
-    return deg.agg(F.percentile("degree", q).alias("q"), F.max("degree").alias("max_degree"))
+    low = exact_quantiles(deg, [], "degree", [q])
+    return deg.agg(low.scalar().alias("q"), F.max("degree").alias("max_degree"))
 
 
 def coverage_crop(inc: DataFrame, min_concepts: int = 3) -> DataFrame:

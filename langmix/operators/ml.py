@@ -1,15 +1,15 @@
-"""MLlib operators (M5-M13): forests, clustering, PCA.  Results are rows-only
-checked (numbers differ from other libraries' implementations)."""
+"""Models (M5-M13): forests (:mod:`langmix.operators.forest`), clustering, PCA."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from langmix.operators.forest import errors, fit_forest
+
 SEED = 42  # fixed value
 
 
@@ -45,27 +45,13 @@ def pca2(df: DataFrame, key_col: str, features: str = "features") -> DataFrame:
     return out.select(key_col, F.col("_a")[0].alias("pc1"), F.col("_a")[1].alias("pc2"))
 
 
-def forest_per_target(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
-                      targets: Sequence[str], num_trees: int = 100) -> tuple[DataFrame, DataFrame]:
-    """M5/M6/M9: one random-forest regressor per target (seed 42).  Returns
-    (per-target MSE/MAE plus an ``average`` row, feature importances)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-    va = VectorAssembler(inputCols=list(feature_cols), outputCol="features")
-    tr, te = va.transform(train), va.transform(test)
-    metrics, imps = None, []
-    for t in targets:
-        model = RandomForestRegressor(numTrees=num_trees, seed=SEED, featuresCol="features", labelCol=t,
-                                      predictionCol="pred").fit(tr)
-        pred = model.transform(te)
-        m = pred.agg(F.avg(F.pow(F.col(t) - F.col("pred"), 2)).alias("mse"),
-                     F.avg(F.abs(F.col(t) - F.col("pred"))).alias("mae")).withColumn("target", F.lit(t))
-        metrics = m if metrics is None else metrics.unionByName(m)
-        imps += [(t, f, float(v)) for f, v in zip(feature_cols, model.featureImportances.toArray())]
-    avg = metrics.agg(F.avg("mse").alias("mse"), F.avg("mae").alias("mae")).withColumn("target", F.lit("average"))
-    spark = train.sparkSession
-    imp = spark.createDataFrame(imps, "target string, feature string, importance double")
-    return metrics.unionByName(avg), imp
+def forest_per_target(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], targets: Sequence[str], key_col: str,
+                      num_trees: int = 100, joint: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """M5/M6/M9: a random forest per target (seed 42), or one that splits for all of
+    them.  Returns (per-target MSE/MAE plus an ``average`` row, feature importances)."""
+    forest = fit_forest(train, feature_cols, targets, key_col, num_trees, joint=joint, **options)
+    imp = train.sparkSession.createDataFrame(forest.importances(), "target string, feature string, importance double")
+    return errors(forest.predict(test.select(*feature_cols, *targets)), targets), imp
 
 
 def top_features(imp: DataFrame, k: int = 10, how: str = "sum") -> DataFrame:
@@ -75,26 +61,19 @@ def top_features(imp: DataFrame, k: int = 10, how: str = "sum") -> DataFrame:
 
 
 def subset_ablation(train: DataFrame, test: DataFrame, base: Sequence[str], optional: Sequence[str], targets: Sequence[str],
-                    num_trees: int = 20, parallel: int = 4) -> DataFrame:
+                    key_col: str, num_trees: int = 20, **options) -> DataFrame:
     """M7: mean squared error over the targets for every subset of the ``optional``
-    features (always with the ``base`` ones): (variables, mse).  The frames should
-    be checkpointed; at most ``parallel`` forests are fitted at a time."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    def fit(features: tuple[str, ...], target: str) -> float:
-        va = VectorAssembler(inputCols=[*base, *features], outputCol="features")
-        model = RandomForestRegressor(numTrees=num_trees, seed=SEED, featuresCol="features", labelCol=target, predictionCol="pred")
-        pred = model.fit(va.transform(train)).transform(va.transform(test))
-        return pred.agg(F.avg(F.pow(F.col(target) - F.col("pred"), 2))).first()[0]
-
+    features (always with the ``base`` ones): (variables, mse).  All forests of all
+    subsets grow in the same jobs, one pass over the rows a level."""
+    features = [*base, *optional]
     subsets = [c for n in range(len(optional) + 1) for c in combinations(sorted(optional), n)]
-    jobs = [(c, t) for c in subsets for t in targets]
-    with ThreadPoolExecutor(parallel) as pool:
-        mse = list(pool.map(lambda j: fit(*j), jobs))
-    rows = [("baseline+" + ",".join(c), t, m) for (c, t), m in zip(jobs, mse)]
-    out = train.sparkSession.createDataFrame(rows, "variables string, target string, mse double")
-    return out.groupBy("variables").agg(F.avg("mse").alias("mse"))
+    forest = fit_forest(train, features, targets, key_col, num_trees, subsets=[(*base, *c) for c in subsets], **options)
+    out = None
+    for c in subsets:
+        pred = forest.predict(test.select(*features, *targets), (*base, *c))
+        one = errors(pred, targets).where("target = 'average'").select(F.lit("baseline+" + ",".join(c)).alias("variables"), "mse")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def collect_ablations(settings: dict[str, DataFrame], order_by: str) -> DataFrame:

@@ -1,19 +1,24 @@
 """Statistics.
 
-Correlations are aggregates over the whole table; Spearman uses MLlib's
-distributed rank correlation (average ranks for ties); only the k x k result
-(k = number of measures) is turned back into rows.
+Correlations are aggregates over the whole table; ranks and quantiles come from
+:mod:`langmix.operators.ranking`; only the k x k result (k = number of measures)
+is turned back into rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from langmix.operators.ranking import average_ranks, exact_quantiles, looked_up
+from langmix.session import cut_lineage
+
 
 def pearson_long(df: DataFrame, cols: Sequence[str], decimals: int = 6, with_n: bool = False) -> DataFrame:
     """M4 (+M3 lower triangle): Pearson r for every pair a < b (by position),
@@ -30,51 +35,25 @@ def pearson_long(df: DataFrame, cols: Sequence[str], decimals: int = 6, with_n:
     return stack.select("x.a", "x.b", F.round("x.r", decimals).alias("r"), *["x.n"] * with_n)
 
 
-RANK_BUCKETS = 64  # prefix-sum buckets for distributed ranking
-
-
-def average_ranks(df: DataFrame, col: str, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """(value, rank): average rank of every distinct value (ties share the mean
-    of their positions), computed without a global sort:
-
-    * distinct values with their multiplicity (map-side pre-aggregated, so a
-      value holding a third of all rows is one row);
-    * values are cut into ``buckets`` ranges at approximate quantiles of the
-      distinct values; a bucket's offset is the prefix sum of the bucket totals
-      (one row per bucket) and the position inside a bucket is a running sum in
-      a window partitioned by bucket - each bucket is its own task."""
-    vc = df.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("v").isNotNull())
-    cuts = vc.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10000)).scalar()
-    vb = vc.withColumn("_cuts", cuts).withColumn("b", F.size(F.filter("_cuts", lambda t: t < F.col("v")))) \
-        .drop("_cuts")
-    from pyspark.sql import Window
-    tot = vb.groupBy("b").agg(F.sum("n").alias("bn"))
-    off = tot.withColumn("off", F.coalesce(F.sum("bn").over(
-        Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "off")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("v")
-                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = vb.withColumn("before", before).join(F.broadcast(off), "b")   # <= buckets rows
-    return r.select("v", (F.col("off") + F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
-
-
 def spearman_long(df: DataFrame, cols: Sequence[str], decimals: int = 6, with_n: bool = False) -> DataFrame:
     """M1 (+M3): Spearman rho = Pearson r of the average ranks, each pair on the
     rows where both are known.  Measures without missing values share one ranking;
-    pairs with missing values are ranked on their own rows.  Ranks come from
-    :func:`average_ranks` and are joined back on the value (AQE broadcasts the
-    rank table when it is small)."""
+    pairs with missing values are ranked on their own rows.  One job ranks all of
+    them (:func:`langmix.operators.ranking.average_ranks`); ranks are looked up by value."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     missing = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     whole = [c for c in cols if not missing[c]]
     groups = [whole] if len(whole) > 1 else []
     groups += [[a, b] for a, b in combinations(cols, 2) if missing[a] or missing[b]]
+    wide = [F.when(reduce(and_, [F.col(x).isNotNull() for x in group]), F.col(c)).alias(f"{k}:{c}") for k, group in enumerate(groups) for c in group]
+    ranks = cut_lineage(average_ranks(rows.select(*wide).unpivot([], [f"{k}:{c}" for k, group in enumerate(groups) for c in group], "measure", "v")))
+    sizes = {r["measure"]: r["count"] for r in ranks.groupBy("measure").count().collect()}
     out = None
-    for group in groups:
-        known = rows.select(*group).na.drop()
-        ranked = known
+    for k, group in enumerate(groups):
+        ranked = rows.select(*group).na.drop()
         for c in group:
-            rk = average_ranks(known, c).withColumnRenamed("v", c).withColumnRenamed("rank", f"_r_{c}")
-            ranked = ranked.join(rk, c)
+            one = ranks.where(F.col("measure") == f"{k}:{c}").select(F.col("v").alias(c), F.col("rank").alias(f"_r_{c}"))
+            ranked = looked_up(ranked, one, c, sizes.get(f"{k}:{c}", 0))
         r = pearson_long(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in group]), group, decimals, with_n)
         out = r if out is None else out.unionByName(r)
     return out
@@ -92,16 +71,10 @@ def describe_long(df: DataFrame, cols: Sequence[str], decimals: int = 6) -> Data
 BOX_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def box_summary(df: DataFrame, keys: Sequence[str], col: str, approx: bool = False,
-                decimals: int = 6) -> DataFrame:
-    """5/25/50/75/95 percentiles per group.  Exact ``percentile`` keeps one
-    counter per distinct value of the group, so use it for bounded-cardinality
-    measures; ``approx=True`` switches to ``percentile_approx`` (bounded memory)."""
-    qs = F.array(*[F.lit(q) for q in BOX_QUANTILES])
-    p = F.percentile_approx(col, qs, 10000) if approx else F.percentile(col, qs)
-    names = ["p05", "p25", "p50", "p75", "p95"]
-    g = df.groupBy(*keys).agg(p.alias("_q"))
-    return g.select(*keys, *[F.round(F.col("_q")[i].cast("double"), decimals).alias(n) for i, n in enumerate(names)])
+def box_summary(df: DataFrame, keys: Sequence[str], col: str, decimals: int = 6) -> DataFrame:
+    """Exact 5/25/50/75/95 percentiles per group, by selection."""
+    g = exact_quantiles(df, keys, col, BOX_QUANTILES)
+    return g.select(*keys, *[F.round(f"q{i}", decimals).alias(f"p{round(100 * q):02d}") for i, q in enumerate(BOX_QUANTILES)])
 
 
 def histogram(df: DataFrame, col: str, bins: int = 5, decimals: int = 6) -> DataFrame:

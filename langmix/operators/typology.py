@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from langmix.operators.ranking import prefix_sums
+
 
 def encode_first_appearance(t: DataFrame, order_col: str) -> DataFrame:
     """Per feature, categories numbered 0.. in order of first appearance
@@ -57,10 +59,10 @@ def drop_uninformative(matches: DataFrame, keys, value_col: str = "match") -> Da
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Sorted distinct values -> 0..n-1 (dense rank over the value set,
-    which is one row per distinct value)."""
-    vals = df.select(col).distinct().filter(F.col(col).isNotNull())
-    codes = vals.withColumn(out, F.dense_rank().over(Window.orderBy(col)) - 1)
+    """Sorted distinct values -> 0..n-1: the number of distinct values before
+    each one, over range partitions."""
+    vals = df.select(F.lit(0).alias("_all"), F.col(col).alias("_value"), F.lit(1).alias("_one")).distinct().filter(F.col("_value").isNotNull())
+    codes = prefix_sums(vals, "_all", "_value", "_one").select(F.col("_value").alias(col), F.col("before").alias(out))
     return df.join(codes, col, "left")
 
 

@@ -667,9 +667,9 @@ def _forest_data(spark, sf):
     return cut_lineage(data)
 
 
-def _forest(spark, sf):
+def _forest(spark, sf, joint=False):
     train, test = Y.hash_split(_forest_data(spark, sf), "id", 80)
-    return ML.forest_per_target(train, test, FOREST_FEATURES, FOREST_TARGETS, num_trees=100)
+    return ML.forest_per_target(train, test, FOREST_FEATURES, FOREST_TARGETS, "id", num_trees=100, joint=joint)
 
 
 @query("forest_errors")
@@ -679,6 +679,12 @@ def q_forest_errors(spark, sf):
     return _forest(spark, sf)[0]
 
 
+@query("forest_joint_errors")
+def q_forest_joint_errors(spark, sf):
+    """M5/M6: the same with one 100-tree forest that splits for all shares at once."""
+    return _forest(spark, sf, joint=True)[0]
+
+
 @query("forest_importance")
 def q_forest_importance(spark, sf):
     """M9 + M10: feature importances per target and the top features by sum."""

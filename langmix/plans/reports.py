@@ -15,6 +15,7 @@ from langmix.operators import ml as ML
 from langmix.operators import naming as N
 from langmix.operators import overlap as O
 from langmix.operators import prompts as C
+from langmix.operators import stats as S
 from langmix.operators import typology as Y
 from langmix.plans import inputs as I
 from langmix.plans import oracle as SQL
@@ -223,7 +224,7 @@ def q_subset_ablation(spark, sf):
     found = {}
     for name, part in (("mono", data.where("id % 2 = 0")), ("cross", data.where("id % 2 = 1"))):
         train, test = Y.hash_split(part, "id", 80)
-        found[name] = ML.subset_ablation(train, test, ["n_chars"], ["n_lines", "quality", "toxic"], ["de", "en"])
+        found[name] = ML.subset_ablation(train, test, ["n_chars"], ["n_lines", "quality", "toxic"], ["de", "en"], "id")
     return ML.collect_ablations(found, "cross")
 
 
@@ -237,3 +238,23 @@ def q_training_multi_hot(spark, sf):
 ORACLES["training_multi_hot"] = "SELECT id, " + ", ".join(
     f"CAST(list_contains({SQL.train_list()}, '{x}') AS INTEGER) AS train_{x}" for x in ("de", "en", "es", "fr")) + \
     " FROM (SELECT doc_id AS id FROM documents)"
+
+
+@query("price_box_summary")
+def q_price_box_summary(spark, sf):
+    """Percentiles of the extended price (nearly all values distinct) per return flag."""
+    return S.box_summary(Q._load(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
+
+
+ORACLES["price_box_summary"] = "SELECT l_returnflag, " + ", ".join(
+    f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {q}), 6) AS p{round(100 * q):02d}" for q in S.BOX_QUANTILES) + \
+    " FROM lineitem GROUP BY 1"
+
+
+@query("part_label_codes")
+def q_part_label_codes(spark, sf):
+    """Y11 on many values: the place of every part's price among all prices."""
+    return Y.label_encode(Q._load(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "code").select("p_partkey", "code")
+
+
+ORACLES["part_label_codes"] = "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_retailprice) - 1 AS BIGINT) AS code FROM part"

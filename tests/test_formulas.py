@@ -214,7 +214,7 @@ def test_ablation_and_centres(spark):
     from langmix.operators import ml as ML
     rows = [(i, float(i % 2), float(i % 3), float(i % 5), float(i % 2)) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, a double, b double, c double, y double")
-    out = {r.variables: r.mse for r in ML.subset_ablation(df, df, ["c"], ["a", "b"], ["y"], num_trees=5).collect()}
+    out = {r.variables: r.mse for r in ML.subset_ablation(df, df, ["c"], ["a", "b"], ["y"], "id", num_trees=5).collect()}
     assert set(out) == {"baseline+", "baseline+a", "baseline+b", "baseline+a,b"} and out["baseline+a"] < out["baseline+"]
     two = {"x": spark.createDataFrame([("p", 1.0), ("q", 2.0)], "variables string, mse double"),
            "y": spark.createDataFrame([("q", 5.0), ("p", 9.0), ("r", 0.0)], "variables string, mse double")}
