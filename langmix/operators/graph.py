@@ -1,11 +1,10 @@
 """Language graphs and similarity.
 
-Pairs are produced through an inverted index: the distinct (node, concept)
-incidence is grouped into the *set of nodes* of each concept, identical sets
-are counted once (pre-aggregation: the shuffle carries distinct node sets,
-not concepts), and only then expanded into node pairs weighted by the count.
-The expansion is bounded by the node vocabulary (a language set), never by
-the number of rows of a hot concept.
+Sizes, coverage and pair weights all follow from one aggregate, ``node_sets``: each
+concept's nodes become a bit mask (``bit_or``, fixed width, pre-aggregated before the
+one shuffle by concept), and equal masks are counted.  Only these counts are expanded
+into node pairs.  The expansion is bounded by the node vocabulary (a language set),
+never by the number of rows of a hot concept.
 """
 
 from __future__ import annotations
@@ -14,11 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from langmix.operators.ranking import exact_quantiles
-
-
-def incidence(df: DataFrame, node_col: str, concept_col: str) -> DataFrame:
-    """Distinct (node, concept) presence in long form."""
-    return df.select(F.col(node_col).alias("node"), F.col(concept_col).alias("concept")).distinct()
+from langmix.session import cut_lineage
 
 
 def _pairs_of(arr: Column) -> Column:
@@ -31,14 +26,53 @@ def _pairs_of(arr: Column) -> Column:
                                                  F.element_at(arr, j).alias("b"))))))
 
 
-def cooccurrence(inc: DataFrame) -> DataFrame:
+MAX_NODES = 4096
+
+
+def node_sets(df: DataFrame, node_col: str, concept_col: str, nodes: DataFrame | None = None) -> DataFrame:
+    """(nodes, w): the number of concepts that have exactly this sorted set of
+    nodes.  ``nodes`` (one column) may name the vocabulary, which else is read from
+    ``df``; at most ``MAX_NODES``.  Null nodes and duplicates do not count."""
+    known = (nodes if nodes is not None else df.select(node_col)).distinct().limit(MAX_NODES + 1)
+    names = sorted(r[0] for r in known.collect() if r[0] is not None)
+    if len(names) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes")
+    kind = dict(df.dtypes)[node_col]
+    at = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], f"_node {kind}, _at int")
+    words = range(max(1, -(-len(names) // 62)))
+    rows = df.join(F.broadcast(at), F.col(node_col) == F.col("_node"))
+    bit = F.expr("shiftleft(1L, _at % 62)")
+    masks = rows.groupBy(F.col(concept_col).alias("_concept")).agg(
+        *[F.bit_or(F.when(F.floor(F.col("_at") / 62) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in words])
+    counts = masks.groupBy(*[f"m{k}" for k in words]).agg(F.count(F.lit(1)).alias("w"))
+    mask, every = F.array(*[f"m{k}" for k in words]), F.lit(names) if names else F.array().cast(f"array<{kind}>")
+    own = F.filter(every, lambda x, i: F.getbit(F.get(mask, F.floor(i / 62).cast("int")), i % 62) == 1)
+    return cut_lineage(counts.select(own.alias("nodes"), "w"))
+
+
+def set_sizes(sets: DataFrame) -> DataFrame:
+    """(node, n): the number of concepts of each node."""
+    return sets.select(F.explode("nodes").alias("node"), "w").groupBy("node").agg(F.sum("w").alias("n"))
+
+
+def crop_sets(sets: DataFrame, min_concepts: int = 3) -> DataFrame:
+    """Node sets without the nodes present in fewer than ``min_concepts`` concepts."""
+    kept = set_sizes(sets).filter(F.col("n") >= min_concepts).agg(F.collect_set("node")).scalar()
+    left = sets.select(F.array_intersect("nodes", kept).alias("nodes"), "w").filter(F.size("nodes") > 0)
+    return left.groupBy(F.array_sort("nodes").alias("nodes")).agg(F.sum("w").alias("w"))
+
+
+def set_edges(sets: DataFrame) -> DataFrame:
     """G1: undirected edges (a < b) weighted by the number of shared concepts."""
-    sets = inc.groupBy("concept").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    by_set = sets.groupBy("nodes").agg(F.count(F.lit(1)).alias("w"))
-    e = by_set.select(F.explode(_pairs_of(F.col("nodes"))).alias("e"), "w")
+    e = sets.select(F.explode(_pairs_of(F.col("nodes"))).alias("e"), "w")
     return e.groupBy(F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.sum("w").alias("weight"))
 
 
+def cooccurrence(inc: DataFrame) -> DataFrame:
+    """G1 from (node, concept) rows."""
+    return set_edges(node_sets(inc, "node", "concept"))
+
+
 def degrees(df: DataFrame, node_col: str) -> DataFrame:
     """Rows per node (not de-duplicated)."""
     return df.groupBy(F.col(node_col).alias("node")).agg(F.count(F.lit(1)).alias("degree"))
@@ -67,18 +101,16 @@ def degree_quantiles(deg: DataFrame, q: float = 0.25) -> DataFrame:
     return deg.agg(low.scalar().alias("q"), F.max("degree").alias("max_degree"))
 
 
-def coverage_crop(inc: DataFrame, min_concepts: int = 3) -> DataFrame:
-    """Keep nodes present in at least ``min_concepts`` concepts."""
-    keep = inc.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_concepts)
-    return inc.join(keep.select("node"), "node", "left_semi")
+def jaccard(inc: DataFrame) -> DataFrame:
+    """G9 from (node, concept) rows."""
+    return set_jaccard(node_sets(inc, "node", "concept"))
 
 
-def jaccard(inc: DataFrame) -> DataFrame:
+def set_jaccard(sets: DataFrame) -> DataFrame:
     """Jaccard distance ``1 - |A n B| / |A u B|`` for all node pairs, both
     orientations, with the 0 diagonal; 1 for pairs that share no concept.  The
     result is nodes x nodes: nodes are languages or nations, not documents."""
-    inter = cooccurrence(inc)
-    size = inc.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    inter, size = set_edges(sets), set_sizes(sets)
     e = (inter.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
          .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"))
     d = e.select("a", "b", (F.lit(1.0) - F.col("weight") / (F.col("na") + F.col("nb") - F.col("weight")))

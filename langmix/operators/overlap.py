@@ -1,19 +1,18 @@
 """Overlap quality of a prediction against its reference.
 
-Token-set scores use array set functions inside the row; n-gram overlap
-explodes n-grams of both sides and takes ``sum(least(count_ref, count_pred))``
-from one conditional aggregation (no join).
+Both sides of a pair lie in one row, so nothing is shuffled: token-set scores use
+array set functions, n-gram overlap intersects the two multisets in an Arrow function.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.functions import text as tx
-
 EPS = 1e-20  # fixed value: guard of the reference's ratios
 
 
@@ -34,22 +33,21 @@ def token_set_scores(pairs: DataFrame, keys: Sequence[str], ref_col: str = "ref_
 def ngram_matches(pairs: DataFrame, keys: Sequence[str], ns=(1, 2, 3), ref_col: str = "ref_tokens",
                   pred_col: str = "pred_tokens") -> DataFrame:
     """O2: overlapping n-gram count per pair and n, ``sum(min(count_a, count_b))``."""
-    keys = list(keys)
-    sides = []
-    for side, col in (("ref", ref_col), ("pred", pred_col)):
-        for n in ns:
-            sides.append(pairs.select(*keys, F.lit(n).alias("n"), F.lit(side).alias("side"),
-                                      F.explode(tx.ngrams(col, n)).alias("gram")))
-    allg = sides[0]
-    for s in sides[1:]:
-        allg = allg.unionByName(s)
-    c = allg.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == "ref").alias("a"),
-                                              F.count_if(F.col("side") == "pred").alias("b"))
-    m = c.groupBy(*keys, "n").agg(F.sum(F.least("a", "b")).alias("matches"))
-    wide = m.groupBy(*keys).pivot("n", list(ns)).agg(F.first("matches"))
-    base = pairs.select(*keys)
-    return base.join(wide, keys, "left").select(
-        *keys, *[F.coalesce(F.col(str(n)), F.lit(0)).cast("bigint").alias(f"n_ngrams_match_{n}") for n in ns])
+    ns = list(ns)
+
+    def common(a: list | None, b: list | None, n: int) -> int:
+        x, y = (Counter(zip(*[(t or [])[k:] for k in range(n)])) for t in (a, b))
+        return sum((x & y).values())
+
+    def work(batches):
+        for batch in batches:
+            sides = list(zip(*[batch.column(k).to_pylist() for k in (batch.num_columns - 2, batch.num_columns - 1)]))
+            found = [pa.array([common(a, b, n) for a, b in sides], pa.int64()) for n in ns]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *found], names=[*batch.schema.names[:-2], *[f"n_ngrams_match_{n}" for n in ns]])
+
+    rows = pairs.select(*keys, ref_col, pred_col)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]]
+    return rows.mapInArrow(work, ", ".join([*fields, *[f"n_ngrams_match_{n} long" for n in ns]]))
 
 
 def summarize(scores: DataFrame, group_keys: Sequence[str] = (), decimals: int = 6) -> DataFrame:

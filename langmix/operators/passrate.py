@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.functions import text as tx
+from langmix.operators import bloom
+from langmix.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 # Languages for which the word pass rate is reported by default.
@@ -33,13 +35,17 @@ def completion_checks(comps: DataFrame, lines: DataFrame, words: DataFrame, keys
 
     ``lines`` are the qualifying lines (>= 5 tokens) with ``pred_lang`` and
     ``tokens``; a completion without qualifying lines is skipped (n_lines 0).
-    ``raw_lines``: the same lines before labelling, for the dictionary join."""
+    ``raw_lines``: the same lines before labelling, for the dictionary join.  Tokens
+    are tested against a Bloom filter of the dictionary where they are read; only
+    those that pass are shuffled to meet it."""
     keys = list(keys)
     stats = lines.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.col("pred_lang") != F.col(lang_col)).alias("n_err"))
+    words = cut_lineage(words)
+    known = bloom.build(words, "word")
     hits = ((lines if raw_lines is None else raw_lines).select("id", F.explode("tokens").alias("word"))
-            .join(words, "word", "left_semi").select("id").distinct()
+            .filter(known.may_hold(F.col("word"))).join(words, "word", "left_semi").select("id").distinct()
             .withColumn("dict_hit", F.lit(True)))
     c = (comps.select(*keys).join(stats, keys, "left").join(hits, "id", "left")
          .fillna(0, subset=["n_lines", "n_err"]).fillna(False, subset=["dict_hit"]))

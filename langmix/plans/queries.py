@@ -376,21 +376,22 @@ def q_confusion_matrix(spark, sf):
     return _confusion(spark, sf).select("row", "col", F.round("value", 6).alias("value"))
 
 
-def _token_incidence(spark, sf):
+def _token_sets(spark, sf):
     d = _load(spark, sf, "documents")
     toks = d.select("lang", F.explode(_tx.word_punct_tokens(F.lower("text"))).alias("tok"))
-    return G.coverage_crop(G.incidence(toks.filter(F.col("tok").rlike(r"^\p{L}+$")), "lang", "tok"), 3)
+    sets = G.node_sets(toks.filter(F.col("tok").rlike(r"^\p{L}+$")), "lang", "tok", nodes=d.select("lang"))
+    return cut_lineage(G.crop_sets(sets, 3))
 
 
 @query("language_similarity")
 def q_language_similarity(spark, sf):
     """Jaccard distance between languages' word sets (documents)."""
-    return G.jaccard(_token_incidence(spark, sf)).select("row", "col", F.round("value", 6).alias("value"))
+    return G.set_jaccard(_token_sets(spark, sf)).select("row", "col", F.round("value", 6).alias("value"))
 
 
 def _similarities(spark, sf):
     """K10/K15 catalogue: token-set Jaccard similarity and trigram-profile cosine."""
-    jac = Mx.distance_to_similarity(G.jaccard(_token_incidence(spark, sf))) \
+    jac = Mx.distance_to_similarity(G.set_jaccard(_token_sets(spark, sf))) \
         .withColumn("sim_name", F.lit("token_jaccard"))
     prof = I.lid_model(spark, sf).profile.select(F.col("lang").alias("node"), F.col("slot").alias("dim"),
                                                  F.col("weight").alias("x"))
@@ -451,12 +452,17 @@ def _nation_parts(spark, sf):
             .select(F.col("n_name").alias("node"), F.col("l_partkey").alias("concept")))
 
 
+def _part_sets(spark, sf):
+    """The nations of each part, as counted sets: one scan for all that follows."""
+    return G.node_sets(_nation_parts(spark, sf), "node", "concept", nodes=_load(spark, sf, "nation").select("n_name"))
+
+
 @query("cooccurrence_pmi")
 def q_cooccurrence_pmi(spark, sf):
     """Nation co-occurrence over shared parts (lineitem x supplier),
     degree filter >= 3, PMI and min-max normalised PMI."""
     rows = _nation_parts(spark, sf)
-    edges = G.cooccurrence(G.incidence(rows, "node", "concept"))
+    edges = G.set_edges(_part_sets(spark, sf))
     e = G.pmi_edges(edges, G.degrees(rows, "node"), 3)
     return e.select("a", "b", F.col("weight").cast("bigint").alias("weight"),
                     F.round("pmi", 6).alias("pmi"), F.round("pmi_norm", 6).alias("pmi_norm"))
@@ -472,8 +478,8 @@ def q_degree_quantiles(spark, sf):
 @query("jaccard_distance")
 def q_jaccard_distance(spark, sf):
     """G6-G9 at scale: Jaccard distance between nations over the parts they supply."""
-    inc = G.coverage_crop(G.incidence(_nation_parts(spark, sf), "node", "concept"), 3)
-    return G.jaccard(inc).select("row", "col", F.round("value", 6).alias("value"))
+    sets = G.crop_sets(_part_sets(spark, sf), 3)
+    return G.set_jaccard(sets).select("row", "col", F.round("value", 6).alias("value"))
 
 
 @query("embedding_cosine")
@@ -505,8 +511,7 @@ def q_nation_feature_distance(spark, sf):
 @query("regional_subgraph")
 def q_regional_subgraph(spark, sf):
     """Co-occurrence edges induced by the nations of one region (EUROPE)."""
-    rows = _nation_parts(spark, sf)
-    edges = G.cooccurrence(G.incidence(rows, "node", "concept"))
+    edges = G.set_edges(_part_sets(spark, sf))
     n = _load(spark, sf, "nation")
     r = _load(spark, sf, "region").filter(F.col("r_name") == "EUROPE")
     nodes = n.join(r, n.n_regionkey == r.r_regionkey, "left_semi").select(F.col("n_name").alias("node"))
@@ -787,7 +792,7 @@ def q_confusion_matrix_iso3(spark, sf):
 def q_pmi_matrix(spark, sf):
     """The PMI edge list as a symmetric matrix (both triangles)."""
     rows = _nation_parts(spark, sf)
-    e = G.pmi_edges(G.cooccurrence(G.incidence(rows, "node", "concept")), G.degrees(rows, "node"), 3)
+    e = G.pmi_edges(G.set_edges(_part_sets(spark, sf)), G.degrees(rows, "node"), 3)
     return Mx.symmetric(e.select("a", "b", F.round("pmi", 6).alias("value")))
 
 
