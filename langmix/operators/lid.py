@@ -1,18 +1,21 @@
 """Language identification as a Spark job.
 
 The reference calls per-row native detectors.  Here detection is model inference
-in one narrow step: the model is a pair of tables of fixed size, learned by one
-aggregation over labelled rows, and a vectorised Arrow function scores each text
-where it is read.  Nothing is shuffled to label a line or a token.
-
-* **primary detector** - character trigrams.  Every trigram of the training text
-  counts, in one of ``SLOTS`` hashed slots; a slot's weight for a language is
-  ``ln(1 + SCALE * count / total)``, the log-likelihood ratio of its relative
-  frequency against a uniform floor of ``1/SCALE``.  A unit's score is the sum of
-  its trigrams' weights; the confidence is the softmax over all languages.
-* **secondary detector** - word votes.  Every training word counts, again in a
-  hashed slot; a word votes for the language in which its slot is relatively most
-  frequent; confidence is the winner's share of the votes.
+in one narrow step: the model is a pair of tables that grow with the training data,
+learned by one aggregation over labelled rows, and a vectorised Arrow function scores
+each text where it is read.  Nothing is shuffled to label a line or a token.
+
+* **primary detector** - character trigrams, each under its own key (its three code
+  points).  A trigram's weight for a language is ``ln(1 + SCALE * count / total)``, the
+  log-likelihood ratio of its relative frequency against a uniform floor of ``1/SCALE``.
+  A unit's score is the sum of its trigrams' weights; the confidence is the softmax over
+  all languages.  The table has a row per real trigram.
+* **secondary detector** - word votes.  A training word votes for the language in which
+  it is relatively most frequent; confidence is the winner's share of the votes.  Words
+  are known by 64-bit hashes; a task looks them up in a fingerprint table
+  (:class:`WordVotes`, 48 bits and a vote each, about six bytes a word), so a word that
+  was never seen stays unknown (but for one in 2^48 / words).  Beyond ``MAX_WORDS`` words
+  the table is not broadcast: the units that trigrams leave open meet it by a shuffle.
 
 Scores are rounded to 6 decimals before ranking so the result does not depend on
 summation order; ties go to the smaller language code.
@@ -31,28 +34,61 @@ from langmix.functions import text as tx
 from langmix.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
-SLOTS = 1 << 15              # slots of trigrams and of words
 STOPWORDS_TOP_K = 30         # length of the stop-word report
 WEIGHT_SCALE = 1_000_000.0   # uniform floor 1e-6 for unseen trigrams
 UNKNOWN = "unknown"
 OTHERS = "others"
 # ---------------------------------------------------------------------------
 _STEP = 1 << 19
+MAX_WORDS = 1 << 25  # words whose votes are broadcast (about 200 MB)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordVotes:
+    """A static map from 64-bit word keys to language numbers: keys go to buckets by
+    their first 16 bits, where the next 32 lie sorted beside the vote."""
+
+    def __init__(self, keys: np.ndarray, votes: np.ndarray):
+        keys = keys.astype(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        self.begin = np.searchsorted(keys >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.int64)
+        self.prints = (keys >> np.uint64(16)).astype(np.uint32)
+        self.votes = votes[order].astype(np.int16)
+
+    def __len__(self) -> int:
+        return len(self.prints)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The vote of each key, -1 if there is none: a binary search in all buckets at once."""
+        if not len(self):
+            return np.full(len(keys), -1, np.int64)
+        bucket, want = (keys >> np.uint64(48)).astype(np.int64), (keys >> np.uint64(16)).astype(np.uint32)
+        low, high = self.begin[bucket], self.begin[bucket + 1]
+        end = high.copy()
+        while (low < high).any():
+            middle = (low + high) >> 1
+            less = (low < high) & (self.prints[np.minimum(middle, len(self) - 1)] < want)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(high, middle))
+        at = np.minimum(low, len(self) - 1)
+        return np.where((low < end) & (self.prints[at] == want), self.votes[at], -1).astype(np.int64)
 
 
 @dataclass
 class LidModel:
-    profile: DataFrame      # lang, slot, cnt, weight
+    profile: DataFrame      # lang, gram, cnt, weight
     langs: list[str]        # languages of the profile, sorted
-    weights: np.ndarray     # SLOTS x languages
-    votes: np.ndarray       # SLOTS: language number, -1 if no training word
+    grams: np.ndarray       # sorted trigram keys
+    weights: np.ndarray     # (trigrams + 1) x languages; the last row, of zeros, is for unknown ones
+    words: DataFrame        # key, lang: the votes
+    votes: WordVotes | None # the same as a table, up to MAX_WORDS of them
 
     @property
     def n_langs(self) -> int:
         return len(self.langs)
 
 
-# ---- hashed trigrams and words of normalised text ---------------------------
+# ---- keys of trigrams and words of normalised text ---------------------------
 
 def code_points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(code points of all texts, begin of each text's); nulls are empty."""
@@ -68,74 +104,79 @@ def code_points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, first[o - o[0]]
 
 
-def trigram_slots(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, begin of each text's): code points a, b, c fall in slot
-    (961 a + 31 b + c) mod SLOTS."""
+def trigram_keys(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, begin of each text's): the three code points of 21 bits."""
     n = np.maximum(np.diff(first) - 2, 0)
     begin = np.concatenate([[0], np.cumsum(n)])
     at = np.repeat(first[:-1] - begin[:-1], n) + np.arange(begin[-1])
-    return (points[at] * 961 + points[at + 1] * 31 + points[at + 2]) % SLOTS, begin
+    return (points[at] << 42) | (points[at + 1] << 21) | points[at + 2], begin
 
 
-def word_slots(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, begin of each text's) of the words between single spaces: the sum
-    of the code points times 31^(place mod 16) mod SLOTS."""
+def word_keys(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit keys, begin of each text's) of the words between single spaces."""
     cut = np.zeros(len(points) + 1, bool)
     cut[first] = True
     letter = points != 32
     starts = np.flatnonzero(letter & (np.concatenate([[True], ~letter[:-1]]) | cut[:-1]))
     if not len(starts):
-        return starts, np.zeros(len(first), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
     size = np.diff(np.append(starts, len(points)))
     place = np.arange(starts[0], len(points)) - np.repeat(starts, size)
-    power = np.array([pow(31, k, SLOTS) for k in range(16)])
-    part = np.where(letter, points, 0)[starts[0]:] * power[place % 16]
-    return np.add.reduceat(part, starts - starts[0]) % SLOTS, np.searchsorted(starts, first)
+    power = np.cumprod(np.full(int(size.max()), _BASE, np.uint64), dtype=np.uint64)
+    part = np.where(letter, points, 0)[starts[0]:].astype(np.uint64) * power[place]
+    x = np.add.reduceat(part, starts - starts[0])
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32)), np.searchsorted(starts, first)
 
 
 # ---- training ----------------------------------------------------------------
 
-def slot_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(kind, lang, slot, cnt): trigram and word counts, pre-aggregated per batch."""
+def key_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """(kind, lang, key, gram, cnt): trigram and word counts, pre-aggregated per batch."""
     def run(batches):
         for b in batches:
-            langs = np.array(b.column(0).to_pylist(), object)
+            names, at = np.unique(np.array(b.column(0).to_pylist(), dtype=str), return_inverse=True)
             points, first = code_points(b.column(1))
-            for kind, f in (("gram", trigram_slots), ("word", word_slots)):
-                slots, begin = f(points, first)
-                owner = np.repeat(np.arange(len(langs)), np.diff(begin))
-                names, at = np.unique(langs.astype(str), return_inverse=True)
+            for kind, f in (("gram", trigram_keys), ("word", word_keys)):
+                keys, begin = f(points, first)
+                owner = at[np.repeat(np.arange(len(at)), np.diff(begin))]
                 for k, name in enumerate(names):
-                    n = np.bincount(slots[at[owner] == k], minlength=SLOTS)
-                    used = np.flatnonzero(n)
+                    own, n = np.unique(keys[owner == k], return_counts=True)
+                    text = ["".join(map(chr, (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF))) for x in own.tolist()] if kind == "gram" else [None] * len(own)
                     yield pa.RecordBatch.from_pydict({
-                        "kind": pa.array([kind] * len(used), pa.string()), "lang": pa.array([str(name)] * len(used), pa.string()),
-                        "slot": pa.array(used, pa.int32()), "cnt": pa.array(n[used], pa.int64())})
+                        "kind": pa.array([kind] * len(own), pa.string()), "lang": pa.array([str(name)] * len(own), pa.string()),
+                        "key": pa.array(own.view(np.int64), pa.int64()), "gram": pa.array(text, pa.string()), "cnt": pa.array(n, pa.int64())})
 
     rows = labelled.select(F.col(label_col).cast("string").alias("lang"), tx.char_trigram_text(text_col).alias("t")).where("lang is not null")
-    return (rows.mapInArrow(run, "kind string, lang string, slot int, cnt long")
-            .groupBy("kind", "lang", "slot").agg(F.sum("cnt").alias("cnt")))
+    return (rows.mapInArrow(run, "kind string, lang string, key long, gram string, cnt long")
+            .groupBy("kind", "lang", "key", "gram").agg(F.sum("cnt").alias("cnt")))
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> LidModel:
-    """Fit both detectors.  The counts (at most SLOTS rows per language and kind)
-    are checkpointed, so later queries do not depend on the training lineage."""
-    counts = cut_lineage(slot_counts(labelled, text_col, label_col))
-    totals = Window.partitionBy("lang")
-    profile = (counts.where("kind = 'gram'").withColumn("total", F.sum("cnt").over(totals))
-               .select("lang", "slot", "cnt", F.round(F.ln(F.lit(1.0) + F.lit(WEIGHT_SCALE) * F.col("cnt") / F.col("total")), 6).alias("weight")))
-    # tables of fixed size: SLOTS x languages
-    grams, words = profile.toArrow().to_pydict(), counts.where("kind = 'word'").toArrow().to_pydict()
-    langs = sorted(set(grams["lang"]) | set(words["lang"]))
+    """Fit both detectors.  The counts are checkpointed, so later queries do not
+    depend on the training lineage."""
+    counts = cut_lineage(key_counts(labelled, text_col, label_col))
+    totals = F.broadcast(cut_lineage(counts.groupBy("kind", "lang").agg(F.sum("cnt").alias("total"))))  # two rows a language
+    counted = counts.join(totals, ["kind", "lang"])
+    profile = cut_lineage(counted.where("kind = 'gram'").select(
+        "lang", "gram", "key", "cnt", F.round(F.ln(F.lit(1.0) + F.lit(WEIGHT_SCALE) * F.col("cnt") / F.col("total")), 6).alias("weight")))
+    best = F.min(F.struct((-(F.col("cnt") / F.col("total"))).alias("share"), "lang"))
+    words = cut_lineage(counted.where("kind = 'word'").groupBy("key").agg(best.alias("x")).select("key", "x.lang"))
+    langs = sorted(r.lang for r in totals.select("lang").distinct().collect())
     number = {x: i for i, x in enumerate(langs)}
-    weights = np.zeros((SLOTS, max(1, len(langs))))
-    weights[grams["slot"], [number[x] for x in grams["lang"]]] = grams["weight"]
-    n = np.zeros((SLOTS, max(1, len(langs))))
-    n[words["slot"], [number[x] for x in words["lang"]]] = words["cnt"]
-    total = n.sum(axis=0)
-    share = n / np.where(total > 0, total, 1.0)
-    votes = np.where(n.any(axis=1), share.argmax(axis=1), -1).astype(np.int16)
-    return LidModel(profile, langs, weights, votes)
+    held = profile.select("key", "lang", "weight").toArrow().to_pydict()  # real trigrams: a bounded alphabet
+    grams, at = np.unique(np.array(held["key"], np.int64), return_inverse=True)
+    weights = np.zeros((len(grams) + 1, max(1, len(langs))))
+    weights[at, [number[x] for x in held["lang"]]] = held["weight"]
+    return LidModel(profile.drop("key"), langs, grams, weights, words, _table(words, number))
+
+
+def _table(words: DataFrame, number: dict[str, int]) -> WordVotes | None:
+    if words.count() > MAX_WORDS:
+        return None
+    t = words.toArrow()
+    votes = np.array([number[x] for x in t.column("lang").to_pylist()], np.int64)
+    return WordVotes(t.column("key").to_numpy().astype(np.int64).view(np.uint64), votes)
 
 
 def stopword_lists(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
@@ -165,18 +206,21 @@ def _sums(values: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def primary(points: np.ndarray, first: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def primary(points: np.ndarray, first: np.ndarray, grams: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(language number, confidence) of each text; confidence -1 without any known trigram."""
-    slots, begin = trigram_slots(points, first)
-    s = np.round(_sums(lambda x: weights[slots[x]], begin, weights.shape[1]), 6)
+    keys, begin = trigram_keys(points, first)
+    at = np.searchsorted(grams, keys)
+    if len(grams):
+        at[grams[np.minimum(at, len(grams) - 1)] != keys] = len(grams)
+    s = np.round(_sums(lambda x: weights[at[x]], begin, weights.shape[1]), 6)
     top = s.max(axis=1, initial=0)
     conf = 1.0 / np.exp(s - top[:, None]).sum(axis=1)
     return s.argmax(axis=1), np.where(top > 0, conf, -1.0)
 
 
-def secondary(points: np.ndarray, first: np.ndarray, votes: np.ndarray, langs: int) -> tuple[np.ndarray, np.ndarray]:
-    slots, begin = word_slots(points, first)
-    v = votes[slots]
+def secondary(points: np.ndarray, first: np.ndarray, votes: WordVotes, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    keys, begin = word_keys(points, first)
+    v = votes.find(keys)
     hit = v >= 0
     owner = np.repeat(np.arange(len(first) - 1), np.diff(begin))[hit]
     n = np.bincount(owner * langs + v[hit], minlength=(len(first) - 1) * langs).reshape(-1, langs)
@@ -184,17 +228,22 @@ def secondary(points: np.ndarray, first: np.ndarray, votes: np.ndarray, langs: i
     return n.argmax(axis=1), np.where(total > 0, n.max(axis=1, initial=0) / np.maximum(total, 1), -1.0)
 
 
-def detect(col: pa.Array, weights: np.ndarray, votes: np.ndarray, mode: str, threshold: float, second: np.ndarray) -> np.ndarray:
+OPEN = -2  # the trigrams leave it open and the votes are not at hand
+
+
+def detect(col: pa.Array, grams: np.ndarray, weights: np.ndarray, votes: WordVotes | None, mode: str, threshold: float, second: np.ndarray) -> np.ndarray:
     """Label number of each normalised text: a language, -1 unknown, or what
-    ``second`` makes of the secondary detector's language.
+    ``second`` makes of the secondary detector's language; ``OPEN`` without votes.
 
     mode ``single`` (L3): primary label if confidence > threshold.
     mode ``cascade`` (L1/L2): primary label if confidence >= threshold; else the
     secondary label if its confidence >= threshold; else unknown."""
     points, first = code_points(col)
-    label, conf = primary(points, first, weights)
+    label, conf = primary(points, first, grams, weights)
     if mode == "single":
         return np.where(conf > threshold, label, -1)
+    if votes is None:
+        return np.where(conf >= threshold, label, OPEN)
     other, share = secondary(points, first, votes, weights.shape[1])
     return np.where(conf >= threshold, label, np.where(share >= threshold, second[other], -1))
 
@@ -211,9 +260,10 @@ def _labeller(model: LidModel, spark, mode: str, threshold: float, code_map: dic
             second.append(names.index(y))
     else:
         second = range(len(model.langs))
-    sent = spark.sparkContext.broadcast((model.weights, model.votes, np.array([*second] or [-1])))
+    second = np.array([*second] or [-1])
+    sent = spark.sparkContext.broadcast((model.grams, model.weights, model.votes, second))
     names.append(UNKNOWN)
-    return sent, names
+    return sent, names, second
 
 
 def _name(number: Column, names: list[str]) -> Column:
@@ -222,26 +272,53 @@ def _name(number: Column, names: list[str]) -> Column:
 
 def label_column(facts: DataFrame, text_col: str, model: LidModel, out_col: str = "pred_lang", mode: str = "cascade",
                  threshold: float = 0.3, code_map: dict[str, str] | None = None, unmapped: str | None = None) -> DataFrame:
-    """Label every row's ``text_col``, without a shuffle."""
-    sent, names = _labeller(model, facts.sparkSession, mode, threshold, code_map, unmapped)
+    """Label every row's ``text_col``, without a shuffle (but for open units of a
+    model whose votes are too many to broadcast)."""
+    sent, names, second = _labeller(model, facts.sparkSession, mode, threshold, code_map, unmapped)
 
     @F.arrow_udf("int")
     def label(t: pa.Array) -> pa.Array:
-        return pa.array(detect(t, *sent.value[:2], mode, threshold, sent.value[2]), pa.int32())
+        return pa.array(detect(t, *sent.value[:3], mode, threshold, sent.value[3]), pa.int32())
 
-    return facts.withColumn(out_col, _name(label(tx.char_trigram_text(text_col)), names))
+    if model.votes is not None or mode == "single":
+        return facts.withColumn(out_col, _name(label(tx.char_trigram_text(text_col)), names))
+    rows = facts.withColumn("_unit", tx.char_trigram_text(text_col))
+    rows = rows.withColumn("_number", label("_unit"))
+    voted = _voted(rows.where(F.col("_number") == OPEN).select("_unit").distinct(), model, threshold, second)
+    number = F.when(F.col("_number") == OPEN, F.coalesce("_second", F.lit(-1))).otherwise(F.col("_number"))
+    met = rows.join(voted, (rows["_unit"] == voted["_voted"]) & (rows["_number"] == OPEN), "left")
+    return met.withColumn(out_col, _name(number, names)).select(*facts.drop(out_col).columns, out_col)
+
+
+def _voted(units: DataFrame, model: LidModel, threshold: float, second: np.ndarray) -> DataFrame:
+    """(_voted, _second): the secondary label number of distinct normalised texts, by a
+    join of their words with the votes."""
+    @F.arrow_udf("array<long>")
+    def keys(t: pa.Array) -> pa.Array:
+        k, begin = word_keys(*code_points(t))
+        return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(k.view(np.int64), pa.int64()))
+
+    words = units.select("_unit", F.explode(keys("_unit")).alias("key")).groupBy("_unit", "key").agg(F.count("*").alias("n"))
+    per = words.join(model.words, "key").groupBy("_unit", "lang").agg(F.sum("n").alias("n"))
+    best = per.groupBy("_unit").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("x"))
+    number = F.element_at(F.create_map(*[F.lit(v) for x, y in zip(model.langs, second.tolist()) for v in (x, y)]), F.col("x.lang"))
+    return best.select(F.col("_unit").alias("_voted"), F.when(-F.col("x.n") / F.col("total") >= threshold, number).otherwise(-1).alias("_second"))
 
 
 def label_array(facts: DataFrame, array_col: str, model: LidModel, out_col: str = "langs", mode: str = "cascade",
                 threshold: float = 0.3) -> DataFrame:
-    """Label every element of an array of texts, without a shuffle."""
-    sent, names = _labeller(model, facts.sparkSession, mode, threshold, None, None)
+    """Label every element of an array of texts, without a shuffle; for models
+    whose votes are broadcast."""
+    sent, names, _ = _labeller(model, facts.sparkSession, mode, threshold, None, None)
+
+    if model.votes is None:
+        raise ValueError("too many votes to broadcast: explode the array and use label_column")
 
     @F.arrow_udf("array<int>")
     def label(t: pa.Array) -> pa.Array:
         flat = t.flatten()  # without what null rows hold
         size = np.array([0 if n is None else n for n in t.value_lengths().to_pylist()], np.int64)
-        n = detect(flat, *sent.value[:2], mode, threshold, sent.value[2])
+        n = detect(flat, *sent.value[:3], mode, threshold, sent.value[3])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(n, pa.int32()))
 
     normal = F.transform(array_col, tx.char_trigram_text)

@@ -79,8 +79,11 @@ def labelled_lines(spark: SparkSession, sf_dir: str, threshold: float = 0.3) ->
 
 
 def labelled_tokens(lines: DataFrame, spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
-    """Tokens of every line, each token labelled (no shuffle)."""
+    """Tokens of every line, each token labelled (no shuffle while the votes are broadcast)."""
     toks = lines.select("*", tx.tokenize("line").alias("tokens")).drop("line")
+    if lid_model(spark, sf_dir).votes is None:
+        flat = toks.select(*toks.drop("tokens").columns, F.explode("tokens").alias("token"))
+        return lid.label_column(flat, "token", lid_model(spark, sf_dir), out_col="token_lang", mode="cascade", threshold=threshold)
     out = lid.label_array(toks, "tokens", lid_model(spark, sf_dir), mode="cascade", threshold=threshold)
     return out.select("*", F.explode(F.arrays_zip("tokens", "langs")).alias("_t")) \
         .select(*toks.drop("tokens").columns, F.col("_t.tokens").alias("token"), F.col("_t.langs").alias("token_lang"))

@@ -41,35 +41,19 @@ comp AS (
          source, lang AS language, text AS completion
   FROM documents)"""
 
-# fixed values: slots of the detectors' tables, and 31^k mod slots for k = 0..15
-SLOTS = 32768
-POWERS = "[" + ", ".join(str(31 ** k % SLOTS) for k in range(16)) + "]"
-
-
-def gram_slot_sql(g: str) -> str:
-    return f"(961 * unicode({g}[1]) + 31 * unicode({g}[2]) + unicode({g}[3])) % {SLOTS}"
-
-
-def word_slot_sql(w: str) -> str:
-    return (f"list_sum(list_transform(generate_series(1, length({w})), "
-            f"lambda i: unicode({w}[i]) * {POWERS}[(i - 1) % 16 + 1])) % {SLOTS}")
-
-
 MODEL = f"""
 tr_txt AS (SELECT lang, {trigram_text_sql('text')} AS t FROM documents WHERE lang IS NOT NULL),
 tr_grams AS (SELECT lang, substring(t, i, 3) AS gram
              FROM (SELECT lang, t, unnest(generate_series(1, length(t) - 2)) AS i FROM tr_txt)),
-tr_counts AS (SELECT lang, {gram_slot_sql('gram')} AS slot, sum(n) AS cnt
-              FROM (SELECT lang, gram, count(*) AS n FROM tr_grams GROUP BY lang, gram) GROUP BY ALL),
-profile AS (SELECT lang, slot, cnt, round(ln(1.0 + 1000000.0 * cnt / sum(cnt) OVER (PARTITION BY lang)), 6) AS weight
+tr_counts AS (SELECT lang, gram, count(*) AS cnt FROM tr_grams GROUP BY lang, gram),
+profile AS (SELECT lang, gram, cnt, round(ln(1.0 + 1000000.0 * cnt / sum(cnt) OVER (PARTITION BY lang)), 6) AS weight
             FROM tr_counts),
 n_langs AS (SELECT count(DISTINCT lang) AS nl FROM profile),
 tr_words AS (SELECT lang, word, count(*) AS n
              FROM (SELECT lang, unnest(string_split(t, ' ')) AS word FROM tr_txt) WHERE word <> '' GROUP BY ALL),
-tr_wslots AS (SELECT lang, {word_slot_sql('word')} AS slot, sum(n) AS cnt FROM tr_words GROUP BY ALL),
-votes AS (SELECT slot, lang FROM (
-            SELECT slot, lang, row_number() OVER (PARTITION BY slot ORDER BY share DESC, lang) AS rk
-            FROM (SELECT slot, lang, cnt / sum(cnt) OVER (PARTITION BY lang) AS share FROM tr_wslots)) WHERE rk = 1),
+votes AS (SELECT word, lang FROM (
+            SELECT word, lang, row_number() OVER (PARTITION BY word ORDER BY share DESC, lang) AS rk
+            FROM (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS share FROM tr_words)) WHERE rk = 1),
 n_words AS (SELECT lang, unnest(regexp_extract_all(lower(text), {WORD_RE})) AS word
             FROM documents WHERE lang IS NOT NULL),
 stopwords AS (
@@ -89,9 +73,8 @@ def detect_sql(units: str, name: str, mode: str = "cascade", threshold: float =
 {p}ug AS (SELECT unit, gram, count(*) AS n
           FROM (SELECT unit, substring(t, i, 3) AS gram
                 FROM (SELECT unit, t, unnest(generate_series(1, length(t) - 2)) AS i FROM {p}ut)) GROUP BY ALL),
-{p}gs AS (SELECT gram, {gram_slot_sql('gram')} AS slot FROM (SELECT DISTINCT gram FROM {p}ug)),
 {p}ps AS (SELECT unit, lang, round(sum(n * weight), 6) AS score
-          FROM {p}ug JOIN {p}gs USING (gram) JOIN profile USING (slot) GROUP BY unit, lang),
+          FROM {p}ug JOIN profile USING (gram) GROUP BY unit, lang),
 {p}ps2 AS (SELECT *, max(score) OVER (PARTITION BY unit) AS smax, count(*) OVER (PARTITION BY unit) AS k,
                   row_number() OVER (PARTITION BY unit ORDER BY score DESC, lang) AS rn FROM {p}ps),
 {p}pb AS (SELECT unit, max(CASE WHEN rn = 1 THEN lang END) AS p_lang,
@@ -105,8 +88,7 @@ def detect_sql(units: str, name: str, mode: str = "cascade", threshold: float =
     return s + f""",
 {p}uw AS (SELECT unit, word, count(*) AS n FROM (SELECT unit, unnest(string_split(t, ' ')) AS word FROM {p}ut)
           WHERE word <> '' GROUP BY ALL),
-{p}ws AS (SELECT word, {word_slot_sql('word')} AS slot FROM (SELECT DISTINCT word FROM {p}uw)),
-{p}sv AS (SELECT unit, lang, sum(n) AS v FROM {p}uw JOIN {p}ws USING (word) JOIN votes USING (slot) GROUP BY unit, lang),
+{p}sv AS (SELECT unit, lang, sum(n) AS v FROM {p}uw JOIN votes USING (word) GROUP BY unit, lang),
 {p}sb AS (SELECT unit, max(CASE WHEN rn = 1 THEN lang END) AS s_lang,
                  max(CASE WHEN rn = 1 THEN v END) * 1.0 / sum(v) AS s_conf
           FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY v DESC, lang) AS rn FROM {p}sv)
@@ -157,7 +139,7 @@ def with_(*parts: str) -> str:
 
 ORACLES: dict[str, str] = {}
 
-ORACLES["lid_profile"] = with_(MODEL) + "\nSELECT lang, CAST(slot AS BIGINT) AS slot, CAST(cnt AS BIGINT) AS cnt, weight FROM profile"
+ORACLES["lid_profile"] = with_(MODEL) + "\nSELECT lang, gram, CAST(cnt AS BIGINT) AS cnt, weight FROM profile"
 
 ORACLES["lid_stopwords"] = with_(MODEL) + "\nSELECT lang, word FROM stopwords"
 
@@ -475,7 +457,7 @@ ORACLES["language_similarity"] = with_(TOKEN_INC, jaccard_sql("tinc", "jac")) +
     '\nSELECT "row", col, round(value, 6) AS value FROM jac'
 
 SIMS = """
-pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (slot)
+pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (gram)
        GROUP BY ALL),
 pnrm AS (SELECT lang, sqrt(sum(weight * weight)) AS nrm FROM profile GROUP BY lang),
 cosm AS (SELECT "row", col, (dot / (na.nrm * nb.nrm) + 1) / 2 AS value
@@ -732,7 +714,7 @@ cf AS (SELECT level, setting, lang AS "row", language AS col,
               avg(-(CASE WHEN lang = language OR lang = 'en' THEN 1 - p ELSE p END) * ln(p)) AS value
        FROM bs WHERE lang NOT IN ('unknown', 'unk') AND language NOT IN ('unknown', 'unk')
        GROUP BY level, setting, lang, language),
-pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (slot)
+pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (gram)
        GROUP BY ALL),
 pnrm AS (SELECT lang, sqrt(sum(weight * weight)) AS nrm FROM profile GROUP BY lang),
 cosm AS (SELECT "row", col, (dot / (na.nrm * nb.nrm) + 1) / 2 AS value
@@ -831,7 +813,7 @@ SELECT *, round(1.0 - (((de + en) + es) + fr), 6) AS etc,
        CAST(CASE WHEN task = 'monolingual' THEN 0 ELSE 1 END AS INTEGER) AS step_order FROM w"""
 
 ORACLES["distribution_with_similarity"] = _LD + """,
-pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (slot)
+pc AS (SELECT a.lang AS "row", b.lang AS col, sum(a.weight * b.weight) AS dot FROM profile a JOIN profile b USING (gram)
        GROUP BY ALL),
 pnrm AS (SELECT lang, sqrt(sum(weight * weight)) AS nrm FROM profile GROUP BY lang),
 cosm AS (SELECT "row", col, round((dot / (na.nrm * nb.nrm) + 1) / 2, 6) AS cos_sim
