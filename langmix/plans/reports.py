@@ -211,8 +211,36 @@ FROM g LEFT JOIN line_dist d ON d.id = g.id AND d.lang = g.lang GROUP BY ALL"""
 @query("kmeans_centres")
 def q_kmeans_centres(spark, sf):
     """Centres of the k-means models (k = 3 and 6) of the embeddings."""
-    v = Q._embedding_vectors(spark, sf)
-    return ML.kmeans_centres(v, 3).unionByName(ML.kmeans_centres(v, 6))
+    return Q._kmeans(spark, sf).centre_rows(spark).withColumn("value", F.round("value", 6))
+
+
+_KMEANS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+far AS (
+  SELECT 1 AS n, [arg_min(e, vec_id)] AS cs FROM v
+  UNION ALL
+  SELECT far.n + 1, list_append(any_value(far.cs), arg_max(v.e, {'d': list_min(list_transform(far.cs, lambda c: round(list_distance(c, v.e) ** 2, 9))), 'k': -v.vec_id}))
+  FROM far, v WHERE far.n < 6 GROUP BY far.n),
+lloyd AS (
+  SELECT 0 AS r, n AS k, cs FROM far WHERE n IN (3, 6)
+  UNION ALL
+  SELECT r + 1, k, list_transform(range(k), lambda c: coalesce(map_from_entries(new)[c], old[c + 1])) FROM (
+    SELECT r, k, list((cl, e)) AS new, any_value(old) AS old FROM (
+      SELECT r, k, cl, list(x ORDER BY dim) AS e, any_value(old) AS old FROM (
+        SELECT r, k, cl, dim, avg(x) AS x, any_value(old) AS old FROM (
+          SELECT r, k, cl, unnest(range(len(e))) AS dim, unnest(e) AS x, old FROM (
+            SELECT r, k, v.e, cs AS old, list_position(ds, list_min(ds)) - 1 AS cl FROM (
+              SELECT lloyd.*, v.*, list_transform(cs, lambda c: round(list_distance(c, v.e) ** 2, 9)) AS ds FROM lloyd, v WHERE r < 10) v))
+        GROUP BY r, k, cl, dim) GROUP BY r, k, cl) GROUP BY r, k)),
+model AS (SELECT k, cs FROM lloyd WHERE r = 10)"""
+
+ORACLES["kmeans_centres"] = _KMEANS_SQL + """
+SELECT CAST(k AS INTEGER) AS k, CAST(c AS INTEGER) AS cluster, CAST(f AS INTEGER) AS feature, round(value, 6) AS value FROM (
+  SELECT k, c, unnest(range(len(e))) AS f, unnest(e) AS value FROM (SELECT k, unnest(range(k)) AS c, unnest(cs) AS e FROM model))"""
+
+ORACLES["kmeans_embeddings"] = _KMEANS_SQL + """
+SELECT vec_id, CAST(k AS INTEGER) AS k, CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS cluster FROM (
+  SELECT vec_id, k, list_transform(cs, lambda c: round(list_distance(c, e) ** 2, 9)) AS ds FROM model, v)"""
 
 
 @query("subset_ablation")

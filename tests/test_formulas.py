@@ -219,6 +219,9 @@ def test_ablation_and_centres(spark):
     two = {"x": spark.createDataFrame([("p", 1.0), ("q", 2.0)], "variables string, mse double"),
            "y": spark.createDataFrame([("q", 5.0), ("p", 9.0), ("r", 0.0)], "variables string, mse double")}
     assert [tuple(r) for r in ML.collect_ablations(two, "y").collect()] == [("q", 2.0, 5.0), ("p", 1.0, 9.0)]
-    v = ML.as_vector(spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 2.0]), (3, [9.0, 9.0])], "k int, e array<double>"), "e")
-    c = ML.kmeans_centres(v, 2).collect()
-    assert sorted(round(r.value, 6) for r in c) == [0.0, 1.0, 9.0, 9.0]
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 2.0]), (3, [9.0, 9.0]), (4, None), (5, [9.0, 9.0])], "k int, e array<double>")
+    model = ML.kmeans(v, "k", "e", (2, 3))
+    assert model.centres[2].tolist() == [[0.0, 1.0], [9.0, 9.0]]
+    at = {(r[0], r[1]): r[2] for r in model.assignments(v, "k", "e").toDF("key", "k", "cluster").collect()}
+    assert [at[i, 2] for i in (1, 2, 3, 5)] == [0, 0, 1, 1] and [at[i, 3] for i in (1, 2, 3, 5)] == [0, 2, 1, 1]
+    assert len(model.centre_rows(spark).collect()) == 10
