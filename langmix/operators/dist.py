@@ -78,10 +78,10 @@ def append_merge(dist: DataFrame, keys: Sequence[str], order_col: str) -> DataFr
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order_col: str, last: bool = False) -> DataFrame:
-    """First-wins (or last-wins) per key by input order."""
-    o = F.desc(order_col) if last else F.asc(order_col)
-    w = Window.partitionBy(*keys).orderBy(o)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """First-wins (or last-wins) per key by input order; one pre-aggregated
+    row per key meets in a task, however many rows repeat it."""
+    pick = F.max_by if last else F.min_by
+    return df.groupBy(*keys).agg(pick(F.struct(*df.columns), F.col(order_col)).alias("_row")).select("_row.*")
 
 
 def widen(dist: DataFrame, keys: Sequence[str], targets: Sequence[str], units: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -11,21 +11,30 @@ Q_PREFIX, A_PREFIX = "Q: ", "A: "
 # ---------------------------------------------------------------------------
 
 
+#: turns whose pieces one task joins
+STRETCH = 1000
+
+
 def turns_to_prompt(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
-                    role_col: str = "role", text_col: str = "text") -> DataFrame:
+                    role_col: str = "role", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """``Q: ...\\n`` per user turn, ``A: ...\\n\\n`` per assistant turn (other
     roles add nothing), ``A:`` appended when the last turn is the user's,
-    newlines stripped at both ends.  One ordered list per conversation."""
+    newlines stripped at both ends.  Pieces are joined in two levels, first those of a
+    stretch of turn numbers, then the stretches, so that no task sorts all turns of a
+    long conversation.  ``extra``: further boolean columns, true if true in any turn."""
     piece = (F.when(F.col(role_col) == USER, F.concat(F.lit(Q_PREFIX), F.col(text_col), F.lit("\n")))
              .when(F.col(role_col) == ASSISTANT, F.concat(F.lit(A_PREFIX), F.col(text_col), F.lit("\n\n")))
              .otherwise(F.lit("")))
-    g = turns.groupBy(conv_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("t"), piece.alias("p"),
-                                             F.col(role_col).alias("r")))).alias("ts"))
-    body = F.array_join(F.transform("ts", lambda x: x["p"]), "")
-    last_role = F.element_at("ts", -1)["r"]
-    prompt = F.concat(body, F.when(last_role == USER, F.lit("A:")).otherwise(F.lit("")))
-    return g.select(conv_col, F.trim(prompt, F.lit("\n")).alias("prompt"))
+    extra = extra or {}
+    flags = [F.max(c).alias(n) for n, c in extra.items()]
+    part = F.floor(F.coalesce(turn_col, F.lit(-1)) / STRETCH)
+    inner = turns.groupBy(conv_col, part.alias("_part")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("t"), piece.alias("p"), F.col(role_col).alias("r")))).alias("_ts"), *flags)
+    inner = inner.select(conv_col, "_part", F.array_join(F.transform("_ts", lambda x: x["p"]), "").alias("p"), F.element_at("_ts", -1)["r"].alias("r"), *extra)
+    outer = inner.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct("_part", "p", "r"))).alias("_ts"), *[F.max(n).alias(n) for n in extra])
+    body = F.array_join(F.transform("_ts", lambda x: x["p"]), "")
+    prompt = F.concat(body, F.when(F.element_at("_ts", -1)["r"] == USER, F.lit("A:")).otherwise(F.lit("")))
+    return outer.select(conv_col, F.trim(prompt, F.lit("\n")).alias("prompt"), *extra)
 
 
 def reply_pairs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
@@ -47,5 +56,5 @@ def few_shot(turns: DataFrame, k: int = 1, conv_col: str = "conv_id", turn_col:
     w = Window.partitionBy(conv_col).orderBy(turn_col)
     d = turns.filter(F.col(role_col).isin(USER, ASSISTANT)).withColumn("_pos", F.row_number().over(w))
     sel = d.filter(F.col("_pos") <= 2 * k + 1)
-    asked = sel.groupBy(conv_col).agg(F.max((F.col("_pos") == 2 * k + 1) & (F.col(role_col) == USER)).alias("has_question"))
-    return turns_to_prompt(sel, conv_col, turn_col, role_col, text_col).join(asked, conv_col)
+    asked = (F.col("_pos") == 2 * k + 1) & (F.col(role_col) == USER)
+    return turns_to_prompt(sel, conv_col, turn_col, role_col, text_col, {"has_question": asked})

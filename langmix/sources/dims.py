@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from langmix.functions.text import lang_part
+from langmix.sources.files import parse_dimension
 
 # --- fixed values -------------------------------------------------------------
 # Static attributes of the evaluation languages: (code, family, word order,
@@ -34,8 +40,6 @@ LANG_ATTRIBUTES = [
     ("fra_Latn", "romance", "SVO", "LTR"),
     ("spa_Latn", "romance", "SVO", "LTR"),
 ]
-# Pre-training share (%) of a language; languages without a stated share stay NULL.
-MT5_SHARE = [("deu", 3.05), ("eng", 5.67)]
 # Two-letter codes of the driver data -> language_Script codes.
 DATA_CODES = [("de", "deu_Latn"), ("en", "eng_Latn"), ("es", "spa_Latn"), ("fr", "fra_Latn")]
 # ------------------------------------------------------------------------------
@@ -50,4 +54,8 @@ def data_codes(spark: SparkSession) -> DataFrame:
 
 
 def mt5_share(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MT5_SHARE, "iso3 string, mt5 double")
+    """(iso3, mt5): pre-training shares, from the package's YAML table (a small resource
+    that only the driver has, so its text is sent to Spark)."""
+    text = resources.files(__package__).joinpath("pretraining.yaml").read_text(encoding="utf-8")
+    rows = parse_dimension(spark.createDataFrame([(text,)], "value string")).where("attribute = 'mt5'")
+    return rows.select(lang_part("key").alias("iso3"), F.col("value").cast("double").alias("mt5"))

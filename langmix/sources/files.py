@@ -6,10 +6,16 @@ glob, and keeps the file name as a column when the file name carries data.
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from langmix.sources.records import read_csv_by_header, read_records
+
 COMPLETIONS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
                                    ("id", "model", "completion", "task", "source", "language")])
 PAIRS_SCHEMA = T.StructType([T.StructField("pred", T.StringType()), T.StructField("labels", T.StringType())])
@@ -35,13 +41,10 @@ RESULT_FILE_RE = r"(?:multi|mono)lingual_eval_[a-z0-9_]+?_(base|step1|step50_sbe
 # ---------------------------------------------------------------------------
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, **opts) -> DataFrame:
-    """A CSV file or a folder of them (completions hold newlines)."""
-    r = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-         .option("escape", '"').option("pathGlobFilter", "*.csv"))
-    for k, v in opts.items():
-        r = r.option(k, v)
-    return r.csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A CSV file or a folder of them; columns go by each file's header, and
+    cells may hold newlines (:mod:`langmix.sources.records`)."""
+    return read_csv_by_header(spark, path, {f.name: f.dataType.simpleString() for f in schema})
 
 
 def read_completions(spark: SparkSession, path: str) -> DataFrame:
@@ -65,25 +68,14 @@ def step_from_file(col: Column | None = None) -> Column:
 
 def read_matrix_files(spark: SparkSession, path: str, row_col: str = "model") -> DataFrame:
     """Folder of metric matrices -> (row, col, value, step)."""
-    # every file has its own header: cells are named by it, not by their position
-    t = spark.read.option("pathGlobFilter", "*.csv").text(path, wholetext=True)
-    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: F.trim(x) != "")
-    t = t.select(step_from_file().alias("step"), lines.alias("_lines")).where(F.size("_lines") > 1)
-    t = t.select("step", csv_cells(F.col("_lines")[0]).alias("_names"), F.explode(F.slice("_lines", 2, F.size("_lines") - 1)).alias("_line"))
-    t = t.withColumn("_cells", csv_cells(F.col("_line")))
-    row = F.element_at(F.col("_cells"), F.array_position("_names", row_col).cast("int"))
-    long = t.where(F.array_contains("_names", row_col)).select(
-        "step", row.alias("row"), F.explode(F.arrays_zip(F.col("_names").alias("n"), F.col("_cells").alias("v"))).alias("x"))
+    t = read_records(spark, path).select(step_from_file(F.element_at(F.split("file", "/"), -1)).alias("step"), "header", "cells")
+    row = F.get("cells", F.array_position("header", row_col).cast("int") - 1)
+    long = t.where(F.array_contains("header", row_col)).select(
+        "step", row.alias("row"), F.explode(F.arrays_zip(F.col("header").alias("n"), F.col("cells").alias("v"))).alias("x"))
     return (long.where(F.col("x.n") != row_col)
             .select("row", F.col("x.n").alias("col"), F.nullif(F.col("x.v"), F.lit("")).cast("double").alias("value"), "step"))
 
 
-def csv_cells(line: Column) -> Column:
-    """Cells of a CSV line: commas inside double quotes do not part them."""
-    cells = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(cells, lambda x: F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
-
-
 def read_inverter_logs(spark: SparkSession, path: str) -> DataFrame:
     """(model, dataset, embeddings_file, output_file)."""
     df = spark.read.schema(INVERTER_LOG_SCHEMA).option("multiLine", True).json(path)
@@ -117,33 +109,57 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_literal(col, type_str: str = "map<string,double>", strict: bool = False) -> Column:
-    """Python-literal dict/list text -> typed column.  Tolerant mode
-    yields NULL on bad input; strict mode fails the query."""
-    opts = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE"}
-    c = F.col(col) if isinstance(col, str) else col
-    # outside quotes, Python's words and tuples become JSON's
-    outside = r"""(?=(?:[^'"]*(?:'[^']*'|"[^"]*"))*[^'"]*$)"""
-    for a, b in ((r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\(", "["), (r",?\s*\)", "]"), (r",(?=\s*[\]}])", "")):
-        c = F.regexp_replace(c, a + outside, b)
-    return F.from_json(c, type_str, opts)
+    """Python-literal text -> typed column, read by Python's own literal parser
+    (no code is run; tuples and sets become lists, sets in order of their repr, keys
+    become strings).  Tolerant mode yields NULL on bad input; strict mode fails the query."""
+    @F.arrow_udf("string")
+    def to_json(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            try:
+                out.append(None if text is None else json.dumps(_plain(ast.literal_eval(text.strip())), allow_nan=False))
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                if strict:
+                    raise
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return F.from_json(to_json(F.col(col) if isinstance(col, str) else col), type_str, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+
+
+def _plain(x):
+    if isinstance(x, dict):
+        return {str(k): _plain(v) for k, v in x.items()}
+    if isinstance(x, (set, frozenset)):
+        x = sorted(x, key=repr)
+    return [_plain(v) for v in x] if isinstance(x, (list, tuple)) else x
 
 
 def read_dimension(spark: SparkSession, path: str) -> DataFrame:
-    """A flat YAML mapping ``key: value`` (one a line, ``#`` comments) -> (key, value)."""
-    t = spark.read.text(path).select(F.regexp_replace("value", r"\s*#.*$", "").alias("v"))
-    pattern = r"""^\s*['"]?([^:'"]+?)['"]?\s*:\s*['"]?(.*?)['"]?\s*$"""
-    return (t.where(F.col("v").rlike(pattern))
-            .select(F.regexp_extract("v", pattern, 1).alias("key"), F.nullif(F.regexp_extract("v", pattern, 2), F.lit("")).alias("value")))
-
-
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(), mode: str = "overwrite") -> None:
-    """Sink (partitioned so later reads prune folders)."""
-    w = df.write.mode(mode).format(fmt)
-    if fmt == "csv":
-        w = w.option("header", True)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save(path)
+    """A small YAML mapping -> (key, attribute, value); see :func:`parse_dimension`."""
+    return parse_dimension(spark.read.text(path, wholetext=True))
+
+
+def parse_dimension(texts: DataFrame) -> DataFrame:
+    """``key: value`` lines (attribute null) and ``key:`` followed by an indented
+    list of one-key maps ``- attribute: value`` (a row each) of YAML texts (column
+    ``value``); ``#`` comments and quotes around names and values are dropped."""
+    bare = lambda c: F.regexp_replace(F.trim(c), r"""^(['"])(.*)\1$""", "$2")
+    text = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"(?m)[ \t]*(^|[ \t])#.*$", "")
+    entry = r"(?m)^([^\s:-][^:\n]*):[ \t]*([^\n]*)((?:\n(?:[ \t]+[^\n]*|-[^\n]*)?(?=\n|\z))*)"
+    t = texts.select(F.explode(F.regexp_extract_all(text, F.lit(entry), 0)).alias("e"))
+    t = t.select(*[F.regexp_extract("e", entry, k).alias(c) for k, c in ((1, "key"), (2, "inline"), (3, "block"))])
+    pair = r"(?m)^[ \t]*(?:-[ \t]*)?([^:\n]+):[ \t]*([^\n]*)$"
+    nested = F.transform(F.regexp_extract_all("block", F.lit(pair), 0),
+                         lambda x: F.struct(bare(F.regexp_extract(x, pair, 1)).alias("attribute"), bare(F.regexp_extract(x, pair, 2)).alias("value")))
+    alone = F.array(F.struct(F.lit(None).cast("string").alias("attribute"), bare(F.col("inline")).alias("value")))
+    rows = t.select(bare(F.col("key")).alias("key"), F.explode(F.when(F.size(nested) > 0, nested).otherwise(alone)).alias("x"))
+    return rows.select("key", "x.attribute", F.nullif(F.col("x.value"), F.lit("")).alias("value"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A folder of JSON lines."""
+    df.write.mode("overwrite").json(path)
 
 
 def write_matrix_csv(m: DataFrame, path: str, col_labels) -> None:
