@@ -62,18 +62,11 @@ def word_punct_tokens(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(WORD_PUNCT_RE), 0)
 
 
-def char_tokens(col) -> Column:
-    """T7 option for scripts written without spaces: one token per character."""
-    return F.filter(F.split(_c(col), ""), lambda x: ~x.rlike(r"^\s$"))
-
-
-def tokenize(col, lang_col=None, no_space_langs=("zh", "ja")) -> Column:
-    """Language-dispatched tokenisation.  By default (no language given)
-    the general word/punct tokeniser runs, which is what the reference's
-    dispatch effectively does."""
-    if lang_col is None:
-        return word_punct_tokens(col)
-    return F.when(_c(lang_col).isin(*no_space_langs), char_tokens(col)).otherwise(word_punct_tokens(col))
+def tokenize(col) -> Column:
+    """T7 without a language: the general word/punct tokeniser, which is what the
+    reference's dispatch effectively does; by language see
+    :mod:`langmix.operators.segment`."""
+    return word_punct_tokens(col)
 
 
 def strip_prefix(col, prefix: str = "query: ") -> Column:
@@ -111,10 +104,3 @@ def char_trigram_text(col) -> Column:
     """Letters-only, lower-cased, space padded text used for trigram profiles."""
     t = F.regexp_replace(F.lower(_c(col)), r"[^\p{L}]+", " ")
     return F.concat(F.lit(" "), F.trim(t), F.lit(" "))
-
-
-def char_trigrams(col) -> Column:
-    """All overlapping character trigrams of :func:`char_trigram_text`, in one
-    regex pass (a zero-width lookahead captures the three characters at every
-    position)."""
-    return F.regexp_extract_all(char_trigram_text(col), F.lit("(?=(.{3}))"), 1)

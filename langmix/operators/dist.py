@@ -57,12 +57,6 @@ def first_values(dist_lists: DataFrame) -> DataFrame:
     return dist_lists.withColumn("dist", F.transform_values("dist", lambda k, v: F.element_at(v, 1)))
 
 
-def explode_map(df: DataFrame, map_col: str = "dist") -> DataFrame:
-    """Map column -> long rows (lang, p)."""
-    rest = [c for c in df.columns if c != map_col]
-    return df.select(*rest, F.explode(map_col).alias("lang", "p"))
-
-
 def to_map(dist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Long form -> one ``map<string,double>`` per unit (for JSON output)."""
     return dist.groupBy(*keys).agg(F.map_from_entries(
@@ -146,16 +140,3 @@ def probability_pool(dist: DataFrame) -> DataFrame:
     return (dist.filter(F.col("p") >= OFF_TARGET_MIN_P).groupBy("lang")
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"),
                  F.round(F.max("p"), 6).alias("max_p")))
-
-
-def step_complete_shares(dist: DataFrame, keys: Sequence[str], step_col: str, steps: Sequence[str]) -> DataFrame:
-    """Keep units that have every step; share per step with ``etc = 1 - sum``."""
-    keys = list(keys)
-    have = (dist.groupBy(*keys).agg(F.countDistinct(step_col).alias("ns"))
-            .filter(F.col("ns") == len(steps)).drop("ns"))
-    d = dist.join(have, keys, "left_semi")
-    return d
-
-
-def residual(col_sum: Column) -> Column:
-    return F.round(F.lit(1.0) - col_sum, RATIO_DECIMALS)

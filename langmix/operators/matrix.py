@@ -17,11 +17,6 @@ UNKNOWN_LABELS = ("unknown", "unk")
 # ---------------------------------------------------------------------------
 
 
-def drop_zero(m: DataFrame) -> DataFrame:
-    """K5: drop zero cells (all-zero rows/columns disappear with them)."""
-    return m.filter(F.col("value") != 0)
-
-
 def drop_zero_lines(m: DataFrame) -> DataFrame:
     """K5 (dense semantics): zero-fill, then drop rows and columns whose cells
     are all zero; zero cells inside kept rows/columns stay."""
@@ -54,10 +49,6 @@ def restrict(m: DataFrame, labels: DataFrame, label_col: str = "label") -> DataF
             .join(lab.withColumnRenamed("_l", "col"), "col", "left_semi"))
 
 
-def labels_of(m: DataFrame, axis: str) -> DataFrame:
-    return m.select(F.col(axis).alias("label")).distinct()
-
-
 def align(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """K9: restrict both matrices to the intersection of their row labels and
     of their column labels (per ``keys`` group, e.g. a similarity name)."""
@@ -83,11 +74,3 @@ def symmetric(edges: DataFrame, a: str = "a", b: str = "b", value: str = "value"
 def to_wide(m: DataFrame, col_labels: Sequence[str]) -> DataFrame:
     """Pivot for display (explicit column list: no discovery job)."""
     return m.groupBy("row").pivot("col", list(col_labels)).agg(F.first("value"))
-
-
-def from_wide(wide: DataFrame, row_col: str = "row") -> DataFrame:
-    """Wide matrix (one column per label) -> coordinate form, NULLs dropped."""
-    cols = [c for c in wide.columns if c != row_col]
-    long = wide.unpivot([row_col], cols, "col", "value")
-    return long.select(F.col(row_col).alias("row"), "col", F.col("value").cast("double").alias("value")) \
-        .filter(F.col("value").isNotNull())

@@ -845,7 +845,8 @@ def q_merged_distribution(spark, sf):
     level order, the first value kept, residual mass added as ``unk``."""
     d = both_dists(spark, sf)
     merged = D.append_merge(d, ["id"], "level")
-    first = merged.select("id", "lang", F.element_at("ps", 1).alias("p"))
+    lists = merged.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "ps"))).alias("dist"))  # one entry per language
+    first = D.first_values(lists).select("id", F.explode("dist").alias("lang", "p"))
     return D.complete_unknown(first, ["id"]).select("id", "lang", F.round("p", 6).alias("p"))
 
 

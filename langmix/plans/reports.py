@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from langmix.functions import text as tx
 from langmix.operators import dist as D
+from langmix.operators import entropy as E
 from langmix.operators import lid
 from langmix.operators import ml as ML
+from langmix.operators import matrix as Mx
 from langmix.operators import naming as N
 from langmix.operators import overlap as O
 from langmix.operators import prompts as C
+from langmix.operators import segment
 from langmix.operators import stats as S
 from langmix.operators import typology as Y
 from langmix.plans import inputs as I
@@ -22,7 +25,9 @@ from langmix.plans import oracle as SQL
 from langmix.plans import queries as Q
 from langmix.plans.oracle import ORACLES
 from langmix.plans.queries import query
-from langmix.sources.tables import load
+from langmix.sources import files as SRC
+from langmix.sources.tables import SCHEMAS, load
+from langmix.streaming import incremental as R
 
 
 def _side_lines(spark, sf):
@@ -286,3 +291,112 @@ def q_part_label_codes(spark, sf):
 
 
 ORACLES["part_label_codes"] = "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_retailprice) - 1 AS BIGINT) AS code FROM part"
+
+
+def _stream_of(sf: str) -> str:
+    return f"{sf.rstrip('/')}/documents.parquet*"  # the table may be a folder of files or one file
+
+
+@query("incremental_language_totals")
+def q_incremental_language_totals(spark, sf):
+    """R1 + S13, stateful: lines and tokens by (level, language) of the documents that
+    arrive as a stream of files; the counts live in the state store."""
+    folder = R.stream_folder(spark, "totals")
+
+    def rows_of(stream):
+        model = I.lid_model(spark, sf)
+        lines = lid.label_column(I.distribution_lines(I.completions_from(stream)), "line", model, mode="cascade", threshold=0.3)
+        toks = lid.label_array(lines.select("pred_lang", tx.tokenize("line").alias("tokens")), "tokens", model, mode="cascade", threshold=0.3)
+        both = F.concat(F.array(F.struct(F.lit("line").alias("level"), F.col("pred_lang").alias("lang"))),
+                        F.transform("langs", lambda x: F.struct(F.lit("word").alias("level"), x.alias("lang"))))
+        return toks.select(F.explode(both).alias("x")).select("x.level", "x.lang")
+
+    R.run_counts(spark, _stream_of(sf), SCHEMAS["documents"], f"{folder}/sink", f"{folder}/ckpt", rows_of, ["level", "lang"])
+    return R.latest(spark, f"{folder}/sink").select("level", "lang", "n")
+
+
+ORACLES["incremental_language_totals"] = SQL.with_(SQL.COMPLETIONS, SQL.MODEL, SQL.LABELLED_LINES, SQL.LABELLED_TOKENS) + """
+SELECT 'line' AS level, pred_lang AS lang, count(*) AS n FROM llines GROUP BY ALL
+UNION ALL SELECT 'word', token_lang, count(*) FROM ltoks GROUP BY ALL"""
+
+
+@query("incremental_group_entropy")
+def q_incremental_group_entropy(spark, sf):
+    """R1 for E12: mean line entropy by (model, source, language, task), kept current by
+    partial counts and sums of each batch of files."""
+    model, folder, keys = I.lid_model(spark, sf), R.stream_folder(spark, "entropy"), ["model", "source", "language", "task"]
+
+    def transform(batch):
+        lab = lid.label_column(I.distribution_lines(I.completions_from(batch)), "line", model, mode="cascade", threshold=0.3)
+        d = D.ratios(lab, I.UNIT_KEYS).withColumn("expected", F.col("language"))
+        ent = E.entropies(d, I.UNIT_KEYS, "expected", None, variants=["reweighted_entropy_expected"], decimals=None)
+        return R.partial_means(ent.withColumnRenamed("reweighted_entropy_expected", "h"), keys, ["h"])
+
+    R.run_incremental(spark, _stream_of(sf), SCHEMAS["documents"], f"{folder}/sink", f"{folder}/ckpt", transform)
+    return R.merged_means(R.read_sink(spark, f"{folder}/sink"), keys, ["h"]).select(*keys, F.round("h", 6).alias("entropy"))
+
+
+ORACLES["incremental_group_entropy"] = SQL._LD + """,
+ent AS (SELECT id, model, task, source, language, sum(-(CASE WHEN lang = language THEN 1 - p ELSE p END) * ln(p)) AS h
+        FROM line_dist GROUP BY ALL)
+SELECT model, source, language, task, round(avg(h), 6) AS entropy FROM ent GROUP BY ALL"""
+
+
+@query("spaceless_tokens")
+def q_spaceless_tokens(spark, sf):
+    """Tokens of every document, where German stands for a language written without
+    spaces: its letters are run together and split again by the unigram model learned
+    from the documents' own words; other languages are split as usual."""
+    d = load(spark, sf, "documents").select("doc_id", "lang", F.lower("text").alias("t"))
+    words = F.regexp_extract_all("t", F.lit(r"\p{L}+"), 0)
+    model = segment.learn(d.where("lang = 'de'").select(F.explode(words).alias("w")), "w")
+    lines = F.transform(F.split("t", "\n"), lambda x: F.regexp_replace(x, r"[^\p{L}]+", ""))
+    run = F.when(F.col("lang") == "de", F.array_join(lines, " ")).otherwise(F.col("t"))
+    out = segment.tokens_by_language(d.select("doc_id", "lang", run.alias("t"), F.size(words).alias("n_words")), "t", "lang", model, ["de"])
+    return out.select("doc_id", "lang", "n_words", F.size("tokens").alias("n_tokens"))
+
+
+@query("page_hosts")
+def q_page_hosts(spark, sf):
+    """K8: the first page (by id) of each host, as labels are deduplicated before matrices align."""
+    p = load(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.length("html").alias("size"))
+    return D.keep_one(p, ["host"], "page_id").select("host", "page_id", "size")
+
+
+ORACLES["page_hosts"] = r"""
+SELECT host, page_id, size FROM (
+  SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, CAST(length(html) AS INTEGER) AS size FROM pages)
+QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) = 1"""
+
+
+@query("page_name_parts")
+def q_page_name_parts(spark, sf):
+    """T11 + T12: three-part names ``measure_source_language_Script`` made of a page's scheme,
+    first host label and language folder, and their parts."""
+    at = lambda k: F.regexp_extract("url", r"^([a-z]+)://([^./]*)[^/]*(?:/([a-z]{2})(?=[/?#]|$))?", k)
+    name = F.concat_ws("_", at(1), at(2), F.when(at(3) != "", at(3)).otherwise("und"), F.lit("Latn"))
+    p = load(spark, sf, "pages").select("page_id", name.alias("name"))
+    part = lambda k: F.split_part("name", F.lit("_"), F.lit(k))
+    code = F.concat_ws("_", part(3), part(4))
+    return p.select("page_id", part(1).alias("measure"), part(2).alias("source"), part(3).alias("language"),
+                    tx.lang_part(code).alias("lang"), tx.script_part(code).alias("script"))
+
+
+ORACLES["page_name_parts"] = r"""
+SELECT page_id, p[1] AS measure, p[2] AS source, l AS language, l AS lang, 'Latn' AS script FROM (
+  SELECT page_id, [regexp_extract(url, '^([a-z]+)://([^./]*)', 1), regexp_extract(url, '^([a-z]+)://([^./]*)', 2)] AS p,
+         coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/]*/([a-z][a-z])([/?#]|$)', 1), ''), 'und') AS l FROM pages)"""
+
+
+@query("restricted_confusion")
+def q_restricted_confusion(spark, sf):
+    """K7, second half (+ S12): the confusion matrix restricted to the training languages
+    of the models, written as JSON lines and read again."""
+    labels = I.completions(spark, sf).select(F.explode("training").alias("label")).where("label <> 'es'")
+    m = Mx.restrict(Q._confusion(spark, sf, materialize=True), labels).select("row", "col", F.round("value", 6).alias("value"))
+    path = R.stream_folder(spark, "matrix") + "/confusion_json"
+    SRC.write_json(m, path)
+    return spark.read.schema("row string, col string, value double").json(path)
+
+
+ORACLES["restricted_confusion"] = "SELECT * FROM (" + ORACLES["confusion_matrix"] + """) WHERE "row" IN ('de', 'en', 'fr') AND col IN ('de', 'en', 'fr')"""

@@ -51,11 +51,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(path(sf_dir, name))
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        load(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal out a table of fewer files than the cluster has cores, so that text
     operators use every core even if a file is one row group.  Tables of many
