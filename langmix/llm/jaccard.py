@@ -6,10 +6,12 @@
    pre-aggregated and never expanded into pairs).
 3. Bands are shuffled on (band, hash); every bucket ties its classes to its
    smallest one, and connected components of these ties give the candidate groups.
-4. The full shingle sets of one row per class travel to their candidate group once
-   and all pairs there are verified exactly.  A group of more than ``BLOCK``
-   classes is cut into blocks, and each pair of blocks is a task of its own.
-   Tasks return link counts and a spanning forest, not the pairs.
+4. All pairs of a candidate group are verified exactly on full shingle sets, in blocks of
+   ``BLOCK`` classes; each pair of blocks is a task of its own.  Where colliding strangers
+   chain a group of more than a block together, so that its buckets hold fewer pairs than
+   it does, its buckets are verified instead, and a pair counts in the first bucket that
+   it shares.  Either way every pair that shares a band is verified.  Tasks return
+   link counts and a spanning forest, not the pairs.
 
 Words are maximal runs outside space and \\t\\n\\v\\f\\r, unchanged.  A text of 1 to
 n-1 words has one shingle, all its words; null texts and texts without words link
@@ -123,22 +125,32 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, grp, blocks, copies, shingles): the sorted distinct shingle hashes of
-    the wanted rows (doc_id, node, grp, blocks, copies)."""
+    """(node, copies, units, bands, shingles): the sorted distinct shingle hashes of the
+    wanted rows (doc_id, print, node, copies, units, bands).  Rows meet on id and print,
+    so null or shared ids bring nothing together; of copies a task reads one."""
     def run(batches):
+        known: set[int] = set()
         for batch in batches:
             for b in C.pieces(batch, "text"):
-                _, _, h, first = tokens(*buffers(b.column(1)))
+                nodes = b.column(1).to_pylist()
+                fresh = [k for k, x in enumerate(nodes) if x not in known and not known.add(x)]
+                b = b.take(pa.array(fresh, pa.int64()))
+                _, _, h, first = tokens(*buffers(b.column(0)))
                 s, begin = shingle_hashes(h, first, n)
                 fp = np.array([fingerprint(h[a:z]) for a, z in zip(first[:-1], first[1:])], np.uint64).view(np.int64)
-                mine = pa.array(fp == b.column(2).to_numpy())
+                mine = pa.array(fp == b.column(1).to_numpy())
                 sets = [np.unique(s[a:z]).tobytes() for a, z in zip(begin[:-1], begin[1:])]
-                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(sets, pa.binary())],
-                                                 ["node", "grp", "blocks", "copies", "shingles"]).filter(mine)
+                known.difference_update(x for x, ok in zip(b.column(1).to_pylist(), mine.to_pylist()) if not ok)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.binary())], [*b.schema.names[1:], "shingles"]).filter(mine)
+
+    src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"), text_print(text_col).alias("_print"))
+    rows = src.join(wanted, src["_id"].eqNullSafe(wanted["doc_id"]) & (src["_print"] == wanted["print"]))
+    return rows.select("text", "node", "copies", "units", "bands").mapInArrow(
+        run, f"node long, copies long, units {UNITS}, bands array<long>, shingles binary")
+
 
-    src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    rows = src.join(wanted, src["_id"].eqNullSafe(wanted["doc_id"])).select("_id", "text", "node", "grp", "blocks", "copies")
-    return rows.mapInArrow(run, "node long, grp long, blocks int, copies long, shingles binary")
+#: where a class is verified: a candidate group (band -1) or a bucket, and its blocks
+UNITS = "array<struct<grp: long, band: int, blocks: int>>"
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -177,6 +189,10 @@ def verify(table: pa.Table, threshold: float, i: int, j: int) -> pa.Table:
     block = np.array([t["block"][k] for k in ks])
     copies = np.array([t["copies"][k] for k in ks], np.int64)
     a = linked([np.frombuffer(t["shingles"][k], np.uint64) for k in ks], threshold) if ks else np.zeros((0, 0), bool)
+    if ks and t["band"][0] > 0:  # a pair counts in the first bucket that it shares
+        bands = np.array([t["bands"][k] for k in ks])
+        for k in range(t["band"][0]):
+            a &= bands[:, None, k] != bands[None, :, k]
     if i != j:
         a &= block[:, None] != block[None, :]
     label = np.arange(len(ks))
@@ -203,29 +219,44 @@ def components(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     sig = C.ckpt(signatures(docs, words, bands, rows, id_col, text_col))
     cols = [f"b{k}" for k in range(bands)]
     classes = C.ckpt(sig.where("n_words > 0").groupBy("node")
-                     .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in cols]))
+                     .agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("print", "doc_id"), F.min("print")).alias("print"),
+                          F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in cols]))
     band = classes.select("node", F.posexplode(F.array(*cols)).alias("band", "hash"))
     buckets = (band.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"))
-               .where("n > 1").drop("n"))
-    ties = band.join(buckets, ["band", "hash"]).where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+               .where("n > 1"))
+    shared = C.ckpt(band.join(buckets, ["band", "hash"]))
+    ties = shared.where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
     groups = C.min_label(ties)
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    wanted = (groups.join(sizes, "component").join(classes.select("node", "rep", "copies"), "node")
-              .select(F.col("rep").alias("doc_id"), "node", F.col("component").alias("grp"), "blocks", "copies"))
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    # pairs in the buckets of a group of several blocks, against all pairs of the group
+    wide = groups.join(sizes.where(F.col("size") > block), "component")
+    inside = shared.join(wide, "node").groupBy("component", "band", "hash").agg(F.count(F.lit(1)).alias("m"), F.first("size").alias("size"))
+    chained = (inside.groupBy("component").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"), F.first("size").alias("size"))
+               .where(F.col("pairs") < F.col("size").cast("double") * F.col("size")).select("component", F.lit(True).alias("chained")))
+    plan = C.ckpt(groups.join(sizes, "component").join(chained, "component", "left"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int").alias("blocks")
+    whole = plan.where("chained is null").select("node", F.col("component").alias("grp"), F.lit(-1).alias("band"), blocks("size"))
+    parts = (shared.join(plan.where("chained"), "node")
+             .select("node", F.xxhash64("band", "hash").alias("grp"), F.col("band").cast("int").alias("band"), blocks("n")))
+    units = whole.unionByName(parts).groupBy("node").agg(F.collect_list(F.struct("grp", "band", "blocks")).alias("units"))  # a bucket a band at most
+    bands_of = F.when(F.get("units", 0)["band"] >= 0, F.array(*cols)).alias("bands")
+    wanted = units.join(classes, "node").select(F.col("rep").alias("doc_id"), "print", "node", "copies", "units", bands_of)
     sets = set_rows(docs, wanted, words, id_col, text_col)
+    each = sets.select("node", "copies", "bands", "shingles", F.explode("units").alias("u")).select(
+        "node", "copies", "bands", "shingles", "u.grp", "u.band", "u.blocks")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = (sets.withColumn("block", mine)
+    placed = (each.withColumn("block", mine)
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      "block", "node", "copies", "shingles"))
+                      "block", "node", "copies", "band", "bands", "shingles"))
 
     def pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         return verify(t, threshold, key[1].as_py(), key[2].as_py())
 
     found = C.ckpt(placed.groupBy("grp", "i", "j").applyInArrow(pairs, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    whole = C.min_label(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    state = (classes.select("node", "rep", "copies").join(links, "node", "left").join(whole, "node", "left")
+    united = C.min_label(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    state = (classes.select("node", "rep", "copies").join(links, "node", "left").join(united, "node", "left")
              .select("node", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                      F.coalesce("component", "node").alias("component")))
     lowest = state.groupBy("component").agg(F.min("rep").alias("class_id"))
