@@ -90,7 +90,8 @@ def with_cuts(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     plan = C.ckpt(plan.select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                               .otherwise(0).cast("int").alias("whole")))
     n = plan.count()
-    state = plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("want"), F.lit("").alias("cut"))
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    state = plan.where(rest > 0).select("source", rest.alias("want"), F.lit("").alias("cut"))
     for _ in range(2):
         a, p = sizes.alias("a"), small(state, n).alias("p")
         inside = a.join(p, F.col("a.source").eqNullSafe(F.col("p.source")) & F.col("a.h").startswith(F.col("p.cut")))
@@ -111,9 +112,9 @@ def with_cuts(sizes: DataFrame, plan: DataFrame) -> DataFrame:
              .agg(F.coalesce(F.max(F.when(F.col("middle") <= F.col("want"), F.col("h"))), F.max("cut")).alias("cut")))
     q = plan.alias("q")
     f = found.alias("f")
-    # no crossing: the rest is the whole source ('g' is above every hex digit)
+    # no crossing: the rest is the whole source ('g' is above every hex digit); no rest: nothing, empty documents neither
     return C.ckpt(q.join(f, F.col("q.source").eqNullSafe(F.col("f.source")), "left")
-                  .select("q.*", F.coalesce("f.cut", F.lit("g")).alias("cut")))
+                  .select("q.*", F.when(rest > 0, F.coalesce("f.cut", F.lit("g"))).otherwise("").alias("cut")))
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source",

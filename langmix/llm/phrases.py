@@ -28,11 +28,13 @@ from langmix.llm import repeats as R
 WINDOW = 50
 GRAM = 8
 SHARD_WINDOWS = 20_000
+#: words of the pieces of one representative that one task compiles; more are dealt out by window
+HOT = 200_000
 
 
 def confirm(anchors: list[list[tuple]], kind: R.Kind) -> list[tuple[int, int, int, int]]:
-    """(key, rk, first, last) window starts that also occur under a smaller key.
-    anchors: for each representative its pieces (key, rk, lo, hi, words, alone)."""
+    """(key, u, first, last) window starts that also occur under a smaller key.
+    anchors: for each representative its pieces (key, u, lo, hi, words, alone)."""
     out, several = [], []
     for rows in anchors:
         least = min(r[0] for r in rows)
@@ -84,8 +86,8 @@ def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes],
     return words, kept + words[at:]
 
 
-def removed_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    return R.removed(rows, R.Kind(window, gram, of_words=True, within=False), confirm)
+def removed_ranges(rows: R.Keyed, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    return R.removed(rows, R.Kind(window, gram, of_words=True, within=False, hot=hot), confirm)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -93,7 +95,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = R.keyed(docs, id_col, text_col)
 
     def one(text: bytes, pairs: list[tuple[int, int]]) -> tuple:
-        return (b" ".join(kept_words(text, R.merged(pairs, window))[1]).decode(),)
+        return (b" ".join(kept_words(text, R.merged(pairs, window, len(text.split())))[1]).decode(),)
 
     return R.digest(rows, removed_ranges(rows, window), one, "doc_id long, text string")
 
@@ -102,7 +104,7 @@ def op7_phrase_dedup(spark, sf_dir):
     rows = R.keyed(C.table(spark, sf_dir, "documents"), "doc_id", "text")
 
     def one(text: bytes, pairs: list[tuple[int, int]]) -> tuple:
-        words, kept = kept_words(text, R.merged(pairs, WINDOW))
+        words, kept = kept_words(text, R.merged(pairs, WINDOW, len(text.split())))
         return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
     return R.digest(rows, removed_ranges(rows), one, DIGEST)

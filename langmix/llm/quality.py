@@ -187,8 +187,9 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label_col: st
                 yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([r.tobytes() for r in x], pa.binary())], ["_id", "_y", "x"])
 
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    got = (text.join(F.broadcast(sample), "_id").select("_id", "_y", "text")
-           .mapInArrow(run, "_id long, _y int, x binary").toArrow().to_pydict())
+    found = text.join(F.broadcast(sample), "_id").select("_id", "_y", "text").mapInArrow(run, "_id long, _y int, x binary")
+    # an id may stand at several texts: the bound holds for what is learned from
+    got = found.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id", F.xxhash64("x")).limit(max_rows).toArrow().to_pydict()
     order = sorted(range(len(got["_id"])), key=lambda k: (got["_id"][k] * 2654435761 % (1 << 32), got["_id"][k], got["x"][k]))
     x = np.frombuffer(b"".join(got["x"][k] for k in order)).reshape(-1, DIM + 2)
     return fit_network(x, np.array([got["_y"][k] for k in order], float))

@@ -13,12 +13,22 @@ with the same representative form a run.  The work then has three steps:
 3. An exact method (``decide``) compares the pieces that meet in a task and returns
    the window starts to remove.  Runs cover each window once, so nothing is missed
    and nothing is judged twice.
+4. Pieces stream by in the order of their representatives, and a task holds those of some
+   representatives, ``kind.hot`` units at most.  A representative with more of them (a
+   line that many documents share between other neighbours) is dealt out again: its
+   windows are keyed by a 128-bit digest of the whole window, and the earliest of each
+   digest is found by an aggregate.
 
-The texts themselves are shuffled by id once; all three steps read that shuffle.
+Documents that equal an earlier one are settled before by a 128-bit hash of the whole
+text: all their windows are repeats, and what repeats them repeats the earlier one.
+
+The texts themselves are shuffled once, by a hash of id and text, so that rows without
+an id spread like others; all steps read that shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,12 +43,14 @@ from langmix.llm.text import SPACE, buffers, byte_codes, grams, tokens
 #: the id of rows without one: after all others
 LAST = (1 << 63) - 1
 #: what keyed() returns; all steps read the same columns, so that they share one shuffle
-COLUMNS = ("doc_id", "key", "rk", "text")
-KEY, RK, TEXT, TOLD = 1, 2, 3, 4
+COLUMNS = ("doc_id", "key", "u", "text")
+KEY, U, TEXT, TOLD = 1, 2, 3, 4
 SLICE_UNITS = 1 << 20
 SLICE_BYTES = 4 << 20
 
-RANGES = "key long, rk long, ranges binary"
+RANGES = "u long, key long, ranges binary"
+#: the range of a document that equals an earlier one: all its windows
+ALL = (0, -1)
 
 
 @dataclass(frozen=True)
@@ -50,6 +62,8 @@ class Kind:
     of_words: bool
     #: a window that repeats within one document counts as a repeat
     within: bool
+    #: units of pieces of one representative that one task compares
+    hot: int
 
     @property
     def span(self) -> int:
@@ -127,17 +141,17 @@ def by_key(keys: np.ndarray, *cols: np.ndarray):
         yield keys[a], [c[a:z] for c in cols]
 
 
-ENTRY = "p int, key long, ids binary, hashes binary, starts binary, known binary"
-FOUND = "key long, starts binary"
+ENTRY = "p int, u long, ids binary, hashes binary, starts binary, known binary"
+FOUND = "u long, starts binary"
 
 
 def recurring(docs: DataFrame, kind: Kind, groups: int) -> DataFrame:
-    """(key, starts): starts of the runs of a document whose representative
+    """(u, starts): starts of the runs of a document whose representative
     occurs more than once anywhere (or, ``within``, in the run itself)."""
     def spread(batches):
         for batch in batches:
             for b in C.pieces(batch, "text", SLICE_BYTES):
-                ids = b.column(KEY).to_numpy()
+                ids = b.column(U).to_numpy()
                 h, first, _ = kind.units(b.column(TEXT))
                 t, lo, hi, v, alone = runs(h, first, kind)
                 _, at, count = np.unique(v, return_inverse=True, return_counts=True)
@@ -153,8 +167,8 @@ def recurring(docs: DataFrame, kind: Kind, groups: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         t = table.to_pydict()
-        rows = [(k, s) for k, s in zip(t["key"], t["starts"]) if k is not None]
-        mine = [i for i, k in enumerate(t["key"]) if k is None]
+        rows = [(k, s) for k, s in zip(t["u"], t["starts"]) if k is not None]
+        mine = [i for i, k in enumerate(t["u"]) if k is None]
         if mine:
             ids = np.concatenate([np.frombuffer(t["ids"][i], np.int64) for i in mine])
             v = np.concatenate([np.frombuffer(t["hashes"][i], np.uint64) for i in mine])
@@ -168,17 +182,17 @@ def recurring(docs: DataFrame, kind: Kind, groups: int) -> DataFrame:
     return docs.mapInArrow(spread, ENTRY).groupBy("p").applyInArrow(meet, FOUND)
 
 
-PIECE = "p int, a long, key long, rk long, lo int, hi int, piece binary, alone boolean, ranges binary"
+PIECE = "a long, key long, u long, lo int, hi int, piece binary, alone boolean, ranges binary"
 
 
-def candidate_pieces(docs: DataFrame, found: DataFrame, kind: Kind, groups: int) -> DataFrame:
+def candidate_pieces(docs: DataFrame, found: DataFrame, kind: Kind) -> DataFrame:
     """Text of the candidate runs, and ranges that are settled already."""
-    starts = found.groupBy("key").agg(F.collect_list("starts").alias("starts"))
+    starts = found.groupBy("u").agg(F.collect_list("starts").alias("starts"))
 
     def cut(batches):
         for batch in batches:
             for b in C.pieces(batch, "text", SLICE_BYTES):
-                key, rk = b.column(KEY).to_numpy(), b.column(RK).to_numpy()
+                key, u = b.column(KEY).to_numpy(), b.column(U).to_numpy()
                 told = [np.concatenate([np.frombuffer(x, np.int32) for x in s]) if s else np.zeros(0, np.int32)
                         for s in b.column(TOLD).to_pylist()]
                 h, first, content = kind.units(b.column(TEXT))
@@ -189,74 +203,172 @@ def candidate_pieces(docs: DataFrame, found: DataFrame, kind: Kind, groups: int)
                     x = slice(begin[d], begin[d + 1])
                     for j in np.flatnonzero(np.isin(lo[x], told[d])) + begin[d]:
                         same.setdefault(content(d, lo[j], hi[j] + kind.length), []).append(
-                            (int(key[d]), int(rk[d]), int(lo[j]), int(hi[j]), int(v[j]), bool(alone[j])))
+                            (int(key[d]), int(u[d]), int(lo[j]), int(hi[j]), int(v[j]), bool(alone[j])))
                 rows, settled = [], {}
                 for piece, at in same.items():
                     at = sorted(set(at))
                     for n, (k, r, a, z, value, solo) in enumerate(at):
                         if n == 0 or (not kind.within and k == at[0][0]):
-                            rows.append(((value >> 20) % groups, value - (1 << 64) if value >> 63 else value, k, r, a, z, piece, solo, None))
+                            rows.append((value - (1 << 64) if value >> 63 else value, k, r, a, z, piece, solo, None))
                         else:
                             settled.setdefault((k, r), []).append((a, z))
-                rows += [(k % groups, 0, k, r, 0, 0, None, None, np.array(x, np.int32).tobytes()) for (k, r), x in settled.items()]
+                rows += [(r, k, r, 0, 0, None, None, np.array(x, np.int32).tobytes()) for (k, r), x in settled.items()]
                 yield batch_of(rows, PIECE)
 
-    return docs.join(starts, "key").select(*COLUMNS, "starts").mapInArrow(cut, PIECE)
+    return docs.join(starts, "u").select(*COLUMNS, "starts").mapInArrow(cut, PIECE)
 
 
 Decide = Callable[[list[list[tuple]], Kind], list[tuple[int, int, int, int]]]
 
 
-def removed(docs: DataFrame, kind: Kind, decide: Decide) -> DataFrame:
-    """(key, rk, ranges): for each document, packed (first, last) window starts to
-    remove.  ``docs`` has key, rk and text, dealt out by key."""
-    groups = C.parts(docs.sparkSession)
-    pieces = candidate_pieces(docs, recurring(docs, kind, groups), kind, groups)
+SPREAD = "w binary, u long, key long, start int"
 
-    def meet(table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        rows, out = [], {}
-        by: dict[int, list] = {}
-        for i, piece in enumerate(t["piece"]):
-            if piece is None:
-                rows.append((t["key"][i], t["rk"][i], t["ranges"][i]))
-            else:
-                by.setdefault(t["a"][i], []).append((t["key"][i], t["rk"][i], t["lo"][i], t["hi"][i], piece, t["alone"][i]))
-        for k, r, a, z in decide(list(by.values()), kind):
-            out.setdefault((k, r), []).append((a, z))
-        rows += [(k, r, np.array(x, np.int32).tobytes()) for (k, r), x in out.items()]
-        return pa.Table.from_batches([batch_of(rows, RANGES)])
-
-    return pieces.groupBy("p").applyInArrow(meet, RANGES)
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key (null ids last), rk (of the text) and text, dealt out by key."""
+
+def removed(docs: Keyed, kind: Kind, decide: Decide) -> DataFrame:
+    """(u, key, ranges): for each document, packed (first, last) window starts to remove."""
+    fresh = docs.rows.join(docs.copies.select("u", F.lit(True).alias("copy")), "u", "left").where("copy is null").select(*COLUMNS)
+    pieces = candidate_pieces(fresh, recurring(fresh, kind, C.parts(fresh.sparkSession)), kind)
+    lined = pieces.repartition("a").sortWithinPartitions("a")
+
+    def meet(batches):
+        many, total, rows = [], 0, []
+
+        def decided() -> list[tuple]:
+            out: dict = {}
+            for k, r, a, z in decide(many, kind):
+                out.setdefault((r, k), []).append((a, z))
+            return [(*who, np.array(x, np.int32).tobytes()) for who, x in out.items()]
+
+        for hot, t in by_representative(batches, kind):
+            rows += [(u, k, r) for u, k, r in zip(*(t.column(c).to_pylist() for c in ("u", "key", "ranges"))) if r is not None]
+            if not hot:
+                held = [x for x in zip(*(t.column(c).to_pylist() for c in ("key", "u", "lo", "hi", "piece", "alone"))) if x[4] is not None]
+                if held:
+                    many.append(held)
+                    total += sum(x[3] - x[2] + kind.length for x in held)
+            if total >= kind.hot:
+                rows += decided()
+                many, total = [], 0
+            if len(rows) > 2000:
+                yield batch_of(rows, RANGES)
+                rows = []
+        yield batch_of(rows + (decided() if many else []), RANGES)
+
+    def spread(batches):
+        for hot, t in by_representative(batches, kind):
+            if hot:
+                for batch in t.to_batches(max_chunksize=200):
+                    rows = [w for x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "u", "lo", "hi", "piece"))) if x[4] is not None
+                            for w in windows(x, kind)]
+                    yield batch_of(rows, SPREAD)
+
+    everywhere = F.lit(np.array(ALL, np.int32).tobytes()).alias("ranges")
+    return (lined.mapInArrow(meet, RANGES).unionByName(repeated_windows(lined.mapInArrow(spread, SPREAD), kind))
+            .unionByName(docs.copies.select("u", "key", everywhere)))
+
+
+def by_representative(batches, kind: Kind):
+    """(hot, rows) of the pieces of one representative after the other, which come
+    sorted by it: a table of all of them, or, where they hold more than ``kind.hot``
+    units, tables of some of them at a time."""
+    held: list[pa.RecordBatch] = []
+    group, size, hot = None, 0, False
+
+    def units(b: pa.RecordBatch) -> int:
+        lo, hi = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("lo", "hi"))
+        return int((hi - lo + kind.length).sum())
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a = batch.column(0).to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
+        for x, y in zip(cut[:-1], cut[1:]):
+            if (held or hot) and a[x] != group:
+                if held:
+                    yield hot, pa.Table.from_batches(held)
+                held, size, hot = [], 0, False
+            group = a[x]
+            part = batch.slice(x, y - x)
+            held.append(part)
+            size += units(part)
+            hot |= size > kind.hot
+            if hot:
+                yield True, pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield hot, pa.Table.from_batches(held)
+
+
+def windows(piece: tuple, kind: Kind) -> list[tuple]:
+    """A row for each window of a piece, under a digest of the whole window."""
+    key, u, lo, hi, text = piece
+    if kind.of_words:
+        words = text.split(b" ")
+        each = (b" ".join(words[k:k + kind.length]) for k in range(hi - lo + 1))
+    else:
+        each = (text[k:k + kind.length] for k in range(hi - lo + 1))
+    return [(hashlib.blake2b(w, digest_size=16).digest(), u, key, lo + k) for k, w in enumerate(each)]
+
+
+def repeated_windows(spread: DataFrame, kind: Kind) -> DataFrame:
+    """Ranges of the windows (w, u, key, start) that occur earlier: under a smaller key, or
+    ``within``, at an earlier place of all."""
+    place = F.struct("key", "u", "start")
+    first = spread.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(
+        "first < last" if kind.within else "first.key < last.key").select("w", "first")
+    late = place > F.col("first") if kind.within else F.col("key") > F.col("first.key")
+    return spread.join(first, "w").where(late).select("u", "key", "start").mapInArrow(_packed, RANGES)
+
+
+def _packed(batches):
+    for b in batches:
+        starts = b.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array((s, s), np.int32).tobytes() for s in starts], pa.binary())],
+                                         ["u", "key", "ranges"])
+
+
+def equal_documents(docs: DataFrame) -> DataFrame:
+    """(u, key) of the documents whose whole text another one with a smaller key has."""
+    text = F.col("text")
+    hashes = docs.select("u", "key", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).where(F.length(text) > 0)
+    least = hashes.groupBy("a", "b").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most")
+    return hashes.join(least, ["a", "b"]).where("key > least").select("u", "key").distinct()
+
+
+@dataclass(frozen=True)
+class Keyed:
+    rows: DataFrame    #: COLUMNS, dealt out by u
+    copies: DataFrame  #: (u, key) of documents that equal an earlier one
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> Keyed:
+    """doc_id, key (null ids last), u (of key and text) and text, dealt out by u."""
     spark = docs.sparkSession
     C.prepare(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"),
-                       F.xxhash64(text).alias("rk"), text.alias("text"))
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.xxhash64(key, text).alias("u"), text.alias("text"))
+    return Keyed(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "u"), C.ckpt(equal_documents(rows)))
 
 
-def digest(docs: DataFrame, ranges: DataFrame, one: Callable[[bytes, list[tuple[int, int]]], tuple], ddl: str) -> DataFrame:
+def digest(docs: Keyed, ranges: DataFrame, one: Callable[[bytes, list[tuple[int, int]]], tuple], ddl: str) -> DataFrame:
     """A row for every document: ``one`` gets its text and the sorted ranges of
     removed window starts."""
-    told = ranges.groupBy("key").agg(F.collect_list(F.struct("rk", "ranges")).alias("told"))
+    told = ranges.groupBy("u").agg(F.collect_list(F.struct("key", "ranges")).alias("told"))
 
     def run(batches):
         for b in batches:
             rows = []
             buf, off = buffers(b.column(TEXT))
-            rks = b.column(RK).to_pylist()
+            keys = b.column(KEY).to_pylist()
             for k, (doc, found) in enumerate(zip(b.column(0).to_pylist(), b.column(TOLD).to_pylist())):
-                own = b"".join(f["ranges"] for f in found or [] if f["rk"] == rks[k])
+                own = b"".join(f["ranges"] for f in found or [] if f["key"] == keys[k])
                 pairs = np.frombuffer(own, np.int32).reshape(-1, 2)
                 rows.append((doc, *one(buf[off[k]:off[k + 1]].tobytes(), sorted(set(map(tuple, pairs.tolist()))))))
             yield batch_of(rows, ddl)
 
-    return docs.join(told, "key", "left").select(*COLUMNS, "told").mapInArrow(run, ddl)
+    return docs.rows.join(told, "u", "left").select(*COLUMNS, "told").mapInArrow(run, ddl)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
@@ -268,8 +380,11 @@ def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(cols, names)], [n for n, _ in names])
 
 
-def merged(pairs: list[tuple[int, int]], extra: int) -> list[tuple[int, int]]:
-    """Union of [a, z + extra) as sorted disjoint half-open ranges."""
+def merged(pairs: list[tuple[int, int]], extra: int, units: int) -> list[tuple[int, int]]:
+    """Union of [a, z + extra) as sorted disjoint half-open ranges of a text of so many
+    units; ``ALL`` stands for all of its windows."""
+    if ALL in pairs:
+        return [(0, units)] if units >= extra else []
     out: list[list[int]] = []
     for a, z in pairs:
         if out and a <= out[-1][1]:

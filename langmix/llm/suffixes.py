@@ -30,6 +30,8 @@ GRAM = 24
 #: symbols (a byte + 1, or the mark 0) packed in a sort key
 PACK, BITS = 7, 9
 SORT_BYTES = 2 << 20
+#: bytes of the pieces of one representative that one task sorts; more are dealt out by window
+HOT = 4 << 20
 
 
 def packed(t: np.ndarray) -> np.ndarray:
@@ -127,8 +129,8 @@ def common_prefixes(order: np.ndarray, keys: np.ndarray, most: int) -> np.ndarra
 
 
 def repeated(anchors: list[list[tuple]], kind: R.Kind) -> list[tuple[int, int, int, int]]:
-    """(key, rk, first, last) window starts whose string starts earlier as well.
-    anchors: for each representative its pieces (key, rk, lo, hi, bytes, alone)."""
+    """(key, u, first, last) window starts whose string starts earlier as well.
+    anchors: for each representative its pieces (key, u, lo, hi, bytes, alone)."""
     out, several = [], []
     for rows in anchors:
         rows = sorted(set(rows))
@@ -174,8 +176,8 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept) + text[at:]
 
 
-def removed_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    return R.removed(rows, R.Kind(length, gram, of_words=False, within=True), repeated)
+def removed_ranges(rows: R.Keyed, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    return R.removed(rows, R.Kind(length, gram, of_words=False, within=True, hot=hot), repeated)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -183,7 +185,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = R.keyed(docs, id_col, text_col)
 
     def one(text: bytes, pairs: list[tuple[int, int]]) -> tuple:
-        spans = R.merged(pairs, length)
+        spans = R.merged(pairs, length, len(text))
         return kept_bytes(text, spans), np.array(spans, np.int32).tobytes()
 
     return R.digest(rows, removed_ranges(rows, length), one, "doc_id long, kept binary, spans binary")
@@ -193,7 +195,7 @@ def op2_suffix_dedup(spark, sf_dir):
     rows = R.keyed(C.table(spark, sf_dir, "documents"), "doc_id", "text")
 
     def one(text: bytes, pairs: list[tuple[int, int]]) -> tuple:
-        spans = R.merged(pairs, LENGTH)
+        spans = R.merged(pairs, LENGTH, len(text))
         return (len(text), sum(z - a for a, z in spans), len(spans),
                 hashlib.sha256(kept_bytes(text, spans)).hexdigest())
 

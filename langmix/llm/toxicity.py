@@ -3,7 +3,7 @@
 The categories are 0/1 label columns in a given order.  Each has a linear
 (logistic) model over how often words, beginnings of words (for inflected and
 compound forms) and symbol runs occur in a text; the models of later categories
-also get the earlier categories' log odds.  In training these are out-of-fold
+also get the earlier categories' probabilities.  In training these are out-of-fold
 predictions, so a later model never sees an earlier one's answer for a row that
 it was fitted on.
 
@@ -125,13 +125,17 @@ class Chain:
             z = np.zeros(n)
             for slots, begin in kinds:
                 z += np.diff(np.concatenate([[0.0], np.cumsum(w[slots], dtype=np.float64)])[begin])
-            odds[:, k] = np.clip(z / unit + np.column_stack([odds[:, :k], np.ones(n)]) @ v, -30, 30)
-        return 1 / (1 + np.exp(-odds))
+            odds[:, k] = np.clip(z / unit + np.column_stack([sigmoid(odds[:, :k]), np.ones(n)]) @ v, -30, 30)
+        return sigmoid(odds)
+
+
+def sigmoid(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-odds))
 
 
 def fit_chain(idx: np.ndarray, val: np.ndarray, owner: np.ndarray, y: np.ndarray, names: tuple[str, ...],
               size: int, folds: int = FOLDS) -> tuple[list, list]:
-    """y: (texts x categories).  Each category's out-of-fold log odds become a
+    """y: (texts x categories).  Each category's out-of-fold probabilities become a
     feature of the later categories' models.  (weights, dense weights) by category."""
     n = len(y)
     fold = np.arange(n) % folds
@@ -149,7 +153,7 @@ def fit_chain(idx: np.ndarray, val: np.ndarray, owner: np.ndarray, y: np.ndarray
             w, v = logit_fit(idx[use], val[use], number[owner[use]], x[fold != f], y[fold != f, k], size)
             z = np.bincount(owner, w[idx] * val, n) + x @ v
             out[fold == f] = z[fold == f]
-        seen = np.column_stack([seen, np.clip(out, -30, 30)])
+        seen = np.column_stack([seen, sigmoid(np.clip(out, -30, 30))])
     return weights, dense
 
 
@@ -180,7 +184,9 @@ def learn(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = CATEGORIE
                     b.columns[:-1] + [pa.array(slots, pa.binary()), pa.array(values, pa.binary())],
                     [*b.schema.names[:-1], "slots", "values"])
 
-    got = rows.mapInArrow(run, "_id long, " + ", ".join(f"y_{c} int" for c in names) + ", slots binary, values binary").toArrow().to_pydict()
+    found = rows.mapInArrow(run, "_id long, " + ", ".join(f"y_{c} int" for c in names) + ", slots binary, values binary")
+    # an id may stand at several texts: the bound holds for what is learned from
+    got = found.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id", F.xxhash64("slots", "values")).limit(max_rows).toArrow().to_pydict()
     keys = sorted(range(len(got["_id"])), key=lambda k: (got["_id"][k], got["slots"][k]))
     y = np.array([[got[f"y_{c}"][k] for c in names] for k in keys], float).reshape(len(keys), len(names))
     idx = np.frombuffer(b"".join(got["slots"][k] for k in keys), np.int32)
@@ -197,8 +203,10 @@ def learn(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = CATEGORIE
 
 
 def with_scores(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
-    """``docs`` and a probability column (prefix + category) for each category."""
+    """``docs`` and a probability column (prefix + category) for each category, in
+    place of any column of that name."""
     C.prepare(docs.sparkSession)
+    docs = docs.drop(*[prefix + c for c in chain.names])
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     names = [prefix + c for c in chain.names]
 

@@ -49,6 +49,12 @@ def test_mix_reaches_its_targets(spark):
     assert M.mixed(df).columns == df.columns
 
 
+def test_empty_documents_are_not_taken_more_often(spark):
+    docs = [(k, "" if k % 2 else "w " * (k % 7 + 1), "en", "big" if k < 90 else "small") for k in range(100)]
+    times = X.rows_of(M.mixed(X.frame(spark, docs)).select("doc_id"))
+    assert max(times.values()) <= M.MAX_EPOCHS
+
+
 def test_mix_of_nothing(spark):
     assert M.mixed(X.empty(spark)).count() == 0
     only_empty = X.frame(spark, [(1, None, "en", "a"), (2, "", "en", None)])

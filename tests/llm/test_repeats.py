@@ -31,7 +31,7 @@ def test_suffix_order_and_prefixes(length):
 
 
 def test_runs_cover_each_window_once():
-    kind = repeats.Kind(20, 5, of_words=False, within=True)
+    kind = repeats.Kind(20, 5, of_words=False, within=True, hot=1000)
     rng = np.random.default_rng(3)
     h = rng.integers(0, 4, 500).astype(np.uint64)
     first = np.array([0, 0, 120, 139, 500])
@@ -58,13 +58,14 @@ def docs():
 
 def test_phrase_dedup_matches_brute_force(spark, docs):
     rows = repeats.keyed(X.frame(spark, docs), "doc_id", "text")
-    got = repeats.digest(rows, phrases.removed_ranges(rows), _phrase_digest, phrases.DIGEST)
-    assert X.rows_of(got) == X.phrase_dedup(docs)
+    for hot in (phrases.HOT, 150):  # also with most passages dealt out by window
+        got = repeats.digest(rows, phrases.removed_ranges(rows, hot=hot), _phrase_digest, phrases.DIGEST)
+        assert X.rows_of(got) == X.phrase_dedup(docs), hot
 
 
 def _phrase_digest(text, pairs):
     import hashlib
-    words, kept = phrases.kept_words(text, repeats.merged(pairs, 50))
+    words, kept = phrases.kept_words(text, repeats.merged(pairs, 50, len(text.split())))
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
@@ -72,11 +73,12 @@ def test_suffix_dedup_matches_brute_force(spark, docs):
     import hashlib
 
     def one(text, pairs):
-        spans = repeats.merged(pairs, 100)
+        spans = repeats.merged(pairs, 100, len(text))
         return len(text), sum(z - a for a, z in spans), len(spans), hashlib.sha256(suffixes.kept_bytes(text, spans)).hexdigest()
 
     rows = repeats.keyed(X.frame(spark, docs), "doc_id", "text")
-    assert X.rows_of(repeats.digest(rows, suffixes.removed_ranges(rows), one, suffixes.DIGEST)) == X.byte_dedup(docs)
+    for hot in (suffixes.HOT, 300):
+        assert X.rows_of(repeats.digest(rows, suffixes.removed_ranges(rows, hot=hot), one, suffixes.DIGEST)) == X.byte_dedup(docs), hot
 
 
 def test_operators_return_texts_and_spans(spark):
@@ -89,6 +91,26 @@ def test_operators_return_texts_and_spans(spark):
     assert np.frombuffer(out[2].spans, np.int32).tolist() == [4, 4 + len(text)]
 
 
+def test_boilerplate_line_between_different_neighbours(spark):
+    from pyspark.sql import functions as F
+    n = 30_000
+    own = lambda tag: F.concat_ws(" ", *[F.concat(F.lit(f"{tag}{k}x"), (F.col("doc_id") * 31 + k) % 999_983) for k in range(45)])
+    line = F.lit("this one line of twelve words stands in all of the documents")
+    docs = spark.range(n).select(F.col("id").alias("doc_id")).select("doc_id", F.concat_ws(" ", own("a"), line, own("b")).alias("text"))
+    again = docs.where("doc_id % 100 = 7").select((F.col("doc_id") + n).alias("doc_id"), F.concat(F.lit("new "), F.col("text"), F.lit(" end")).alias("text"))
+    out = phrases.substring_dedup(docs.unionByName(again))
+    cut = {r.doc_id: r.text for r in out.where(f"doc_id >= {n}").collect()}
+    assert len(cut) == n // 100 and set(cut.values()) == {"new end"}
+    assert out.where(f"doc_id < {n}").where(F.size(F.split("text", " ")) != 102).count() == 0
+
+
+def test_many_rows_without_id(spark):
+    from pyspark.sql import functions as F
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") % 9_000) for k in range(60)]).alias("text"))
+    out = phrases.substring_dedup(docs)
+    assert out.count() == 20_000 and out.where("text = ''").count() == 0
+
+
 def test_empty_tables(spark):
     assert phrases.substring_dedup(X.empty(spark)).count() == 0
     assert suffixes.substring_dedup(X.empty(spark)).count() == 0
