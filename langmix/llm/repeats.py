@@ -31,6 +31,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -226,8 +228,11 @@ SPREAD = "w binary, u long, key long, start int"
 
 def removed(docs: Keyed, kind: Kind, decide: Decide) -> DataFrame:
     """(u, key, ranges): for each document, packed (first, last) window starts to remove."""
-    fresh = docs.rows.join(docs.copies.select("u", F.lit(True).alias("copy")), "u", "left").where("copy is null").select(*COLUMNS)
-    pieces = candidate_pieces(fresh, recurring(fresh, kind, C.parts(fresh.sparkSession)), kind)
+    # the copies are the side that is hashed, so that texts are not sorted for this; an
+    # anti join would be moved before the shuffle of the texts, which all steps share
+    copies = docs.copies.select("u", F.lit(True).alias("copy")).hint("shuffle_hash")
+    fresh = docs.rows.join(copies, "u", "left").where("copy is null").select(*COLUMNS)
+    pieces = candidate_pieces(docs.rows, recurring(fresh, kind, C.parts(fresh.sparkSession)), kind)
     lined = pieces.repartition("a").sortWithinPartitions("a")
 
     def meet(batches):
@@ -239,63 +244,66 @@ def removed(docs: Keyed, kind: Kind, decide: Decide) -> DataFrame:
                 out.setdefault((r, k), []).append((a, z))
             return [(*who, np.array(x, np.int32).tobytes()) for who, x in out.items()]
 
-        for hot, t in by_representative(batches, kind):
-            rows += [(u, k, r) for u, k, r in zip(*(t.column(c).to_pylist() for c in ("u", "key", "ranges"))) if r is not None]
+        for hot, t in portions(batches, kind):
+            cols = [t[c].to_pylist() for c in ("a", "key", "u", "lo", "hi", "piece", "alone", "ranges")]
+            rows += [(u, key, r) for key, u, r in zip(cols[1], cols[2], cols[7]) if r is not None]
             if not hot:
-                held = [x for x in zip(*(t.column(c).to_pylist() for c in ("key", "u", "lo", "hi", "piece", "alone"))) if x[4] is not None]
-                if held:
-                    many.append(held)
-                    total += sum(x[3] - x[2] + kind.length for x in held)
-            if total >= kind.hot:
-                rows += decided()
-                many, total = [], 0
+                for _, each in groupby(zip(*cols[:7]), itemgetter(0)):
+                    held = [x[1:] for x in each if x[5] is not None]
+                    if held:
+                        many.append(held)
+                        total += sum(x[3] - x[2] for x in held) + len(held) * kind.length
+                        if total >= kind.hot:
+                            rows += decided()
+                            many, total = [], 0
             if len(rows) > 2000:
                 yield batch_of(rows, RANGES)
                 rows = []
         yield batch_of(rows + (decided() if many else []), RANGES)
 
     def spread(batches):
-        for hot, t in by_representative(batches, kind):
-            if hot:
-                for batch in t.to_batches(max_chunksize=200):
-                    rows = [w for x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "u", "lo", "hi", "piece"))) if x[4] is not None
-                            for w in windows(x, kind)]
-                    yield batch_of(rows, SPREAD)
+        for hot, t in portions(batches, kind):
+            for at in range(0, t.num_rows if hot else 0, 200):
+                part = zip(*(t[c].slice(at, 200).to_pylist() for c in ("key", "u", "lo", "hi", "piece")))
+                yield batch_of([w for x in part if x[4] is not None for w in windows(x, kind)], SPREAD)
 
     everywhere = F.lit(np.array(ALL, np.int32).tobytes()).alias("ranges")
     return (lined.mapInArrow(meet, RANGES).unionByName(repeated_windows(lined.mapInArrow(spread, SPREAD), kind))
             .unionByName(docs.copies.select("u", "key", everywhere)))
 
 
-def by_representative(batches, kind: Kind):
-    """(hot, rows) of the pieces of one representative after the other, which come
-    sorted by it: a table of all of them, or, where they hold more than ``kind.hot``
-    units, tables of some of them at a time."""
-    held: list[pa.RecordBatch] = []
-    group, size, hot = None, 0, False
-
-    def units(b: pa.RecordBatch) -> int:
-        lo, hi = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("lo", "hi"))
-        return int((hi - lo + kind.length).sum())
-
+def portions(batches, kind: Kind):
+    """(hot, rows) of pieces that come sorted by representative: whole representatives,
+    several at a time, or, where one holds more than ``kind.hot`` units, parts of it."""
+    group, held, size, hot = None, [], 0, False  # the last representative so far
     for batch in batches:
         if not batch.num_rows:
             continue
-        a = batch.column(0).to_numpy()
-        cut = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
-        for x, y in zip(cut[:-1], cut[1:]):
-            if (held or hot) and a[x] != group:
-                if held:
-                    yield hot, pa.Table.from_batches(held)
-                held, size, hot = [], 0, False
-            group = a[x]
-            part = batch.slice(x, y - x)
-            held.append(part)
-            size += units(part)
+        a, lo, hi = (batch[c].to_numpy() for c in ("a", "lo", "hi"))
+        cut = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
+        units = np.add.reduceat(hi.astype(np.int64) - lo + kind.length, cut[:-1])
+        at, last = 0, len(units) - 1
+        if group is not None and a[0] == group:
+            held.append(batch.slice(0, cut[1]))
+            size += int(units[0])
             hot |= size > kind.hot
-            if hot:
-                yield True, pa.Table.from_batches(held)
-                held = []
+            at = 1
+            if last == 0 and not hot:
+                continue
+        if held:
+            yield hot, pa.Table.from_batches(held)
+            held = []
+        if at > last:
+            continue
+        size, hot = 0, False
+        for k in [*(np.flatnonzero(units[at:last] > kind.hot) + at).tolist(), last]:
+            if k > at:
+                yield False, batch.slice(cut[at], cut[k] - cut[at])
+            if k < last:
+                yield True, batch.slice(cut[k], cut[k + 1] - cut[k])
+            at = k + 1
+        group, held, size = a[-1], [batch.slice(cut[last])], int(units[last])
+        hot = size > kind.hot
     if held:
         yield hot, pa.Table.from_batches(held)
 
@@ -316,7 +324,9 @@ def repeated_windows(spread: DataFrame, kind: Kind) -> DataFrame:
     ``within``, at an earlier place of all."""
     place = F.struct("key", "u", "start")
     first = spread.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(
-        "first < last" if kind.within else "first.key < last.key").select("w", "first")
+        "first < last" if kind.within else "first.key < last.key")
+    # under a name of its own both sides are shuffled for the join, which Spark splits where a window is hot
+    first = first.select(F.concat("w", F.lit(b"")).alias("w"), "first")
     late = place > F.col("first") if kind.within else F.col("key") > F.col("first.key")
     return spread.join(first, "w").where(late).select("u", "key", "start").mapInArrow(_packed, RANGES)
 
@@ -409,5 +419,7 @@ def chunks(groups: list[list[tuple]], size: Callable[[list[tuple]], int], most:
 
 def starts_to_ranges(flags: np.ndarray, base: int):
     """(first, last) of every run of set flags, counted from ``base``."""
-    edge = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
+    padded = np.zeros(len(flags) + 2, bool)
+    padded[1:-1] = flags
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
     return [(int(a) + base, int(z) - 1 + base) for a, z in zip(edge[::2], edge[1::2])]

@@ -29,7 +29,8 @@ LENGTH = 100
 GRAM = 24
 #: symbols (a byte + 1, or the mark 0) packed in a sort key
 PACK, BITS = 7, 9
-SORT_BYTES = 2 << 20
+#: bytes sorted together: few enough for a core's cache
+SORT_BYTES = 1 << 16
 #: bytes of the pieces of one representative that one task sorts; more are dealt out by window
 HOT = 4 << 20
 

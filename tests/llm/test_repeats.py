@@ -114,3 +114,30 @@ def test_many_rows_without_id(spark):
 def test_empty_tables(spark):
     assert phrases.substring_dedup(X.empty(spark)).count() == 0
     assert suffixes.substring_dedup(X.empty(spark)).count() == 0
+
+
+def test_portions_hold_whole_representatives():
+    import pyarrow as pa
+    kind = repeats.Kind(10, 3, of_words=True, within=False, hot=60)
+    rng = random.Random(2)
+    for _ in range(200):
+        a = sorted(rng.randrange(6) for _ in range(rng.randrange(40)))
+        rows = [(x, k, k, 0, rng.randrange(5), b"", True, None) for k, x in enumerate(a)]
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randrange(1, 12)
+            batches.append(repeats.batch_of(rows[at:at + n], repeats.PIECE))
+            at += n
+        units: dict[int, int] = {}
+        for r in rows:
+            units[r[0]] = units.get(r[0], 0) + r[4] + 10
+        seen, done = [], set()
+        for hot, t in repeats.portions(iter(batches), kind):
+            own = t["a"].to_pylist()
+            if hot:
+                assert set(own) == {own[0]} and units[own[0]] > 60
+            else:
+                assert all(units[x] <= 60 and x not in done for x in own)
+                done |= set(own)
+            seen += t["u"].to_pylist()
+        assert sorted(seen) == list(range(len(rows)))
