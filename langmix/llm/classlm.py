@@ -5,10 +5,13 @@
    counts to the words' partitions, whose totals come back to the block.  A word that
    is everywhere costs one entry per block.
 3. Exchange clustering: the ``OWN`` most frequent words are units of their own, all
-   others are tied by their endings, so that rare and unseen words have a class too.
-   One pass counts unit bigrams (a matrix of fixed size, summed block by block);
-   units are then moved, one after the other, to the class that most increases the
-   mutual information of adjacent classes, until no unit moves or after ``SWEEPS``.
+   others are tied by their endings at first.  One pass counts unit bigrams (a matrix
+   of fixed size, summed block by block); units are then moved, one after the other,
+   to the class that most increases the mutual information of adjacent classes, until
+   no unit moves or after ``SWEEPS``.  Then every other training word meets in its
+   partition with the classes before and after all its occurrences and moves to the
+   class that gains most by the same criterion.  Endings decide for unseen words alone:
+   the class where most training words of the ending are.
 4. The score of a text is the sum of log10 P(class | class before) P(word | class).
    Emissions use absolute discounting, and what it frees goes to the class's unknown
    words; transitions are smoothed with the classes' shares.  The end token also
@@ -102,6 +105,10 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return C.ckpt(rows.mapInArrow(run, BLOCK))
 
 
+#: what learning reads of a block
+COLS = ["block", "held", "sizes", "local", "words", "endings"]
+
+
 class Block:
     def __init__(self, row: dict):
         self.ids = row["ids"]
@@ -114,6 +121,10 @@ class Block:
     def training(self) -> np.ndarray:
         return np.repeat(~self.held, self.sizes)
 
+    def times(self) -> np.ndarray:
+        """How often each distinct word occurs in the block's training documents."""
+        return np.bincount(self.local[self.training()], minlength=len(self.words)).astype(np.uint32)
+
     def units(self, own: np.ndarray) -> np.ndarray:
         """The unit of each distinct word; ``own``: sorted hashes of the words
         that are units of their own (number 0 is the end token)."""
@@ -124,89 +135,77 @@ class Block:
         return unit
 
 
-COUNTS = "block long, p int, counts binary, top_words binary, top_counts binary, top_endings binary, types array<bigint>, sums array<bigint>"
+def _deal(words: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words by partition: (their order, where each partition's begin)."""
+    p = (words >> np.uint64(24)) % np.uint64(groups)
+    order = np.argsort(p, kind="stable")
+    return order, np.searchsorted(p[order], np.arange(groups + 1, dtype=np.uint64))
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """Written once.  Rows with a block: the training counts of its words of
-    partition p, in order.  Rows without: what partition p found (most frequent
-    words, distinct words by ending, [tokens, types, types seen once, twice])."""
+def word_totals(blocks: DataFrame) -> DataFrame:
+    """Written once: what each partition of the words found (its most frequent words,
+    [tokens, types, types seen once, twice]) in training documents."""
     groups = C.parts(blocks.sparkSession)
 
     def send(batches):
         for batch in batches:
-            for row in batch.select(["block", "held", "sizes", "local", "words", "endings"]).to_pylist():
+            for row in batch.to_pylist():
                 b = Block({**row, "ids": None})
-                n = np.bincount(b.local[b.training()], minlength=len(b.words)).astype(np.uint32)
-                p = (b.words >> np.uint64(24)) % np.uint64(groups)
-                order = np.argsort(p, kind="stable")
-                cut = np.searchsorted(p[order], np.arange(groups + 1, dtype=np.uint64))
+                n = b.times()
+                order, cut = _deal(b.words, groups)
                 rows = [(k, order[a:z]) for k, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
                 yield pa.RecordBatch.from_pydict({
-                    "p": pa.array([k for k, _ in rows], pa.int32()), "block": pa.array([row["block"]] * len(rows), pa.int64()),
+                    "p": pa.array([k for k, _ in rows], pa.int32()),
                     "words": pa.array([b.words[o].tobytes() for _, o in rows], pa.binary()),
-                    "counts": pa.array([_pack(n[o]) for _, o in rows], pa.binary()),
-                    "endings": pa.array([_pack(b.endings[o]) for _, o in rows], pa.binary())})
-
-    def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        p, d = key[0].as_py(), t.to_pydict()
-        w = [np.frombuffer(x, np.uint64) for x in d["words"]]
-        words, at = np.unique(np.concatenate(w), return_inverse=True)
-        n = np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in d["counts"]]), len(words)).astype(np.int64)
-        ending = np.zeros(len(words), np.int64)
-        ending[at] = np.concatenate([_unpack(x, np.uint16) for x in d["endings"]])
-        cut = np.concatenate([[0], np.cumsum([len(x) for x in w])])
+                    "counts": pa.array([_pack(n[o]) for _, o in rows], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        words, at = np.unique(np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64), return_inverse=True)
+        n = np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in t.column("counts").to_pylist()]), len(words)).astype(np.int64)
         top = np.lexsort((words, -n))[:OWN + 1]
         top = top[(n[top] > 0) & (words[top] != END)]
-        seen = (n > 0) & (words != END)
-        sums = [n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum()]
-        out = {"block": list(d["block"]) + [None], "p": [p] * (len(w) + 1),
-               "counts": [_pack(n[at[a:z]]) for a, z in zip(cut[:-1], cut[1:])] + [None],
-               "top_words": [None] * len(w) + [words[top].tobytes()], "top_counts": [None] * len(w) + [n[top].tobytes()],
-               "top_endings": [None] * len(w) + [ending[top].tobytes()],
-               "types": [None] * len(w) + [np.bincount(ending[seen], minlength=ENDINGS).tolist()],
-               "sums": [None] * len(w) + [[int(x) for x in sums]]}
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.table([pa.array(out[c], k) for c, k in zip(out, kinds)], names=list(out))
-
-    sent = blocks.mapInArrow(send, "p int, block long, words binary, counts binary, endings binary")
-    return C.ckpt(sent.groupBy("p").applyInArrow(add, COUNTS))
-
-
-def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes of the OWN - 1 most frequent words, their endings)."""
+        return pa.table({"words": [words[top].tobytes()], "counts": [n[top].tobytes()],
+                         "sums": pa.array([[int(n.sum()), int((n > 0).sum()), int((n == 1).sum()), int((n == 2).sum())]], pa.list_(pa.int64()))})
+
+    sent = blocks.select(*COLS).mapInArrow(send, "p int, words binary, counts binary")
+    return C.ckpt(sent.groupBy("p").applyInArrow(add, "words binary, counts binary, sums array<bigint>"))
+
+
+def frequent(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of the OWN - 1 most frequent words, their counts)."""
     def flat(batches):
-        best = np.zeros((3, 0), np.int64)  # of all partitions that this task reads
+        best = np.zeros((2, 0), np.int64)  # of all partitions that this task reads
         for b in batches:
             rows = np.stack([np.frombuffer(b"".join(c.to_pylist()), np.int64) for c in b.columns])
             best = np.concatenate([best, rows], axis=1)
             best = best[:, np.lexsort((best[0], -best[1]))[:OWN - 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["word", "n", "ending"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["word", "n"])
 
-    top = (counts.where("block is null").select("top_words", "top_counts", "top_endings")
-           .mapInArrow(flat, "word long, n long, ending long").orderBy(F.desc("n"), "word").limit(OWN - 1).collect())
+    top = (totals.select("words", "counts").mapInArrow(flat, "word long, n long")
+           .orderBy(F.desc("n"), "word").limit(OWN - 1).collect())
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
-    return words[order], np.array([r["ending"] for r in top], np.int64)[order]
+    return words[order], np.array([r["n"] for r in top], np.int64)[order]
 
 
-def corpus_sums(counts: DataFrame) -> tuple[int, int, int, int, np.ndarray]:
-    """(tokens, types, types seen once, types seen twice, types by ending) of the
-    training documents.  Every task sums what it reads, before and after a shuffle;
-    at most ROW_BLOCKS rows of a fixed size reach the driver."""
+def corpus_sums(totals: DataFrame) -> tuple[int, int, int, int]:
+    """(tokens, types, types seen once, types seen twice) of the training documents."""
+    r = totals.agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(4)]).first()
+    return tuple(map(int, r))
+
+
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of packed rows (m) of ``size`` counts.  Every task sums what it reads, before
+    and after a shuffle; at most ROW_BLOCKS rows of a fixed size reach the driver."""
     def add(batches):
-        total = np.zeros(4 + ENDINGS, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
-            for sums, kinds in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total += np.array([*sums, *kinds], np.int64)
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([total[:4].tolist()], pa.list_(pa.int64())),
-                                          "types": pa.array([total[4:].tolist()], pa.list_(pa.int64()))})
+            for m in b.column(0).to_pylist():
+                total += _unpack(m, np.int64)
+        yield pa.RecordBatch.from_pydict({"m": [_pack(total)]})
 
-    ddl = "sums array<bigint>, types array<bigint>"
-    rows = (counts.where("block is null").select("sums", "types").mapInArrow(add, ddl)
-            .repartition(ROW_BLOCKS).mapInArrow(add, ddl).collect())
-    total = sum((np.array([*r["sums"], *r["types"]], np.int64) for r in rows), np.zeros(4 + ENDINGS, np.int64))
-    return (*map(int, total[:4]), total[4:].astype(float))
+    got = rows.select("m").mapInArrow(add, "m binary").repartition(ROW_BLOCKS).mapInArrow(add, "m binary").collect()
+    return sum((_unpack(r["m"], np.int64) for r in got), np.zeros(size, np.int64))
 
 
 def bigrams(blocks: DataFrame, own: np.ndarray) -> np.ndarray:
@@ -234,21 +233,21 @@ def bigrams(blocks: DataFrame, own: np.ndarray) -> np.ndarray:
                 sums[k] = sums[k] + x if k in sums else x
         yield pa.RecordBatch.from_pydict({"k": pa.array(sums, pa.int32()), "m": pa.array([_pack(x) for x in sums.values()], pa.binary())})
 
-    cols = ["block", "held", "sizes", "local", "words", "endings"]
     # a matrix of fixed size: ROW_BLOCKS rows
-    rows = blocks.select(*cols).mapInArrow(run, "k int, m binary").repartition(ROW_BLOCKS, "k").mapInArrow(add, "k int, m binary").collect()
+    rows = blocks.select(*COLS).mapInArrow(run, "k int, m binary").repartition(ROW_BLOCKS, "k").mapInArrow(add, "k int, m binary").collect()
     out = np.zeros((ROW_BLOCKS, size // ROW_BLOCKS))
     for r in rows:
         out[r["k"]] += _unpack(r["m"], np.int64)
     return out.reshape(UNITS, UNITS)
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
+
+
 def exchange(b: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit.  Every unit, the most frequent first, moves to the class
     with the largest sum of N log N over class bigrams less that over the classes."""
-    def xlogx(x):
-        return x * np.log(np.maximum(x, 1e-12))
-
     units = len(b)
     often = b.sum(axis=1) + b.sum(axis=0)
     order = np.argsort(-often, kind="stable")
@@ -269,7 +268,7 @@ def exchange(b: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
             n[a] -= r
             n[:, a] -= l
             n[a, a] -= own
-            rows, cols, f = n.sum(axis=1), n.sum(axis=0), xlogx(n)
+            rows, cols, f = n.sum(axis=1) + l, n.sum(axis=0) + r, xlogx(n)
             gain = (xlogx(n + r[None, :]) - f).sum(axis=1) + (xlogx(n + l[:, None]) - f).sum(axis=0)
             d = np.diag(n)
             gain += xlogx(d + r + l + own) - xlogx(d + r) - xlogx(d + l) + xlogx(d)
@@ -292,10 +291,162 @@ def exchange(b: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     return cls
 
 
+def best_classes(n: np.ndarray, r: np.ndarray, l: np.ndarray, own: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Where ``exchange`` would move each word on its own, all others left in place.
+    ``n``: class bigrams; for each word the counts of the classes after (r) and before
+    it (l) without itself, how often it follows itself (own), and its class now (a)."""
+    w, classes = r.shape
+    each = np.arange(w)
+    gain = np.zeros((w, classes))
+    for j in range(classes):
+        for mine, other, cells in ((r, l, n[:, j]), (l, r, n[j])):
+            at = np.flatnonzero(mine[:, j])
+            c, k = mine[at, j], a[at]
+            # the word's occurrences leave its class first
+            x = cells[None, :] - np.where((k == j)[:, None], other[at], 0.0)
+            x[np.arange(len(at)), k] = cells[k] - c - np.where(k == j, other[at, j] + own[at], 0.0)
+            gain[at] += xlogx(x + c[:, None]) - xlogx(x)
+    d = np.repeat(np.diag(n)[None, :], w, axis=0)
+    d[each, a] -= r[each, a] + l[each, a] + own
+    # sums of rows and columns, which hold the word on the other side of its bigrams anyway
+    after, before = r.sum(axis=1) + own, l.sum(axis=1) + own
+    rows, cols = np.repeat(n.sum(axis=1)[None, :], w, axis=0), np.repeat(n.sum(axis=0)[None, :], w, axis=0)
+    rows[each, a] -= after
+    cols[each, a] -= before
+    gain += xlogx(d + r + l + own[:, None]) - xlogx(d + r) - xlogx(d + l) + xlogx(d)
+    gain -= xlogx(rows + after[:, None]) - xlogx(rows) + xlogx(cols + before[:, None]) - xlogx(cols)
+    k = gain.argmax(axis=1)
+    return np.where(gain[each, k] <= gain[each, a] + 1e-9, a, k)
+
+
+SLOTS = 2 * CLASSES + 1
+UNSEEN = 255
+WORDS = 1 << 13
+
+
+def contexts(b: Block, own: np.ndarray, cls: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, counts): for each tied word of the block, at its ``rank``, the classes
+    after it, before it, and itself after itself, in training documents."""
+    units = b.units(own)
+    tied = (units >= OWN)[b.local]
+    c = cls[units][b.local]
+    first = np.zeros(len(c), bool)
+    first[np.concatenate([[0], np.cumsum(b.sizes)[:-1]])] = True
+    ok = b.training()
+    at = rank[b.local].astype(np.int64) * SLOTS
+    before = np.where(first, cls[0], np.concatenate([cls[:1], c[:-1]]))
+    follows = ok[1:] & ~first[1:] & tied[:-1]
+    same = follows & (b.local[1:] == b.local[:-1])
+    cells = np.concatenate([(at[:-1] + c[1:])[follows], (at + CLASSES + before)[ok & tied], (at[:-1] + 2 * CLASSES)[same]])
+    return np.unique(cells, return_counts=True)
+
+
+def word_classes(blocks: DataFrame, own: np.ndarray, cls: np.ndarray, n: np.ndarray) -> DataFrame:
+    """Written once.  Rows with a block: the training counts and the classes of its
+    words of partition p, in order (UNSEEN: of none yet).  Rows without: the types of
+    partition p by ending and class, words that are units of their own apart."""
+    groups = C.parts(blocks.sparkSession)
+    sent = blocks.sparkSession.sparkContext.broadcast((own, cls, n))
+
+    def send(batches):
+        own, cls, _ = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block({**row, "ids": None})
+                times = b.times()
+                order, cut = _deal(b.words, groups)
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                cells, count = contexts(b, own, cls, rank)
+                edge = np.searchsorted(cells, cut * SLOTS)
+                for k in np.flatnonzero(np.diff(cut)):
+                    o, some = order[cut[k]:cut[k + 1]], slice(edge[k], edge[k + 1])
+                    step = np.diff(cells[some], prepend=cut[k] * SLOTS)
+                    yield pa.RecordBatch.from_pydict({
+                        "p": pa.array([k], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "words": [b.words[o].tobytes()],
+                        "times": [_pack(times[o])], "endings": [_pack(b.endings[o])],
+                        "steps": [_pack(step.astype(np.uint32))], "counts": [_pack(count[some].astype(np.uint32))]})
+
+    def choose(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        own, cls, n = sent.value
+        rows = t.num_rows
+        part = [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
+        words, at = np.unique(np.concatenate(part), return_inverse=True)
+        at = np.split(at.astype(np.int32), np.cumsum([len(x) for x in part])[:-1])
+        times, ending = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for x, w, e in zip(at, t.column("times").to_pylist(), t.column("endings").to_pylist()):
+            times[x] += _unpack(w, np.uint32)
+            ending[x] = _unpack(e, np.uint16)
+        # cells of all blocks, word by word
+        cells = [_spread(x, _unpack(s, np.uint32)) for x, s in zip(at, t.column("steps").to_pylist())]
+        count = [_unpack(c, np.uint32) for c in t.column("counts").to_pylist()]
+        cells, count = np.concatenate(cells), np.concatenate(count)
+        order = np.argsort(cells, kind="stable")
+        cells, count = cells[order], count[order]
+        out = np.full(len(words), UNSEEN, np.uint8)
+        for lo in range(0, len(words), WORDS):
+            hi = min(lo + WORDS, len(words))
+            a, z = np.searchsorted(cells, [lo * SLOTS, hi * SLOTS])
+            m = np.bincount(cells[a:z] - lo * SLOTS, count[a:z], (hi - lo) * SLOTS).reshape(hi - lo, SLOTS)
+            now = cls[OWN + ending[lo:hi]]
+            r, l, self = m[:, :CLASSES], m[:, CLASSES:2 * CLASSES], m[:, 2 * CLASSES]
+            has = np.flatnonzero(r.sum(axis=1))
+            r, l, self, now = r[has], l[has], self[has], now[has]
+            r[np.arange(len(has)), now] -= self
+            l[np.arange(len(has)), now] -= self
+            out[lo + has] = best_classes(n, r, l, self, now)
+        tied = out != UNSEEN
+        kinds = np.bincount(ending[tied] * CLASSES + out[tied], minlength=ENDINGS * CLASSES).astype(np.int64)
+        at_own = np.minimum(np.searchsorted(own, words), max(len(own) - 1, 0))
+        mine = own[at_own] == words if len(own) else np.zeros(len(words), bool)
+        out[mine] = cls[at_own[mine] + 1]
+        out[words == END] = cls[0]
+        return pa.table({"block": pa.array([*t.column("block").to_pylist(), None], pa.int64()),
+                         "p": pa.array([key[0].as_py()] * (rows + 1), pa.int32()),
+                         "times": pa.array([*[_pack(times[x]) for x in at], None], pa.binary()),
+                         "classes": pa.array([*[_pack(out[x]) for x in at], None], pa.binary()),
+                         "m": pa.array([None] * rows + [_pack(kinds)], pa.binary())})
+
+    rows = blocks.select(*COLS).mapInArrow(send, "p int, block long, words binary, times binary, endings binary, steps binary, counts binary")
+    return C.ckpt(rows.groupBy("p").applyInArrow(choose, "block long, p int, times binary, classes binary, m binary"))
+
+
+def _spread(at: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Cells of a block's words as cells of the partition's (``at``: their places)."""
+    cell = np.cumsum(steps.astype(np.int64))
+    return at[cell // SLOTS].astype(np.int64) * SLOTS + cell % SLOTS
+
+
+STATES = "ids array<bigint>, held binary, sizes binary, classes binary, known binary, base binary, emits binary, m binary"
+
+
+def block_states(b: Block, times: np.ndarray, cls: np.ndarray, sums: tuple[int, int], discount: float) -> dict:
+    """Of a block: the class of every token (64 more: unknown word), per document the
+    known words, base score and the emissions' part that is the word's own, and the
+    bigrams of classes in training documents.  ``cls[0]`` is the end's class."""
+    docs = len(b.sizes)
+    owner = np.repeat(np.arange(docs), b.sizes)
+    seen = times > 0
+    base = np.bincount(owner, np.log10(times + 1.0)[b.local], docs) - b.sizes * np.log10(sum(sums) + 1.0)
+    emits = np.bincount(owner, np.where(seen, np.log10(np.maximum(times, 1) - discount), 0.0)[b.local], docs)
+    c = cls[b.local]
+    before = _before(c, b.sizes, int(cls[b.words == END][0]))
+    ok = b.training()
+    n = np.bincount(before[ok] * CLASSES + c[ok], minlength=CLASSES * CLASSES)
+    return {"ids": b.ids, "held": b.held.tobytes(), "sizes": _pack(b.sizes), "classes": _pack((c + CLASSES * ~seen[b.local]).astype(np.uint8)),
+            "known": _pack(np.bincount(owner, seen[b.local], docs).astype(np.int64)), "base": _pack(base), "emits": _pack(emits),
+            "m": _pack(n.astype(np.int64))}
+
+
+def _before(c: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    out = np.concatenate([[end], c[:-1]])
+    out[np.cumsum(sizes)[:-1]] = end
+    return out
+
+
 @dataclass
 class Model:
-    own: np.ndarray
-    cls: np.ndarray  # of each unit
+    end: int  # class of the end token
     step: np.ndarray  # log10 P(class | class before)
     inside: np.ndarray  # log10 of 1 / tokens of a class
     unknown: np.ndarray  # log10 P(an unknown word | class)
@@ -304,75 +455,90 @@ class Model:
     types: int
 
 
-def fit(blocks: DataFrame, counts: DataFrame) -> Model:
-    own, endings = frequent(counts)
-    total, types, once, twice, by_ending = corpus_sums(counts)
+def class_model(n: np.ndarray, kinds: np.ndarray, end: int, sums: tuple[int, int], discount: float) -> Model:
+    """``n``: class bigrams, ``kinds``: training types of each class."""
+    size = n.sum(axis=0)
+    share = size / max(1, sums[0])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        step = np.log10((n + PRIOR * share[None, :]) / (n.sum(axis=1, keepdims=True) + PRIOR))
+        inside = -np.log10(size)
+        unknown = np.log10(discount * kinds / size)
+    return Model(end, step, inside, unknown, discount, *sums)
+
+
+@dataclass
+class Fitted:
+    states: DataFrame
+    words: DataFrame
+    model: Model
+    own: np.ndarray
+    units: np.ndarray  # class of each unit
+    endings: np.ndarray  # class of an unseen word of each ending
+
+
+def fit(blocks: DataFrame) -> Fitted:
+    totals = word_totals(blocks)
+    own, _ = frequent(totals)
+    tokens, types, once, twice = corpus_sums(totals)
+    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
     b = bigrams(blocks, own)
     cls = exchange(b)
-    seen = b.sum(axis=0)
-    # words that are units of their own are not among their ending's tied words
-    kinds = np.concatenate([[1], np.ones(len(own)), np.zeros(OWN - 1 - len(own)), by_ending])
-    kinds[OWN:] -= np.bincount(endings, minlength=ENDINGS)
-    if total:
-        cls[seen == 0] = np.bincount(cls, kinds * (seen > 0), CLASSES).argmax()
     one = np.eye(CLASSES)[cls]
-    n = one.T @ b @ one
-    size, kinds_of = n.sum(axis=0), one.T @ kinds
-    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
-    share = size / max(1, total)
-    before = n.sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        step = np.log10((n + PRIOR * share[None, :]) / (before + PRIOR))
-        inside = -np.log10(size)
-        unknown = np.log10(discount * kinds_of / size)
-    return Model(own, cls, step, inside, unknown, discount, total, types)
+    words = word_classes(blocks, own, cls, one.T @ b @ one)
+    by_ending = summed(words.where("block is null"), ENDINGS * CLASSES).reshape(ENDINGS, CLASSES)
+    kinds = by_ending.sum(axis=0) + np.bincount(cls[:len(own) + 1], minlength=CLASSES)
+    endings = np.where(by_ending.any(axis=1), by_ending.argmax(axis=1), kinds.argmax())
+    states = token_states(blocks, words, endings, (tokens, types), discount)
+    n = summed(states, CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(float)
+    return Fitted(states, words, class_model(n, kinds, int(cls[0]), (tokens, types), discount), own, cls, endings)
 
 
-SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-          "base_score double, score double")
+def token_states(blocks: DataFrame, words: DataFrame, endings: np.ndarray, sums: tuple[int, int], discount: float) -> DataFrame:
+    """Written once: the ``block_states`` of every block."""
+    groups = C.parts(blocks.sparkSession)
+    schema = pa.schema([("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("held", "sizes", "classes", "known", "base", "emits", "m")]])
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts, out = {r["p"]: r for r in right.to_pylist()}, []
+        for row in left.to_pylist():
+            b = Block(row)
+            order, _ = _deal(b.words, groups)
+            times, cls = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            times[order] = np.concatenate([_unpack(parts[k]["times"], np.int64) for k in sorted(parts)])
+            cls[order] = np.concatenate([_unpack(parts[k]["classes"], np.uint8) for k in sorted(parts)])
+            out.append(block_states(b, times, np.where(cls == UNSEEN, endings[b.endings], cls), sums, discount))
+        return pa.Table.from_pylist(out, schema)
 
-def score_block(b: Block, count: np.ndarray, m: Model) -> pa.Table:
-    """``count``: the training count of each distinct word of the block."""
-    docs = len(b.sizes)
-    stop = np.cumsum(b.sizes)
-    owner = np.repeat(np.arange(docs), b.sizes)
-    n = count[b.local]
-    base = np.bincount(owner, np.log10(count + 1.0)[b.local], docs) - b.sizes * np.log10(m.tokens + m.types + 1.0)
-    score = np.zeros(docs)
-    if m.tokens:
-        c = m.cls[b.units(m.own)]
-        seen = count > 0
-        emit = np.where(seen, np.log10(np.maximum(count, 1) - m.discount) + m.inside[c], m.unknown[c])
-        seq = c[b.local]
-        before = np.concatenate([m.cls[:1], seq[:-1]])
-        before[stop[:-1]] = m.cls[0]
-        score = np.bincount(owner, m.step[before, seq] + emit[b.local], docs)
-    return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.held), "n_tokens": pa.array(b.sizes),
-                     "n_known": pa.array(np.bincount(owner, n > 0, docs).astype(np.int64)),
-                     "train_tokens": pa.array(np.full(docs, m.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+    back = words.where("block is not null").select("block", "p", "times", "classes")
+    return C.ckpt(blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, STATES))
+
+
+SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+          "base_score double, score double")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10);
     a text's perplexity is 10 ** (-score / n_tokens)."""
-    groups = C.parts(docs.sparkSession)
-    blocks = token_blocks(docs, id_col, text_col)
-    counts = word_counts(blocks)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(blocks, counts))
+    fitted = fit(token_blocks(docs, id_col, text_col))
+    m = fitted.model
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts, out = {r["p"]: _unpack(r["counts"], np.int64) for r in right.to_pylist()}, []
-        for row in left.to_pylist():
-            b = Block(row)
-            p = (b.words >> np.uint64(24)) % np.uint64(groups)
-            count = np.zeros(len(b.words), np.int64)
-            count[np.argsort(p, kind="stable")] = np.concatenate([parts[k] for k in sorted(parts)])
-            out.append(score_block(b, count, sent.value))
-        return pa.concat_tables(out)
-
-    back = counts.where("block is not null").select("block", "p", "counts")
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, SCORES)
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = _unpack(row["sizes"], np.int64)
+                state = _unpack(row["classes"], np.uint8).astype(np.int64)
+                c, seen = state % CLASSES, state < CLASSES
+                score = np.zeros(len(sizes))
+                if m.tokens:
+                    each = m.step[_before(c, sizes, m.end), c] + np.where(seen, m.inside[c], m.unknown[c])
+                    score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes)) + _unpack(row["emits"], float)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(np.frombuffer(row["held"], bool)), "n_tokens": pa.array(sizes),
+                    "n_known": pa.array(_unpack(row["known"], np.int64)), "train_tokens": pa.array(np.full(len(sizes), m.tokens, np.int64)),
+                    "base_score": pa.array(_unpack(row["base"], float)), "score": pa.array(score)})
+
+    return fitted.states.drop("m").mapInArrow(run, SCORES)
 
 
 def op6_class_lm(spark, sf_dir):

@@ -137,25 +137,101 @@ def test_scores_match_plain_counts(spark):
     assert all(math.isfinite(r.score) and r.score <= 1e-9 for r in got)
 
 
-def test_class_model_is_a_distribution(spark):
-    docs = X.frame(spark, X.documents())
-    blocks = L.token_blocks(docs)
-    m = L.fit(blocks, L.word_counts(blocks))
-    used = np.isfinite(m.inside)
-    assert np.allclose((10 ** m.step[:, used]).sum(axis=1), 1)
-    counts: dict[int, tuple] = {}
+def test_classes_and_scores_match_plain_counts(spark):
+    """Every training word's class, chosen by trying all, and the score of each text."""
+    docs = [r for r in X.documents() if r[1] is None or len(r[1]) < 3000]
+    blocks = L.token_blocks(X.frame(spark, docs))
+    f = L.fit(blocks)
+    m, n = f.model, 0
+    texts, ending, times = [], {}, Counter()
+    for row in blocks.toArrow().to_pylist():
+        b = L.Block(row)
+        ending.update(zip(b.words.tolist(), b.endings.tolist()))
+        for k, ids in enumerate(b.ids):
+            at = int(b.sizes[:k].sum())
+            texts.append((ids, bool(b.held[k]), b.words[b.local[at:at + b.sizes[k]]].tolist()))
+    end, own = int(L.END), {w: k + 1 for k, w in enumerate(f.own.tolist())}
+    unit = {w: 0 if w == end else own.get(w, L.OWN + ending[w]) for w in ending}
+    pairs = Counter((a, b) for _, held, t in texts if not held for a, b in zip([end, *t], t))
+    for (a, b), k in pairs.items():
+        times[b] += k
+    first = {w: int(f.units[u]) for w, u in unit.items()}
+
+    def information(cls):
+        n = np.zeros((L.CLASSES, L.CLASSES))
+        for (a, b), k in pairs.items():
+            n[cls[a], cls[b]] += k
+        return L.xlogx(n).sum() - L.xlogx(n.sum(axis=0)).sum() - L.xlogx(n.sum(axis=1)).sum()
+
+    got = {}
     for row in blocks.toArrow().to_pylist():
         b = L.Block(row)
-        n = np.bincount(b.local[b.training()], minlength=len(b.words))
-        for w, c, k in zip(b.words.tolist(), n.tolist(), m.cls[b.units(m.own)].tolist()):
-            counts[w] = (counts.get(w, (0, k))[0] + c, k)
+        order, _ = L._deal(b.words, L.C.parts(spark))
+        mine = f.words.where(f"block = {row['block']}").orderBy("p").collect()
+        k = np.concatenate([L._unpack(r.classes, np.uint8) for r in mine])
+        got.update(zip(b.words[order].tolist(), k.tolist()))
+    tied = [w for w in ending if times[w] and unit[w] >= L.OWN]
+    assert all((got[w] == L.UNSEEN) == (not times[w]) for w in ending)
+    assert all(got[w] == first[w] for w in ending if times[w] and unit[w] < L.OWN)
+    for w in sorted(tied)[::max(1, len(tied) // 15)]:
+        tries = [information({**first, w: k}) for k in range(L.CLASSES)]
+        assert tries[got[w]] >= max(tries) - 1e-6
+    # the model from plain counts
+    by_ending = Counter((ending[w], got[w]) for w in tied)
+    kinds = Counter(got[w] for w in ending if times[w])
+    usual = min(k for k in kinds if kinds[k] == max(kinds.values()))
+    def unseen(e):
+        return min((-by_ending[e, k], k) for k in range(L.CLASSES))[1] if any((e, k) in by_ending for k in range(L.CLASSES)) else usual
+    cls = {w: got[w] if times[w] else unseen(ending[w]) for w in ending}
+    n, size, before, total = Counter(), Counter(), Counter(), sum(times.values())
+    for (a, b), k in pairs.items():
+        n[cls[a], cls[b]] += k
+        size[cls[b]] += k
+        before[cls[a]] += k
+    want = Counter()
+    for d, held, t in texts:
+        s = 0.0
+        for a, b in zip([end, *t], t):
+            i, j = cls[a], cls[b]
+            s += math.log10((n[i, j] + L.PRIOR * size[j] / total) / (before[i] + L.PRIOR))
+            s += math.log10((times[b] - m.discount if times[b] else m.discount * kinds[j]) / size[j])
+        want[d, held, len(t), round(s, 4)] += 1
+    scored = L.scores(X.frame(spark, docs)).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, round(r.score, 4)) for r in scored) == want
+    # transitions and emissions sum to one
+    used = np.isfinite(m.inside)
+    assert np.allclose((10 ** m.step[:, used]).sum(axis=1), 1)
     mass = np.where(used, 10 ** m.unknown, 0.0)
-    for c, k in counts.values():
-        if c:
-            mass[k] += (c - m.discount) * 10 ** m.inside[k]
+    for w in ending:
+        if times[w]:
+            mass[cls[w]] += (times[w] - m.discount) * 10 ** m.inside[cls[w]]
     assert np.allclose(mass[used], 1)
 
 
+def test_best_classes_follow_the_exchange():
+    """Moves of single words, each tried in full; words that follow themselves too."""
+    rng = np.random.default_rng(4)
+    b = rng.poisson(0.7, (30, 30)).astype(float)
+    cls = rng.integers(0, 5, 30)
+
+    def matrix(c):
+        return np.eye(5)[c].T @ b @ np.eye(5)[c]
+
+    def information(c):
+        n = matrix(c)
+        return L.xlogx(n).sum() - L.xlogx(n.sum(axis=0)).sum() - L.xlogx(n.sum(axis=1)).sum()
+
+    one, own = np.eye(5)[cls], np.diag(b)
+    r, l = b @ one, b.T @ one
+    r[np.arange(30), cls] -= own
+    l[np.arange(30), cls] -= own
+    got = L.best_classes(matrix(cls), r, l, own, cls)
+    for u in range(30):
+        tries = [information(np.where(np.arange(30) == u, k, cls)) for k in range(5)]
+        assert tries[got[u]] >= max(tries) - 1e-6
+    assert (got != cls).any()
+
+
 def test_exchange_raises_mutual_information():
     rng = np.random.default_rng(0)
     kind = rng.integers(0, 3, 60)
