@@ -3,7 +3,9 @@
 Equal vectors become one class.  In each pass every class gets a key of
 concatenated random hashes (signs of random projections); classes are ordered by
 key and each is compared with at least the ``BLOCK`` classes before and after it.
-Links of all passes are united; tasks return spanning forests, not pairs.
+Keys travel with a vector of one byte a component and the exact length of its
+rounding error, so that a window keeps every pair that may reach the threshold.
+Such pairs of all passes are united; tasks return spanning forests, not pairs.
 
 The number of passes follows from the number of classes, so that a pair at the
 threshold meets with probability ``RECALL`` in an even background (``passes_for``).
@@ -12,9 +14,9 @@ therefore notes the shortest prefix whose run fits a window; classes whose prefi
 were too long for the wanted recall go on among themselves, in further passes or,
 where that moves fewer rows, in all pairs of blocks.
 
-A window bounds a pass, not the result: every component of linked classes is then
-verified completely, in pairs of blocks, so a group larger than any window loses no
-link between its members.
+A window bounds a pass, not the result: every component of such pairs is then
+verified completely with the whole vectors, in pairs of blocks, so a group larger than
+any window loses no link between its members; components of verified links remain.
 
 ``n_links`` counts rows: copies of the vector itself and all rows of linked
 classes.  Cosines are computed in double precision.  Vectors that are null, empty or
@@ -79,11 +81,40 @@ def classes_of(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame
     return rows.select("vec_id", "node"), classes
 
 
-KEYED = "pass int, dim int, code long, node long, raw binary"
+#: more than float32 sums of bytes and the lengths in float32 can be off
+SLACK = 1e-4
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes for unit vectors: components as int8, their unit, the error's length."""
+    unit = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+    q = np.clip(np.rint(x / unit[:, None].astype(np.float64)), -127, 127).astype(np.int8)
+    error = np.linalg.norm(x - q * unit[:, None].astype(np.float64), axis=1).astype(np.float32)
+    return np.concatenate([q.view(np.uint8), np.stack([unit, error], axis=1).view(np.uint8)], axis=1)
+
+
+def possible(raw: list[bytes], sort: np.ndarray, first: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): pairs of one ``sort`` whose cosine may reach the threshold, i among the
+    ``first`` rows."""
+    found = []
+    for k in np.unique(sort[:first]):
+        mine = np.flatnonzero(sort == k)
+        rows = np.frombuffer(b"".join([raw[i] for i in mine]), np.uint8).reshape(len(mine), -1)
+        q = np.ascontiguousarray(rows[:, :-8]).view(np.int8).astype(np.float32)
+        unit, error = np.ascontiguousarray(rows[:, -8:]).view(np.float32).T
+        m = int((mine < first).sum())
+        # |xy - x'y'| <= |x - x'| |y| + |x'| |y - y'|
+        cos = (q[:m] * unit[:m, None]) @ (q * unit[:, None]).T
+        i, j = np.nonzero(cos >= (threshold - SLACK - error[:m, None]) - (1 + error[:m, None]) * error[None, :])
+        found.append((mine[i[i != j]], mine[j[i != j]]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+KEYED = "sort long, code long, node long, raw binary"
 
 
 def keyed(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """A row per class and pass with its key."""
+    """A row per class and pass with its key; ``sort``: pass and dimensions."""
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for b in batches:
@@ -99,23 +130,24 @@ def keyed(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
                     planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((dim, passes * bits))
                 x = _unit([raw[i] for i in mine], flat.dtype.str)
                 ids = node.take(pa.array(mine))
-                blobs = pa.array([raw[i] for i in mine], pa.binary())
+                blobs = pa.array([r.tobytes() for r in rounded(x)], pa.binary())
                 for p in range(passes):
                     sign = x @ planes[dim][:, p * bits:(p + 1) * bits] > 0
                     code = sign @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(mine), p, np.int32)), pa.array(np.full(len(mine), dim, np.int32)),
-                         pa.array(code), ids, blobs], ["pass", "dim", "code", "node", "raw"])
+                        [pa.array(np.full(len(mine), p << 32 | int(dim), np.int64)), pa.array(code), ids, blobs],
+                        ["sort", "code", "node", "raw"])
 
     return classes.select("node", "v").mapInArrow(run, KEYED)
 
 
-def forest(link: np.ndarray) -> np.ndarray:
-    """The smallest index reachable by links, for every row of a boolean matrix."""
-    label = np.arange(len(link))
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of n rows reachable by the links (i, j), for every row."""
+    label = np.arange(n)
     while True:
-        near = np.where(link, label[None, :], len(link)).min(axis=1, initial=len(link))
-        new = np.minimum(label, near)
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
         new = new[new]
         if (new == label).all():
             return label
@@ -157,12 +189,11 @@ def depths(code: np.ndarray, sort: np.ndarray, own: np.ndarray, block: int, bits
 
 
 def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, block: int, seed: int, known: int) -> DataFrame:
-    """(u, v, pass, depth): spanning links found by the passes, and for a class u
+    """(u, v, pass, depth): spanning pairs that may be links, of all passes, and for a class u
     (v null) a prefix longer than ``known`` that it needed in a pass."""
     spark = classes.sparkSession
-    kind = _kind(classes)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = ["pass", "dim", "code", "node"]
+    order = ["sort", "code", "node"]
     ranked = C.ckpt(keyed(classes, passes, bits, seed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
                     .select("*", F.monotonically_increasing_id().alias("place")))
     # rows before each partition, one number per partition
@@ -173,25 +204,24 @@ def window_links(classes: DataFrame, threshold: float, passes: int, bits: int, b
         before.append(total)
         total += sizes.get(p, 0)
     first = F.get(F.array(*[F.lit(b).cast("long") for b in before or [0]]), part.cast("int"))
-    placed = (ranked.withColumn("at", first + row).withColumn("own", F.floor(F.col("at") / block))
-              .withColumn("b", F.explode(F.array(F.col("own"), F.col("own") - 1))))
+    own = F.floor(F.col("at") / block)
+    placed = ranked.withColumn("at", first + row).withColumn("b", F.explode(F.array(own, own - 1)))
 
     def compare(t: pa.Table) -> pa.Table:
-        d = t.sort_by("at").to_pydict()
-        cos = _cosines(d["raw"], np.array(d["dim"]), kind)
-        p, own = np.array(d["pass"]), np.array(d["own"]) == np.array(d["b"])
+        t = t.sort_by("at")
+        sort, code, node = (t.column(c).to_numpy() for c in ("sort", "code", "node"))
+        own = t.column("at").to_numpy() // block == t.column("b").to_numpy()
         # pairs of the following block are left to its own task
-        link = (cos >= threshold) & (p[:, None] == p[None, :]) & (own[:, None] | own[None, :])
-        root, node = forest(link), np.array(d["node"], np.int64)
+        root = forest(len(node), *possible(t.column("raw").to_pylist(), sort, int(own.sum()), threshold))
         has = root != np.arange(len(root))
-        deep = depths(np.array(d["code"], np.int64), p.astype(np.int64) << 32 | np.array(d["dim"]), own, block, bits)
+        deep = depths(code, sort, own, block, bits)
         tell = deep > known
         return pa.table({"u": np.concatenate([node[has], node[tell]]),
                          "v": pa.array([*node[root[has]].tolist(), *[None] * int(tell.sum())], pa.int64()),
-                         "pass": np.concatenate([np.zeros(has.sum(), np.int32), p[tell].astype(np.int32)]),
+                         "pass": np.concatenate([np.zeros(has.sum(), np.int32), (sort[tell] >> 32).astype(np.int32)]),
                          "depth": np.concatenate([np.zeros(has.sum(), np.int64), deep[tell]])}, schema=FOUND)
 
-    return (placed.select("b", "own", "at", "pass", "dim", "code", "node", "raw").groupBy("b")
+    return (placed.select("b", "at", "sort", "code", "node", "raw").groupBy("b")
             .applyInArrow(compare, "u long, v long, pass int, depth long"))
 
 
@@ -207,7 +237,8 @@ def block_links(classes: DataFrame, threshold: float, blocks: int) -> DataFrame:
 
     def compare(t: pa.Table) -> pa.Table:
         lists, node = t.column("v").to_pylist(), t.column("node").to_numpy()
-        root = forest(_cosines([np.array(x, kind).tobytes() for x in lists], np.array([len(x) for x in lists]), kind) >= threshold)
+        link = _cosines([np.array(x, kind).tobytes() for x in lists], np.array([len(x) for x in lists]), kind) >= threshold
+        root = forest(len(link), *np.nonzero(link))
         has = root != np.arange(len(root))
         return pa.table({"u": node[has], "v": node[root[has]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
@@ -249,7 +280,8 @@ def spanning_links(classes: DataFrame, threshold: float, passes: int, bits: int,
 
 
 def complete(classes: DataFrame, groups: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, links): rows linked to each class within its component, exactly."""
+    """(node, links, root): rows linked to each class within its component, exactly,
+    in pairs of blocks, and a spanning forest of these links."""
     kind = _kind(classes)
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rows = groups.join(sizes, "component").join(classes, "node")
@@ -266,11 +298,10 @@ def complete(classes: DataFrame, groups: DataFrame, threshold: float, block: int
         link = _cosines([np.array(x, kind).tobytes() for x in lists], np.array([len(x) for x in lists]), kind) >= threshold
         if i != j:
             link &= b[:, None] != b[None, :]
-        return pa.table({"node": d["node"], "links": link @ np.array(d["copies"], np.int64)},
-                        schema=pa.schema([("node", pa.int64()), ("links", pa.int64())]))
+        node = np.array(d["node"], np.int64)
+        return pa.table({"node": node, "links": link @ np.array(d["copies"], np.int64), "root": node[forest(len(node), *np.nonzero(link))]})
 
-    return (placed.groupBy("component", "i", "j").applyInArrow(count, "node long, links long")
-            .groupBy("node").agg(F.sum("links").alias("links")))
+    return C.ckpt(placed.groupBy("component", "i", "j").applyInArrow(count, "node long, links long, root long"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS,
@@ -280,7 +311,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     C.prepare(vectors.sparkSession)
     rows, classes = classes_of(vectors, id_col, vec_col)
     groups = C.min_label(spanning_links(classes, threshold, passes, bits, block, seed, recall))
-    links = complete(classes, groups, threshold, block)
+    found = complete(classes, groups, threshold, block)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = C.min_label(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     state = (classes.select("node", "rep", "copies").join(links, "node", "left").join(groups, "node", "left")
              .select("node", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                      F.coalesce("component", "node").alias("component")))

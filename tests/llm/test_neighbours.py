@@ -57,6 +57,23 @@ def test_passes_grow_with_the_table():
         assert 1 - (1 - p ** np.log2(n / N.BLOCK)) ** N.passes_for(n) >= N.RECALL
 
 
+def test_rounded_vectors_keep_every_link():
+    """Pairs on both sides of the threshold: none above it is lost, few below it stay."""
+    rng = np.random.default_rng(8)
+    for dim in (2, 16, 64, 700):
+        a = rng.standard_normal((150, dim)) * rng.exponential(1, (1, dim))
+        side = rng.standard_normal((150, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        side -= (side * a).sum(axis=1, keepdims=True) * a
+        cos = 0.9 + rng.uniform(-0.03, 0.03, (150, 1))
+        x = np.concatenate([a, cos * a + np.sqrt(1 - cos ** 2) * side / np.linalg.norm(side, axis=1, keepdims=True)])
+        sort = np.repeat([5, 5, 9], 100)
+        got = set(zip(*map(np.ndarray.tolist, N.possible([r.tobytes() for r in N.rounded(x)], sort, 250, 0.9))))
+        same = (sort[:, None] == sort[None, :]) & ~np.eye(300, dtype=bool)
+        same[250:] = False
+        assert set(zip(*np.nonzero(same & (x @ x.T >= 0.9)))) <= got <= set(zip(*np.nonzero(same & (x @ x.T >= 0.85))))
+
+
 def test_depths():
     rng = np.random.default_rng(3)
     code = np.sort(rng.integers(0, 1 << 10, 200))
