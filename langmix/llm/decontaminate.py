@@ -8,7 +8,10 @@ with the other terms' lists, each shifted by the term's place in the phrase;
 proximity matches follow the lists with a bounded number of foreign words.
 
 Segments are independent, so no list of a common word is ever shuffled or
-gathered; the query set is sent to all segments in blocks of ``BLOCK_WORDS``.
+gathered; the query set is sent to all segments in blocks of about ``BLOCK_WORDS``
+words, one after the other.  A block holds each word once, windows are cut from it
+in the task; long items are cut into pieces that overlap by a window less a word.
+What a block finds is written before the next one is sent.
 
 Words are ``[0-9a-z]`` and non-ASCII runs after lower-casing A-Z.  Null texts have
 no words; empty tables, repeated rows and null ids are kept as they come (a row
@@ -19,10 +22,12 @@ items without words are ignored.  Other columns of the inputs are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,13 +99,12 @@ class Segment:
     def listing(self, t: int) -> np.ndarray:
         return self.posts[self.ends[t - 1] if t else 0:self.ends[t]]
 
-    def known(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which rows of a (phrases x terms) hash matrix can occur, and their term numbers."""
-        if not len(self.terms) or not len(phrases):
-            return np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
-        at = np.minimum(np.searchsorted(self.terms, phrases), len(self.terms) - 1)
-        rows = np.flatnonzero((self.terms[at] == phrases).all(axis=1))
-        return rows, at[rows]
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The term numbers of word hashes, -1 for words that do not occur."""
+        if not len(self.terms):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        return np.where(self.terms[at] == words, at, -1)
 
     def phrase(self, t: np.ndarray) -> np.ndarray:
         """Starts of the exact phrase of term numbers ``t``."""
@@ -129,78 +133,99 @@ class Segment:
         return starts[ok], ends[ok] + 1
 
 
-def windows_of(items: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(item, words, block): an item's windows packed as a list of term hashes;
-    an item of fewer words than ``width``, but not none, is one window."""
+def item_pieces(items: DataFrame, width: int, id_col: str, text_col: str, most_words: int) -> DataFrame:
+    """(item, terms): an item's words as packed hashes, cut so that every window lies
+    in one piece of at most ``most_words`` windows."""
     def run(batches):
-        for b in batches:
-            _, _, h, first = tokens(*buffers(b.column(1)), PUNCT, fold_case=True)
-            yield pa.RecordBatch.from_pydict({
-                "item": b.column(0).cast(pa.string()),
-                "terms": pa.array([h[a:z].tobytes() for a, z in zip(first[:-1], first[1:])], pa.binary())})
+        for batch in batches:
+            for b in C.pieces(batch, "text"):
+                _, _, h, first = tokens(*buffers(b.column(1)), PUNCT, fold_case=True)
+                ids = b.column(0).to_pylist()
+                rows = [(i, h[s:min(s + most_words + width - 1, z)].tobytes()) for i, a, z in zip(ids, first[:-1], first[1:])
+                        for s in range(a, max(z - width + 1, min(a + 1, z)), most_words)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())],
+                                                 ["item", "terms"])
 
-    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "item string, terms binary").where("octet_length(terms) > 0").distinct()
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "item string, terms binary").distinct()
 
 
 def query_blocks(items: DataFrame, width: int, id_col: str, text_col: str, block_words: int = BLOCK_WORDS):
-    """The query set as lists of (item, terms), each of about ``block_words`` words."""
-    w = C.ckpt(windows_of(items, width, id_col, text_col)
-               .withColumn("_w", (F.octet_length("terms") / 8).cast("long")))
-    total = w.agg(F.sum("_w")).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
+    """The query set as lists of rows (item, terms), each of about ``block_words`` words."""
+    spark = items.sparkSession
+    pieces = C.ckpt(item_pieces(items, width, id_col, text_col, max(1, block_words // 8)))
+    total = pieces.agg(F.sum(F.octet_length("terms"))).first()[0] or 0
+    blocks = max(1, -(-total // (8 * block_words)))
+    if blocks == 1:
+        yield pieces.collect()
+        return
+    folder = f"{spark.sparkContext.getCheckpointDir()}/items-{uuid.uuid4()}"  # a block is read without the others
+    (pieces.withColumn("block", F.pmod(F.xxhash64("item", "terms"), F.lit(blocks)))
+     .repartition("block").write.partitionBy("block").parquet(folder))
     for b in range(blocks):
-        yield [(r["item"], np.frombuffer(r["terms"], np.uint64)) for r in
-               w.where(F.pmod(F.xxhash64("item", "terms"), F.lit(blocks)) == b).collect()]
-
-
-def matrices(block, width: int) -> list[tuple[np.ndarray, np.ndarray, list]]:
-    """[(phrase matrix, its items' numbers, items)], one for each phrase length."""
-    by: dict[int, list] = {}
-    names = sorted({i or "" for i, _ in block})
-    number = {n: k for k, n in enumerate(names)}
-    for item, terms in block:
-        n = min(width, len(terms))
-        m = np.lib.stride_tricks.sliding_window_view(terms, n)
-        by.setdefault(n, []).append((m, np.full(len(m), number[item or ""])))
-    return [(np.concatenate([m for m, _ in v]), np.concatenate([k for _, k in v]), names) for v in by.values()]
+        yield spark.read.parquet(folder).where(F.col("block") == b).select("item", "terms").collect()
+
+
+@dataclass
+class Query:
+    """A block of the query set: the words of its pieces, one after the other, and for
+    each window length where windows begin and whose they are."""
+    words: np.ndarray
+    windows: list[tuple[int, np.ndarray, np.ndarray]]
+    names: list[str]
+
+    @staticmethod
+    def of(block, width: int) -> Query:
+        names = sorted({r["item"] for r in block})
+        number = {n: k for k, n in enumerate(names)}
+        by, at = {}, 0
+        for r in block:
+            n = len(r["terms"]) // 8
+            w = min(width, n)
+            by.setdefault(w, []).append((at + np.arange(n - w + 1), np.full(n - w + 1, number[r["item"]])))
+            at += n
+        return Query(np.frombuffer(b"".join(r["terms"] for r in block), np.uint64),
+                     [(w, *(np.concatenate(x) for x in zip(*v))) for w, v in sorted(by.items())], names)
+
+    def possible(self, seg: Segment):
+        """(term numbers, item's number) of windows all of whose words occur in the segment."""
+        t = seg.numbers(self.words)
+        known = np.append(0, np.cumsum(t >= 0))
+        for w, start, item in self.windows:
+            for k in np.flatnonzero(known[start + w] - known[start] == w):
+                yield t[start[k]:start[k] + w], item[k]
 
 
 OUT = ("seg long, row int, doc_id long, n_words long, hits binary, items array<string>")
 
 
-def search(index: DataFrame, block, width: int) -> DataFrame:
-    """For every document: its words, the covered ones (packed start/end pairs)
-    and the items found, for one block of the query set."""
-    sent = index.sparkSession.sparkContext.broadcast(matrices(block, width))
-
+def search(index: DataFrame, query: Broadcast, all_rows: bool = True) -> DataFrame:
+    """For every document (or those with a hit): its words, the covered ones (packed
+    start/end pairs) and the items found, for one block of the query set."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                seg = Segment(row)
+                seg, names = Segment(row), query.value.names
                 n, found = len(seg.ids), []
                 cover = np.zeros(int(seg.first[-1]) + 1, np.int32)
-                for phrases, item, _ in sent.value:
-                    width_ = phrases.shape[1]
-                    rows, t = seg.known(phrases)
-                    for r, terms in zip(rows, t):
-                        at = seg.phrase(terms)
-                        if len(at):
-                            np.add.at(cover, at, 1)
-                            np.add.at(cover, at + width_, -1)
-                            found.append(np.stack([seg.owner(at), np.full(len(at), item[r])]))
+                for t, item in query.value.possible(seg):
+                    at = seg.phrase(t)
+                    if len(at):
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + len(t), -1)
+                        found.append(np.unique(np.stack([seg.owner(at), np.full(len(at), item)]), axis=1))
                 hit = np.cumsum(cover[:-1]) > 0
-                names = sent.value[0][2] if sent.value else []
                 items: list[list] = [[] for _ in range(n)]
                 if found:
                     for d, i in np.unique(np.concatenate(found, axis=1), axis=1).T:
                         items[d].append(names[i])
-                hits = [np.flatnonzero(np.diff(hit[a:z].view(np.int8), prepend=0, append=0)).astype(np.int32).tobytes()
-                        for a, z in zip(seg.first[:-1], seg.first[1:])]
+                out = [d for d in range(n) if all_rows or items[d]]
+                hits = [np.flatnonzero(np.diff(hit[seg.first[d]:seg.first[d + 1]].view(np.int8), prepend=0, append=0))
+                        .astype(np.int32).tobytes() for d in out]
                 yield pa.RecordBatch.from_pydict({
-                    "seg": pa.array([row["seg"]] * n, pa.int64()), "row": pa.array(range(n), pa.int32()),
-                    "doc_id": pa.array(seg.ids, pa.int64()), "n_words": pa.array(np.diff(seg.first)),
-                    "hits": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))})
+                    "seg": pa.array([row["seg"]] * len(out), pa.int64()), "row": pa.array(out, pa.int32()),
+                    "doc_id": pa.array([seg.ids[d] for d in out], pa.int64()), "n_words": pa.array(np.diff(seg.first)[out], pa.int64()),
+                    "hits": pa.array(hits, pa.binary()), "items": pa.array([items[d] for d in out], pa.list_(pa.string()))})
 
     return index.mapInArrow(run, OUT)
 
@@ -236,12 +261,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id
     """Per document: n_words, n_hit (words inside any occurrence of a window of
     ``width`` item words), n_items, items_sha256 and contaminated (n_hit > 0)."""
     index = build_index(docs, id_col, text_col)
-    found = [search(index, block, width) for block in query_blocks(benchmark, width, item_col, item_text, block_words)]
-    if len(found) == 1:
-        return found[0].mapInArrow(lambda it: (digest_batch(b) for b in it), DIGEST)
-    both = found[0]
-    for f in found[1:]:
-        both = both.unionByName(f)
+    context, both, waiting = docs.sparkSession.sparkContext, None, None
+    for block in query_blocks(benchmark, width, item_col, item_text, block_words):
+        if waiting:
+            part = C.ckpt(search(index, waiting, all_rows=both is None))
+            waiting.destroy()
+            both = part if both is None else both.unionByName(part)
+        waiting = context.broadcast(Query.of(block, width))
+    last = search(index, waiting, all_rows=both is None)
+    if both is None:
+        return last.mapInArrow(lambda it: (digest_batch(b) for b in it), DIGEST)
+    both = both.unionByName(last)
 
     def whole(t: pa.Table) -> pa.Table:
         b = t.combine_chunks().to_batches()
@@ -265,12 +295,12 @@ def phrase_matches(index: DataFrame, phrases: list[tuple[str, str]], slop: int =
             for row in batch.to_pylist():
                 seg, out = Segment(row), []
                 for name, h in queries:
-                    rows, t = seg.known(h[None, :])
-                    if len(rows):
+                    t = seg.numbers(h)
+                    if (t >= 0).all():
                         if slop:
-                            s, e = seg.near(t[0], slop)
+                            s, e = seg.near(t, slop)
                         else:
-                            s = seg.phrase(t[0])
+                            s = seg.phrase(t)
                             e = s + len(h)
                         d = seg.owner(s)
                         out += [(seg.ids[k], name, int(a - seg.first[k]), int(z - seg.first[k])) for k, a, z in zip(d, s, e)]
