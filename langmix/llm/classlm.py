@@ -222,22 +222,15 @@ def bigrams(blocks: DataFrame, own: np.ndarray) -> np.ndarray:
                 before = np.concatenate([[0], seq[:-1]])  # after an end comes a text's first word
                 ok = b.training()
                 total += np.bincount(before[ok] * UNITS + seq[ok], minlength=size)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(ROW_BLOCKS), pa.int32()),
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"key": pa.array(range(ROW_BLOCKS), pa.int32()), "part": pa.array([part] * ROW_BLOCKS, pa.int32()),
                                           "m": pa.array([_pack(x) for x in total.reshape(ROW_BLOCKS, -1)], pa.binary())})
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = _unpack(m, np.int64)
-                sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_pydict({"k": pa.array(sums, pa.int32()), "m": pa.array([_pack(x) for x in sums.values()], pa.binary())})
-
     # a matrix of fixed size: ROW_BLOCKS rows
-    rows = blocks.select(*COLS).mapInArrow(run, "k int, m binary").repartition(ROW_BLOCKS, "k").mapInArrow(add, "k int, m binary").collect()
     out = np.zeros((ROW_BLOCKS, size // ROW_BLOCKS))
-    for r in rows:
-        out[r["k"]] += _unpack(r["m"], np.int64)
+    for k, x in C.add_up(blocks.select(*COLS).mapInArrow(run, "key int, part int, m binary"), ROW_BLOCKS,
+                         lambda m: _unpack(m, np.int64), _pack).items():
+        out[k] = x
     return out.reshape(UNITS, UNITS)
 
 

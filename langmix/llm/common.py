@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,6 @@ def ckpt(df: DataFrame) -> DataFrame:
 
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
     """Slices of a batch whose texts hold about ``most_bytes`` (at least a row each)."""
-    import numpy as np
     from langmix.llm.text import buffers
     _, off = buffers(batch.column(batch.schema.get_field_index(column)))
     at = 0
@@ -47,6 +47,32 @@ def parts(spark: SparkSession, per: int = 4) -> int:
     return per * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: tasks whose sums are added up at once
+FAN = 512
+
+
+def add_up(rows: DataFrame, keys: int, unpack, pack, fan: int = FAN) -> dict[int, np.ndarray]:
+    """Sums of arrays by key from rows (key int, part int, m binary): ``keys`` arrays of
+    a fixed size from each task, ``part`` its number.  Level by level the sums of
+    ``fan`` tasks are added, so no task reads an array of every other one."""
+    def add(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for k, part, m in zip(*(c.to_pylist() for c in b.columns)):
+                at = k, part // fan
+                sums[at] = sums[at] + unpack(m) if at in sums else unpack(m)
+        for (k, part), x in sums.items():
+            yield pa.RecordBatch.from_pydict({"key": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "m": [pack(x)]})
+
+    tasks, more = rows.rdd.getNumPartitions(), True
+    while more:
+        tasks = max(1, -(-tasks // fan))
+        more = tasks > 1
+        rows = (rows.repartition(keys * tasks, "key", F.floor(F.col("part") / fan))
+                .mapInArrow(add, "key int, part int, m binary"))
+    return {r["key"]: unpack(r["m"]) for r in rows.collect()}  # at most ``keys`` rows
+
+
 def min_label(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v), both long: (node, component) with
     the smallest node of each component.

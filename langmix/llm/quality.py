@@ -3,8 +3,8 @@
 Every word and symbol run falls into one of ``SLOTS`` hashed slots, and each slot
 has a sparse random index vector.  A slot's word vector is the sum of the index
 vectors around all its occurrences in all documents; tasks add up their own
-matrices, and these are summed block by block, so what is shuffled and broadcast
-has a fixed size.  A document's features are the mean of its word vectors, the
+matrices, and these are summed block by block in a tree, so that what a task reads
+and what is broadcast has a fixed size.  A document's features are the mean of its word vectors, the
 mean's length and the logarithm of its number of words.  A numpy network with one
 hidden layer is fitted on at most ``MAX_ROWS`` labelled rows (smallest hashes of the
 ids); a temperature, fitted on a part it has not seen, calibrates its probabilities.
@@ -21,10 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.llm import common as C
+from langmix.llm.decontaminate import pack, unpack
 from langmix.llm.text import MULT, PUNCT, SPACE, buffers, mix, tokens
 
 SLOT_BITS = 14
@@ -84,23 +86,14 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             for b in C.pieces(batch, "text"):
                 add_contexts(total, *slots_of(b.column(0)))
-        part = total.astype(np.float32).reshape(BLOCKS, -1)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "m": pa.array([p.tobytes() for p in part], pa.binary())})
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(m, np.float32).astype(np.float64)
-                sums[block] = sums[block] + x if block in sums else x
-        yield pa.RecordBatch.from_pydict({"block": pa.array(sums, pa.int32()), "m": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
-
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "block int, m binary")
-    # one row a block: at most BLOCKS rows of a fixed size
-    rows = parts.repartition(BLOCKS, "block").mapInArrow(add, "block int, m binary").collect()
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"key": pa.array(range(BLOCKS), pa.int32()), "part": pa.array([part] * BLOCKS, pa.int32()),
+                                          "m": pa.array([pack(x) for x in total.astype(np.int64).reshape(BLOCKS, -1)], pa.binary())})
+
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key int, part int, m binary")
     out = np.zeros((BLOCKS, SLOTS * DIM // BLOCKS))
-    for r in rows:
-        out[r["block"]] += np.frombuffer(r["m"], np.float64)
+    for k, x in C.add_up(parts, BLOCKS, lambda m: unpack(m, np.int64), pack).items():
+        out[k] = x
     out = out.reshape(SLOTS, DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)

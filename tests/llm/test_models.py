@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from langmix.llm import classlm as L
+from langmix.llm import common as C
 from langmix.llm import quality as Q
 from langmix.llm import toxicity as T
 from tests.llm import fixtures as X
@@ -256,3 +257,12 @@ def test_scores_of_nothing(spark):
 def test_held_out_text_scores_better_than_the_base(spark):
     r = L.scores(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").selectExpr("sum(score) a", "sum(base_score) b").first()
     assert r.a > r.b
+
+
+def test_sums_are_added_level_by_level(spark):
+    """Arrays of 30 tasks, four at a time: three levels."""
+    rows = [(k, p, np.array([p, k * p], np.int64).tobytes()) for p in range(30) for k in range(3)]
+    df = spark.createDataFrame(rows, "key int, part int, m binary").repartition(30)
+    got = C.add_up(df, 3, lambda m: np.frombuffer(m, np.int64), np.ndarray.tobytes, fan=4)
+    assert {k: x.tolist() for k, x in got.items()} == {k: [435, k * 435] for k in range(3)}
+    assert C.add_up(df.where("key > 5"), 3, lambda m: np.frombuffer(m, np.int64), np.ndarray.tobytes) == {}
