@@ -19,8 +19,8 @@ MOST_BITS = 1 << 26
 
 
 def _places(word: Column, bits: int) -> list[Column]:
-    """The bit numbers of a word: double hashing."""
-    a, b = F.xxhash64(word), F.xxhash64(word, F.lit(1))
+    """The bit numbers of a word: double hashing, with hashes whose sum stays in a long."""
+    a, b = F.xxhash64(word).bitwiseAND(F.lit((1 << 48) - 1)), F.xxhash64(word, F.lit(1))
     return [(a + F.lit(k) * F.shiftright(b, 20)).bitwiseAND(F.lit(bits - 1)) for k in range(HASHES)]
 
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from langmix.operators.bloom import _places
 from langmix.operators import bloom
 from langmix.operators import graph as G
 from langmix.operators import overlap as O
@@ -66,3 +67,9 @@ def test_ngrams_in_the_row(spark):
         for n in (1, 2, 3):
             want = Counter(tuple(a[i:i + n]) for i in range(len(a) - n + 1)) & Counter(tuple(b[i:i + n]) for i in range(len(b) - n + 1))
             assert r[f"n_ngrams_match_{n}"] == sum(want.values())
+
+
+def test_bit_numbers_of_many_words_do_not_overflow(spark):
+    words = spark.range(2_000_000).select(F.col("id").cast("string").alias("w"))
+    low, high = words.select(F.explode(F.array(*_places(F.col("w"), 1024))).alias("at")).agg(F.min("at"), F.max("at")).first()
+    assert (low, high) == (0, 1023)
