@@ -23,13 +23,15 @@ OFF_TARGET_MIN_P = 0.01       # D13/D14 keep p > / >= 0.01
 # ---------------------------------------------------------------------------
 
 
-def ratios(labelled: DataFrame, keys: Sequence[str], label_col: str = "pred_lang") -> DataFrame:
-    """``round(count/total, 2)`` per unit, zeros dropped.
+def ratios(labelled: DataFrame, keys: Sequence[str], label_col: str = "pred_lang", count_col: str | None = None) -> DataFrame:
+    """``round(count/total, 2)`` per unit, zeros dropped.  ``count_col``: how
+    many labels a row stands for (default: one).
 
     One pre-aggregated count per (unit, lang), then a unit window - the window
     only sees one row per language of a unit."""
     keys = list(keys)
-    cnt = labelled.groupBy(*keys, F.col(label_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    cnt = labelled.groupBy(*keys, F.col(label_col).alias("lang")).agg(
+        (F.sum(count_col) if count_col else F.count(F.lit(1))).alias("n"))
     tot = F.sum("n").over(Window.partitionBy(*keys))
     out = cnt.select(*keys, "lang", F.round(F.col("n") / tot, RATIO_DECIMALS).alias("p"))
     return out.filter(F.col("p") > 0)

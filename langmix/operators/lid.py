@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ WEIGHT_SCALE = 1_000_000.0   # uniform floor 1e-6 for unseen trigrams
 UNKNOWN = "unknown"
 OTHERS = "others"
 # ---------------------------------------------------------------------------
-_STEP = 1 << 19
+_CHARS = 1 << 18  # bytes of text that a task works on at a time, whatever an Arrow batch holds
+_ENTRIES = 1 << 19  # distinct trigrams and words that a training task counts before it hands them on
+_CELLS = 1 << 24  # largest cube of an alphabet that is addressed directly
 MAX_WORDS = 1 << 25  # words whose votes are broadcast (about 200 MB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,23 +132,70 @@ def word_keys(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return x ^ (x >> np.uint64(32)), np.searchsorted(starts, first)
 
 
+def pieces(col: pa.Array, most: int | None = None):
+    """Slices (begin, end) of consecutive texts of at most ``most`` bytes together, or of
+    one text: what is held for a piece does not grow with the batch."""
+    most = most or _CHARS
+    size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size, dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield at, to
+        at = to
+
+
 # ---- training ----------------------------------------------------------------
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, their counts) of several such pairs."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begin], np.add.reduceat(counts[order], begin) if len(begin) else counts
+
+
+def _count_batches(kind: str, lang: str, keys: np.ndarray, counts: np.ndarray, rows: int = 10_000):
+    for at in range(0, len(keys), rows):
+        own, n = keys[at:at + rows].view(np.int64), counts[at:at + rows]
+        text = ["".join(map(chr, (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF))) for x in own.tolist()] if kind == "gram" else [None] * len(own)
+        yield pa.RecordBatch.from_pydict({
+            "kind": pa.array([kind] * len(own), pa.string()), "lang": pa.array([lang] * len(own), pa.string()),
+            "key": pa.array(own, pa.int64()), "gram": pa.array(text, pa.string()), "cnt": pa.array(n, pa.int64())})
+
+
 def key_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(kind, lang, key, gram, cnt): trigram and word counts, pre-aggregated per batch."""
+    """(kind, lang, key, gram, cnt): trigram and word counts, pre-aggregated in each task
+    over pieces of text, at most ``_ENTRIES`` of them (and a piece's) at a time."""
     def run(batches):
+        held: dict[tuple[str, str], list] = {}
+
+        def flush():
+            for (kind, lang), parts in held.items():
+                yield from _count_batches(kind, lang, *_merged(parts))
+            held.clear()
+
+        entries = 0
         for b in batches:
             names, at = np.unique(np.array(b.column(0).to_pylist(), dtype=str), return_inverse=True)
-            points, first = code_points(b.column(1))
-            for kind, f in (("gram", trigram_keys), ("word", word_keys)):
-                keys, begin = f(points, first)
-                owner = at[np.repeat(np.arange(len(at)), np.diff(begin))]
-                for k, name in enumerate(names):
-                    own, n = np.unique(keys[owner == k], return_counts=True)
-                    text = ["".join(map(chr, (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF))) for x in own.tolist()] if kind == "gram" else [None] * len(own)
-                    yield pa.RecordBatch.from_pydict({
-                        "kind": pa.array([kind] * len(own), pa.string()), "lang": pa.array([str(name)] * len(own), pa.string()),
-                        "key": pa.array(own.view(np.int64), pa.int64()), "gram": pa.array(text, pa.string()), "cnt": pa.array(n, pa.int64())})
+            for k, name in enumerate(names):
+                texts = b.column(1).take(pa.array(np.flatnonzero(at == k)))
+                for begin, end in pieces(texts):
+                    points, first = code_points(texts.slice(begin, end - begin))
+                    for kind, f in (("gram", trigram_keys), ("word", word_keys)):
+                        part = np.unique(f(points, first)[0], return_counts=True)
+                        held.setdefault((kind, str(name)), []).append(part)
+                        entries += len(part[0])
+                    if entries >= _ENTRIES:
+                        held = {key: [_merged(parts)] for key, parts in held.items()}
+                        entries = sum(len(parts[0][0]) for parts in held.values())
+                        if 2 * entries >= _ENTRIES:
+                            yield from flush()
+                            entries = 0
+        yield from flush()
 
     rows = labelled.select(F.col(label_col).cast("string").alias("lang"), tx.char_trigram_text(text_col).alias("t")).where("lang is not null")
     return (rows.mapInArrow(run, "kind string, lang string, key long, gram string, cnt long")
@@ -175,7 +225,8 @@ def _table(words: DataFrame, number: dict[str, int]) -> WordVotes | None:
     if words.count() > MAX_WORDS:
         return None
     t = words.toArrow()
-    votes = np.array([number[x] for x in t.column("lang").to_pylist()], np.int64)
+    lang = t.column("lang").combine_chunks().dictionary_encode()
+    votes = np.array([number[x] for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()]
     return WordVotes(t.column("key").to_numpy().astype(np.int64).view(np.uint64), votes)
 
 
@@ -193,26 +244,52 @@ def stopword_lists(labelled: DataFrame, text_col: str = "text", label_col: str =
 
 # ---- detection ---------------------------------------------------------------
 
-def _sums(values: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
-    """Sum of each text's rows of ``values`` (a function of a slice)."""
-    out = np.zeros((len(begin) - 1, width))
-    at = 0
-    while at < len(out):
-        to = max(at + 1, int(np.searchsorted(begin, begin[at] + _STEP, "right")) - 1)
-        full = at + np.flatnonzero(np.diff(begin[at:to + 1]))
-        if len(full):
-            out[full] = np.add.reduceat(values(slice(begin[at], begin[to])), begin[full] - begin[at], axis=0)
-        at = to
-    return out
-
+class Grams:
+    """Rows of a weight table by trigram.  The letters of the known trigrams are
+    numbered, and a small enough cube of them is addressed directly; trigrams of a
+    larger alphabet are searched for."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+        self.keys, self.columns = keys, np.ascontiguousarray(weights.T)  # a column a language; the last row is of unknown trigrams
+        parts = [keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF]
+        letters = np.unique(np.concatenate(parts)) if len(keys) else np.zeros(0, np.int64)
+        self.width = len(letters) + 1  # 0: a letter of no trigram
+        self.cells = None
+        if self.width**3 <= _CELLS:
+            self.number = np.zeros(int(letters[-1]) + 2 if len(letters) else 1, np.int32)
+            self.number[letters] = np.arange(1, self.width)
+            self.cells = np.full(self.width**3, len(keys), np.int32)
+            x, y, z = (self.number[p].astype(np.int64) for p in parts)
+            self.cells[(x * self.width + y) * self.width + z] = np.arange(len(keys))
 
-def primary(points: np.ndarray, first: np.ndarray, grams: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def n_langs(self) -> int:
+        return len(self.columns)
+
+    def rows(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The row of the trigram that begins at each point; where none does, that of unknown ones."""
+        at = np.full(len(points), len(self.keys), np.int32)
+        if len(points) > 2:
+            if self.cells is not None:
+                letter = self.number[np.minimum(points, len(self.number) - 1)]
+                at[:-2] = self.cells[(letter[:-2] * self.width + letter[1:-1]) * self.width + letter[2:]]
+            else:
+                keys = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+                found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                at[:-2] = np.where(self.keys[found] == keys, found, len(self.keys))
+        full = np.diff(first) > 0
+        for back in (1, 2):  # no trigram begins at the last two points of a text
+            at[np.maximum(first[1:] - back, first[:-1])[full]] = len(self.keys)
+        return at
+
+
+def primary(points: np.ndarray, first: np.ndarray, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
     """(language number, confidence) of each text; confidence -1 without any known trigram."""
-    keys, begin = trigram_keys(points, first)
-    at = np.searchsorted(grams, keys)
-    if len(grams):
-        at[grams[np.minimum(at, len(grams) - 1)] != keys] = len(grams)
-    s = np.round(_sums(lambda x: weights[at[x]], begin, weights.shape[1]), 6)
+    at, full = grams.rows(points, first), np.flatnonzero(np.diff(first))
+    s = np.zeros((len(first) - 1, grams.n_langs))
+    if len(full):
+        for k, weights in enumerate(grams.columns):
+            s[full, k] = np.round(np.add.reduceat(weights[at], first[full]), 6)
     top = s.max(axis=1, initial=0)
     conf = 1.0 / np.exp(s - top[:, None]).sum(axis=1)
     return s.argmax(axis=1), np.where(top > 0, conf, -1.0)
@@ -231,21 +308,27 @@ def secondary(points: np.ndarray, first: np.ndarray, votes: WordVotes, langs: in
 OPEN = -2  # the trigrams leave it open and the votes are not at hand
 
 
-def detect(col: pa.Array, grams: np.ndarray, weights: np.ndarray, votes: WordVotes | None, mode: str, threshold: float, second: np.ndarray) -> np.ndarray:
+def detect(col: pa.Array, grams: Grams, votes: WordVotes | None, mode: str, threshold: float, second: np.ndarray) -> np.ndarray:
     """Label number of each normalised text: a language, -1 unknown, or what
     ``second`` makes of the secondary detector's language; ``OPEN`` without votes.
 
     mode ``single`` (L3): primary label if confidence > threshold.
     mode ``cascade`` (L1/L2): primary label if confidence >= threshold; else the
-    secondary label if its confidence >= threshold; else unknown."""
-    points, first = code_points(col)
-    label, conf = primary(points, first, grams, weights)
-    if mode == "single":
-        return np.where(conf > threshold, label, -1)
-    if votes is None:
-        return np.where(conf >= threshold, label, OPEN)
-    other, share = secondary(points, first, votes, weights.shape[1])
-    return np.where(conf >= threshold, label, np.where(share >= threshold, second[other], -1))
+    secondary label if its confidence >= threshold; else unknown.  Works on pieces of
+    the column, and asks the secondary detector only about what the primary leaves open."""
+    out = np.full(len(col), -1, np.int64)
+    for begin, end in pieces(col):
+        piece = col.slice(begin, end - begin)
+        label, conf = primary(*code_points(piece), grams)
+        if mode == "single":
+            out[begin:end] = np.where(conf > threshold, label, -1)
+            continue
+        out[begin:end] = np.where(conf >= threshold, label, OPEN)
+        left = np.flatnonzero(conf < threshold)
+        if votes is not None and len(left):
+            other, share = secondary(*code_points(piece.take(pa.array(left))), votes, grams.n_langs)
+            out[begin + left] = np.where(share >= threshold, second[other], -1)
+    return out
 
 
 def _labeller(model: LidModel, spark, mode: str, threshold: float, code_map: dict[str, str] | None, unmapped: str | None):
@@ -261,7 +344,7 @@ def _labeller(model: LidModel, spark, mode: str, threshold: float, code_map: dic
     else:
         second = range(len(model.langs))
     second = np.array([*second] or [-1])
-    sent = spark.sparkContext.broadcast((model.grams, model.weights, model.votes, second))
+    sent = spark.sparkContext.broadcast((Grams(model.grams, model.weights), None if mode == "single" else model.votes, second))
     names.append(UNKNOWN)
     return sent, names, second
 
@@ -278,7 +361,7 @@ def label_column(facts: DataFrame, text_col: str, model: LidModel, out_col: str
 
     @F.arrow_udf("int")
     def label(t: pa.Array) -> pa.Array:
-        return pa.array(detect(t, *sent.value[:3], mode, threshold, sent.value[3]), pa.int32())
+        return pa.array(detect(t, *sent.value[:2], mode, threshold, sent.value[2]), pa.int32())
 
     if model.votes is not None or mode == "single":
         return facts.withColumn(out_col, _name(label(tx.char_trigram_text(text_col)), names))
@@ -305,21 +388,77 @@ def _voted(units: DataFrame, model: LidModel, threshold: float, second: np.ndarr
     return best.select(F.col("_unit").alias("_voted"), F.when(-F.col("x.n") / F.col("total") >= threshold, number).otherwise(-1).alias("_second"))
 
 
+def _joined(array_col: str) -> Column:
+    """All elements of an array in one text, lower case and letters only, each ended by
+    a line feed: one expression a row instead of one an element."""
+    rows = F.array_join(F.transform(array_col, lambda x: F.replace(x, F.lit("\n"), F.lit(" "))), "\n", "")
+    return F.when(F.size(array_col) > 0, F.concat(F.regexp_replace(F.lower(rows), r"[^\p{L}\n]+", " "), F.lit("\n")))
+
+
+def split_units(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the elements that :func:`_joined` put together, each trimmed and padded as
+    :func:`tx.char_trigram_text` does; how many each row has)."""
+    col = col.fill_null("").cast(pa.string())
+    _, off, data = col.buffers()
+    o = np.frombuffer(off, np.int32, len(col) + 1 + col.offset)[col.offset:].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[o[0]:o[-1]] if data is not None else np.zeros(0, np.uint8)
+    end = raw == 10
+    count = np.diff(np.concatenate([[0], np.cumsum(end)])[o - o[0]])
+    at_edge = np.concatenate([end[1:], [True]])[:len(raw)] | np.concatenate([[True], end[:-1]])[:len(raw)]
+    raw = raw[(raw != 32) | ~at_edge]
+    end = raw == 10  # becomes the blank after a unit and the one before the next
+    wide = np.repeat(np.where(end, np.uint8(32), raw), 1 + end.astype(np.int8))
+    cut = np.flatnonzero(end) + 2 + np.arange(count.sum())
+    text = np.concatenate([np.full(1, 32, np.uint8), wide])[:cut[-1] if len(cut) else 0]
+    begin = np.concatenate([[0], cut]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(cut), pa.py_buffer(begin.tobytes()), pa.py_buffer(text.tobytes())), count
+
+
+def _array_labels(col: pa.Array, *how) -> tuple[np.ndarray, np.ndarray]:
+    """(label number of every element, elements of every row) of joined arrays."""
+    labels, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for begin, end in pieces(col):
+        units, count = split_units(col.slice(begin, end - begin))
+        labels.append(detect(units, *how))
+        counts.append(count)
+    return np.concatenate(labels), np.concatenate(counts)
+
+
+def _known_votes(model: LidModel) -> None:
+    if model.votes is None:
+        raise ValueError("too many votes to broadcast: explode the array and use label_column")
+
+
 def label_array(facts: DataFrame, array_col: str, model: LidModel, out_col: str = "langs", mode: str = "cascade",
                 threshold: float = 0.3) -> DataFrame:
     """Label every element of an array of texts, without a shuffle; for models
     whose votes are broadcast."""
+    _known_votes(model)
     sent, names, _ = _labeller(model, facts.sparkSession, mode, threshold, None, None)
 
-    if model.votes is None:
-        raise ValueError("too many votes to broadcast: explode the array and use label_column")
-
     @F.arrow_udf("array<int>")
     def label(t: pa.Array) -> pa.Array:
-        flat = t.flatten()  # without what null rows hold
-        size = np.array([0 if n is None else n for n in t.value_lengths().to_pylist()], np.int64)
-        n = detect(flat, *sent.value[:3], mode, threshold, sent.value[3])
+        n, size = _array_labels(t, *sent.value[:2], mode, threshold, sent.value[2])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(n, pa.int32()))
 
-    normal = F.transform(array_col, tx.char_trigram_text)
-    return facts.withColumn(out_col, F.transform(label(normal), lambda n: _name(n, names)))
+    return facts.withColumn(out_col, F.transform(label(_joined(array_col)), lambda n: _name(n, names)))
+
+
+def count_array(facts: DataFrame, array_col: str, model: LidModel, out_col: str = "counts", mode: str = "cascade",
+                threshold: float = 0.3) -> DataFrame:
+    """L6 + L7: label every element of an array of texts as :func:`label_array` does and
+    count them in the row: array of (lang, n), an entry per language that occurs."""
+    _known_votes(model)
+    sent, names, _ = _labeller(model, facts.sparkSession, mode, threshold, None, None)
+    width = len(names)
+
+    @F.arrow_udf("array<struct<label:int,n:long>>")
+    def count(t: pa.Array) -> pa.Array:
+        label, size = _array_labels(t, *sent.value[:2], mode, threshold, sent.value[2])
+        owner = np.repeat(np.arange(len(size)), size)
+        cell, n = np.unique(owner * width + label + 1, return_counts=True)
+        entries = pa.StructArray.from_arrays([pa.array(cell % width - 1, pa.int32()), pa.array(n, pa.int64())], names=["label", "n"])
+        begin = np.searchsorted(cell // width, np.arange(len(size) + 1))
+        return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), entries)
+
+    return facts.withColumn(out_col, F.transform(count(_joined(array_col)), lambda x: F.struct(_name(x["label"], names).alias("lang"), x["n"].alias("n"))))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,13 +30,26 @@ class Unigrams:
     unknown: float
     longest: int
 
+    @cached_property
+    def endings(self) -> dict[str, float]:
+        """The cost of every word and of every ending of one, which is infinite unless
+        it is a word itself: a search back from a character stops where no word goes on."""
+        out = {w[k:]: math.inf for w in self.costs for k in range(len(w))}
+        out.update(self.costs)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "endings"}  # each process makes its own
+
     def split(self, text: str) -> list[str]:
-        best, back = [0.0], [0]
+        best, back, endings, longest = [0.0], [0], self.endings, self.longest
         for end in range(1, len(text) + 1):
             low, at = best[end - 1] + self.costs.get(text[end - 1], self.unknown), end - 1
-            for begin in range(end - 2, max(-1, end - self.longest - 1), -1):
-                cost = self.costs.get(text[begin:end])
-                if cost is not None and best[begin] + cost <= low:
+            for begin in range(end - 2, max(-1, end - longest - 1), -1):
+                cost = endings.get(text[begin:end])
+                if cost is None:
+                    break
+                if best[begin] + cost <= low:
                     low, at = best[begin] + cost, begin
             best.append(low)
             back.append(at)

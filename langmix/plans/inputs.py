@@ -89,6 +89,27 @@ def labelled_tokens(lines: DataFrame, spark: SparkSession, sf_dir: str, threshol
         .select(*toks.drop("tokens").columns, F.col("_t.tokens").alias("token"), F.col("_t.langs").alias("token_lang"))
 
 
+def label_counts(lines: DataFrame, spark: SparkSession, sf_dir: str, line_level: bool = False, threshold: float = 0.3) -> DataFrame:
+    """L6, counted: (unit keys, level, lang, n), how many tokens of each labelled line have
+    a language (unknown ones left out, as are lines of unknown language); with
+    ``line_level`` also the line's own label.  One pass over the lines."""
+    known = F.col("pred_lang") != lid.UNKNOWN
+    if lid_model(spark, sf_dir).votes is None:
+        toks = labelled_tokens(lines.filter(known), spark, sf_dir, threshold).filter(F.col("token_lang") != lid.UNKNOWN)
+        words = toks.select(*UNIT_KEYS, F.lit("word").alias("level"), F.col("token_lang").alias("lang"), F.lit(1).cast("long").alias("n"))
+        own = lines.select(*UNIT_KEYS, F.lit("line").alias("level"), F.col("pred_lang").alias("lang"), F.lit(1).cast("long").alias("n"))
+        return own.unionByName(words) if line_level else words
+    if not line_level:
+        lines = lines.filter(known)
+    toks = lines.select(*UNIT_KEYS, "pred_lang", F.when(known, tx.tokenize("line")).otherwise(F.array().cast("array<string>")).alias("tokens"))
+    out = lid.count_array(toks, "tokens", lid_model(spark, sf_dir), mode="cascade", threshold=threshold)
+    entry = lambda level, lang, n: F.struct(F.lit(level).alias("level"), lang.alias("lang"), n.alias("n"))
+    every = F.transform(F.filter("counts", lambda x: x["lang"] != lid.UNKNOWN), lambda x: entry("word", x["lang"], x["n"]))
+    if line_level:
+        every = F.concat(F.array(entry("line", F.col("pred_lang"), F.lit(1).cast("long"))), every)
+    return out.select(*UNIT_KEYS, F.explode(every).alias("_x")).select(*UNIT_KEYS, "_x.level", "_x.lang", "_x.n")
+
+
 def pass_rate_lines(comp: DataFrame) -> DataFrame:
     """T1 -> split -> T5 -> T3: lines with at least 5 whitespace tokens."""
     lines = comp.select(*UNIT_KEYS, F.posexplode(tx.split_lines(tx.normalize_completion("completion")))

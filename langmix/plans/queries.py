@@ -83,19 +83,14 @@ def line_dist(spark, sf) -> DataFrame:
 
 
 def word_dist(spark, sf) -> DataFrame:
-    lines = I.labelled_lines(spark, sf).filter(F.col("pred_lang") != lid.UNKNOWN)
-    toks = I.labelled_tokens(lines, spark, sf).filter(F.col("token_lang") != lid.UNKNOWN)
-    return D.ratios(toks, I.UNIT_KEYS, "token_lang")
+    return D.ratios(I.label_counts(I.labelled_lines(spark, sf), spark, sf), I.UNIT_KEYS, "lang", "n")
 
 
 def both_dists(spark, sf) -> DataFrame:
-    """D1 and D2 in one long table with a ``level`` column (shared LID work)."""
-    lines = I.labelled_lines(spark, sf)
-    ld = D.ratios(lines, I.UNIT_KEYS).withColumn("level", F.lit("line"))
-    toks = I.labelled_tokens(lines.filter(F.col("pred_lang") != lid.UNKNOWN), spark, sf)
-    wd = D.ratios(toks.filter(F.col("token_lang") != lid.UNKNOWN), I.UNIT_KEYS, "token_lang") \
-        .withColumn("level", F.lit("word"))
-    return ld.unionByName(wd)
+    """D1 and D2 in one long table with a ``level`` column: every line is read and
+    labelled once for both."""
+    counts = I.label_counts(I.labelled_lines(spark, sf), spark, sf, line_level=True)
+    return D.ratios(counts, ["level", *I.UNIT_KEYS], "lang", "n").select(*I.UNIT_KEYS, "lang", "p", "level")
 
 
 @query("line_distribution")

@@ -25,8 +25,9 @@ from langmix.plans import oracle as SQL
 from langmix.plans import queries as Q
 from langmix.plans.oracle import ORACLES
 from langmix.plans.queries import query
+from langmix.session import cut_lineage
 from langmix.sources import files as SRC
-from langmix.sources.tables import SCHEMAS, load
+from langmix.sources.tables import SCHEMAS, load, spread
 from langmix.streaming import incremental as R
 
 
@@ -71,7 +72,8 @@ def q_flattened_step_distributions(spark, sf):
     """D7 + D8: model -> evaluated language -> step -> distribution at both levels;
     completions of one (model, language, step) are evaluations in id order, of
     which the last one counts for Labels and the first one otherwise."""
-    d = D.prune(Q.both_dists(spark, sf)).withColumn("step", F.expr(STEP_OF))
+    # read twice below: for the evaluations that stand, and for their rows
+    d = cut_lineage(D.prune(Q.both_dists(spark, sf)).withColumn("step", F.expr(STEP_OF)))
     flat = N.flatten_steps(d, ["level", "model", "language"], "step", "id")
     return flat.select("level", "model", F.col("language").alias("eval_lang"), "step", "id", "lang", "p")
 
@@ -305,7 +307,9 @@ def q_incremental_language_totals(spark, sf):
 
     def rows_of(stream):
         model = I.lid_model(spark, sf)
-        lines = lid.label_column(I.distribution_lines(I.completions_from(stream)), "line", model, mode="cascade", threshold=0.3)
+        # a batch is a few files: its rows are dealt out to every core
+        dealt = stream.repartition(spark.sparkContext.defaultParallelism)
+        lines = lid.label_column(I.distribution_lines(I.completions_from(dealt)), "line", model, mode="cascade", threshold=0.3)
         toks = lid.label_array(lines.select("pred_lang", tx.tokenize("line").alias("tokens")), "tokens", model, mode="cascade", threshold=0.3)
         both = F.concat(F.array(F.struct(F.lit("line").alias("level"), F.col("pred_lang").alias("lang"))),
                         F.transform("langs", lambda x: F.struct(F.lit("word").alias("level"), x.alias("lang"))))
@@ -347,7 +351,7 @@ def q_spaceless_tokens(spark, sf):
     """Tokens of every document, where German stands for a language written without
     spaces: its letters are run together and split again by the unigram model learned
     from the documents' own words; other languages are split as usual."""
-    d = load(spark, sf, "documents").select("doc_id", "lang", F.lower("text").alias("t"))
+    d = spread(load(spark, sf, "documents")).select("doc_id", "lang", F.lower("text").alias("t"))
     words = F.regexp_extract_all("t", F.lit(r"\p{L}+"), 0)
     model = segment.learn(d.where("lang = 'de'").select(F.explode(words).alias("w")), "w")
     lines = F.transform(F.split("t", "\n"), lambda x: F.regexp_replace(x, r"[^\p{L}]+", ""))
