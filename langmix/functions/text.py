@@ -20,6 +20,8 @@ ARABIC_COMMA = "،"
 # White space of Python's str.strip() and str.split().
 STRIP_CHARS = ("\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
                "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# The same as a regular expression.
+STRIP_RE = r"[\t-\r\x1c- \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 # Minimum characters of a kept line (distributions) and minimum tokens (pass rates).
 MIN_LINE_CHARS = 5
 MIN_LINE_TOKENS = 5
@@ -53,8 +55,7 @@ def kept_lines(col, min_chars: int = MIN_LINE_CHARS) -> Column:
 
 def whitespace_tokens(col) -> Column:
     """T5: ``str.split()`` - split on whitespace runs, drop empty strings."""
-    return F.filter(F.split(F.trim(_c(col), F.lit(STRIP_CHARS)), f"[{STRIP_CHARS}]+"),
-                    lambda x: x != "")
+    return F.array_remove(F.split(_c(col), STRIP_RE), "")
 
 
 def word_punct_tokens(col) -> Column:

@@ -112,7 +112,8 @@ def label_counts(lines: DataFrame, spark: SparkSession, sf_dir: str, line_level:
 
 def pass_rate_lines(comp: DataFrame) -> DataFrame:
     """T1 -> split -> T5 -> T3: lines with at least 5 whitespace tokens."""
-    lines = comp.select(*UNIT_KEYS, F.posexplode(tx.split_lines(tx.normalize_completion("completion")))
-                        .alias("line_no", "line"))
-    lines = lines.withColumn("tokens", tx.whitespace_tokens("line"))
-    return lines.filter(F.size("tokens") >= tx.MIN_LINE_TOKENS)
+    # the tokens are made inside the generator: a filter on their number repeats no work
+    split = F.transform(tx.split_lines(tx.normalize_completion("completion")),
+                        lambda x: F.struct(x.alias("line"), tx.whitespace_tokens(x).alias("tokens")))
+    lines = comp.select(*UNIT_KEYS, F.posexplode(split).alias("line_no", "_x"))
+    return lines.filter(F.size("_x.tokens") >= tx.MIN_LINE_TOKENS).select(*UNIT_KEYS, "line_no", "_x.line", "_x.tokens")
