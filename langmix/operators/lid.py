@@ -23,7 +23,7 @@ summation order; ties go to the smaller language code.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from langmix.functions import text as tx
-from langmix.session import cut_lineage
+from langmix.session import arrow_batches, cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 STOPWORDS_TOP_K = 30         # length of the stop-word report
@@ -43,7 +43,8 @@ OTHERS = "others"
 _CHARS = 1 << 18  # bytes of text that a task works on at a time, whatever an Arrow batch holds
 _ENTRIES = 1 << 19  # distinct trigrams and words that a training task counts before it hands them on
 _CELLS = 1 << 24  # largest cube of an alphabet that is addressed directly
-MAX_WORDS = 1 << 25  # words whose votes are broadcast (about 200 MB)
+_BATCH = 2 << 20  # bytes of an Arrow batch in training, whose rows are whole texts
+MAX_WORDS = 1 << 24  # words whose votes are broadcast (about 100 MB in each Python worker)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,11 +86,20 @@ class LidModel:
     weights: np.ndarray     # (trigrams + 1) x languages; the last row, of zeros, is for unknown ones
     words: DataFrame        # key, lang: the votes
     votes: WordVotes | None # the same as a table, up to MAX_WORDS of them
+    _sent: dict = field(default_factory=dict)
 
     @property
     def n_langs(self) -> int:
         return len(self.langs)
 
+    def broadcast(self, with_votes: bool):
+        """(trigram table, votes) as one broadcast for all that label with this model: a
+        Python worker that goes from lines to tokens holds them once."""
+        if with_votes not in self._sent:
+            context = self.profile.sparkSession.sparkContext
+            self._sent[with_votes] = context.broadcast((Grams(self.grams, self.weights), self.votes if with_votes else None))
+        return self._sent[with_votes]
+
 
 # ---- keys of trigrams and words of normalised text ---------------------------
 
@@ -205,7 +215,8 @@ def key_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> LidModel:
     """Fit both detectors.  The counts are checkpointed, so later queries do not
     depend on the training lineage."""
-    counts = cut_lineage(key_counts(labelled, text_col, label_col))
+    with arrow_batches(labelled.sparkSession, _BATCH):
+        counts = cut_lineage(key_counts(labelled, text_col, label_col))
     totals = F.broadcast(cut_lineage(counts.groupBy("kind", "lang").agg(F.sum("cnt").alias("total"))))  # two rows a language
     counted = counts.join(totals, ["kind", "lang"])
     profile = cut_lineage(counted.where("kind = 'gram'").select(
@@ -331,8 +342,8 @@ def detect(col: pa.Array, grams: Grams, votes: WordVotes | None, mode: str, thre
     return out
 
 
-def _labeller(model: LidModel, spark, mode: str, threshold: float, code_map: dict[str, str] | None, unmapped: str | None):
-    """(Arrow function of a column of normalised texts or of arrays of them, label names)."""
+def _labeller(model: LidModel, mode: str, code_map: dict[str, str] | None = None, unmapped: str | None = None):
+    """(broadcast tables, label names, label number of each secondary language)."""
     names = [*model.langs]
     if code_map is not None:  # mapped codes, and 'others' for the rest
         second = []
@@ -344,9 +355,8 @@ def _labeller(model: LidModel, spark, mode: str, threshold: float, code_map: dic
     else:
         second = range(len(model.langs))
     second = np.array([*second] or [-1])
-    sent = spark.sparkContext.broadcast((Grams(model.grams, model.weights), None if mode == "single" else model.votes, second))
     names.append(UNKNOWN)
-    return sent, names, second
+    return model.broadcast(mode != "single"), names, second
 
 
 def _name(number: Column, names: list[str]) -> Column:
@@ -357,11 +367,11 @@ def label_column(facts: DataFrame, text_col: str, model: LidModel, out_col: str
                  threshold: float = 0.3, code_map: dict[str, str] | None = None, unmapped: str | None = None) -> DataFrame:
     """Label every row's ``text_col``, without a shuffle (but for open units of a
     model whose votes are too many to broadcast)."""
-    sent, names, second = _labeller(model, facts.sparkSession, mode, threshold, code_map, unmapped)
+    sent, names, second = _labeller(model, mode, code_map, unmapped)
 
     @F.arrow_udf("int")
     def label(t: pa.Array) -> pa.Array:
-        return pa.array(detect(t, *sent.value[:2], mode, threshold, sent.value[2]), pa.int32())
+        return pa.array(detect(t, *sent.value, mode, threshold, second), pa.int32())
 
     if model.votes is not None or mode == "single":
         return facts.withColumn(out_col, _name(label(tx.char_trigram_text(text_col)), names))
@@ -434,11 +444,11 @@ def label_array(facts: DataFrame, array_col: str, model: LidModel, out_col: str
     """Label every element of an array of texts, without a shuffle; for models
     whose votes are broadcast."""
     _known_votes(model)
-    sent, names, _ = _labeller(model, facts.sparkSession, mode, threshold, None, None)
+    sent, names, second = _labeller(model, mode)
 
     @F.arrow_udf("array<int>")
     def label(t: pa.Array) -> pa.Array:
-        n, size = _array_labels(t, *sent.value[:2], mode, threshold, sent.value[2])
+        n, size = _array_labels(t, *sent.value, mode, threshold, second)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(n, pa.int32()))
 
     return facts.withColumn(out_col, F.transform(label(_joined(array_col)), lambda n: _name(n, names)))
@@ -449,12 +459,12 @@ def count_array(facts: DataFrame, array_col: str, model: LidModel, out_col: str
     """L6 + L7: label every element of an array of texts as :func:`label_array` does and
     count them in the row: array of (lang, n), an entry per language that occurs."""
     _known_votes(model)
-    sent, names, _ = _labeller(model, facts.sparkSession, mode, threshold, None, None)
+    sent, names, second = _labeller(model, mode)
     width = len(names)
 
     @F.arrow_udf("array<struct<label:int,n:long>>")
     def count(t: pa.Array) -> pa.Array:
-        label, size = _array_labels(t, *sent.value[:2], mode, threshold, sent.value[2])
+        label, size = _array_labels(t, *sent.value, mode, threshold, second)
         owner = np.repeat(np.arange(len(size)), size)
         cell, n = np.unique(owner * width + label + 1, return_counts=True)
         entries = pa.StructArray.from_arrays([pa.array(cell % width - 1, pa.int32()), pa.array(n, pa.int64())], names=["label", "n"])

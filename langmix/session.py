@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, most_bytes: int):
+    """Jobs that are run inside send Python workers batches of about ``most_bytes`` (at
+    least a row each), whatever the session's setting."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
