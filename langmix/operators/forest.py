@@ -205,11 +205,11 @@ def _best_splits(data: DataFrame, forest: Forest, trees: list[tuple[int, Tree]],
                     for j, v in enumerate([None, *(y[t] for t in tree.targets)]):
                         sums[j, low * size:high * size] += np.bincount(cell, w[rows] if v is None else w[rows] * v[rows], (high - low) * size)
         cells = np.flatnonzero(sums[0])
-        slot, rest = np.divmod(cells, size)
         for at in range(0, len(cells), 10_000):
-            c = slice(at, at + 10_000)
+            c = cells[at:at + 10_000]
+            slot, rest = np.divmod(c, size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot[c]), pa.array(rest[c] // n_bins), pa.array(rest[c] % n_bins), *[pa.array(sums[j][cells[c]]) for j in range(n_t + 1)]],
+                [pa.array(slot), pa.array(rest // n_bins), pa.array(rest % n_bins), *[pa.array(sums[j][c]) for j in range(n_t + 1)]],
                 names=["slot", "f", "b", "w", *[f"s{j}" for j in range(n_t)]])
 
     s = [f"s{j}" for j in range(n_t)]

@@ -49,3 +49,25 @@ def test_lines_and_tokens_share_a_broadcast(spark, monkeypatch):
     assert len(sent) == 1
     assert lid.label_column(rows, "line", m, mode="single").first().pred_lang == "de"
     assert len(sent) == 2 and sent[1][1] is None
+
+
+def test_forest_task_holds_its_sums_and_little_more():
+    class Rows:
+        def mapInArrow(self, work, schema):
+            raise StopIteration(work)
+
+    n_trees, n_bins = 2000, 64
+    trees = [(0, FO.Tree((0,), (0,))) for _ in range(n_trees)]
+    forest = FO.Forest(["x"], ["y"], [[k + 0.5 for k in range(n_bins - 1)]], {(("x",), ("y",)): [t for _, t in trees]})
+    with pytest.raises(StopIteration) as e:
+        FO._best_splits(Rows(), forest, trees, [(k, 0) for k in range(n_trees)], n_bins, False, 1)
+    x = np.arange(n_bins, dtype=float)
+    batch = pa.RecordBatch.from_pydict({"_key": pa.array(range(n_bins), pa.int64()), "x": pa.array(x), "y": pa.array(2 * x)})
+    cells = 0
+    tracemalloc.start()
+    for out in e.value.value(iter([batch])):
+        cells += out.num_rows
+        assert out.column(0).to_numpy().max() < n_trees and (out.column(4).to_numpy() == 2 * out.column(2).to_numpy()).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cells == n_trees * n_bins and peak < 34 * cells  # 16 bytes of sums, 8 of the list of cells
