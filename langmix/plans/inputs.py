@@ -99,8 +99,7 @@ def label_counts(lines: DataFrame, spark: SparkSession, sf_dir: str, line_level:
         words = toks.select(*UNIT_KEYS, F.lit("word").alias("level"), F.col("token_lang").alias("lang"), F.lit(1).cast("long").alias("n"))
         own = lines.select(*UNIT_KEYS, F.lit("line").alias("level"), F.col("pred_lang").alias("lang"), F.lit(1).cast("long").alias("n"))
         return own.unionByName(words) if line_level else words
-    if not line_level:
-        lines = lines.filter(known)
+    # no filter on the label: pushed below the detector, it would label every line once more
     toks = lines.select(*UNIT_KEYS, "pred_lang", F.when(known, tx.tokenize("line")).otherwise(F.array().cast("array<string>")).alias("tokens"))
     out = lid.count_array(toks, "tokens", lid_model(spark, sf_dir), mode="cascade", threshold=threshold)
     entry = lambda level, lang, n: F.struct(F.lit(level).alias("level"), lang.alias("lang"), n.alias("n"))

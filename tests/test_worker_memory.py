@@ -17,6 +17,20 @@ TEXTS = {"de": "das ist ein haus und der baum", "en": "this is a house and the t
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def folder(spark, tmp_path):
+    rows = [(k, f"{a}\n{b} {a}\nqqq zzz www", x, f"s{k % 2}", 9) for k, (x, a) in enumerate(TEXTS.items()) for b in ["und der", "and the"]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def _python_steps(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_words_label_every_line_once(spark, folder):
+    assert _python_steps(Q.word_dist(spark, folder)) == 2  # the lines, then their tokens
+
+
 def test_batches_are_bounded_inside_only(spark):
     def sizes(batches):
         for b in batches:
