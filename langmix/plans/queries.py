@@ -213,11 +213,11 @@ def q_entropy_by_training_language(spark, sf):
     training language (exploded), word level."""
     d = _with_expected(word_dist(spark, sf))
     ent = E.entropies(d, ["id"], "expected", "training", variants=["weighted_entropy"], decimals=None)
-    by_set = E.mean_by(ent.withColumn("key", E.training_key()).withColumn("kind", F.lit("set")),
-                       ["kind", "key"], ["weighted_entropy"])
-    by_one = E.mean_by(ent.select("*", F.explode("training").alias("key")).withColumn("kind", F.lit("single")),
-                       ["kind", "key"], ["weighted_entropy"])
-    return by_set.unionByName(by_one)
+    # both kinds of key in one pass: the lines are labelled once
+    entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    every = F.concat(F.array(entry("set", E.training_key())), F.transform("training", lambda x: entry("single", x)))
+    return E.mean_by(ent.select(F.explode(every).alias("_x"), "weighted_entropy").select("_x.*", "weighted_entropy"),
+                     ["kind", "key"], ["weighted_entropy"])
 
 
 @query("token_norm_entropy")

@@ -17,6 +17,7 @@ TEXTS = {"de": "das ist ein haus und der baum", "en": "this is a house and the t
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+@pytest.fixture
 def folder(spark, tmp_path):
     rows = [(k, f"{a}\n{b} {a}\nqqq zzz www", x, f"s{k % 2}", 9) for k, (x, a) in enumerate(TEXTS.items()) for b in ["und der", "and the"]]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
@@ -31,6 +32,18 @@ def test_words_label_every_line_once(spark, folder):
     assert _python_steps(Q.word_dist(spark, folder)) == 2  # the lines, then their tokens
 
 
+def test_both_kinds_of_training_key_in_one_pass(spark, folder):
+    got = Q.QUERIES["entropy_by_training_language"](spark, folder)
+    assert _python_steps(got) == 2
+    d = Q._with_expected(Q.word_dist(spark, folder))
+    ent = Q.E.entropies(d, ["id"], "expected", "training", variants=["weighted_entropy"], decimals=None).collect()
+    held = {}
+    for r in ent:
+        for key in [("set", "_".join(sorted(r.training))), *(("single", x) for x in r.training)]:
+            held.setdefault(key, []).append(r.weighted_entropy)
+    assert {(r.kind, r.key): r.mean_weighted_entropy for r in got.collect()} == {k: pytest.approx(np.mean(v), abs=1e-6) for k, v in held.items()}
+
+
 def test_batches_are_bounded_inside_only(spark):
     def sizes(batches):
         for b in batches:
