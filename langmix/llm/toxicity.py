@@ -9,8 +9,10 @@ it was fitted on.
 
 Training uses at most ``MAX_ROWS`` labelled rows (the smallest hashes of the ids,
 so the same rows each time); of these, ids with crc32(id as text) mod 5 = 0 are
-held out for measuring.  Only hashed counts of the sample reach the driver.  All
-documents are scored where they are read, without a shuffle.
+held out for measuring.  Only hashed counts of the sample reach the driver, a part
+after the other; they lie in a scratch file there and each step of the fit reads them
+a block at a time, so the driver's memory does not grow with how long the texts are.
+All documents are scored where they are read, without a shuffle.
 
 Null and empty texts have no features and get the models' base rate.  Rows with a
 null label, or without a document, are not learned from; without any labelled row
@@ -19,6 +21,8 @@ nothing is rejected.  A row in, a row out, repeated rows included.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +48,12 @@ BEGINNINGS = (4, 6)
 #: fewer words than SHORT counts as one of SHORT, lest one word decide
 UNIT = 0.01
 SHORT = 60
+#: entries of the sample that the driver holds at once (those of one row at least)
+BLOCK = 1 << 17
+#: parts in which the sample comes to the driver
+PARTS = 32
+#: a feature (its slot, or its number among the known ones) and its value in a row
+ENTRY = np.dtype([("at", np.int32), ("value", np.float32)])
 #: the labels table's categories, in the order of the chain
 CATEGORIES = ("low_quality", "toxic")
 #: everything but ASCII punctuation parts symbol runs
@@ -84,10 +94,43 @@ def _beginning(acc: np.ndarray, longer: np.ndarray, first: np.ndarray, n: int) -
     return mix(acc[longer] + np.uint64(n)), before[first]
 
 
-def logit_fit(idx: np.ndarray, val: np.ndarray, owner: np.ndarray, dense: np.ndarray, y: np.ndarray, size: int,
+#: (first row, end, row of each entry counted from the first, feature, value)
+Block = tuple[int, int, np.ndarray, np.ndarray, np.ndarray]
+
+
+class Rows:
+    """Sparse rows in a scratch file of this process, read as blocks any number of times."""
+
+    def __init__(self) -> None:
+        self.file, self.sizes = tempfile.TemporaryFile(), []
+
+    def extend(self, at: np.ndarray, value: np.ndarray, sizes: Iterable[int]) -> None:
+        """Rows that have ``sizes`` of the entries each."""
+        x = np.empty(len(at), ENTRY)
+        x["at"], x["value"] = at, value
+        self.file.write(x.tobytes())
+        self.sizes.extend(sizes)
+
+    def __iter__(self) -> Iterator[Block]:
+        ends = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        self.file.seek(0)
+        first = 0
+        while first < len(self.sizes):
+            end = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK, "right")) - 1)
+            x = np.frombuffer(self.file.read(int(ends[end] - ends[first]) * ENTRY.itemsize), ENTRY)
+            yield (first, end, np.repeat(np.arange(end - first), np.diff(ends[first:end + 1])),
+                   x["at"].astype(np.intp), x["value"].astype(float))
+            first = end
+
+
+def logit_fit(blocks: Iterable[Block], dense: np.ndarray, y: np.ndarray, size: int, use: np.ndarray | None = None,
               l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression on sparse (idx, val, owner) and dense columns (the last
-    one constant): (weights, dense weights), by accelerated gradient descent."""
+    """Logistic regression on sparse rows and dense columns (the last one constant):
+    (weights, dense weights), by accelerated gradient descent.  With ``use`` only
+    these rows count.  Sums run through the blocks in the order of the entries, so
+    they do not depend on how the rows are cut."""
+    use = np.ones(len(y), bool) if use is None else use
+    dense, target, y = dense[use], y, y[use]
     prior = (y.sum() + 1e-3) / (len(y) + 1.0)
     w, v = np.zeros(size), np.zeros(dense.shape[1])
     v[-1] = np.log(prior / (1 - prior))
@@ -95,17 +138,25 @@ def logit_fit(idx: np.ndarray, val: np.ndarray, owner: np.ndarray, dense: np.nda
         return w, v
     n = len(y)
     # each feature's own curvature bounds its step
-    hw = np.bincount(idx, val * val, size) / (4 * n) * 8 + l2 / n * 8 + 1e-9
+    hw = np.zeros(size)
+    for first, end, owner, idx, val in blocks:
+        np.add.at(hw, idx, val * val * use[first:end][owner])
+    hw = hw / (4 * n) * 8 + l2 / n * 8 + 1e-9
     hv = (dense * dense).mean(axis=0) * 2 + 1e-9
     pw, pv = w.copy(), v.copy()
+    base, r = np.zeros(len(use)), np.zeros(len(use))
     for k in range(steps):
         m = k / (k + 3)
         aw, av = w + m * (w - pw), v + m * (v - pv)
-        z = np.bincount(owner, aw[idx] * val, n) + dense @ av
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        base[use] = dense @ av
+        slope = np.zeros(size)
+        for first, end, owner, idx, val in blocks:
+            z = np.bincount(owner, aw[idx] * val, end - first) + base[first:end]
+            r[first:end] = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[first:end]) / n * use[first:end]
+            np.add.at(slope, idx, r[first:end][owner] * val)
         pw, pv = w, v
-        w = aw - (np.bincount(idx, r[owner] * val, size) + l2 / n * aw) / hw
-        v = av - (dense.T @ r) / hv
+        w = aw - (slope + l2 / n * aw) / hw
+        v = av - (dense.T @ r[use]) / hv
     return w, v
 
 
@@ -135,6 +186,11 @@ def sigmoid(odds: np.ndarray) -> np.ndarray:
 
 def fit_chain(idx: np.ndarray, val: np.ndarray, owner: np.ndarray, y: np.ndarray, names: tuple[str, ...],
               size: int, folds: int = FOLDS) -> tuple[list, list]:
+    """``fit_blocks`` on rows in memory: features, their values and rows."""
+    return fit_blocks([(0, len(y), owner, idx, val)], y, names, size, folds)
+
+
+def fit_blocks(blocks: Iterable[Block], y: np.ndarray, names: tuple[str, ...], size: int, folds: int = FOLDS) -> tuple[list, list]:
     """y: (texts x categories).  Each category's out-of-fold probabilities become a
     feature of the later categories' models.  (weights, dense weights) by category."""
     n = len(y)
@@ -143,15 +199,15 @@ def fit_chain(idx: np.ndarray, val: np.ndarray, owner: np.ndarray, y: np.ndarray
     weights, dense = [], []
     for k in range(len(names)):
         x = np.column_stack([seen, np.ones(n)])
-        w, v = logit_fit(idx, val, owner, x, y[:, k], size)
+        w, v = logit_fit(blocks, x, y[:, k], size)
         weights.append(w)
         dense.append(v)
         out = np.zeros(n)
         for f in range(folds if k + 1 < len(names) else 0):
-            use = fold[owner] != f
-            number = np.cumsum(fold != f) - 1
-            w, v = logit_fit(idx[use], val[use], number[owner[use]], x[fold != f], y[fold != f, k], size)
-            z = np.bincount(owner, w[idx] * val, n) + x @ v
+            w, v = logit_fit(blocks, x, y[:, k], size, fold != f)
+            z = x @ v
+            for first, end, owner, idx, val in blocks:
+                z[first:end] += np.bincount(owner, w[idx] * val, end - first)
             out[fold == f] = z[fold == f]
         seen = np.column_stack([seen, sigmoid(np.clip(out, -30, 30))])
     return weights, dense
@@ -186,19 +242,24 @@ def learn(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = CATEGORIE
 
     found = rows.mapInArrow(run, "_id long, " + ", ".join(f"y_{c} int" for c in names) + ", slots binary, values binary")
     # an id may stand at several texts: the bound holds for what is learned from
-    got = found.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id", F.xxhash64("slots", "values")).limit(max_rows).toArrow().to_pydict()
-    keys = sorted(range(len(got["_id"])), key=lambda k: (got["_id"][k], got["slots"][k]))
-    y = np.array([[got[f"y_{c}"][k] for c in names] for k in keys], float).reshape(len(keys), len(names))
-    idx = np.frombuffer(b"".join(got["slots"][k] for k in keys), np.int32)
-    val = np.frombuffer(b"".join(got["values"][k] for k in keys), np.float32)
-    owner = np.repeat(np.arange(len(keys)), [len(got["slots"][k]) // 4 for k in keys])
-    slots, at, count = np.unique(idx, return_inverse=True, return_counts=True)
-    keep = count >= MIN_DOCS
-    known = keep[at]
-    weights, dense = fit_chain((np.cumsum(keep) - 1)[at[known]], val[known].astype(float), owner[known], y, names, int(keep.sum()))
+    order = F.xxhash64("slots", "values")
+    got = C.ckpt(found.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id", order).limit(max_rows))
+    raw, y, texts = Rows(), [], np.zeros(SLOTS, np.int32)
+    for r in got.repartitionByRange(PARTS, "_id").sortWithinPartitions("_id", "slots", order).toLocalIterator():
+        slots = np.frombuffer(r["slots"], np.int32)
+        raw.extend(slots, np.frombuffer(r["values"], np.float32), [len(slots)])
+        y.append([r[f"y_{c}"] for c in names])
+        texts[slots] += 1  # each once in a row
+    keep = texts >= MIN_DOCS
+    number = np.cumsum(keep, dtype=np.int32) - 1
+    known = Rows()
+    for first, end, owner, slots, values in raw:
+        some = keep[slots]
+        known.extend(number[slots[some]], values[some], np.bincount(owner[some], minlength=end - first))
+    weights, dense = fit_blocks(known, np.array(y, float).reshape(len(y), len(names)), names, int(keep.sum()))
     spread = [np.zeros(SLOTS, np.float32) for _ in names]
     for w, small in zip(spread, weights):
-        w[slots[keep]] = small
+        w[keep] = small
     return Chain(tuple(names), spread, dense)
 
 

@@ -1,7 +1,9 @@
 """Toxicity chain, quality network and class model."""
 
+import functools
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -63,6 +65,38 @@ def test_chain_uses_out_of_fold_odds():
     assert dense[1][0] < 1.0  # in-fold odds would be trusted blindly
 
 
+def test_chain_is_learned_in_bounded_memory(spark, monkeypatch):
+    """The driver holds blocks of the sample, however many features its texts have."""
+    rng = random.Random(4)
+    words = [X.sentence(rng, 1) + str(k) for k in range(6000)]
+    df = X.frame(spark, [(k, " ".join(rng.choices(words, k=3000)), "en", "s") for k in range(400)])
+    labels = spark.createDataFrame([(k, k % 2, k % 3 % 2) for k in range(400)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(T, "logit_fit", functools.partial(T.logit_fit, steps=2))
+    tracemalloc.start()
+    try:
+        chain = T.learn(df, T.categories(labels))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(w.any() for w in chain.weights)
+    assert peak < 40e6
+
+
+def test_fit_does_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 40, 200)
+    sizes[-1] = 0
+    idx, val = rng.integers(0, 50, sizes.sum()), rng.random(sizes.sum()).astype(np.float32)
+    y = rng.integers(0, 2, (200, 2)).astype(float)
+    whole = T.fit_chain(idx, val.astype(float), np.repeat(np.arange(200), sizes), y, ("a", "b"), 50)
+    rows = T.Rows()
+    rows.extend(idx, val, sizes)
+    for most in (100, 10**6):
+        monkeypatch.setattr(T, "BLOCK", most)
+        parts = T.fit_blocks(rows, y, ("a", "b"), 50)
+        assert all((p == w).all() for a, b in zip(parts, whole) for p, w in zip(a, b))
+
+
 def test_chain_without_labels(spark):
     df = X.frame(spark, X.documents()[:4])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
