@@ -66,7 +66,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         if free is None:
             above = F.lit(False)
         else:
-            above = F.col("weight") * F.lit(left2) > cap2 * F.lit(free)
+            above = F.col("weight") * F.lit(left2).cast("long") > cap2 * F.lit(free)  # a literal is as narrow as its number
         n, caps2, w = s.agg(F.count(F.when(above, 1)), F.coalesce(F.sum(F.when(above, cap2)), F.lit(0)),
                             F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0))).first()
         if free is not None and n == clamped:

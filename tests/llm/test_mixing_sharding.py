@@ -55,6 +55,16 @@ def test_empty_documents_are_not_taken_more_often(spark):
     assert max(times.values()) <= M.MAX_EPOCHS
 
 
+def test_targets_of_some_hundred_million_words(spark):
+    # what is left fits 32 bits, three times of it does not
+    size = {f"s{k:02d}": 2_000_000 * (1 + 5 * (k % 3)) for k in range(20)} | {"s00": 150_000_000}
+    sizes = spark.createDataFrame([(s, n) for s, n in size.items()], "source string, size long")
+    want = filled(size, {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(size))}, 1.5 * sum(size.values()), 2)
+    got = {r.source: r for r in M.targets(sizes).collect()}
+    assert 2 ** 31 // 3 < 3 * sum(size.values()) < 2 ** 31
+    assert {s: round(r.target, 4) for s, r in got.items()} == {s: round(x, 4) for s, x in want.items()}
+
+
 def test_mix_of_nothing(spark):
     assert M.mixed(X.empty(spark)).count() == 0
     only_empty = X.frame(spark, [(1, None, "en", "a"), (2, "", "en", None)])
