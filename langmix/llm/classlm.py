@@ -55,7 +55,7 @@ BLOCK = "block long, ids array<bigint>, held binary, sizes binary, local binary,
 
 def _pack(a: np.ndarray) -> bytes:
     """Byte planes, compressed (small numbers take little room)."""
-    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
 
@@ -340,6 +340,7 @@ def word_classes(blocks: DataFrame, own: np.ndarray, cls: np.ndarray, n: np.ndar
     partition p by ending and class, words that are units of their own apart."""
     groups = C.parts(blocks.sparkSession)
     sent = blocks.sparkSession.sparkContext.broadcast((own, cls, n))
+    sent_schema = pa.schema([("p", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("words", "times", "endings", "steps", "counts")]])
 
     def send(batches):
         own, cls, _ = sent.value
@@ -352,13 +353,14 @@ def word_classes(blocks: DataFrame, own: np.ndarray, cls: np.ndarray, n: np.ndar
                 rank[order] = np.arange(len(order))
                 cells, count = contexts(b, own, cls, rank)
                 edge = np.searchsorted(cells, cut * SLOTS)
+                rows = []
                 for k in np.flatnonzero(np.diff(cut)):
                     o, some = order[cut[k]:cut[k + 1]], slice(edge[k], edge[k + 1])
                     step = np.diff(cells[some], prepend=cut[k] * SLOTS)
-                    yield pa.RecordBatch.from_pydict({
-                        "p": pa.array([k], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "words": [b.words[o].tobytes()],
-                        "times": [_pack(times[o])], "endings": [_pack(b.endings[o])],
-                        "steps": [_pack(step.astype(np.uint32))], "counts": [_pack(count[some].astype(np.uint32))]})
+                    rows.append((k, row["block"], b.words[o].tobytes(), _pack(times[o]), _pack(b.endings[o]),
+                                 _pack(step.astype(np.uint32)), _pack(count[some].astype(np.uint32))))
+                # a batch for each block: to make one takes longer than to pack a row of it
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), sent_schema.types)], schema=sent_schema)
 
     def choose(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         own, cls, n = sent.value

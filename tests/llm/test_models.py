@@ -282,6 +282,24 @@ def test_exchange_raises_mutual_information():
     assert information(cls) >= information(kind) - 1e-6
 
 
+def test_blocks_without_tied_words(spark):
+    """Partitions whose words of a block are all units of their own, or held out, have no contexts to send."""
+    assert len(L._unpack(L._pack(np.zeros(0, np.uint32)), np.uint32)) == 0
+    texts = ["a b c a", "b b", None, "c", "a unheard", "b c", ""]
+    docs = [(k, t, "en", "s") for k, t in enumerate(texts * 3)]
+    held = {d: X.crc(d) % L.FOLD == L.HELD for d, *_ in docs}
+    assert any(held.values())
+    count, total = Counter(), 0
+    for d, t, *_ in docs:
+        if not held[d]:
+            count.update(X.space_words(t))
+            total += len(X.space_words(t)) + 1
+    got = L.scores(X.frame(spark, docs)).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == Counter(
+        (d, held[d], len(X.space_words(t)) + 1, sum(count[x] > 0 for x in X.space_words(t)) + 1, total) for d, t, *_ in docs)
+    assert all(math.isfinite(r.score) and r.score <= 1e-9 for r in got)
+
+
 def test_scores_of_nothing(spark):
     assert L.scores(X.empty(spark)).count() == 0
     r = L.scores(X.frame(spark, [(2, "held", "en", "s")]).where("false")).collect()
