@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as P
-from langmix.llm import toxicity
+from langmix.llm import mixing, toxicity
 from tests.llm import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +71,12 @@ def test_rows_without_an_id_of_their_own(spark):
     rows = [(None, a), (None, a + " " + item), (None, None), (3, b), (3, item), (3, b)]
     left = P.drop_contaminated(spark, X.frame(spark, [(k, t, "en", "a") for k, t in rows]), SF)
     assert sorted((r.doc_id or 0, r.text or "") for r in left.select("doc_id", "text").collect()) == sorted([(0, a), (0, ""), (3, b), (3, b)])
+
+
+def test_mix_of_a_thousand_million_words(spark, monkeypatch):
+    """The same rows are taken when every word counts many times."""
+    df = X.frame(spark, X.documents())
+    plain = X.rows_of(P.mix_sources(spark, df, "").select("doc_id", "source"))
+    words, total = mixing.words, mixing.sized(df).agg({"size": "sum"}).first()[0]
+    monkeypatch.setattr(mixing, "words", lambda text: words(text) * (10 ** 9 // (3 * total)))
+    assert X.rows_of(P.mix_sources(spark, df, "").select("doc_id", "source")) == plain
